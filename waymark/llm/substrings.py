@@ -22,7 +22,7 @@ from waymark.llm.store import keep, partitions
 from waymark.llm.words import SPACE_SPLIT, U, mix, pieces
 
 #: Bytes of text whose windows are reduced together before they are shuffled.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _LEAST = np.iinfo(np.int64).min
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _SHIPPED = "part int, doc_id long, row_hash long, ids binary, blob binary"
@@ -198,7 +198,7 @@ def _with_places(slim: DataFrame, places: DataFrame, how: str) -> DataFrame:
     return slim.join(lists.hint("shuffle_hash"), (F.coalesce(F.col("doc_id"), F.lit(_LEAST)) == F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), how)
 
 
-def _cut(length: int):
+def _cut(length: int, with_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digest, kept_text = [], [], [], []
@@ -216,9 +216,15 @@ def _cut(length: int):
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 digest.append(hashlib.sha256(joined).hexdigest())
-                kept_text.append(joined)
+                if with_text:
+                    kept_text.append(joined)
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string())], names=[*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256", "kept_text"])
+            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+            names = [*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256"]
+            if with_text:
+                made.append(pa.array(kept_text, pa.binary()).cast(pa.string()))
+                names.append("kept_text")
+            yield pa.RecordBatch.from_arrays([*rest, *made], names=names)
 
     return cut
 
@@ -229,8 +235,8 @@ def cut_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_
     gives an empty table; repeated rows each give a row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = _with_places(slim, repeated_windows(docs, length, id_col, text_col), "left")
-    out = own.select("text", "places", "doc_id").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+    out = own.select("text", "places", "doc_id").mapInArrow(_cut(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def longest_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

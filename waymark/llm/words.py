@@ -29,7 +29,7 @@ LOWER[0x41:0x5B] += 32
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i up to n."""
     if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        size = max(1 << 16, n + n // 4 + 1)
         inverse, both = pow(base, -1, 1 << 64), []
         for b in (base, inverse):
             steps = np.full(size, b, U)
@@ -86,7 +86,7 @@ class Piece:
         return mix((sums[k:] - sums[:-k]) * inverse[:n]), doc[:n] == doc[k - 1 :]
 
 
-def pieces(column: pa.Array, word: np.ndarray, size: int = 2 << 20, lower: bool = False) -> Iterator[Piece]:
+def pieces(column: pa.Array, word: np.ndarray, size: int = 1 << 20, lower: bool = False) -> Iterator[Piece]:
     """The texts of a string column (null: empty) in pieces of about size bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
