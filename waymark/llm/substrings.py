@@ -25,7 +25,7 @@ from waymark.llm.words import SPACE_SPLIT, U, mix, pieces
 BLOCK = 4 << 20
 _LEAST = np.iinfo(np.int64).min
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-_SHIPPED = "part int, doc_id long, row_hash long, ids binary, blob binary"
+_SHIPPED = "part int, n long, m long, ids binary, blob binary"
 
 
 def _least_within(grams: np.ndarray, width: int) -> np.ndarray:
@@ -44,7 +44,7 @@ def _blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
     """Windows of blocks of rows: anchor hash, window hash, row, place in the row."""
     half = max(length // 2 + 1, length - 200)
     ids = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), _LEAST, batch.column(0).fill_null(0).to_numpy())
-    row_hash = batch.column(1).to_numpy()
+    who = np.stack([ids, batch.column(1).to_numpy(), batch.column(3).to_numpy().astype(np.int64)])
     found, size = [], 0
     for p in pieces(batch.column(2), SPACE_SPLIT):
         size += len(p.data)
@@ -55,14 +55,14 @@ def _blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
             anchor = _least_within(grams, length - half + 1)
             doc = p.doc[: len(full)]
             place = np.arange(len(full)) - p.first[doc]
-            if batch.num_columns > 3:
-                whole = whole & _allowed(batch.column(3), p, doc, place, length)
+            if batch.num_columns > 4:
+                whole = whole & _allowed(batch.column(4), p, doc, place, length)
             found.append((grams[anchor][whole], full[whole], (doc + p.rows.start)[whole], place[whole], (anchor - np.arange(len(full)))[whole]))
         if size >= BLOCK:
-            yield ids, row_hash, found
+            yield who, found
             found, size = [], 0
     if found:
-        yield ids, row_hash, found
+        yield who, found
 
 
 def _allowed(places: pa.Array, p, doc: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
@@ -75,13 +75,30 @@ def _allowed(places: pa.Array, p, doc: np.ndarray, place: np.ndarray, length: in
     return open_[at] & open_[at + length // 2]
 
 
-def _pack(rows: np.ndarray, places: np.ndarray, ids: np.ndarray, row_hash: np.ndarray) -> Iterator[tuple]:
-    """(doc_id, row_hash, places) of each row that has places."""
-    order = np.argsort(rows, kind="stable")
+def _pack(rows: np.ndarray, places: np.ndarray, who: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """For each bucket of rows that have places: those rows' ids, hashes and numbers of places, then the places."""
+    order = np.lexsort((rows, who[2][rows]))
     rows, places = rows[order], places[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.diff(rows)) + 1
-    for r, own in zip(rows[np.r_[0, cuts]] if len(rows) else [], np.split(places, cuts), strict=False):
-        yield int(ids[r]), int(row_hash[r]), own.tobytes()
+    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[heads, len(rows)])
+    own = rows[heads]
+    bucket = who[2][own]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(own) else np.zeros(0, np.int64)
+    ends = np.r_[heads, len(rows)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[lo]), np.array([hi - lo]).tobytes() + who[:2, own[lo:hi]].tobytes() + count[lo:hi].astype(np.int64).tobytes() + places[ends[lo] : ends[hi]].tobytes()
+
+
+def _unpack(blobs: Iterator[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """(id, hash of the text): arrays of places."""
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        ids, hashes, count = np.frombuffer(blob, np.int64, 3 * n, 8).reshape(3, n)
+        cuts = np.cumsum(count)[:-1]
+        for i, h, at in zip(ids.tolist(), hashes.tolist(), np.split(np.frombuffer(blob, np.uint32, -1, 8 + 24 * n), cuts), strict=True):
+            found.setdefault((i, h), []).append(at)
+    return found
 
 
 def _ship(length: int, parts: int, both: bool):
@@ -89,7 +106,8 @@ def _ship(length: int, parts: int, both: bool):
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, row_hash, found in _blocks(batch, length):
+            for who, found in _blocks(batch, length):
+                ids = who[0]
                 anchor, full, row, place, gap = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(full):
                     continue
@@ -103,7 +121,7 @@ def _ship(length: int, parts: int, both: bool):
                     again = np.zeros(len(full), bool)
                     again[order] = (np.maximum.reduceat(ids[row][order], np.flatnonzero(heads)) > np.minimum.reduceat(ids[row][order], np.flatnonzero(heads)))[np.cumsum(heads) - 1]
                     settled = late | again
-                out = [(abs(h) % parts, i, h, None, b) for i, h, b in _pack(row[settled], place[settled], ids, row_hash)]
+                out = [(bucket % parts, bucket, 0, None, b) for bucket, b in _pack(row[settled], place[settled], who)]
                 anchor, full, row, place, gap = (x[~late] for x in (anchor, full, row, place, gap))
                 # one entry for each anchor: its hash, row, place of its first window and how many follow
                 part = (anchor % U(parts)).astype(np.int32)
@@ -119,9 +137,9 @@ def _ship(length: int, parts: int, both: bool):
                     take = np.repeat(at[a] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
                     used, local = np.unique(row[at[a]], return_inverse=True)
                     blob = b"".join(x.tobytes() for x in (anchor[at[a]], local.astype(np.uint32), place[at[a]].astype(np.uint32), gap[at[a]].astype(np.uint8), c.astype(np.uint8), check[take]))
-                    out.append((int(k), len(a), len(take), np.stack([ids[used], row_hash[used]]).tobytes(), blob))
+                    out.append((int(k), len(a), len(take), who[:, used].tobytes(), blob))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "doc_id", "row_hash", "ids", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "n", "m", "ids", "blob"])
 
     return ship
 
@@ -132,12 +150,12 @@ def _settle(table: pa.Table, both: bool) -> pa.Table:
     docs: list[np.ndarray] = []
     cols: list[list[np.ndarray]] = []
     base = 0
-    for i, h, ids, blob in zip(*(table.column(c).to_pylist() for c in ("doc_id", "row_hash", "ids", "blob")), strict=True):
+    for n, m, ids, blob in zip(*(table.column(c).to_pylist() for c in ("n", "m", "ids", "blob")), strict=True):
         if ids is None:
-            out.append((i, h, blob))
+            out.append((n, blob))
             continue
-        own = np.frombuffer(ids, np.int64).reshape(2, -1)
-        n, m, at, got = i, h, 0, []
+        own = np.frombuffer(ids, np.int64).reshape(3, -1)
+        at, got = 0, []
         for kind, size in ((U, n), (np.uint32, n), (np.uint32, n), (np.uint8, n), (np.uint8, n), (np.uint32, m)):
             got.append(np.frombuffer(blob, kind, size, at))
             at += size * np.dtype(kind).itemsize
@@ -147,7 +165,8 @@ def _settle(table: pa.Table, both: bool) -> pa.Table:
         cols.append([np.repeat(anchor, count), (np.repeat(local, count) + base).astype(np.uint32), np.repeat(place, count) + step.astype(np.uint32), (np.repeat(gap, count) - step).astype(np.uint8), check])
         base += own.shape[1]
     if cols:
-        ids, row_hash = np.concatenate(docs, axis=1)
+        all_docs = np.concatenate(docs, axis=1)
+        ids = all_docs[0]
         anchor, row, place, gap, check = (np.concatenate(x) for x in zip(*cols, strict=True))
         # the first level: anchors alone in one document go no further
         order = np.argsort(anchor, kind="stable")
@@ -170,12 +189,25 @@ def _settle(table: pa.Table, both: bool) -> pa.Table:
                 late = go[(np.maximum.reduceat(who, at) > first[at])[np.cumsum(heads) - 1]]
             else:
                 late = go[ids[row[go]] > first]
-            out += _pack(row[late], place[late], ids, row_hash)
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "row_hash", "places"])
+            out += _pack(row[late], place[late], all_docs)
+    return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, row_hash, text and bucket; and how many buckets there are."""
+    n = 2 * partitions(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
+    return slim.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_LEAST)), "row_hash"), F.lit(n)).cast("int")), n
+
+
+def _packed(rows: DataFrame, parts: int, length: int, both: bool) -> DataFrame:
+    """(bucket, blob) of repeated windows."""
+    shipped = rows.mapInArrow(_ship(length, parts, both), _SHIPPED)
+    return shipped.groupBy("part").applyInArrow(lambda t: _settle(t, both), "bucket int, blob binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", both: bool = False, within: DataFrame | None = None) -> DataFrame:
-    """doc_id, row_hash (of the text) and places (uint32 array, may come in several rows): where
+    """doc_id, row_hash (of the text) and places (list of uint32 arrays): where
     windows of ``length`` words start that also start in a document with a smaller id (both:
     or with a larger one).  within: the places of half that length, the only ones to extend.
 
@@ -184,58 +216,49 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
     block of rows is settled before the shuffle: of a group of copies one entry a block is
     dealt out, not one a copy.
     """
-    parts = 2 * partitions(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
+    rows, parts = _rows(docs, id_col, text_col)
     if within is not None:
-        slim = _with_places(slim, within, "inner").select("doc_id", "row_hash", "text", "places")
-    shipped = slim.mapInArrow(_ship(length, parts, both), _SHIPPED)
-    return shipped.groupBy("part").applyInArrow(lambda t: _settle(t, both), "doc_id long, row_hash long, places binary")
+        w = within.select(F.col("doc_id").alias("k_id"), F.col("row_hash").alias("k_hash"), "places")
+        rows = rows.join(w, (F.coalesce(F.col("doc_id"), F.lit(_LEAST)) == F.col("k_id")) & (F.col("row_hash") == F.col("k_hash"))).select("doc_id", "row_hash", "text", "bucket", "places")
 
+    def unpack(table: pa.Table) -> pa.Table:
+        found = _unpack(table.column("blob").to_pylist())
+        return pa.table([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([[x.tobytes() for x in v] for v in found.values()], pa.list_(pa.binary()))], names=["doc_id", "row_hash", "places"])
 
-def _with_places(slim: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """The rows (doc_id, text) with their lists of places."""
-    lists = places.groupBy(F.col("doc_id").alias("k_id"), F.col("row_hash").alias("k_hash")).agg(F.collect_list("places").alias("places"))
-    return slim.join(lists.hint("shuffle_hash"), (F.coalesce(F.col("doc_id"), F.lit(_LEAST)) == F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), how)
-
-
-def _cut(length: int, with_text: bool):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, digest, kept_text = [], [], [], []
-            for text, places in zip(batch.column(0), batch.column(1), strict=True):
-                words = _WORD.findall((text.as_py() or "").encode())
-                kept = words
-                if places.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in places.as_py()]))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                joined = b" ".join(kept)
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(joined).hexdigest())
-                if with_text:
-                    kept_text.append(joined)
-            rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
-            names = [*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                made.append(pa.array(kept_text, pa.binary()).cast(pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays([*rest, *made], names=names)
-
-    return cut
+    return _packed(rows, parts, length, both).groupBy("bucket").applyInArrow(unpack, "doc_id long, row_hash long, places array<binary>")
 
 
 def cut_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept_sha256 and kept_text (the words that
     stay, joined by one space).  Other columns of docs are not looked at.  An empty table
-    gives an empty table; repeated rows each give a row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = _with_places(slim, repeated_windows(docs, length, id_col, text_col), "left")
-    out = own.select("text", "places", "doc_id").mapInArrow(_cut(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    gives an empty table; repeated rows each give a row.  Texts meet their places in buckets of
+    rows, of which there are twice as many as shuffle partitions."""
+    rows, parts = _rows(docs, id_col, text_col)
+
+    def cut(own: pa.Table, packed: pa.Table) -> pa.Table:
+        found = _unpack(packed.column("blob").to_pylist())
+        n_words, n_removed, digest, kept_text = [], [], [], []
+        for i, h, text in zip(own.column("doc_id").to_pylist(), own.column("row_hash").to_pylist(), own.column("text"), strict=True):
+            kept = words = _WORD.findall((text.as_py() or "").encode())
+            places = found.get((_LEAST if i is None else i, h))
+            if places:
+                edge = np.zeros(len(words) + 1, np.int32)
+                at = np.unique(np.concatenate(places))
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            joined = b" ".join(kept)
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(kept))
+            digest.append(hashlib.sha256(joined).hexdigest())
+            if with_text:
+                kept_text.append(joined.decode())
+        made = [own.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+        return pa.table(made + [pa.array(kept_text, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    out = rows.groupBy("bucket").cogroup(_packed(rows, parts, length, False).groupBy("bucket")).applyInArrow(cut, schema)
     return out.withColumnRenamed("doc_id", id_col)
 
 
