@@ -30,8 +30,8 @@ MAX_CALIBRATE = 6_000
 DISCOUNT = 0.75
 #: Words of the stretch that is looked at by itself.
 STRETCH = 12
-#: Pseudo-documents with which each class's continuation counts lean on the shared ones.
-SHARED = 2.0
+#: What fewer of the texts to learn from hold says nothing of its class: it is left to the shared counts.
+RARE = 5
 _START = np.uint32((1 << WORD_BITS) - 1)
 
 
@@ -64,7 +64,7 @@ def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, pair, n) of labelled texts."""
+    """(toxic, pair, n, texts) of labelled texts: how often, and in how many."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for p in pieces(batch.column(0), ALNUM, lower=True):
@@ -72,8 +72,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(ids):
                 continue
             key = (toxic[p.rows.start : p.rows.stop][p.doc] << (2 * WORD_BITS)) | _pair(_before(p, ids), ids)
-            key, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key >> (2 * WORD_BITS), pa.int32()), pa.array(key & ((1 << 2 * WORD_BITS) - 1)), pa.array(n, pa.int64())], names=["toxic", "pair", "n"])
+            order = np.lexsort((p.doc, key))
+            key, doc = key[order], p.doc[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            at = np.flatnonzero(new)
+            texts = np.add.reduceat((new | np.r_[True, doc[1:] != doc[:-1]]).astype(np.int64), at)
+            key, n = key[at], np.diff(np.r_[at, len(key)])
+            yield pa.RecordBatch.from_arrays([pa.array(key >> (2 * WORD_BITS), pa.int32()), pa.array(key & ((1 << 2 * WORD_BITS) - 1)), pa.array(n, pa.int64()), pa.array(texts)], names=["toxic", "pair", "n", "texts"])
 
 
 @dataclass
@@ -88,8 +93,8 @@ class Model:
 
 
 def _features(text: pa.Array, m: Model) -> np.ndarray:
-    """Per text: mean difference, mean over its worst stretch, log length."""
-    out = np.zeros((len(text), 3))
+    """Per text: mean difference, mean over its worst stretch, worst word, log length."""
+    out = np.zeros((len(text), 4))
     for p in pieces(text, ALNUM, lower=True):
         ids = _ids(p.hashes())
         if not len(ids):
@@ -102,7 +107,7 @@ def _features(text: pa.Array, m: Model) -> np.ndarray:
         sums = np.r_[0.0, np.cumsum(s, dtype=np.float64)]
         end = np.minimum(np.arange(len(s)) + STRETCH, p.first[1:][p.doc])
         worst = np.maximum.reduceat((sums[end] - sums[:-1]) / STRETCH, at)
-        out[p.rows.start + full] = np.stack([(sums[at + n[full]] - sums[at]) / n[full], worst, np.log1p(n[full])], axis=1)
+        out[p.rows.start + full] = np.stack([(sums[at + n[full]] - sums[at]) / n[full], worst, np.maximum.reduceat(s, at), np.log1p(n[full])], axis=1)
     return out
 
 
@@ -140,28 +145,30 @@ def train(corpus: DataFrame, labelled: DataFrame) -> Model:
     size = 1 << WORD_BITS
     shared = _table(corpus.select("text").mapInArrow(_corpus, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")), size, "w", "n")
     shared = (shared + 0.5) / (shared + 0.5).sum()
-    labelled = keep(labelled.select("text", F.col("toxic").cast("int").alias("toxic"), "fold", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("draw")), "labelled")
+    labelled = keep(labelled.dropDuplicates(["text", "toxic"]).select("text", F.col("toxic").cast("int").alias("toxic"), "fold", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("draw")), "labelled")
     n_train, n_cal = labelled.agg(F.count_if(F.col("fold") != 0), F.count_if(F.col("fold") == 0)).head()
     thin = lambda n, most: F.col("draw") < int((1 << 20) * min(1.0, most / max(n, 1)))
     fit, check = labelled.filter((F.col("fold") != 0) & thin(n_train, MAX_TRAIN)), labelled.filter((F.col("fold") == 0) & thin(n_cal, MAX_CALIBRATE))
-    pairs = keep(fit.select("text", "toxic").mapInArrow(_pairs, "toxic int, pair long, n long").groupBy("toxic", "pair").agg(F.sum("n").alias("n")), "pairs")
+    pairs = keep(fit.select("text", "toxic").mapInArrow(_pairs, "toxic int, pair long, n long, texts long").groupBy("toxic", "pair").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "pairs")
     low = F.col("pair").bitwiseAND(size - 1)
     pairs = pairs.withColumn("u", F.shiftright("pair", WORD_BITS).cast("int")).withColumn("w", low.cast("int"))
     before, word, follow, weight = [], [], [], []
+    often = _table(pairs.groupBy("w").agg(F.sum("texts").alias("n")), size, "w", "n") >= RARE
     for c in (1, 0):
         own = pairs.filter(F.col("toxic") == c)
         total = _table(own.groupBy("u").agg(F.sum("n").alias("n")), size, "u", "n")
         kinds = _table(own.groupBy("u").agg(F.count("*").alias("n")), size, "u", "n")
-        heads = _table(own.groupBy("w").agg(F.count("*").alias("n")), size, "w", "n")
+        heads = _table(own.groupBy("w").agg(F.count("*").alias("n")), size, "w", "n") * often
         gamma = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        mass = DISCOUNT * (heads > 0).sum() + SHARED
+        mass = DISCOUNT * (heads > 0).sum() + 1.0
         cont = (np.maximum(heads - DISCOUNT, 0) + mass * shared) / (np.maximum(heads - DISCOUNT, 0).sum() + mass)
+        gamma = np.where(often, gamma, 1.0)
         before.append(np.log(gamma))
         word.append(np.log(cont))
         follow.append(total)
         weight.append(gamma)
     small = np.float32
-    model = Model((before[0] - before[1]).astype(small), (word[0] - word[1]).astype(small), np.zeros(1 << PAIR_BITS, small), np.zeros(4), np.array([[0.0] * 3, [1.0] * 3]))
+    model = Model((before[0] - before[1]).astype(small), (word[0] - word[1]).astype(small), np.zeros(1 << PAIR_BITS, small), np.zeros(5), np.array([[0.0] * 4, [1.0] * 4]))
     tables = pairs.sparkSession.sparkContext.broadcast([small(x) for x in (*follow, *weight, np.exp(word[0]), np.exp(word[1]))])
 
     def excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,22 +181,22 @@ def train(corpus: DataFrame, labelled: DataFrame) -> Model:
             slot = (mix(_pair(u, w).astype(U)) >> U(64 - PAIR_BITS)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(gain, pa.float64())], names=["slot", "gain"])
 
-    both = pairs.groupBy("pair", "u", "w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).filter("a + b > 1")
+    both = pairs.groupBy("pair", "u", "w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"), F.sum("texts").alias("texts")).filter(F.col("texts") >= RARE)
     model.more += _table(both.select("u", "w", "a", "b").mapInArrow(excess, "slot int, gain double").groupBy("slot").agg(F.avg("gain").alias("gain")), 1 << PAIR_BITS, "slot", "gain").astype(small)
     handed = pairs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _features(batch.column(0), handed.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(3)]], names=["toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(4)]], names=["toxic", "a", "b", "c", "d"])
 
-    got = check.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toPandas()
+    got = check.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double, d double").toPandas()
     y = got["toxic"].to_numpy(dtype=float)
     if len(set(y.tolist())) == 2:
-        model.weights, model.scale = _logistic(got[["a", "b", "c"]].to_numpy(), y)
+        model.weights, model.scale = _logistic(got[["a", "b", "c", "d"]].to_numpy(), y)
     else:
         rate = (y.sum() + 0.5) / (len(y) + 2)
-        model.weights = np.array([0, 0, 0, np.log(rate / (1 - rate))])
+        model.weights = np.array([0, 0, 0, 0, np.log(rate / (1 - rate))])
     return model
 
 
@@ -202,7 +209,7 @@ def score(rows: DataFrame, model: Model, text_col: str = "text", name: str = "sc
         for batch in batches:
             m = handed.value
             x = _features(batch.column(0), m)
-            s = np.where(x[:, 2] > 0, _score(x, m), min(0.01, _score(np.zeros((1, 3)), m)[0]))
+            s = np.where(x[:, 3] > 0, _score(x, m), min(0.01, _score(np.zeros((1, 4)), m)[0]))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, batch.num_columns)], pa.array(s)], names=[*batch.schema.names[1:], name])
 
     rest = [c for c in rows.columns if c != text_col]
