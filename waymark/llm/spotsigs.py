@@ -14,21 +14,25 @@ from waymark.llm.hilbert import places
 from waymark.llm.store import keep
 
 # Anchors, and further common words that chains leave out.
-ANCHORS = "the is that der und ist le est que el es una".split()
-COMMON = "a an and are as at be by for from has he in it its of on or to was were with this you not die das den dem des ein eine zu von mit auf für im nicht sich auch la les un une de du et en qui dans par pour sur au des lo los las un y del al por con su para se".split()
+ANCHORS = "the is that of and to in der die und ist zu le est la de et les el que los y".split()
+COMMON = "a an are as at be by for from has he it its on or was were with this you not das den dem des ein eine von mit auf für im nicht sich auch un une du en qui dans par pour sur au lo las una del al por con su para se es".split()
 CHAIN = 2
+SHORT = 100
 
 
 def spots(text: Column) -> Column:
     """Signatures, sorted, as eight hex digits each.  After each anchor come the next CHAIN words
-    that are not common.  A text without any signature has one of all its words, so two such are
-    alike only if their words are the same."""
+    that are not common.  In a text of up to SHORT words, where anchors are few, every word starts a chain of CHAIN + 1
+    words too.  A text without any signature has one of all its words."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     rare = F.regexp_replace(words, f"(?<= )(?:(?:{'|'.join(COMMON)}) )++", "")
     anchor = "|".join(ANCHORS)
     chains = F.regexp_extract_all(rare, F.lit(f"(?<= )(?=((?:{anchor})(?:(?: (?:{anchor})(?= ))*+ [^ ]++){{{CHAIN}}}) )"), F.lit(1))
     inner = F.transform(chains, lambda x: F.when(x.rlike(f" (?:{anchor}) "), F.regexp_replace(x, f"(?<= )(?:(?:{anchor}) )++", "")).otherwise(x))
-    all_ = F.when(F.size(inner) == 0, F.array(F.concat(F.lit("="), words))).otherwise(inner)
+    every = F.regexp_extract_all(words, F.lit(f"(?<= )(?=([^ ]++(?: [^ ]++){{{CHAIN}}}) )"), F.lit(1))
+    short = F.length(words) - F.length(F.translate(words, " ", "")) <= SHORT + 1
+    own = F.when(short, F.concat(inner, every)).otherwise(inner)
+    all_ = F.when(F.size(own) > 0, own).otherwise(F.array(F.concat(F.lit("="), words)))
     return F.array_sort(F.array_distinct(F.transform(all_, lambda x: F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(1 << 32))), 8, "0"))))
 
 
