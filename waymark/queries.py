@@ -1,4 +1,729 @@
-"""Registered queries of the routing engine and their SQL twins."""
+"""Registered queries of the routing engine and their SQL twins, over the tables at hand."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark import config as C
+from waymark.functions import fuzzy, text, vectors
+from waymark.operators import baselines, clusters, diagnostics, evaluation, retrieval, routing, signals
+from waymark.plans import standins as st
+from waymark.plans.standins import SIGNALS, with_sql
+from waymark.sources import readers, writers
+from waymark.streaming import guard
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+ACTIONS = C.V3.actions
+KEYS = ["dataset", "split", "cluster_id", "variant_id"]
+
+
+def query(sql: str = "", needs: Sequence[str] = ()):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = with_sql(sql, *needs) if needs else sql
+        return f
+
+    return register
+
+
+def r(c: str, digits: int = 6):
+    """A double of a few digits: engines add up in different orders."""
+    return (F.round(c, digits) + 0.0).alias(c)
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+
+
+def _scaled(spark, sf):
+    inst = st.instances(spark, sf)
+    scalers = signals.fit_scaler(inst.filter("split = 'train'"), SIGNALS)
+    return signals.apply_scaler(inst.drop("event_id"), scalers, SIGNALS)
+
+
+def _table(spark, sf):
+    rows = st.outcome_rows(st.instances(spark, sf))
+    return routing.outcome_table(rows, ACTIONS, cost=["retrieval", "generation"], keep=["dataset", "split"])
+
+
+def _routed(spark, sf):
+    t = _table(spark, sf).join(_scaled(spark, sf), KEYS)
+    score = (F.col("S1") + F.col("S2") + F.col("S3") + F.col("S4")) / 4.0
+    return t.withColumn("score", score).withColumn("action_index", routing.action_index(F.col("score"), [0.4, 0.6]))
+
+
+# Calibration
+
+@query("""+ d AS (SELECT a.dataset, a.signal, abs(a.s - b.s) AS d FROM slong a JOIN slong b USING (dataset, cluster_id, signal) JOIN complete USING (cluster_id)
+          WHERE a.split = 'train' AND a.variant_id < b.variant_id),
+        j AS (SELECT dataset, signal, quantile_cont(d, 0.75::DOUBLE) AS jitter, quantile_cont(d, 0.5::DOUBLE) AS jitter_median FROM d GROUP BY 1, 2)
+        SELECT dataset, signal, round(p5, 6) AS p5, round(p95, 6) AS p95, round(jitter, 6) AS jitter, round(jitter_median, 6) AS jitter_median,
+          round(least(0.25::DOUBLE, greatest(0.2::DOUBLE, jitter)), 6) AS width, round(least(0.25::DOUBLE, greatest(0.2::DOUBLE, jitter_median)), 6) AS width_median,
+          jitter <= 0.2 AS at_floor, jitter > 0.25 AS capped, bool_and(jitter <= 0.2) OVER (PARTITION BY dataset) AS all_at_floor
+        FROM j JOIN scalers USING (dataset, signal)""", ["slong", "complete"])
+def stage1_calibration(spark, sf):
+    """Scalers of the train split and the widths that the train clusters' jitter asks for."""
+    inst = st.instances(spark, sf)
+    train = inst.filter("split = 'train'")
+    scalers = signals.fit_scaler(train, SIGNALS)
+    widths = signals.jitter_widths(signals.apply_scaler(train, scalers, SIGNALS), SIGNALS)
+    return rounded(scalers.join(widths, ["dataset", "signal"]), "p5", "p95", "jitter", "jitter_median", "width", "width_median")
+
+
+@query("SELECT dataset, split, cluster_id, variant_id, round(S1, 6) AS S1, round(S2, 6) AS S2, round(S3, 6) AS S3, round(S4, 6) AS S4 FROM scaled", ["scaled"])
+def scaled_signals(spark, sf):
+    return rounded(_scaled(spark, sf).select(*KEYS, *SIGNALS), *SIGNALS)
+
+
+@query("SELECT dataset, signal, round(avg(CAST(raw < 0 OR raw > 1 AS DOUBLE)), 6) AS clipped FROM slong GROUP BY 1, 2", ["slong"])
+def clipped_share(spark, sf):
+    inst = st.instances(spark, sf)
+    scalers = signals.fit_scaler(inst.filter("split = 'train'"), SIGNALS)
+    return rounded(signals.clipped_share(signals.apply_scaler(inst, scalers, SIGNALS, raw=True), SIGNALS), "clipped")
+
+
+@query("""+ h AS (SELECT DISTINCT dataset, cluster_id, CAST('0x' || substr(md5('42:' || cluster_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM inst)
+        SELECT dataset, CASE WHEN u < 1::DOUBLE - 0.2::DOUBLE - 0.2::DOUBLE THEN 'train' WHEN u < 1::DOUBLE - 0.2::DOUBLE THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM h GROUP BY 1, 2""", ["inst"])
+def split_hashed(spark, sf):
+    ids = st.instances(spark, sf).select("dataset", "cluster_id").distinct()
+    return clusters.split_hashed(ids).groupBy("dataset", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT dataset, split, count(*) AS n, CAST(count_if(n = 3) AS BIGINT) AS complete FROM (SELECT dataset, split, cluster_id, count(*) AS n FROM inst GROUP BY 1, 2, 3) GROUP BY 1, 2", ["inst"])
+def complete_clusters(spark, sf):
+    inst = st.instances(spark, sf)
+    whole = signals.complete_clusters(inst).select("cluster_id").distinct().withColumn("whole", F.lit(True))
+    all_ = inst.select("dataset", "split", "cluster_id").distinct().join(whole, "cluster_id", "left")
+    return all_.groupBy("dataset", "split").agg(F.count("*").alias("n"), F.count("whole").alias("complete"))
+
+
+# Retrieval
+
+@query("SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm", ["bm"])
+def bm25_top50(spark, sf):
+    found = retrieval.bm25(st.questions(spark, sf), st.passages(spark, sf))
+    return rounded(found, "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
+        SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 50""")
+def dense_top50(spark, sf):
+    """Searches for every 50th vector among all of them."""
+    index = st.index(spark, sf)
+    q = index.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"))
+    return rounded(retrieval.dense(q, index), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT qid, doc_id, round(score, 6) AS score, rank FROM fu", ["fu"])
+def fused_pool(spark, sf):
+    lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))
+    return rounded(lists["fused"], "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""+ best AS (SELECT qid, doc_id, max(score) AS score FROM (SELECT qid, doc_id, score FROM bm UNION ALL SELECT qid, doc_id, score FROM dn) GROUP BY 1, 2),
+        m AS (SELECT qid, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM best WINDOW w AS (PARTITION BY qid))
+        SELECT qid, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM m) WHERE rank <= 30""", ["bm", "dn"])
+def merged_pool(spark, sf):
+    """Two pools of each question as one, each passage with its better score."""
+    q, d, i = st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf)
+    found = retrieval.merge_pools(retrieval.bm25(q, d), retrieval.dense(q, i), k=30)
+    return rounded(found, "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""+ s1 AS (SELECT qid, 1.0::DOUBLE - (max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2)) / (max(score) FILTER (rank = 1) - max(score) FILTER (rank = 10) + 1e-9::DOUBLE) AS S1 FROM fu GROUP BY 1),
+        dep AS (SELECT qid, d, (SELECT count(*) FROM bm x JOIN dn y USING (qid, doc_id) WHERE x.qid = qs.qid AND greatest(x.rank, y.rank) <= d) AS n FROM (SELECT qid FROM questions) qs, range(1, 11) t(d)),
+        s2 AS (SELECT qid, 1.0::DOUBLE - (pow(0.9::DOUBLE, 10) * max(n) FILTER (d = 10) / 10 + 0.1::DOUBLE * sum(pow(0.9::DOUBLE, d - 1) * n / d)) AS S2 FROM dep GROUP BY 1),
+        ten AS (SELECT qid, rank, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM fu JOIN embeddings ON vec_id = doc_id WHERE rank <= 10),
+        nrm AS (SELECT qid, rank, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-9::DOUBLE)) AS v FROM ten),
+        s3 AS (SELECT a.qid, 1.0::DOUBLE - avg(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))) AS S3, count(*) AS np FROM nrm a JOIN nrm b ON a.qid = b.qid AND a.rank < b.rank GROUP BY 1),
+        e AS (SELECT qid, exp((score - max(score) OVER (PARTITION BY qid)) / 0.1::DOUBLE) AS e FROM fu WHERE rank <= 10), p AS (SELECT qid, e / sum(e) OVER (PARTITION BY qid) AS p FROM e),
+        s4 AS (SELECT qid, -sum(p * ln(p + 1e-9::DOUBLE)) / ln(10.0::DOUBLE) AS S4 FROM p GROUP BY 1)
+        SELECT qid, round(S1, 6) AS S1, round(S2, 6) AS S2, CASE WHEN np = 45 THEN round(S3, 6) END AS S3, round(S4, 6) AS S4 FROM s1 JOIN s2 USING (qid) JOIN s3 USING (qid) JOIN s4 USING (qid)""", ["fu"])
+def retrieval_signals(spark, sf):
+    """S1 to S4 of every question."""
+    index = st.index(spark, sf)
+    lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), index)
+    fused = lists["fused"]
+    vecs = fused.filter("rank <= 10").join(index, "doc_id")
+    return rounded(signals.compute(lists["lexical"], lists["dense"], fused, vecs), *SIGNALS)
+
+
+@query("""+ h AS (SELECT qid, rank, ' ' || array_to_string(list_transform(regexp_extract_all(d.text, '[\\p{L}\\p{N}\\p{M}]+|[^\\p{Z}\\p{C}]'), lambda t: lower(t)), ' ') || ' ' AS body,
+          array_to_string(list_transform(regexp_extract_all(answers[1], '[\\p{L}\\p{N}\\p{M}]+|[^\\p{Z}\\p{C}]'), lambda t: lower(t)), ' ') AS a FROM bm JOIN documents d USING (doc_id) JOIN questions USING (qid)),
+        f AS (SELECT qid, min(rank) FILTER (a <> '' AND contains(body, ' ' || a || ' ')) AS first FROM h GROUP BY 1)
+        SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(coalesce(first <= k, false) AS DOUBLE)), 6) AS recall FROM f, (VALUES (1), (5), (10), (20), (50)) v(k) GROUP BY 1""", ["bm"])
+def recall_at_k(spark, sf):
+    """Share of questions of which a passage among the first k holds the answer."""
+    q, d = st.questions(spark, sf), st.passages(spark, sf)
+    return rounded(retrieval.recall_at(retrieval.hits(retrieval.bm25(q, d), d, q)), "recall")
+
+
+@query("""+ x AS (SELECT q.qid, (SELECT count(*) FROM bm JOIN dn USING (qid, doc_id) WHERE bm.qid = q.qid AND bm.rank <= 10 AND dn.rank <= 10) AS n FROM questions q)
+        SELECT round(avg(n), 6) AS mean_overlap, round(avg(CAST(n = 0 AS DOUBLE)), 6) AS none_share FROM x""", ["bm", "dn"])
+def pool_overlap(spark, sf):
+    lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))
+    return rounded(retrieval.overlap(lists["lexical"], lists["dense"]), "mean_overlap", "none_share")
+
+
+@query("""+ ce AS (SELECT qid, doc_id, rank, (doc_id * 7919 + qid * 31) % 17 / 17.0::DOUBLE AS ce FROM fu WHERE rank <= 20)
+        SELECT qid, doc_id, rank, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ce DESC, rank) AS new_rank FROM ce) WHERE new_rank <= 5""", ["fu"])
+def reranked(spark, sf):
+    """The first five of a pool's twenty by a stand-in cross-encoder."""
+    pool = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))["fused"].filter("rank <= 20")
+    scored = pool.withColumn("ce", (F.col("doc_id") * 7919 + F.col("qid") * 31) % 17 / F.lit(17.0))
+    out = retrieval.rerank(scored, n=5)
+    return out.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query("""+ a AS (SELECT qid, list(doc_id ORDER BY rank) AS a FROM bm WHERE rank <= 5 GROUP BY 1), b AS (SELECT qid, list(doc_id ORDER BY rank) AS b FROM dn GROUP BY 1),
+        f AS (SELECT qid, a, list_filter(b, lambda x: NOT list_contains(a, x))[1:2] AS f FROM a JOIN b USING (qid))
+        SELECT qid, array_to_string((list_concat(list_concat(a[1:3], f), a[4:5]))[1:5], ' ') AS context, CAST(len(f) AS INTEGER) AS n_new FROM f""", ["bm", "dn"])
+def second_hop_context(spark, sf):
+    lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))
+    ids = lambda df, name: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
+    both = ids(lists["lexical"].filter("rank <= 5"), "a").join(ids(lists["dense"], "b"), "qid")
+    context, new = retrieval.second_hop(F.col("a"), F.col("b"))
+    return both.select("qid", F.array_join(context.cast("array<string>"), " ").alias("context"), new.alias("n_new"))
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT vec_id - lag(vec_id) OVER (ORDER BY vec_id) AS d FROM embeddings) WHERE d <> 1) AS gaps,
+        (SELECT count(*) FROM embeddings WHERE len(embedding) <> 64) AS odd, (SELECT count(*) FROM (SELECT vec_id FROM embeddings GROUP BY 1 HAVING count(*) > 1)) AS twice""")
+def index_checks(spark, sf):
+    """Gaps in the ids, vectors of another length, and ids that come twice."""
+    index = st.index(spark, sf)
+    gaps = readers.check_consecutive(index, "doc_id").agg(F.count("*").alias("gaps"))
+    twice = index.groupBy("doc_id").count().filter("count > 1").agg(F.count("*").alias("twice"))
+    return gaps.crossJoin(index.agg(F.count_if(F.size("embedding") != 64).alias("odd"))).crossJoin(twice)
+
+
+@query("""WITH p AS (SELECT a.vec_id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS ab, sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS na, sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+        SELECT round(min(ab / (na * nb)), 6) AS cos_min, round(quantile_cont(ab / (na * nb), 0.01::DOUBLE), 6) AS cos_p1, round(quantile_cont(ab / (na * nb), 0.5::DOUBLE), 6) AS cos_median, round(avg(ab / (na * nb)), 6) AS cos_mean, min(ab / (na * nb)) >= 0.999 AS passed FROM p""")
+def embedding_spot_check(spark, sf):
+    """Cosines of each vector and the next."""
+    i = st.index(spark, sf)
+    nxt = i.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("b"))
+    return rounded(diagnostics.spot_check(i.select("doc_id", F.col("embedding").alias("a")).join(nxt, "doc_id")), "cos_min", "cos_p1", "cos_median", "cos_mean")
+
+
+@query("""WITH w AS (SELECT c.doc_id, d.text, d.source FROM (SELECT DISTINCT doc_id FROM labels) c JOIN documents d USING (doc_id))
+        SELECT doc_id, source || ' ' || text AS passage FROM w""")
+def passage_lookup(spark, sf):
+    """The passages of wanted ids; a missing one is an error."""
+    own = st.passages(spark, sf).withColumnRenamed("doc_id", "id")
+    ids = st.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return readers.load_passages(own, ids).select(F.col("id").alias("doc_id"), text.passage_text(F.col("title"), F.col("text")).alias("passage"))
+
+
+# Text
+
+def _turns(spark, sf):
+    """Each turn with the one before it: a reply and what it is compared with."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return st.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("gold")).filter("gold is not null")
+
+
+_NORM = "list_filter(regexp_split_to_array(trim(regexp_replace(translate(lower({0}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations),
+        n AS (SELECT conv_id, turn, {_NORM.format('text')} AS p, {_NORM.format('gold')} AS g FROM t WHERE gold IS NOT NULL),
+        s AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) AS same FROM n)
+        SELECT conv_id, turn, CASE WHEN array_to_string(p, ' ') = array_to_string(g, ' ') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em,
+          round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE 2.0::DOUBLE * same / (len(p) + len(g)) END, 6) AS f1 FROM s""")
+def answer_quality(spark, sf):
+    """Exact match and token F1 of every turn against the turn before."""
+    t = _turns(spark, sf)
+    return t.select("conv_id", "turn", text.exact_match(F.col("text"), F.array("gold")).alias("em"), F.round(text.f1_score(F.col("text"), F.array("gold")), 6).alias("f1"))
+
+
+@query(r"""WITH q AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+        b AS (SELECT *, list_transform(w, lambda x: lower(regexp_replace(regexp_replace(x, '^[?,.!"''():;]+', ''), '[?,.!"''():;]+$', ''))) AS b FROM q)
+        SELECT item_id, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_filter(w[2:], lambda x: regexp_matches(x, '^\p{Lu}'))) AS INTEGER) AS n_capitals, CAST(regexp_matches(text, '\d') AS INTEGER) AS has_digit,
+          CAST(coalesce(list_filter(b, lambda x: x IN ('who','what','when','where','which','how','why'))[1], 'other') = 'other' AS INTEGER) AS wh_other,
+          CAST(len(list_filter(b, lambda x: x IN ('and','both','or','than','same','also','older','younger','earlier','later','first','more','less'))) AS INTEGER) AS n_cues FROM b""")
+def query_features(spark, sf):
+    f = text.query_features(F.col("text"))
+    return st.table(spark, sf, "benchmark").select("item_id", *[f[c].alias(c) for c in ("n_words", "n_capitals", "has_digit", "wh_other", "n_cues")])
+
+
+@query(r"""SELECT conv_id, turn, trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]) AS line,
+        trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1]) AS last,
+        array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:200], ' ') AS prompt FROM conversations""")
+def reply_cleaning(spark, sf):
+    """First line, last answer and the first 200 words of every turn."""
+    c = st.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", text.first_line(F.col("text")).alias("line"), text.final_answer(F.col("text")).alias("last"), text.prompt_passage(F.col("text")).alias("prompt"))
+
+
+@query("""+ f AS (SELECT qid, string_agg('Passage ' || rank || ' (' || source || '): ' || text, chr(10) || chr(10) ORDER BY rank) AS body FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1)
+        SELECT qid, md5('Answer the question.' || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:') AS prompt_md5 FROM f JOIN questions USING (qid)""", ["bm"])
+def prompts(spark, sf):
+    """Each question's prompt over its first five passages, as a digest."""
+    q, d = st.questions(spark, sf), st.passages(spark, sf)
+    own = retrieval.bm25(q, d).filter("rank <= 5").join(d, "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))).alias("p"))
+    return own.join(q, "qid").select("qid", F.md5(text.message("Answer the question.", F.col("question"), F.col("p"), "\nAnswer:")).alias("prompt_md5"))
+
+
+def _candidates(spark, sf):
+    c = st.table(spark, sf, "conversations")
+    first = c.filter("turn = 0").select("conv_id", F.col("text").alias("question"))
+    gates = [((F.col("conv_id") + F.col("turn")) % 5 != 0).alias("entails"), ((F.col("conv_id") * 7 + F.col("turn") * 13) % 100 / F.lit(100.0)).alias("cosine")]
+    answer = F.array(F.get(F.split("question", r"\s+"), 1)).alias("answers")
+    return c.filter("turn > 0").join(first, "conv_id").select("conv_id", "turn", "text", "question", answer, *gates)
+
+
+_SCREEN = r"""WITH c AS (SELECT c.conv_id, c.turn, c.text, f.text AS question, (c.conv_id + c.turn) % 5 <> 0 AS entails, (c.conv_id * 7 + c.turn * 13) % 100 / 100.0::DOUBLE AS cosine FROM conversations c JOIN conversations f ON f.conv_id = c.conv_id AND f.turn = 0 WHERE c.turn > 0),
+        n AS (SELECT *, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+'), lambda x: lower(x)), lambda x: regexp_matches(x, '^[\p{L}\p{N}]+$')), ' ') AS k,
+          array_to_string(list_filter(list_transform(regexp_extract_all(question, '[\p{L}\p{N}\p{M}]+'), lambda x: lower(x)), lambda x: regexp_matches(x, '^[\p{L}\p{N}]+$')), ' ') AS kq,
+          ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)), ' ') || ' ' AS tt, ' ' || array_to_string(list_transform(regexp_extract_all(question, '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)), ' ') || ' ' AS tq,
+          array_to_string(list_transform(regexp_extract_all(coalesce(regexp_split_to_array(question, '\s+')[2], ''), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)), ' ') AS a FROM c),
+        s AS (SELECT conv_id, turn, CASE WHEN text = '' THEN 'empty' WHEN row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) > 1 OR k = kq THEN 'duplicate' WHEN NOT entails THEN 'nli' WHEN cosine < 0.75 THEN 'cosine'
+          WHEN a <> '' AND contains(tt, ' ' || a || ' ') AND NOT contains(tq, ' ' || a || ' ') THEN 'answer' END AS reason FROM n)
+        """
+
+
+@query(_SCREEN + "SELECT conv_id, turn, reason, reason IS NULL AS passed FROM s")
+def screening(spark, sf):
+    """Later turns as paraphrase candidates of the first."""
+    return clusters.screen(_candidates(spark, sf), key="conv_id", pos="turn").select("conv_id", "turn", "reason", "passed")
+
+
+@query(_SCREEN + """SELECT coalesce(reason, 'pass') AS what, count(*) AS n FROM s GROUP BY 1 UNION ALL
+        SELECT CASE WHEN k >= 2 THEN 'complete' ELSE 'incomplete' END, count(*) FROM (SELECT conv_id, count(*) FILTER (reason IS NULL) AS k FROM s GROUP BY 1) GROUP BY 1""")
+def screening_report(spark, sf):
+    return clusters.build_report(clusters.screen(_candidates(spark, sf), key="conv_id", pos="turn"), key="conv_id")
+
+
+@query(_SCREEN + "SELECT conv_id, turn, pick FROM (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS pick FROM s WHERE reason IS NULL) WHERE pick <= 2")
+def selected_paraphrases(spark, sf):
+    return clusters.select_passing(clusters.screen(_candidates(spark, sf), key="conv_id", pos="turn"), key="conv_id", pos="turn").select("conv_id", "turn", "pick")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations)
+        SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> '' AND lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> lower(trim(regexp_replace(gold, '\s+', ' ', 'g'))) AS usable,
+          regexp_matches(lower(text), 'not specified|not mentioned|no answer|no information|not provided|unknown|not stated|cannot') AS abstains, list_distinct([lower(text), 'yes']) = ['yes'] AS yes_no FROM t WHERE gold IS NOT NULL""")
+def reply_checks(spark, sf):
+    """Whether a turn is usable as a rewrite of the one before, abstains, or is a yes."""
+    t = _turns(spark, sf)
+    return t.select("conv_id", "turn", text.rewrite_usable(F.col("gold"), F.col("text")).alias("usable"), F.lower("text").rlike("|".join(text.ABSTENTIONS)).alias("abstains"), text.is_yes_no(F.array(F.col("text"), F.lit("yes"))).alias("yes_no"))
+
+
+# The controller
+
+def _fuzzy(spark, sf, profile=C.V3, **operators):
+    out = fuzzy.escalation(_scaled(spark, sf), profile.signals, 0.2, **operators)
+    return rounded(out.select(*KEYS, "score"), "score")
+
+
+def _mu(s: str) -> str:
+    """Degrees of one signal with the floor's width, as SQL."""
+    lo, hi = "(0.35::DOUBLE + 0.1::DOUBLE)", "(0.65::DOUBLE + 0.1::DOUBLE)"
+    a, b = "(0.35::DOUBLE - 0.1::DOUBLE)", "(0.65::DOUBLE - 0.1::DOUBLE)"
+    one = "greatest(0::DOUBLE, least(1::DOUBLE, {}))"
+    return f"{one.format(f'({lo} - {s}) / ({lo} - {a})')} AS {s}0, {one.format(f'least(({s} - {a}) / ({lo} - {a}), ({hi} - {s}) / ({hi} - {b}))')} AS {s}1, {one.format(f'({s} - {b}) / ({hi} - {b})')} AS {s}2"
+
+
+def _rules_sql(names: Sequence[str], tnorm: str) -> str:
+    """Every rule's strength for every instance: the rules meet the degrees, one rule a row."""
+    pick = [f"CASE k{i} WHEN 0 THEN {s}0 WHEN 1 THEN {s}1 ELSE {s}2 END" for i, s in enumerate(names)]
+    strength = f"least({', '.join(pick)})" if tnorm == "min" else " * ".join(pick)
+    axes = ", ".join(f"(SELECT unnest([0, 1, 2]) AS k{i})" for i in range(len(names)))
+    total, n = " + ".join(f"k{i}" for i in range(len(names))), len(names)
+    return f"""+ mu AS (SELECT dataset, split, cluster_id, variant_id, {', '.join(_mu(s) for s in names)} FROM scaled),
+        st AS (SELECT dataset, split, cluster_id, variant_id, CASE WHEN {total} < {n} THEN 0 WHEN {total} = {n} THEN 1 ELSE 2 END AS o, {total} AS t, {strength} AS s FROM mu, {axes})"""
+
+
+def _centroid_sql(names: Sequence[str], tnorm: str) -> str:
+    return _rules_sql(names, tnorm) + """,
+        cl AS (SELECT dataset, split, cluster_id, variant_id, max(s) FILTER (o = 0) AS lo, max(s) FILTER (o = 1) AS md, max(s) FILTER (o = 2) AS hi FROM st GROUP BY 1, 2, 3, 4),
+        ax AS (SELECT i / 1000.0::DOUBLE AS y FROM range(1001) r(i)),
+        se AS (SELECT y, greatest(0, least(1, (0.4::DOUBLE - y) / 0.4::DOUBLE)) AS a, greatest(0, least((y - 0.25::DOUBLE) / 0.25::DOUBLE, (0.75::DOUBLE - y) / 0.25::DOUBLE)) AS b, greatest(0, least(1, (y - 0.6::DOUBLE) / 0.4::DOUBLE)) AS c FROM ax),
+        sc AS (SELECT lo, md, hi, sum(greatest(least(a, lo), least(b, md), least(c, hi)) * y) / sum(greatest(least(a, lo), least(b, md), least(c, hi))) AS score FROM (SELECT DISTINCT lo, md, hi FROM cl), se GROUP BY 1, 2, 3)
+        SELECT dataset, split, cluster_id, variant_id, round(score, 6) AS score FROM cl JOIN sc USING (lo, md, hi)"""
+
+
+@query(_centroid_sql(C.V3.signals, "min"), ["scaled"])
+def fuzzy_score(spark, sf):
+    return _fuzzy(spark, sf)
+
+
+@query(_centroid_sql(C.V4.signals, "min"), ["scaled"])
+def fuzzy_score_v4(spark, sf):
+    return _fuzzy(spark, sf, C.V4)
+
+
+@query(_centroid_sql(C.V3.signals, "product"), ["scaled"])
+def fuzzy_product(spark, sf):
+    return _fuzzy(spark, sf, tnorm="product")
+
+
+@query(_rules_sql(C.V3.signals, "min") + " SELECT dataset, split, cluster_id, variant_id, round(sum(s * CASE o WHEN 0 THEN 0.4::DOUBLE / 3 WHEN 1 THEN 0.5::DOUBLE ELSE 1 - 0.4::DOUBLE / 3 END) / sum(s), 6) AS score FROM st GROUP BY 1, 2, 3, 4", ["scaled"])
+def fuzzy_sugeno(spark, sf):
+    return _fuzzy(spark, sf, defuzz="sugeno")
+
+
+@query(_rules_sql(C.V4.signals, "min") + """,
+        fi AS (SELECT dataset, split, cluster_id, variant_id, list({'o': o, 's': s} ORDER BY t) FILTER (s > 0) AS f FROM st GROUP BY 1, 2, 3, 4),
+        ax AS (SELECT i / 1000.0::DOUBLE AS y FROM range(1001) r(i)),
+        se AS (SELECT y, [greatest(0, least(1, (0.4::DOUBLE - y) / 0.4::DOUBLE)), greatest(0, least((y - 0.25::DOUBLE) / 0.25::DOUBLE, (0.75::DOUBLE - y) / 0.25::DOUBLE)), greatest(0, least(1, (y - 0.6::DOUBLE) / 0.4::DOUBLE))] AS z FROM ax),
+        ag AS (SELECT dataset, split, cluster_id, variant_id, y, 1 - list_product(list_transform(f, lambda r: 1 - least(z[r.o + 1], r.s))) AS h FROM fi, se)
+        SELECT dataset, split, cluster_id, variant_id, round(sum(h * y) / sum(h), 6) AS score FROM ag GROUP BY 1, 2, 3, 4""", ["scaled"])
+def fuzzy_probsum(spark, sf):
+    """Every fired rule's clipped set, combined as probabilities, over the two-action signals."""
+    return _fuzzy(spark, sf, C.V4, aggregation="probsum")
+
+
+@query(_rules_sql(C.V3.signals, "min") + """,
+        nr AS (SELECT *, row_number() OVER () AS x FROM st) SELECT CAST(o AS INTEGER) AS consequent, t, count(*) FILTER (s > 0) AS fired FROM nr GROUP BY 1, 2""", ["scaled"])
+def rule_activations(spark, sf):
+    """How many rules of each label sum fire."""
+    out = fuzzy.trace(_scaled(spark, sf), SIGNALS, 0.2).select(F.explode("fired").alias("f"))
+    per = out.groupBy("f.rule_id").agg(F.count("*").alias("n"))
+    base = spark.createDataFrame([(i, t, o) for i, _, t, o in fuzzy.rule_base(4)], "rule_id int, t int, consequent int")
+    return base.join(per, "rule_id", "left").groupBy("consequent", "t").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fired"))
+
+
+@query("SELECT dataset, split, cluster_id, variant_id, round(0.25::DOUBLE * S1 + 0.5::DOUBLE * S2 + 0.25::DOUBLE * S4, 6) AS weighted, " + " + ".join(f"CAST({s} >= 0.35::DOUBLE AS INTEGER) + CAST({s} >= 0.65::DOUBLE AS INTEGER)" for s in SIGNALS) + " AS ordinal FROM scaled", ["scaled"])
+def linear_scores(spark, sf):
+    s = _scaled(spark, sf)
+    return s.select(*KEYS, F.round(baselines.weighted(SIGNALS, (0.25, 0.5, 0.0, 0.25)), 6).alias("weighted"), baselines.ordinal(SIGNALS).alias("ordinal"))
+
+
+# Outcomes and routing
+
+@query("SELECT dataset, split, cluster_id, variant_id, q0, q1, q2, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM wide", ["wide"])
+def outcome_table(spark, sf):
+    t = _table(spark, sf)
+    return rounded(t.select(*KEYS, *[F.col(f"{p}_{a}").alias(f"{p}{a[1]}") for p in "qc" for a in ACTIONS]), "c0", "c1", "c2")
+
+
+@query("""+ k AS (SELECT DISTINCT cluster_id, variant_id FROM rows), g AS (SELECT cluster_id, variant_id, 'A' || a AS action FROM k, (VALUES (0), (1), (2), (3)) v(a))
+        SELECT action, count(*) AS missing FROM g ANTI JOIN rows USING (cluster_id, variant_id, action) GROUP BY 1""", ["rows"])
+def missing_outcomes(spark, sf):
+    """Instances without a row of an action, with one action that none has."""
+    rows = st.outcome_rows(st.instances(spark, sf))
+    return routing.missing_outcomes(rows, [*ACTIONS, "A3"]).groupBy("action").agg(F.count("*").alias("missing"))
+
+
+@query("SELECT dataset, split, 'A' || a AS action, round(avg(CASE a WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END), 6) AS quality, round(avg(CASE a WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END), 6) AS cost FROM wide, (VALUES (0), (1), (2)) v(a) GROUP BY 1, 2, 3", ["wide"])
+def always_policies(spark, sf):
+    return rounded(routing.always(_table(spark, sf), ACTIONS, ["dataset", "split"]), "quality", "cost")
+
+
+@query("SELECT dataset, split, round(avg(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END), 6) AS quality, round(avg(CASE i WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END), 6) AS cost, count(*) FILTER (i = 0) AS n_A0, count(*) FILTER (i = 1) AS n_A1, count(*) FILTER (i = 2) AS n_A2 FROM routed GROUP BY 1, 2", ["routed"])
+def policy_value(spark, sf):
+    return rounded(routing.policy_value(_routed(spark, sf), F.col("action_index"), ACTIONS, ["dataset", "split"]), "quality", "cost")
+
+
+_GRID3 = "g AS (SELECT a / 100.0::DOUBLE AS t1, b / 100.0::DOUBLE AS t2 FROM range(51) x(a), range(50, 101) y(b) WHERE a < b)"
+_GRID2 = "g AS (SELECT a / 100.0::DOUBLE AS t1 FROM range(101) x(a))"
+_VAL3 = "v AS (SELECT *, round((S1 + S2 + S3 + S4) / 4.0::DOUBLE, 9) AS score FROM wide JOIN scaled USING (dataset, split, cluster_id, variant_id) WHERE split = 'val')"
+_GV3 = """gv AS (SELECT t1, t2, avg(CASE WHEN score >= t2 THEN q2 WHEN score >= t1 THEN q1 ELSE q0 END) AS quality, avg(CASE WHEN score >= t2 THEN c2 WHEN score >= t1 THEN c1 ELSE c0 END) AS cost,
+          count(*) FILTER (score < t1) AS n_A0, count(*) FILTER (score >= t1 AND score < t2) AS n_A1, count(*) FILTER (score >= t2) AS n_A2 FROM v, g GROUP BY 1, 2)"""
+_PICK3 = "SELECT t1, t2, round(quality, 6) AS quality, round(cost, 6) AS cost, n_A0, n_A1, n_A2, round((SELECT avg(c1) FROM v), 6) AS budget, count(*) OVER () AS n_feasible FROM gv WHERE cost <= (SELECT avg(c1) FROM v) + 1e-12 ORDER BY round(quality, 12) DESC, round(cost, 12), t1, t2 LIMIT 1"
+
+
+def _validation(spark, sf):
+    t = _table(spark, sf).join(_scaled(spark, sf), KEYS).filter("split = 'val'")
+    return t.withColumn("score", F.round((F.col("S1") + F.col("S2") + F.col("S3") + F.col("S4")) / 4.0, 9))
+
+
+def _fit3(spark, sf, values):
+    v = _validation(spark, sf)
+    grid = routing.pair_grid(spark)
+    best = routing.select_thresholds(values(v, grid, "score", ACTIONS), routing.budget_of(v, ACTIONS, "middle"), ["t1", "t2"])
+    return rounded(best, "quality", "cost", "budget")
+
+
+@query(f"+ {_VAL3}, {_GRID3}, {_GV3} {_PICK3}", ["wide", "scaled"])
+def threshold_search(spark, sf):
+    """The best of 2,600 threshold pairs within the budget, by prefix sums."""
+    return _fit3(spark, sf, routing.grid_values)
+
+
+@query(f"+ {_VAL3}, {_GRID3}, {_GV3} {_PICK3}", ["wide", "scaled"])
+def threshold_search_naive(spark, sf):
+    """The same, every instance meeting every pair."""
+    return _fit3(spark, sf, routing.grid_values_naive)
+
+
+@query(f"""+ {_VAL3}, {_GRID2}, gv AS (SELECT t1, avg(CASE WHEN score >= t1 THEN q2 ELSE q1 END) AS quality, avg(CASE WHEN score >= t1 THEN c2 ELSE c1 END) AS cost, count(*) FILTER (score < t1) AS n_A1, count(*) FILTER (score >= t1) AS n_A2 FROM v, g GROUP BY 1)
+        SELECT t1, round(quality, 6) AS quality, round(cost, 6) AS cost, n_A1, n_A2, round((SELECT (avg(c1) + avg(c2)) / 2 FROM v), 6) AS budget, count(*) OVER () AS n_feasible FROM gv
+        WHERE cost <= (SELECT (avg(c1) + avg(c2)) / 2 FROM v) + 1e-12 ORDER BY round(quality, 12) DESC, round(cost, 12), t1 LIMIT 1""", ["wide", "scaled"])
+def threshold_search_v4(spark, sf):
+    """The best of 101 thresholds between two actions, under the midpoint budget."""
+    v = _validation(spark, sf)
+    values = routing.grid_values(v, routing.single_grid(spark), "score", C.V4.actions)
+    return rounded(routing.select_thresholds(values, routing.budget_of(v, C.V4.actions, "midpoint"), ["t1"]), "quality", "cost", "budget")
+
+
+@query(f"""+ {_VAL3}, {_GRID3}, {_GV3}, b AS (SELECT DISTINCT round(cost, 12) AS budget FROM gv)
+        SELECT round(b.budget, 6) AS budget, round(x.quality, 6) AS quality, round(x.cost, 6) AS cost, x.t1, x.t2 FROM b, LATERAL (SELECT * FROM gv WHERE round(cost, 12) <= b.budget ORDER BY round(quality, 12) DESC, round(cost, 12), t1, t2 LIMIT 1) x""", ["wide", "scaled"])
+def cost_frontier(spark, sf):
+    """The best quality that each reachable cost buys."""
+    v = _validation(spark, sf)
+    values = routing.grid_values(v, routing.pair_grid(spark), "score", ACTIONS)
+    return rounded(routing.frontier(values, ["t1", "t2"]), "budget", "quality", "cost")
+
+
+@query(f"""+ {_VAL3}, {_GRID3}, w AS (SELECT row_number() OVER (ORDER BY a, b, c, d) - 1 AS weight_id, a / 4.0::DOUBLE AS w1, b / 4.0::DOUBLE AS w2, c / 4.0::DOUBLE AS w3, d / 4.0::DOUBLE AS w4 FROM range(5) p(a), range(5) q(b), range(5) r(c), range(5) s(d) WHERE a + b + c + d = 4),
+        vw AS (SELECT v.*, w.*, round(S1 * w1 + S2 * w2 + S3 * w3 + S4 * w4, 12) AS sc FROM v, w),
+        gv AS (SELECT weight_id, w1, w2, w3, w4, t1, t2, avg(CASE WHEN sc >= t2 THEN q2 WHEN sc >= t1 THEN q1 ELSE q0 END) AS quality, avg(CASE WHEN sc >= t2 THEN c2 WHEN sc >= t1 THEN c1 ELSE c0 END) AS cost FROM vw, g GROUP BY ALL)
+        SELECT weight_id, w1, w2, w3, w4, t1, t2, round(quality, 6) AS quality, round(cost, 6) AS cost FROM gv WHERE cost <= (SELECT avg(c1) FROM v) + 1e-12 ORDER BY round(quality, 12) DESC, round(cost, 12), t1, t2, weight_id LIMIT 1""", ["wide", "scaled"])
+def fit_weighted(spark, sf):
+    """Weights and thresholds together."""
+    v = _validation(spark, sf).drop("score")
+    best = baselines.fit_weighted(v, SIGNALS, routing.weight_grid(spark), routing.pair_grid(spark), routing.budget_of(v, ACTIONS, "middle"), ACTIONS)
+    return rounded(best.select("weight_id", "w1", "w2", "w3", "w4", "t1", "t2", "quality", "cost").withColumn("weight_id", F.col("weight_id").cast("long")), "quality", "cost")
+
+
+@query(f"""+ {_VAL3}, g AS (SELECT a::DOUBLE AS t1, b::DOUBLE AS t2 FROM range(10) x(a), range(10) y(b) WHERE a < b),
+        o AS (SELECT *, {' + '.join(f'CAST({s} >= 0.35::DOUBLE AS INTEGER) + CAST({s} >= 0.65::DOUBLE AS INTEGER)' for s in SIGNALS)} AS sc FROM v),
+        gv AS (SELECT t1, t2, avg(CASE WHEN sc >= t2 THEN q2 WHEN sc >= t1 THEN q1 ELSE q0 END) AS quality, avg(CASE WHEN sc >= t2 THEN c2 WHEN sc >= t1 THEN c1 ELSE c0 END) AS cost FROM o, g GROUP BY 1, 2)
+        SELECT t1, t2, round(quality, 6) AS quality, round(cost, 6) AS cost, count(*) OVER () AS n_feasible FROM gv WHERE cost <= (SELECT avg(c1) FROM v) + 1e-12 ORDER BY round(quality, 12) DESC, round(cost, 12), t1, t2 LIMIT 1""", ["wide", "scaled"])
+def fit_ordinal(spark, sf):
+    v = _validation(spark, sf)
+    return rounded(baselines.fit_ordinal(v, SIGNALS, routing.budget_of(v, ACTIONS, "middle"), ACTIONS).select("t1", "t2", "quality", "cost", "n_feasible"), "quality", "cost")
+
+
+@query()
+def fit_fuzzy(spark, sf):
+    """Thresholds of the fuzzy controller on the validation split."""
+    v = _validation(spark, sf).drop("score")
+    best = baselines.fit_fuzzy(v, SIGNALS, routing.pair_grid(spark), routing.budget_of(v, ACTIONS, "middle"), ACTIONS)
+    return rounded(best, "quality", "cost", "budget")
+
+
+@query()
+def learned_router(spark, sf):
+    """A query-only router: softmax regression of the cheaper turn's oracle on question features, scored on every question."""
+    b = st.table(spark, sf, "benchmark")
+    f = text.query_features(F.col("text"))
+    feats = b.select("item_id", *[v.alias(k) for k, v in f.items()], F.pmod(F.col("item_id") * 7919, F.lit(3)).cast("int").alias("label"))
+    model = baselines.fit_learned(feats, list(f), "label", 3)
+    return feats.select("item_id", F.round(baselines.learned_score(model), 6).alias("score"))
+
+
+# Evaluation
+
+@query("""+ o AS (SELECT *, CASE WHEN q0 >= greatest(q0, q1, q2) - 0.02::DOUBLE - 1e-12::DOUBLE THEN 0 WHEN q1 >= greatest(q0, q1, q2) - 0.02::DOUBLE - 1e-12::DOUBLE THEN 1 ELSE 2 END AS o FROM wide)
+        SELECT dataset, round(avg(CAST(o = 0 AS DOUBLE)), 6) AS share_A0, round(avg(CAST(o = 1 AS DOUBLE)), 6) AS share_A1, round(avg(CAST(o = 2 AS DOUBLE)), 6) AS share_A2, round(avg(CAST(greatest(q0, q1, q2) - least(q0, q1, q2) <= 1e-12 AS DOUBLE)), 6) AS identical FROM o GROUP BY 1""", ["wide"])
+def oracle_shares(spark, sf):
+    return rounded(evaluation.oracle_shares(_table(spark, sf), ACTIONS, ["dataset"]), "share_A0", "share_A1", "share_A2", "identical")
+
+
+_FLAGS = """p AS (SELECT a.dataset, a.cluster_id, a.variant_id AS av, b.variant_id AS bv, a.i AS x, b.i AS y, [a.q0, a.q1, a.q2] AS qa, [b.q0, b.q1, b.q2] AS qb FROM routed a JOIN routed b ON a.cluster_id = b.cluster_id AND a.variant_id < b.variant_id JOIN complete k ON k.cluster_id = a.cluster_id),
+        f AS (SELECT *, x <> y AS flipped, x <> y AND (qa[y + 1] > qa[x + 1] + 0.02::DOUBLE + 1e-12::DOUBLE OR qb[x + 1] > qb[y + 1] + 0.02::DOUBLE + 1e-12::DOUBLE OR CASE WHEN x > y THEN qa[x + 1] - qa[y + 1] ELSE qb[y + 1] - qb[x + 1] END < 0.02::DOUBLE - 1e-12::DOUBLE) AS harmful FROM p)"""
+
+
+@query(f"+ {_FLAGS} SELECT cluster_id, CAST(av AS VARCHAR) AS a_v, CAST(bv AS VARCHAR) AS b_v, flipped, harmful FROM f", ["routed", "complete"])
+def pair_flags(spark, sf):
+    return evaluation.pair_flags(_routed(spark, sf), ACTIONS)
+
+
+@query(f"+ {_FLAGS} SELECT dataset, round(avg(CAST(flipped AS DOUBLE)), 6) AS rfr, round(avg(CAST(harmful AS DOUBLE)), 6) AS hrfr, count(*) AS n_pairs, count(DISTINCT cluster_id) AS n_clusters FROM f GROUP BY 1", ["routed", "complete"])
+def flip_rates(spark, sf):
+    flags = evaluation.pair_flags(_routed(spark, sf), ACTIONS, by=["dataset"])
+    return rounded(evaluation.flip_rates(flags, ["dataset"]), "rfr", "hrfr")
+
+
+@query("""+ c AS (SELECT cluster_id, stddev_pop(score) AS s, stddev_pop(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) AS q, max(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) - min(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) AS d FROM routed JOIN complete USING (cluster_id) GROUP BY 1)
+        SELECT round(avg(s), 6) AS score_sd, round(avg(q), 6) AS f1_sd, round(avg(d), 6) AS worst_drop, round(max(d), 6) AS worst_drop_max, count(*) AS n_clusters FROM c""", ["routed", "complete"])
+def within_cluster(spark, sf):
+    return rounded(evaluation.within_cluster(_routed(spark, sf), ACTIONS), "score_sd", "f1_sd", "worst_drop", "worst_drop_max")
+
+
+@query(f"""+ {_FLAGS}, c AS (SELECT dataset, cluster_id, stddev_pop(score) AS s, max(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) - min(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) AS d FROM routed JOIN complete USING (cluster_id) GROUP BY 1, 2),
+        b AS (SELECT dataset, avg(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) AS quality, avg(CASE i WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END) AS cost FROM routed GROUP BY 1)
+        SELECT dataset, round(quality, 6) AS quality, round(cost, 6) AS cost, round(rfr, 6) AS rfr, round(hrfr, 6) AS hrfr, round(score_sd, 6) AS score_sd, round(worst_drop, 6) AS worst_drop FROM b JOIN (SELECT dataset, avg(CAST(flipped AS DOUBLE)) AS rfr, avg(CAST(harmful AS DOUBLE)) AS hrfr FROM f GROUP BY 1) USING (dataset) JOIN (SELECT dataset, avg(s) AS score_sd, avg(d) AS worst_drop FROM c GROUP BY 1) USING (dataset)""", ["routed", "complete"])
+def measure(spark, sf):
+    """The bundle that every policy is judged by."""
+    m = evaluation.measure(_routed(spark, sf), ACTIONS, by=["dataset"])
+    cols = ["quality", "cost", "rfr", "hrfr", "score_sd", "worst_drop"]
+    return rounded(m.select("dataset", *cols), *cols)
+
+
+_BOOT = """h AS (SELECT cluster_id, sum(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) AS s, sum(q1) AS o, count(*) AS n FROM routed GROUP BY 1),
+        u AS (SELECT cluster_id, rep, CAST('0x' || substr(md5('42:' || rep || ':' || cluster_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM h, range(100) r(rep)),
+        m AS (SELECT cluster_id, rep, (SELECT count(*) FROM (VALUES (0.36787944117144233::DOUBLE), (0.7357588823428847), (0.9196986029286058), (0.9810118431238462), (0.9963401531726563), (0.9994058151824183), (0.999916758850712), (0.9999898050804653), (0.9999989366085494), (0.9999998885523387), (0.9999999898056253), (0.9999999991737786)) e(e) WHERE u >= e) AS m FROM u)"""
+
+
+@query(f"""+ {_BOOT}, r AS (SELECT rep, sum(m * s) / sum(m * n) AS r FROM m JOIN h USING (cluster_id) WHERE m > 0 GROUP BY 1)
+        SELECT round((SELECT sum(s) / sum(n) FROM h), 6) AS mean, round(quantile_cont(r, 0.025::DOUBLE), 6) AS lo, round(quantile_cont(r, 0.975::DOUBLE), 6) AS hi FROM r""", ["routed"])
+def bootstrap_quality(spark, sf):
+    """Mean quality and its interval over resampled clusters; draws come from hashes, 100 resamples."""
+    t = _routed(spark, sf)
+    sums = evaluation.cluster_sums(t, routing.chosen("q", F.col("action_index"), ACTIONS))
+    return rounded(evaluation.bootstrap(sums, evaluation.hashed_multiplicities(sums, 100)), "mean", "lo", "hi")
+
+
+@query(f"""+ {_BOOT}, r AS (SELECT rep, sum(m * (s - o)) / sum(m * n) AS r FROM m JOIN h USING (cluster_id) WHERE m > 0 GROUP BY 1), c AS (SELECT quantile_cont(r, 0.025::DOUBLE) AS lo, quantile_cont(r, 0.975::DOUBLE) AS hi FROM r)
+        SELECT round((SELECT sum(s - o) / sum(n) FROM h), 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS significant FROM c""", ["routed"])
+def bootstrap_paired(spark, sf):
+    """The same resamples for a policy and always-A1: their difference."""
+    t = _routed(spark, sf)
+    sums = evaluation.cluster_sums(t, routing.chosen("q", F.col("action_index"), ACTIONS)).join(t.groupBy("cluster_id").agg(F.sum("q_A1").alias("o")), "cluster_id")
+    return rounded(evaluation.bootstrap(sums, evaluation.hashed_multiplicities(sums, 100), ["s", "o"]), "diff", "lo", "hi")
+
+
+@query("""+ p AS (SELECT dataset, signal, value, q2 > q1 + 0.02::DOUBLE AS pos FROM long JOIN wide USING (dataset, split, cluster_id, variant_id)), k AS (SELECT dataset, signal, pos, rank() OVER w + (count(*) OVER (PARTITION BY dataset, signal, value) - 1) / 2.0::DOUBLE AS r FROM p WINDOW w AS (PARTITION BY dataset, signal ORDER BY value))
+        SELECT dataset, signal, round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 6) AS auc, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg FROM k GROUP BY 1, 2""", ["long", "wide"])
+def auc_table(spark, sf):
+    """How well each signal tells where the dearest action gains."""
+    inst = st.instances(spark, sf)
+    t = signals.unpivot(inst, SIGNALS, KEYS).join(_table(spark, sf), KEYS).withColumn("pos", F.col("q_A2") > F.col("q_A1") + 0.02)
+    return rounded(evaluation.auc(t, "value", "pos", ["dataset", "signal"]), "auc")
+
+
+@query("""+ k AS (SELECT S1, S2, S3, S4, """ + ", ".join(f"rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0::DOUBLE AS r{i}" for i, s in enumerate(SIGNALS, 1)) + " FROM inst) " + " UNION ALL ".join(f"SELECT 'S{a}-S{b}' AS pair, round(corr(S{a}, S{b}), 6) AS pearson, round(corr(r{a}, r{b}), 6) AS spearman FROM k" for a in range(1, 5) for b in range(a + 1, 5)), ["inst"])
+def signal_correlations(spark, sf):
+    return rounded(evaluation.correlations(st.instances(spark, sf), SIGNALS), "pearson", "spearman")
+
+
+@query("""+ n AS (SELECT dataset, signal, round(value, 12) AS v, count(*) AS n FROM long GROUP BY 1, 2, 3), m AS (SELECT dataset, signal, max(n) / sum(n)::DOUBLE AS most_common_share FROM n GROUP BY 1, 2)
+        SELECT dataset, signal, round(most_common_share, 6) AS most_common_share, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM long JOIN m USING (dataset, signal) GROUP BY ALL""", ["long"])
+def signal_summary(spark, sf):
+    long = signals.unpivot(st.instances(spark, sf), SIGNALS, ["dataset"])
+    share = evaluation.modal_share(long, "value", ["dataset", "signal"])
+    stats = long.groupBy("dataset", "signal").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return rounded(stats.join(share, ["dataset", "signal"]), "most_common_share", "min", "max", "mean", "sd")
+
+
+@query("""+ cl AS (SELECT dataset, signal, avg(CAST(raw < 0 OR raw > 1 AS DOUBLE)) AS clipped FROM slong GROUP BY 1, 2) SELECT 'stop' AS level, dataset, 'clipped' AS check, signal AS what FROM cl WHERE clipped > 0.8
+        UNION ALL SELECT 'revisit', dataset, 'clipped', signal FROM cl WHERE clipped > 0.2 AND clipped <= 0.8 UNION ALL SELECT 'explain', 'both', 'S3 direction', 'S3'
+        UNION ALL SELECT 'explain', dataset, 'calibration', 'all widths at the floor' FROM (SELECT dataset, bool_and(j <= 0.2) AS f FROM (SELECT a.dataset, a.signal, quantile_cont(abs(a.value - b.value), 0.75::DOUBLE) AS j FROM long a JOIN long b USING (dataset, cluster_id, signal) JOIN complete USING (cluster_id) WHERE a.split = 'train' AND a.variant_id < b.variant_id GROUP BY 1, 2) GROUP BY 1) WHERE f""", ["slong", "complete"])
+def check_flags(spark, sf):
+    """Findings, with a stand-in of opposite S3 directions."""
+    inst = st.instances(spark, sf)
+    scalers = signals.fit_scaler(inst.filter("split = 'train'"), SIGNALS)
+    clipped = signals.clipped_share(signals.apply_scaler(inst, scalers, SIGNALS, raw=True), SIGNALS)
+    share = evaluation.modal_share(signals.unpivot(inst, SIGNALS, ["dataset"]), "value", ["dataset", "signal"])
+    summary = clipped.join(share, ["dataset", "signal"]).withColumn("non_finite", F.lit(0)).withColumn("auc_hard", F.when(F.col("dataset") == "hp", 0.4).otherwise(0.6))
+    cor = evaluation.correlations(inst, SIGNALS).select(F.lit("both").alias("dataset"), "pair", "spearman")
+    floors = signals.jitter_widths(inst.filter("split = 'train'"), SIGNALS).select("dataset", "all_at_floor").distinct()
+    return evaluation.flags(summary, cor, floors)
+
+
+@query("""+ a AS (SELECT avg(q0) AS q0, avg(q1) AS q1, avg(q2) AS q2, avg(c0) AS c0, avg(c1) AS c1, avg(c2) AS c2, avg(CASE i WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END) AS cost FROM routed),
+        p AS (SELECT unnest([q0, q1, q2]) AS q, unnest([c0, c1, c2]) AS c, cost FROM a)
+        SELECT round(max(cost), 6) AS cost, round(max(m), 6) AS mixture FROM (SELECT cost, q AS m FROM p WHERE c <= cost + 1e-12 UNION ALL SELECT x.cost, x.q + (x.cost - x.c) / (y.c - x.c) * (y.q - x.q) FROM p x JOIN p y ON x.c <= x.cost AND x.cost < y.c)""", ["routed"])
+def random_mixture(spark, sf):
+    """The best random mixture of two fixed actions at the router's cost."""
+    t = _routed(spark, sf)
+    cost = t.agg(F.avg(routing.chosen("c", F.col("action_index"), ACTIONS)).alias("cost"))
+    return rounded(evaluation.mixture(t, cost, ACTIONS), "cost", "mixture")
+
+
+# Diagnostics
+
+@query("""+ c AS (SELECT cluster_id, avg(q1) AS m, var_pop(q1) AS v FROM wide JOIN complete USING (cluster_id) GROUP BY 1), t AS (SELECT var_samp(m) * 3 AS b, avg(v) * 3 / 2 AS w, count(*) AS n FROM c)
+        SELECT round((b - w) / (b + 2 * w), 6) AS icc, n AS n_clusters, round((SELECT 2.8::DOUBLE * stddev_samp(m) / sqrt(count(*)) FROM (SELECT avg(q1) AS m FROM wide GROUP BY cluster_id)), 6) AS mde FROM t""", ["wide", "complete"])
+def icc_and_mde(spark, sf):
+    t = _table(spark, sf)
+    return rounded(diagnostics.icc(t, "q_A1").crossJoin(diagnostics.detectable(t, "q_A1").select("mde")), "icc", "mde")
+
+
+@query("SELECT round(regr_slope(c2, q2), 6) AS slope, round(regr_intercept(c2, q2), 6) AS intercept, round(regr_r2(c2, q2), 6) AS r2, round(sqrt(var_pop(c2) * (1 - regr_r2(c2, q2))), 6) AS residual_sd FROM wide", ["wide"])
+def cost_regression(spark, sf):
+    return rounded(diagnostics.regression(_table(spark, sf), "c_A2", "q_A2"), "slope", "intercept", "r2", "residual_sd")
+
+
+@query("""+ o AS (SELECT w.*, CASE WHEN q0 >= greatest(q0, q1, q2) - 0.02::DOUBLE - 1e-12::DOUBLE THEN 0 WHEN q1 >= greatest(q0, q1, q2) - 0.02::DOUBLE - 1e-12::DOUBLE THEN 1 ELSE 2 END AS o FROM wide w JOIN complete USING (cluster_id)),
+        a AS (SELECT cluster_id, count(DISTINCT o) AS k, greatest(avg(q0), avg(q1), avg(q2)) AS best FROM o GROUP BY 1),
+        s AS (SELECT CASE WHEN (sum(q2 - q1) OVER (PARTITION BY cluster_id) - (q2 - q1)) / 2 > 0.02 THEN q2 ELSE q1 END AS q, (sum(q2 - q1) OVER (PARTITION BY cluster_id) - (q2 - q1)) / 2 > 0.02 AS up FROM o)
+        SELECT (SELECT round(avg(CAST(k = 1 AS DOUBLE)), 6) FROM a) AS agreement, (SELECT round(avg(best), 6) FROM a) AS cluster_oracle, (SELECT round(avg(q), 6) FROM s) AS sibling_quality, (SELECT round(avg(CAST(up AS DOUBLE)), 6) FROM s) AS upgraded, (SELECT round(2 * avg(CAST(up AS DOUBLE)) * (1 - avg(CAST(up AS DOUBLE))), 6) FROM s) AS random_rfr""", ["wide", "complete"])
+def sibling_headroom(spark, sf):
+    """What knowing a phrasing's siblings would be worth."""
+    t = _table(spark, sf)
+    agree = diagnostics.agreement(t.withColumn("o", evaluation.oracle_index(ACTIONS)), "o").select("agreement")
+    sib = diagnostics.sibling_router(t, "A1", "A2").withColumnRenamed("quality", "sibling_quality").withColumn("random_rfr", 2 * F.col("upgraded") * (1 - F.col("upgraded")))
+    out = agree.crossJoin(diagnostics.cluster_oracle(t, ACTIONS).withColumnRenamed("quality", "cluster_oracle")).crossJoin(sib)
+    return rounded(out, "agreement", "cluster_oracle", "sibling_quality", "upgraded", "random_rfr")
+
+
+@query("""+ a AS (SELECT qid, list(doc_id ORDER BY rank) AS a, bool_or((doc_id + qid) % 4 = 0) AS ha FROM bm WHERE rank <= 5 GROUP BY 1), b AS (SELECT qid, list(doc_id ORDER BY rank) AS b, bool_or((doc_id + qid) % 4 = 0) AS hb FROM dn WHERE rank <= 5 GROUP BY 1)
+        SELECT round(avg(CAST(qid % 7 = 0 AS DOUBLE)), 6) AS fallback, round(avg(CAST(list_sort(a) = list_sort(b) AS DOUBLE)), 6) AS same_set, round(avg(CAST(a = b AS DOUBLE)), 6) AS same_order, round(avg(len(list_filter(b, lambda x: NOT list_contains(a, x)))), 6) AS new_passages, CAST(count_if(ha AND NOT hb) AS BIGINT) AS lost, CAST(count_if(NOT ha AND hb) AS BIGINT) AS rescued FROM a JOIN b USING (qid)""", ["bm", "dn"])
+def escalation_diagnosis(spark, sf):
+    """What a second search changes among a question's first five."""
+    lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))
+    side = lambda df, ids, hit: df.filter("rank <= 5").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(ids), F.bool_or((F.col("doc_id") + F.col("qid")) % 4 == 0).alias(hit))
+    both = side(lists["lexical"], "before", "hit_before").join(side(lists["dense"], "after", "hit_after"), "qid").withColumn("fallback", F.col("qid") % 7 == 0)
+    return rounded(diagnostics.diagnosis(both), "fallback", "same_set", "same_order", "new_passages")
+
+
+@query("SELECT 'S1' AS column, count(*) FILTER (value > 0.9) AS n FROM long WHERE signal = 'S1' UNION ALL SELECT 'S2', 0", ["long"])
+def audit_mismatches(spark, sf):
+    """Stored signals of which one was tampered with, against recomputed ones."""
+    inst = st.instances(spark, sf)
+    stored = inst.withColumn("S1", F.when(F.col("S1") > 0.9, F.col("S1") + 1).otherwise(F.col("S1")))
+    return diagnostics.mismatches(stored, inst, KEYS, ["S1", "S2"])
+
+
+# Logs
+
+@query("""WITH c AS (SELECT user_id AS worker, event_id AS seq, value * 10 AS rate FROM events), f AS (SELECT *, sum(CAST(rate >= 120 AS INTEGER)) OVER (PARTITION BY worker ORDER BY seq) AS g FROM c),
+        l AS (SELECT *, sum(CAST(rate < 120 AS INTEGER)) OVER (PARTITION BY worker, g ORDER BY seq) AS k FROM f), s AS (SELECT *, min(seq) FILTER (k >= 5) OVER (PARTITION BY worker) AS stop FROM l),
+        t AS (SELECT *, max(seq) FILTER (rate >= 120 AND seq < stop) OVER (PARTITION BY worker) AS last FROM s)
+        SELECT worker, seq, rate < 120 AS slow, CAST(k AS BIGINT) AS run_length, stop IS NULL OR seq <= coalesce(last, -1) AS accepted FROM t""")
+def slow_runs(spark, sf):
+    """Calls up to each worker's first five slow ones in a row."""
+    calls = st.table(spark, sf, "events").select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), (F.col("value") * 10).alias("rate"))
+    return guard.guard(calls).select("worker", "seq", "slow", "run_length", "accepted")
+
+
+@query("""WITH p AS (SELECT event_id, md5(event_type || ':' || (event_id % 97)) AS k, value FROM events)
+        SELECT event_id, first_value(event_id) OVER (PARTITION BY k ORDER BY event_id) AS source_id, first_value(value) OVER (PARTITION BY k ORDER BY event_id) AS seconds, row_number() OVER (PARTITION BY k ORDER BY event_id) > 1 AS reused FROM p""")
+def prompt_memo(spark, sf):
+    """Calls with a prompt seen before take the first one's reply and latency."""
+    from waymark.plans.pipeline import memoise
+
+    p = st.table(spark, sf, "events").select("event_id", F.md5(F.concat("event_type", F.lit(":"), (F.col("event_id") % 97).cast("string"))).alias("k"), "value")
+    return memoise(p, "k", "event_id", {"source_id": "event_id", "seconds": "value"}).select("event_id", "source_id", "seconds", "reused")
+
+
+@query("SELECT event_type, count(*) AS todo FROM events WHERE event_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def resume_todo(spark, sf):
+    """What a phase has still to do: rows whose key isn't among those done."""
+    done = st.table(spark, sf, "labels").select(F.col("doc_id").alias("event_id"))
+    return writers.todo(st.table(spark, sf, "events"), done, ["event_id"]).groupBy("event_type").agg(F.count("*").alias("todo"))
+
+
+@query("""SELECT dataset, action, round(avg(f1), 6) AS f1, round(avg(retrieval + generation), 6) AS latency, count(*) AS n FROM rows GROUP BY GROUPING SETS ((dataset, action), (action))""", ["rows"])
+def phase_summary(spark, sf):
+    """Means by action, for each dataset and for both (dataset null)."""
+    rows = st.outcome_rows(st.instances(spark, sf)).select("dataset", "action", "f1", (F.col("retrieval") + F.col("generation")).alias("latency"))
+    out = rows.groupingSets([[F.col("dataset"), F.col("action")], [F.col("action")]], "dataset", "action").agg(F.avg("f1").alias("f1"), F.avg("latency").alias("latency"), F.count("*").alias("n"))
+    return rounded(out, "f1", "latency")
+
+
+@query("""SELECT d.source AS dataset, count(*) AS n, round(avg(CAST(quality = 1 AS DOUBLE)), 6) AS same_meaning, round(avg(CAST(toxic = 0 AS DOUBLE)), 6) AS answer_still_correct FROM labels l JOIN documents d USING (doc_id) GROUP BY ROLLUP (d.source)""")
+def audit_agreement(spark, sf):
+    """A judged sheet's agreement for each source and over all."""
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    sheet = st.table(spark, sf, "labels").join(st.table(spark, sf, "documents").select("doc_id", F.col("source").alias("dataset")), "doc_id").select("dataset", yes(F.col("quality") == 1).alias("same_meaning"), yes(F.col("toxic") == 0).alias("answer_still_correct"))
+    return rounded(clusters.audit_score(sheet), "same_meaning", "answer_still_correct")
+
+
+@query("""+ g AS (SELECT item_id AS qid, source AS gold FROM benchmark JOIN documents ON doc_id = item_id * 3), t AS (SELECT qid, list(DISTINCT d.source) AS got FROM bm JOIN documents d USING (doc_id) WHERE rank <= 5 GROUP BY 1)
+        SELECT qid, CAST(list_contains(got, gold) AS INTEGER) AS n_gold FROM t JOIN g USING (qid)""", ["bm"])
+def gold_pages(spark, sf):
+    """How many of a question's supporting titles are among its first five passages'."""
+    d = st.passages(spark, sf)
+    gold = st.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") * 3).alias("doc_id")).join(d.select("doc_id", "title"), "doc_id").select("qid", F.array("title").alias("gold"))
+    got = retrieval.bm25(st.questions(spark, sf), d).filter("rank <= 5").join(d.select("doc_id", "title"), "doc_id").groupBy("qid").agg(F.collect_set("title").alias("got"))
+    return got.join(gold, "qid").select("qid", F.size(F.array_intersect("got", "gold")).alias("n_gold"))
+
+
+@query("""+ t AS (SELECT dataset, q0, q1, q2, c0, c1, c2, i FROM routed WHERE split = 'test' AND dataset = 'hp' UNION ALL SELECT dataset, q0, q1, q2, c0, c1, c2, CAST(score >= 0.5::DOUBLE AS INTEGER) + CAST(score >= 0.7::DOUBLE AS INTEGER) FROM routed WHERE split = 'test' AND dataset = 'nq')
+        SELECT round(avg(CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END), 6) AS quality, round(avg(CASE i WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END), 6) AS cost, count(*) FILTER (i = 0) AS n_A0, count(*) FILTER (i = 1) AS n_A1, count(*) FILTER (i = 2) AS n_A2 FROM t""", ["routed"])
+def pooled_evaluation(spark, sf):
+    """Test instances of both datasets, each routed by its own thresholds."""
+    t = _routed(spark, sf).filter("split = 'test'")
+    own = baselines.route(t.filter("dataset = 'nq'"), F.col("score"), [0.5, 0.7], ACTIONS)
+    both = t.filter("dataset = 'hp'").unionByName(own)
+    return rounded(routing.policy_value(both, F.col("action_index"), ACTIONS), "quality", "cost")
