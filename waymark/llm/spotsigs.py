@@ -20,20 +20,38 @@ CHAIN = 2
 SHORT = 100
 
 
-def spots(text: Column) -> Column:
-    """Signatures, sorted, as eight hex digits each.  After each anchor come the next CHAIN words
-    that are not common.  In a text of up to SHORT words, where anchors are few, every word starts a chain of CHAIN + 1
-    words too.  A text without any signature has one of all its words."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    rare = F.regexp_replace(words, f"(?<= )(?:(?:{'|'.join(COMMON)}) )++", "")
-    anchor = "|".join(ANCHORS)
-    chains = F.regexp_extract_all(rare, F.lit(f"(?<= )(?=((?:{anchor})(?:(?: (?:{anchor})(?= ))*+ [^ ]++){{{CHAIN}}}) )"), F.lit(1))
-    inner = F.transform(chains, lambda x: F.when(x.rlike(f" (?:{anchor}) "), F.regexp_replace(x, f"(?<= )(?:(?:{anchor}) )++", "")).otherwise(x))
-    every = F.regexp_extract_all(words, F.lit(f"(?<= )(?=([^ ]++(?: [^ ]++){{{CHAIN}}}) )"), F.lit(1))
-    short = F.length(words) - F.length(F.translate(words, " ", "")) <= SHORT + 1
-    own = F.when(short, F.concat(inner, every)).otherwise(inner)
-    all_ = F.when(F.size(own) > 0, own).otherwise(F.array(F.concat(F.lit("="), words)))
-    return F.array_sort(F.array_distinct(F.transform(all_, lambda x: F.lpad(F.hex(F.pmod(F.xxhash64(x), F.lit(1 << 32))), 8, "0"))))
+def _any(words: list[str]) -> str:
+    """A pattern of any of the words that shares their beginnings, so that most words of a text fail it at once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    ways = "|".join(h + _any(rest) for h, rest in sorted(heads.items()))
+    return f"(?:{ways}){'?' * ('' in words)}" if ways else ""
+
+
+def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a text column's signatures: sorted 32-bit hashes.
+
+    After each anchor come the next CHAIN words that are not common.  In a text of up to SHORT words, where anchors are
+    few, every word starts a chain of CHAIN + 1 words too.  A text without any signature has one of all its words.
+    What later steps read more than once is a step's column, so it is made once a row."""
+    anchor, kept = _any(ANCHORS), [F.col(f"`{c}`") for c in df.columns]
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = df.select(*kept, words.alias("_words"))
+    rare = F.regexp_replace("_words", f"(?<= )(?:{_any(COMMON)} )++", "")
+    chains = F.regexp_extract_all(rare, F.lit(f"(?<= )(?=({anchor}(?:(?: {anchor}(?= ))*+ [^ ]++){{{CHAIN}}}) )"), F.lit(1))
+    short = F.length("_words") - F.length(F.translate("_words", " ", "")) <= SHORT + 1
+    every = F.when(short, F.regexp_extract_all("_words", F.lit(f"(?<= )(?=([^ ]++(?: [^ ]++){{{CHAIN}}}) )"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    bare = F.transform(chains, lambda x: F.when(x.rlike(f" {anchor} "), F.regexp_replace(x, f"(?<= )(?:{anchor} )++", "")).otherwise(x))
+    out = out.select(*kept, "_words", F.concat(bare, every).alias("_chains"))
+    own = F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(F.array(F.concat(F.lit("="), "_words")))
+    return out.select(*kept, F.array_sort(F.array_distinct(F.transform(own, lambda x: F.hash(x)))).alias(name))
+
+
+def fingerprint(signatures: Column) -> Column:
+    """All signatures of a set, eight hex digits each."""
+    return F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -43,7 +61,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, next_head (the first floor(n / 4) code points of the text that follows, n being
+    """doc_id, text, spots, next_head (the first floor(n / 4) code points of the text that follows, n being
     this one's), next_spots.  Order: ascending id, then a hash of the text; the first follows the last.  Equal rows
     count once in the order and each get the same result.  Null texts are empty; a null id comes first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -54,25 +72,27 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = placed.count()
     before = placed.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("head").alias("p_head"), F.pmod(F.col("_place") + 1, F.lit(max(1, n))).alias("_place"))
     pairs = placed.join(before, "_place").select(F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), "p_id", "p_h", "p_head")
-    own = rows.withColumn("h", h)
+    # signatures are made once, before the exchange that both joins read
+    own = with_spots(rows.select("doc_id", "text", h.alias("h")), "text", "spots")
     once = own.join(pairs, own.doc_id.eqNullSafe(F.col("n_id")) & (own.h == F.col("n_h")))
-    heads = once.select("p_id", "p_h", F.expr("substring(text, 1, p_head)").alias("next_head"), spots(F.col("text")).alias("next_spots")).dropDuplicates(["p_id", "p_h"])
-    return own.join(heads, own.doc_id.eqNullSafe(F.col("p_id")) & (own.h == F.col("p_h"))).select("doc_id", "text", "next_head", "next_spots")
+    heads = once.select("p_id", "p_h", F.expr("substring(text, 1, p_head)").alias("next_head"), F.col("spots").alias("next_spots")).dropDuplicates(["p_id", "p_h"])
+    return own.join(heads, own.doc_id.eqNullSafe(F.col("p_id")) & (own.h == F.col("p_h"))).select("doc_id", "text", "spots", "next_head", "next_spots")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of the text with its last quarter replaced by the next text's
     head, and their likeness."""
-    rows = with_next(docs, id_col, text_col)
     n = F.length("text")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "next_head"))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spots(F.col("text")).alias("a"), spots(F.col("edited")).alias("b"), "next_spots")
-    return rows.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_spots")).alias("near_next"))
+    rows = with_next(docs, id_col, text_col).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "next_head"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "edited", F.col("spots").alias("a"), "next_spots")
+    rows = with_spots(rows, "edited", "b")
+    return rows.select(F.col("doc_id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_spots")).alias("near_next"))
 
 
 def spot_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, spots): texts with equal fingerprints are one class, named by its least id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), spots(F.coalesce(F.col(text_col), F.lit(""))).alias("spots"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = with_spots(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "text", "spots").drop("text")
     least = rows.filter("doc_id is not null").groupBy("spots").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "spots", "left").select("doc_id", "class_id", "spots")
 
