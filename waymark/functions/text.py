@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Labels that a model may put before its reply; question words and cues.
 ANSWER_LABELS = ("answer:", "search query:", "query:", "rewritten query:", "rewritten question:")
@@ -18,7 +19,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ABSTENTIONS = ("not specified", "not mentioned", "no answer", "no information", "not provided", "unknown", "not stated", "cannot")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical decomposition; only for text that isn't known to need none."""
     for t in texts:
