@@ -85,7 +85,7 @@ def curve_index(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str
         value = _number(df, d)
         part = F.lit(0)
         for cut in sorted(set(found[i] or ())):
-            part = part + F.coalesce(value >= F.lit(cut), F.lit(False)).cast("int")
+            part = part + F.coalesce(value > F.lit(cut), F.lit(False)).cast("int")
         parts.append(part)
     out = df.select("*", *[p.alias(f"_x{i}_0") for i, p in enumerate(parts)])
     for step, value in _curve([F.col(f"_x{i}_0") for i in range(len(dims))], bits)[len(dims) :]:
