@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.store import free_name, keep, partitions
+from waymark.llm.store import free_name, hidden, keep, partitions
 
 #: Bits of each dimension's quantised value.
 BITS = 4
@@ -115,10 +115,11 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int, tie: Sequenc
     the columns ``tie``; rows that tie in all of them are alike for it.  A hot value of one
     dimension is cut by the others and by tie, as are copies.  An empty table gives an empty one;
     if df has columns curve, shard or slot, the new ones get an underscore."""
-    curve, shard, slot = (free_name(df, x) for x in ("curve", "shard", "slot"))
-    placed = places(curve_index(df, dims, bits, curve), [curve, *tie], "shards")
+    new = [free_name(df, x) for x in ("curve", "shard", "slot")]
+    own, names = hidden(df)
+    placed = places(curve_index(own, [names[d] for d in dims], bits, "curve"), ["curve", *[names[t] for t in tie]], "shards")
     n = max(1, placed.count())
-    first = F.expr(f"(`{shard}` * {n}L + {shards - 1}) div {shards}")
     at = F.expr(f"(_place * {shards}) div {n}L").cast("int")
-    out = placed.withColumn(shard, at).withColumn(slot, F.col("_place") - first)
-    return out.drop("_place")
+    first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
+    out = placed.withColumn("shard", at).withColumn("slot", F.col("_place") - first)
+    return out.select(*names.values(), "curve", "shard", "slot").toDF(*names, *new)

@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.store import free_name, keep
+from waymark.llm.store import free_name, hidden, keep
 
 # What a text is about: the first topic of which it holds a term; else other.
 TOPICS = {
@@ -113,7 +113,9 @@ def mix_documents(docs: DataFrame, share: float = 0.8, targets: Targets | None =
     no tokens (the probability is 1 then: nothing to weigh).  Repeated rows share their fate.  Columns that docs has
     already get an underscore."""
     targets = targets or Targets()
-    names = {x: free_name(docs, x) for x in ("topic", "tokens", "weight", "probability", "sampled")}
+    given, new = docs.columns, [free_name(docs, x) for x in ("topic", "tokens", "weight", "probability", "sampled")]
+    docs, called = hidden(docs)
+    text_col, id_col, source_col, lang_col = (called[c] for c in (text_col, id_col, source_col, lang_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     source, lang = (F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in (source_col, lang_col))
     slim = keep(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), source.alias("source"), lang.alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens")), "tokens")
@@ -129,12 +131,13 @@ def mix_documents(docs: DataFrame, share: float = 0.8, targets: Targets | None =
     chance = F.least(F.lit(1.0), F.col("weight") * F.lit(scale))
     few = weighed.count() <= 100_000
     w = weighed.select(F.col("source").alias("w_s"), F.col("lang").alias("w_l"), F.col("topic").alias("w_t"), F.round(F.col("weight") * F.lit(total), 9).alias("w_weight"), F.round(chance, 9).alias("w_chance"))
-    own = docs.select("*", topic_of(text).alias(names["topic"]), tokens_of(text).alias(names["tokens"]))
+    own = docs.select("*", topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
     lang_class = F.when(lang.isin(common), lang).otherwise(OTHER)
-    own = own.join(F.broadcast(w) if few else w, (source == F.col("w_s")) & (lang_class == F.col("w_l")) & (F.col(names["topic"]) == F.col("w_t")), "left")
+    own = own.join(F.broadcast(w) if few else w, (source == F.col("w_s")) & (lang_class == F.col("w_l")) & (F.col("topic") == F.col("w_t")), "left")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
     p = F.coalesce("w_chance", F.lit(1.0))
-    return own.select(*[F.col(f"`{x}`") for x in docs.columns], names["topic"], F.col(names["tokens"]).cast("long").alias(names["tokens"]), F.coalesce("w_weight", F.lit(1.0)).alias(names["weight"]), p.alias(names["probability"]), (u < p).alias(names["sampled"]))
+    out = own.select(*docs.columns, "topic", F.col("tokens").cast("long"), F.coalesce("w_weight", F.lit(1.0)), p, u < p)
+    return out.toDF(*given, *new)
 
 
 def _scale(weighed: DataFrame, wanted: float) -> float:

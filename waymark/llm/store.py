@@ -38,5 +38,11 @@ def free_name(df: DataFrame, wish: str) -> str:
     return name
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called c0, c1, ..., so that no name of theirs clashes, and what each is called now."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.store import keep
+from waymark.llm.store import free_name, keep
 from waymark.llm.words import ALNUM, U, mix, pieces
 
 WORD_BITS = 19
@@ -203,6 +203,7 @@ def train(corpus: DataFrame, labelled: DataFrame) -> Model:
 def score(rows: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """rows without the text, with its toxicity (0 to 1).  Null and empty texts score as a text that
     has no words; every row gets a score, repeated rows the same."""
+    name = free_name(rows, name)
     handed = rows.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
