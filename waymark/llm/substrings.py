@@ -195,7 +195,7 @@ def _settle(table: pa.Table, both: bool) -> pa.Table:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """doc_id, row_hash, text and bucket; and how many buckets there are."""
-    n = 2 * partitions(docs.sparkSession)
+    n = 8 * partitions(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     return slim.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_LEAST)), "row_hash"), F.lit(n)).cast("int")), n
 
@@ -232,7 +232,7 @@ def cut_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_
     """Per row of docs: id, n_words, n_removed, kept_sha256 and kept_text (the words that
     stay, joined by one space).  Other columns of docs are not looked at.  An empty table
     gives an empty table; repeated rows each give a row.  Texts meet their places in buckets of
-    rows, of which there are twice as many as shuffle partitions."""
+    rows, of which there are eight times as many as shuffle partitions."""
     rows, parts = _rows(docs, id_col, text_col)
 
     def cut(own: pa.Table, packed: pa.Table) -> pa.Table:
