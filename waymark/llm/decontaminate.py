@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, wind
     h = F.col("hash")
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
     bits = np.zeros(FILTER_BITS, bool)
-    for part in wanted.select("hash").distinct().mapInArrow(_filter_bits, "bit int").distinct().toPandas()["bit"].to_numpy()[None]:
+    for part in wanted.select("hash").distinct().mapInArrow(_filter_bits, "bit int").distinct().toArrow().to_pandas()["bit"].to_numpy()[None]:
         bits[part] = True
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     hits = slim.mapInArrow(_emit("doc_id", window, spark.sparkContext.broadcast((bits, sizes))), _SHAPE.format(key="doc_id")).drop("n")

@@ -78,7 +78,7 @@ def train(rows: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np
     slim = rows.filter(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     found = slim.mapInArrow(_count(languages), "language int, bucket int, n long").filter(f"language < {len(languages)} and bucket < {BUCKETS}").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     n = np.full((len(languages), BUCKETS), 0.5)
-    got = found.toPandas()
+    got = found.toArrow().to_pandas()
     n[got["language"], got["bucket"]] += got["n"]
     share = n / n.sum(axis=1, keepdims=True)
     model[:-1, :BUCKETS] = np.log((1 - FLAT) * share + FLAT / BUCKETS)

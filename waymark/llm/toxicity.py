@@ -133,7 +133,7 @@ def _score(x: np.ndarray, m: Model) -> np.ndarray:
 
 def _table(df: DataFrame, size: int, at: str, value: str) -> np.ndarray:
     """A column of at most size numbers, gathered by place."""
-    got, out = df.select(at, value).toPandas(), np.zeros(size)
+    got, out = df.select(at, value).toArrow().to_pandas(), np.zeros(size)
     np.add.at(out, got[at].to_numpy(), got[value].to_numpy(dtype=float))
     return out
 
@@ -190,7 +190,7 @@ def train(corpus: DataFrame, labelled: DataFrame) -> Model:
             x = _features(batch.column(0), handed.value)
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(4)]], names=["toxic", "a", "b", "c", "d"])
 
-    got = check.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double, d double").toPandas()
+    got = check.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double, d double").toArrow().to_pandas()
     y = got["toxic"].to_numpy(dtype=float)
     if len(set(y.tolist())) == 2:
         model.weights, model.scale = _logistic(got[["a", "b", "c", "d"]].to_numpy(), y)
