@@ -118,9 +118,12 @@ def _emit(key: str, window: int, shared):
                 for p in pieces(batch.column(2), ALNUM):
                     for j in range(len(p.rows)):
                         one = Piece(range(p.rows[j], p.rows[j] + 1), p.data, p.offsets[j : j + 2], p.starts[p.first[j] : p.first[j + 1]], p.ends[p.first[j] : p.first[j + 1]], np.array([0, p.first[j + 1] - p.first[j]]))
-                        size = min(window, len(_templates(one)[0]))
+                        n = len(_templates(one)[0])
+                        # an item's first word is a capital that says nothing; within a document's sentence it would be a name
+                        skip = int(n > PLAIN)
+                        size = min(window, n - skip)
                         if size >= PLAIN:
-                            found = list(_windows(one, [size], lambda g: np.ones(len(g), bool)))
+                            found = [x for x in _windows(one, [size], lambda g: np.ones(len(g), bool)) if x[1] >= skip]
                             out += [(ids[r], size, h, i, len(found), s) for r, i, h, s in found]
             else:
                 bits, sizes = shared.value
@@ -151,8 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, wind
     h = F.col("hash")
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
     bits = np.zeros(FILTER_BITS, bool)
-    for part in wanted.select("hash").distinct().mapInArrow(_filter_bits, "bit int").distinct().toArrow().to_pandas()["bit"].to_numpy()[None]:
-        bits[part] = True
+    bits[wanted.select("hash").distinct().mapInArrow(_filter_bits, "bit int").distinct().toArrow().column("bit").to_numpy()] = True
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     hits = slim.mapInArrow(_emit("doc_id", window, spark.sparkContext.broadcast((bits, sizes))), _SHAPE.format(key="doc_id")).drop("n")
     few = wanted.count() <= BROADCAST_ROWS
