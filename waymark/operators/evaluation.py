@@ -73,7 +73,7 @@ def seeded_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int
 
 
 def hashed_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int = C.SEED, cluster: str = "cluster_id") -> DataFrame:
-    """The same at any size: each cluster's number of draws in each resample is Poisson with mean 1, from a hash."""
+    """The same at any size: each cluster's number of draws in each resample (zeros too) is Poisson with mean 1, from a hash."""
     edges, p, c = [], float(np.exp(-1)), 0.0
     for k in range(12):
         c += p
@@ -81,8 +81,8 @@ def hashed_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int
         p /= k + 1
     reps = clusters.select(cluster).distinct().select(cluster, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     u = hash_share(F.concat_ws(":", F.col("rep").cast("string"), F.col(cluster).cast("string")), seed)
-    m = reduce(lambda a, b: a + b, [(u >= e).cast("int") for e in edges])
-    return reps.select("rep", cluster, m.alias("m")).filter("m > 0")
+    m = reduce(lambda a, b: a + b, [(F.col("u") >= e).cast("int") for e in edges])
+    return reps.select("rep", cluster, u.alias("u")).select("rep", cluster, m.alias("m"))
 
 
 def bootstrap(sums: DataFrame, multiplicities: DataFrame, values: Sequence[str] = ("s",), confidence: float = C.CONFIDENCE, cluster: str = "cluster_id") -> DataFrame:

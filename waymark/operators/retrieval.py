@@ -16,15 +16,20 @@ from waymark.operators.guards import finite, require, require_all
 BROADCAST_ROWS = 200_000
 
 
-def terms(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """(keys, term): words of lower-cased letters and digits; no stop words, no stems."""
-    return df.select(*keys, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
+_TERM = r"[\p{L}\p{N}]+"
 
 
-def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): the inverted index, one row for each term of a passage."""
-    t = terms(passages, [id_col], text_col).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    return t.withColumn("dl", F.sum("tf").over(Window.partitionBy(id_col)))
+def _terms(text: str) -> Column:
+    """Words of lower-cased letters and digits; no stop words, no stems."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0))
+
+
+def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, dl, tf): the inverted index, one row for each term of a passage.  With a vocabulary (term),
+    other terms are dropped before anything is grouped."""
+    t = passages.select(id_col, _terms(text_col).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    t = t if vocabulary is None else t.join(vocabulary, "term", "left_semi")
+    return t.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int = C.POOL, k1: float = C.BM25_K1, b: float = C.BM25_B, query_id: str = "qid", query_text: str = "question", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,15 +38,12 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = C.POOL, k1: float = C
 
     Only postings of terms that some query has are scored.  Passages without any term of the
     query have no score, and passages without words count for nothing but their number."""
-    n = passages.count()
-    index = postings(passages, id_col, text_col)
-    q = terms(queries, [query_id], query_text).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    vocabulary = q.select("term").distinct()
+    n, total = passages.agg(F.count("*"), F.sum(F.size(_terms(text_col)))).head()
+    q = queries.select(query_id, F.explode(_terms(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
     few = q.count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda x: x)
-    total = index.agg(F.sum("tf")).head()[0] or 0
-    average = total / n if n else 1.0
-    wanted = index.join(hint(vocabulary), "term", "left_semi")
+    average = total / n if total else 1.0
+    wanted = postings(passages, id_col, text_col, hint(q.select("term").distinct()))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(average)))
@@ -144,5 +146,6 @@ def overlap(a: DataFrame, b: DataFrame, k: int = C.K, query_id: str = "qid", id_
 
 def hybrid(queries: DataFrame, passages: DataFrame, index: DataFrame, pool: int = C.POOL, query_id: str = "qid") -> dict[str, DataFrame]:
     """Lexical, dense and fused lists of the same queries (question and vector columns)."""
-    lex, den = bm25(queries, passages, pool, query_id=query_id), dense(queries, index, pool, query_id=query_id)
+    # pool rows a query, read by the fusion and by the signals
+    lex, den = bm25(queries, passages, pool, query_id=query_id).cache(), dense(queries, index, pool, query_id=query_id).cache()
     return {"lexical": lex, "dense": den, "fused": fuse(lex, den, pool, query_id=query_id)}
