@@ -54,13 +54,13 @@ def downgrades(steps: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def icc(df: DataFrame, value: str, cluster: str = "cluster_id", size: int = 3) -> DataFrame:
-    """One-way intraclass correlation over complete clusters: (icc, n_clusters)."""
+    """One-way intraclass correlation over complete clusters (null if nothing varies): (icc, n_clusters)."""
     own = complete_clusters(df, cluster, size=size)
     per = own.groupBy(cluster).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     t = per.agg(F.var_samp("m").alias("b"), F.avg("v").alias("w"), F.count("*").alias("n_clusters"))
     within = F.col("w") * size / (size - 1)
     between = F.col("b") * size
-    return t.select(((between - within) / (between + (size - 1) * within)).alias("icc"), "n_clusters")
+    return t.select(F.try_divide(between - within, between + (size - 1) * within).alias("icc"), "n_clusters")
 
 
 def detectable(df: DataFrame, value: str, cluster: str = "cluster_id", factor: float = 2.8) -> DataFrame:

@@ -90,7 +90,7 @@ def bootstrap(sums: DataFrame, multiplicities: DataFrame, values: Sequence[str]
     difference, and whether the interval leaves zero out."""
     v = F.col(values[0]) if len(values) == 1 else F.col(values[0]) - F.col(values[1])
     name = "mean" if len(values) == 1 else "diff"
-    reps = sums.select(cluster, v.alias("v"), "n").join(multiplicities, cluster).groupBy("rep").agg((F.sum(F.col("m") * F.col("v")) / F.sum(F.col("m") * F.col("n"))).alias("r"))
+    reps = sums.select(cluster, v.alias("v"), "n").join(multiplicities, cluster).groupBy("rep").agg(F.try_divide(F.sum(F.col("m") * F.col("v")), F.sum(F.col("m") * F.col("n"))).alias("r"))
     half = (1 - confidence) / 2
     ci = reps.agg(F.percentile("r", F.array(F.lit(half), F.lit(1 - half))).alias("p"))
     out = sums.agg((F.sum(v) / F.sum("n")).alias(name)).crossJoin(ci).select(name, F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
