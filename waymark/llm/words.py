@@ -86,7 +86,7 @@ class Piece:
         return mix((sums[k:] - sums[:-k]) * inverse[:n]), doc[:n] == doc[k - 1 :]
 
 
-def pieces(column: pa.Array, word: np.ndarray, size: int = 1 << 20, lower: bool = False) -> Iterator[Piece]:
+def pieces(column: pa.Array, word: np.ndarray, size: int = 1 << 19, lower: bool = False) -> Iterator[Piece]:
     """The texts of a string column (null: empty) in pieces of about size bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
