@@ -17,6 +17,7 @@ from waymark.llm.store import keep
 ANCHORS = "the is that of and to in der die und ist zu le est la de et les el que los y".split()
 COMMON = "a an are as at be by for from has he it its on or was were with this you not das den dem des ein eine von mit auf für im nicht sich auch un une du en qui dans par pour sur au lo las una del al por con su para se es".split()
 CHAIN = 2
+_LEAST = -(1 << 63)
 SHORT = 100
 
 
@@ -65,18 +66,20 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     this one's), next_spots.  Order: ascending id, then a hash of the text; the first follows the last.  Equal rows
     count once in the order and each get the same result.  Null texts are empty; a null id comes first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # k stands for the id and is never null, so that all joins are on the same plain keys
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
     h = F.xxhash64("text")
-    slim = rows.select("doc_id", h.alias("h"), F.floor(F.length("text") / 4).cast("int").alias("head")).distinct()
-    placed = keep(places(slim, ["doc_id", "h"], "order"), "placed")
+    slim = rows.select("k", h.alias("h"), F.floor(F.length("text") / 4).cast("int").alias("head")).distinct()
+    placed = keep(places(slim, ["k", "h"], "order"), "placed")
     n = placed.count()
-    before = placed.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("head").alias("p_head"), F.pmod(F.col("_place") + 1, F.lit(max(1, n))).alias("_place"))
-    pairs = placed.join(before, "_place").select(F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), "p_id", "p_h", "p_head")
+    before = placed.select(F.col("k").alias("p_k"), F.col("h").alias("p_h"), F.col("head").alias("p_head"), F.pmod(F.col("_place") + 1, F.lit(max(1, n))).alias("_place"))
+    pairs = placed.join(before, "_place").select("k", "h", "p_k", "p_h", "p_head")
     # signatures are made once, before the exchange that both joins read
-    own = with_spots(rows.select("doc_id", "text", h.alias("h")), "text", "spots")
-    once = own.join(pairs, own.doc_id.eqNullSafe(F.col("n_id")) & (own.h == F.col("n_h")))
-    heads = once.select("p_id", "p_h", F.expr("substring(text, 1, p_head)").alias("next_head"), F.col("spots").alias("next_spots")).dropDuplicates(["p_id", "p_h"])
-    return own.join(heads, own.doc_id.eqNullSafe(F.col("p_id")) & (own.h == F.col("p_h"))).select("doc_id", "text", "spots", "next_head", "next_spots")
+    own = with_spots(rows.select("doc_id", "k", "text", h.alias("h")), "text", "spots")
+    once = own.join(pairs, ["k", "h"])
+    heads = once.select("p_k", "p_h", F.expr("substring(text, 1, p_head)").alias("next_head"), F.col("spots").alias("next_spots")).dropDuplicates(["p_k", "p_h"])
+    heads = heads.withColumnRenamed("p_k", "k").withColumnRenamed("p_h", "h")
+    return own.join(heads, ["k", "h"]).select("doc_id", "text", "spots", "next_head", "next_spots")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
