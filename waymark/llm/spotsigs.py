@@ -75,11 +75,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     before = placed.select(F.col("k").alias("p_k"), F.col("h").alias("p_h"), F.col("head").alias("p_head"), F.pmod(F.col("_place") + 1, F.lit(max(1, n))).alias("_place"))
     pairs = placed.join(before, "_place").select("k", "h", "p_k", "p_h", "p_head")
     # signatures are made after the exchange of texts, which both joins then read
-    own = rows.select("doc_id", "k", "text", h.alias("h"))
+    own = rows.select("k", "text", h.alias("h"))
     once = with_spots(own.join(pairs, ["k", "h"]), "text", "spots")
     heads = once.select("p_k", "p_h", F.expr("substring(text, 1, p_head)").alias("next_head"), F.col("spots").alias("next_spots")).dropDuplicates(["p_k", "p_h"])
     heads = heads.withColumnRenamed("p_k", "k").withColumnRenamed("p_h", "h")
-    found = own.join(heads, ["k", "h"]).select("doc_id", "text", "next_head", "next_spots")
+    found = own.join(heads, ["k", "h"]).select(F.nullif("k", F.lit(_LEAST)).alias("doc_id"), "text", "next_head", "next_spots")
     return with_spots(found, "text", "spots")
 
 
