@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,34 @@ def test_many_variants_are_one_class(spark):
     assert {r.class_id for r in got.collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [1 << 18, 3000])
+def test_links_of_a_large_bucket_against_brute_force(spark, monkeypatch, block):
+    """n_links counts every text that is linked, within one block and over several."""
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rng = random.Random(8)
+    base = words_of(rng, 120, 5000)
+    texts = [base]
+    for i in range(1, 130):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 4)):
+            w[at] = f"new{i}q{at}"
+        if i % 10 == 0:
+            w[20:20] = w[60:75]
+        if i % 7 == 0:
+            w = w[: 120 - rng.randrange(20)]
+        if i % 13 == 0:
+            w[0:10], w[30:40] = w[30:40], w[0:10]
+        texts.append(w)
+    texts += [words_of(rng, 50, 5000) for _ in range(5)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in order_minhash.near_copies(df).collect()}
+    grams = {}
+    for b in order_minhash._shingles(5)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([" ".join(w) for w in texts])], names=["id", "text"])])):
+        grams = {i: np.frombuffer(g, np.uint32) for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    want = {i: sum(i != j and order_minhash.alignment(grams[i], grams[j], 0.8) >= 0.8 for j in grams) for i in grams}
+    assert got == want and max(want.values()) > 30
+
+
 def test_alignment_minds_the_order():
     a = np.arange(100, dtype=np.uint32)
     assert order_minhash.alignment(a, a, 0.8) == 1.0

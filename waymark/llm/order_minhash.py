@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,9 @@ DRAWS = 16
 DRAWN = 5
 #: Buckets up to this size compare all their texts with one another.
 SMALL = 8
-#: Ranks of the hubs of a large bucket that each round compares: from one to before the next.
-ROUNDS = (1, 2, 4, 8)
+#: Shingles of the texts of a block, each text counting TEXT more; blocks of large buckets meet block by block.
+BLOCK = 1 << 18
+TEXT = 128
 #: Texts of up to so many shingles have keys of fewer shingles too.
 SHORT = 30
 #: Ids to broadcast at most: 8 MB.
@@ -136,29 +136,103 @@ def _verify(least: float):
     return verify
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """The most central texts of each large bucket, in order; partial ranking keeps few rows of each bucket in every task."""
-    w = Window.partitionBy("bucket").orderBy(F.desc("central"), "id")
-    ranked = members.filter(F.col("size") > SMALL).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") < ROUNDS[-1])
-    return keep(ranked.select("bucket", F.col("id").alias("hub"), "rank"), "hubs")
-
-
 def _all_pairs(members: DataFrame) -> DataFrame:
     """Every pair of each small bucket."""
     small = members.filter(F.col("size") <= SMALL).select("bucket", "id")
     return small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
 
 
-def _hub_pairs(members: DataFrame, hubs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of the given hubs with the texts of their buckets that are in other components."""
-    m, h = members.filter(F.col("size") > SMALL).select("bucket", "id"), hubs
-    if labels is not None:
-        m = m.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        h = h.join(labels.withColumnRenamed("id", "hub"), "hub", "left").select("bucket", "hub", F.coalesce("label", "hub").alias("hub_label"))
-        both = m.join(h, "bucket").filter("id <> hub and label <> hub_label")
-    else:
-        both = m.join(h, "bucket").filter("id <> hub")
-    return both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+def _groups(members: DataFrame) -> DataFrame:
+    """(id, label) of the texts of large buckets: those that meet over large buckets are one group."""
+    large = members.filter(F.col("size") > SMALL).select("bucket", "id")
+    met = keep(large.join(large.groupBy("bucket").agg(F.min("id").alias("b")), "bucket").select("bucket", "id", "b"), "met")
+    # each text hangs on one other, the least that it meets, and only these are tied by buckets, so edges are few
+    own = keep(met.groupBy("id").agg(F.min("b").alias("a")), "own")
+    ties = met.join(own, "id").select("a", "b").distinct()
+    edges = ties.union(own.select("a", F.col("id").alias("b"))).filter("a <> b")
+    return components(edges.union(own.filter("a = id").select("a", F.col("id").alias("b"))))
+
+
+def _likenesses(x: np.ndarray, sizes: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[np.ndarray], least: float) -> np.ndarray:
+    """alignment() of x with each of the texts, whose distinct shingles lie in table: shingles in order, text and place of each."""
+    grams, owner, place = table
+    la, like = len(x), np.zeros(len(sizes))
+    own, at = np.unique(x, return_index=True)
+    lo, hi = np.searchsorted(grams, own), np.searchsorted(grams, own, "right")
+    n = hi - lo
+    to = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+    who, ib, ia = owner[to], place[to], np.repeat(at, n)
+    common = np.bincount(who, minlength=len(sizes))
+    able = (np.minimum(la, sizes) >= least * np.maximum(la, sizes)) & (common > 0) & (common >= least * (la + sizes - common))
+    near = able[who] & (np.abs(ia - ib) <= (1 - least) / (1 + least) * (la + sizes[who]))
+    who, ia, ib = who[near], ia[near], ib[near]
+    order = np.lexsort((ia, who))
+    who, ib = who[order], ib[order]
+    chain = np.bincount(who, minlength=len(sizes))
+    falls = np.unique(who[1:][(who[1:] == who[:-1]) & (np.diff(ib) <= 0)])
+    like[able] = chain[able] / (la + sizes[able] - chain[able])
+    for j in falls.tolist():
+        like[j] = alignment(x, texts[j], least)
+    return like
+
+
+def _block_links(least: float):
+    def block_links(group: pa.Table) -> pa.Table:
+        """Two blocks, or one with itself: for each text how many of the others' it is linked with (id, id, n), and each text's least of its class here (least, id, 0)."""
+        side = np.array(group.column("side").to_pylist(), np.int64)
+        ids = np.array(group.column("id").to_pylist(), np.int64)
+        texts = [np.frombuffer(g, np.uint32) for g in group.column("grams").to_pylist()]
+        right = np.flatnonzero(side == side.max())
+        left = right if side.min() == side.max() else np.flatnonzero(side == side.min())
+        ys = [texts[j] for j in right.tolist()]
+        sizes = np.array([len(y) for y in ys], np.int64)
+        owner, place = np.repeat(np.arange(len(ys)), sizes), np.concatenate([np.arange(k) for k in sizes.tolist()])
+        key = np.concatenate(ys).astype(U) << U(32) | owner.astype(U)
+        # of equal shingles within a text the first counts, as in alignment()
+        key, first = np.unique(key, return_index=True)
+        table = (key >> U(32)).astype(np.uint32), owner[first], place[first]
+        degree = np.zeros(len(ids), np.int64)
+        root = list(range(len(ids)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in left.tolist():
+            found = right[_likenesses(texts[i], sizes, table, ys, least) >= least]
+            found = found[found > i] if left is right else found
+            degree[i] += len(found)
+            degree[found] += 1
+            for j in found.tolist():
+                u, v = top(i), top(j)
+                if u != v:
+                    u, v = (u, v) if ids[u] < ids[v] else (v, u)
+                    root[v] = u
+        # each text with the least of its tree, whose links join all that these do
+        tops = [(ids[top(i)], ids[i]) for i in np.flatnonzero(degree).tolist() if top(i) != i]
+        a, b = ([t[k] for t in tops] for k in (0, 1))
+        full = np.flatnonzero(degree)
+        return pa.table([pa.array(np.r_[ids[full], np.array(a, np.int64)]), pa.array(np.r_[ids[full], np.array(b, np.int64)]), pa.array(np.r_[degree[full], np.zeros(len(a), np.int64)])], names=["a", "b", "n"])
+
+    return block_links
+
+
+def _within(grams: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b, n) of the groups: where a = b, n further texts are linked with a; else n is 0, and a and b are of one
+    class.  Every pair of a group is looked at whose lengths allow a link: texts in order of length fall
+    into blocks of a bounded size, and each two blocks near enough are a task's row group of their own."""
+    size = F.octet_length("grams") / 4
+    own = groups.join(grams, "id").select("label", "id", size.cast("long").alias("size"), "grams")
+    order = Window.partitionBy("label").orderBy("size", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = keep(own.drop("grams").withColumn("block", F.floor(F.sum(F.col("size") + TEXT).over(order) / BLOCK)), "placed")
+    ends = placed.groupBy("label", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    x, y = ends.select("label", F.col("block").alias("x"), "hi"), ends.select("label", F.col("block").alias("y"), "lo")
+    meet = keep(x.join(y, "label").filter(f"x <= y and (x = y or hi >= {least}D * lo - 1e-9D)").select("label", "x", "y"), "meet")
+    sides = meet.select("label", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = own.join(placed.select("id", "block"), "id").join(sides, ["label", "block"])
+    return rows.select("label", "x", "y", F.col("block").alias("side"), "id", "grams").groupBy("label", "x", "y").applyInArrow(_block_links(least), "a long, b long, n long")
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,10 +245,9 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
     that share an id are one document, whose texts' classes are one.  Rows without an id get
     no class.
 
-    Each draw's equal keys make a bucket.  A bucket of up to SMALL texts compares every pair;
-    a larger one compares all of its texts with its most central ones (those that share the most
-    buckets, so originals come before copies of copies): first with one, then, as far as components
-    still differ, with more.  Chains beyond those hubs have their other draws' buckets, of which most are small.
+    Each draw's equal keys make a bucket.  A bucket of up to SMALL texts compares every pair.  Texts
+    that meet over larger buckets are a group, and every pair of a group is compared whose lengths allow
+    a link (see _within), so links are counted in full there, also between texts that share no bucket.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -183,8 +256,6 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
     keyed = texts.filter("keys is not null").select("id", F.explode("keys").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = keep(keyed.join(sizes, "bucket"), "members")
-    central = members.groupBy("id").agg(F.sum("size").alias("central"))
-    members = keep(members.join(central, "id"), "members")
     ids = members.select("id").distinct()
     n = ids.count()
     if n:
@@ -193,19 +264,22 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
         grams = keep(wanted.mapInArrow(_shingles(k), "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "grams")
     links = labels = None
     if n:
-        hubs = _hubs(members)
-        for first, end in pairwise(ROUNDS):
-            own = hubs.filter(F.col("rank").between(first, end - 1)).drop("rank")
-            pairs = _hub_pairs(members, own, labels)
-            pairs = keep((pairs.unionByName(_all_pairs(members)) if labels is None else pairs).distinct(), "pairs")
-            x, y = (grams.withColumnRenamed("id", side).withColumnRenamed("grams", name) for side, name in (("a", "x"), ("b", "y")))
-            new = keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, likeness double"), "links")
-            links = new if links is None else links.unionByName(new).dropDuplicates(["a", "b"])
-            labels = keep(components(links), "labels")
-            labels = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
+        groups = keep(_groups(members), "groups")
+        groups = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+        pairs = _all_pairs(members).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(groups.select(F.col("id").alias(side), F.col("label").alias(f"g_{side}")), side, "left")
+        # what is in one group is compared there
+        pairs = keep(pairs.filter("g_a is null or g_b is null or g_a <> g_b").select("a", "b"), "pairs")
+        x, y = (grams.withColumnRenamed("id", side).withColumnRenamed("grams", name) for side, name in (("a", "x"), ("b", "y")))
+        single = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, likeness double").select("a", "b", F.lit(1).cast("long").alias("n"))
+        links = keep(single.unionByName(_within(grams, groups, least)), "links")
+        labels = keep(components(links.filter("a <> b")), "labels")
+        labels = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
     found = texts.select("same", "id")
     if labels is not None:
-        degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "id")
+        ends = links.select(F.col("a").alias("id"), "n").union(links.filter("a <> b").select("b", "n"))
+        degree = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
         found = found.join(labels, "id", "left").join(degree, "id", "left")
     else:
         found = found.withColumn("label", F.lit(None).cast("long")).withColumn("n_links", F.lit(None).cast("long"))
