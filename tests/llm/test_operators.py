@@ -246,6 +246,17 @@ def test_licenses_against_brute_force(spark, docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_notices_over_lines(spark):
+    """A notice counts however its lines break; words strewn over a long line do not."""
+    bsd, mit = (licenses.TEMPLATES[x].split() for x in ("bsd", "mit-terms"))
+    strewn = " ".join(f"{w} " + " ".join(f"x{i}y{j}" for j in range(20)) for i, w in enumerate(bsd))
+    texts = ["before\n" + " ".join(bsd[:10]) + "\n" + " ".join(bsd[10:]) + "\nafter", "/*\n" + "\n".join(" * " + " ".join(mit[i : i + 4]) for i in range(0, len(mit), 4)), strewn, "word " * 3000 + " ".join(bsd) + " word" * 3000, " ".join(bsd[:7])]
+    # the next text's words end no notice of this one
+    texts.append(" ".join(bsd[7:]))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mit-terms", 1.0), 2: ("", 0.0), 3: ("bsd", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
 def test_url_lists(spark):
     d = lambda x: f"2024-01-{x:02d}"
     entries = [("ads", "Example.com", "add", d(5)), ("ads", "example.com", "remove", d(10)), ("ads", "example.com", "add", d(20)), ("bad", "a.example.com", "add", d(1)), ("bad", "a.example.com", "remove", d(1)), ("bad", "b.example.com", "add", d(3)), ("bad", "b.example.com", "add", d(4)), ("x", None, "add", d(1)), ("x", "com", "remove", d(1))]

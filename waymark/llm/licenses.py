@@ -1,10 +1,11 @@
 """License notices in texts.
 
 Base places are phrases whose words stand side by side.  Beyond them, an exact
-set-similarity join finds every block (line) that contains at least a share of a template's words:
-tokens are ordered by how many blocks of the whole corpus hold them, rarest first; a block is a
-candidate if it holds one of a template's rarest tokens (prefix), has enough tokens (length),
-and can still reach the share after the first token it has in common (position).
+set-similarity join finds every block that contains at least a share of a template's words.  A
+block is a window of SPAN times the template's words, wherever lines break.
+Tokens are ordered by how many lines of the whole corpus hold them, rarest first; a block is a
+candidate if it holds one of a template's rarest tokens (prefix) and, from the token
+at which it starts, enough of the template's to reach the share (length and position).
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ TEMPLATES = {
 }
 
 
+#: Words of a block for each word of the template.
+SPAN = 2
+
+
 def _words(text: str) -> np.ndarray:
     return next(pieces(pa.array([text]), ALNUM, lower=True)).hashes()
 
@@ -71,11 +76,12 @@ def _scan(phrases: dict[str, str], templates: dict[str, str], vocabulary: np.nda
     # each template's tokens as their numbers, rarest first
     sets = [(name, sorted(set(np.searchsorted(vocabulary, _words(text)).tolist()), key=lambda t: rank[t])) for name, text in templates.items()]
     needed = [max(1, ceil(least * len(s) - 1e-9)) for _, s in sets]
-    prefix: dict[int, list[tuple[int, int]]] = {}
+    spans = [SPAN * len(_words(text)) for text in templates.values()]
+    # by token: whether it is the template's, and whether one of its rarest
+    member, rare = np.zeros((len(sets), len(vocabulary)), bool), np.zeros((len(sets), len(vocabulary)), bool)
     for i, (_, s) in enumerate(sets):
-        for at, token in enumerate(s[: len(s) - needed[i] + 1]):
-            prefix.setdefault(token, []).append((i, at))
-    starts = np.array(sorted(prefix), np.int64)
+        member[i, s] = True
+        rare[i, s[: len(s) - needed[i] + 1]] = True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,29 +109,19 @@ def _scan(phrases: dict[str, str], templates: dict[str, str], vocabulary: np.nda
                         first[r] = place if first[r] is None else min(first[r], place)
                         last[r] = place if last[r] is None else max(last[r], place)
                 own, which = _known(p, words, vocabulary)
-                hot = np.isin(which, starts)
-                if not hot.any():
-                    continue
-                block = _blocks(p)
-                wanted = np.unique(block[own[hot]])
-                lo, hi = np.searchsorted(block, wanted), np.searchsorted(block, wanted, "right")
-                k_lo, k_hi = np.searchsorted(own, lo), np.searchsorted(own, hi)
-                for a, b, size, r in zip(k_lo.tolist(), k_hi.tolist(), (hi - lo).tolist(), doc[lo].tolist(), strict=True):
-                    tokens = set(which[a:b].tolist())
-                    ordered = sorted(tokens, key=lambda t: rank[t])
-                    seen = set()
-                    for j, token in enumerate(ordered):
-                        for i, at in prefix.get(token, ()):
-                            if i in seen:
-                                continue
-                            seen.add(i)
-                            name, s = sets[i]
-                            if size < needed[i] or 1 + min(len(s) - at - 1, len(ordered) - j - 1) < needed[i]:
-                                continue
-                            common = len(tokens.intersection(s))
-                            if common >= needed[i]:
-                                also[r + p.rows.start].add(name)
-                                score[r + p.rows.start] = max(score[r + p.rows.start], common / len(s))
+                for i, (name, s) in enumerate(sets):
+                    if not rare[i][which].any():
+                        continue
+                    mine = member[i][which]
+                    place, token = own[mine], which[mine]
+                    at, end = np.arange(len(place)), np.searchsorted(place, np.minimum(place + spans[i], p.first[1:][doc[place]]))
+                    hot = np.r_[0, np.cumsum(rare[i][token])]
+                    for j in np.flatnonzero((end - at >= needed[i]) & (hot[end] > hot[at])).tolist():
+                        common = len(set(token[j : end[j]].tolist()))
+                        if common >= needed[i]:
+                            r = int(doc[place[j]]) + p.rows.start
+                            also[r].add(name)
+                            score[r] = max(score[r], common / len(s))
             labels = [",".join(sorted(a | b)) for a, b in zip(base, also, strict=True)]
             made = [batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array([",".join(sorted(x)) for x in base], pa.string()), pa.array(labels, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
@@ -136,7 +132,7 @@ def _scan(phrases: dict[str, str], templates: dict[str, str], vocabulary: np.nda
 def license_scan(docs: DataFrame, least: float = 0.8, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: n_words, n_base (places of phrases), first_word and last_word (their least and
     greatest first words, from 0; null without any), base_labels, labels (templates' too) and
-    score (1 at a base place, else the largest share of a template that one line holds, if at least ``least``).
+    score (1 at a base place, else the largest share of a template that one block holds, if at least ``least``).
 
     Null and empty texts have no words and score 0; repeated rows each give a row; an empty table gives none."""
     vocabulary = np.unique(np.concatenate([_words(t) for t in templates.values()]))
