@@ -290,6 +290,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench).count() == 0
 
 
+def test_items_of_few_plain_words_are_found_verbatim(spark):
+    items = ["Who wrote Hamlet?", "Who wrote Romeo and Juliet?", "What is 17 times 23?", "Did Alice Smith meet Bob Jones in Paris or Carol White in Rome with David Brown"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["so: " + x + " end" for x in items] + [x.lower() for x in items] + ["Who wrote Macbeth?", "Who wrote it? Hamlet", "WHAT IS 17 TIMES 24"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.verbatim) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(i, i % 4, 1.0, True) for i in range(8)]
+
+
 def test_slots_must_be_consistent(spark):
     bench = spark.createDataFrame([(1, "add 5 apples to 5 pears and then 5 plums for all of us today")], "item_id long, text string")
     rows = [(1, "add 7 apples to 7 pears and then 7 plums for all of us today"), (2, "add 7 apples to 8 pears and then 9 plums for all of us today")]

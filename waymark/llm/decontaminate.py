@@ -3,6 +3,8 @@
 Words become a template: numbers, names and units turn into typed placeholders, and what
 they were into slots.  Windows of templates are joined by hash, and a match counts if its
 slots are consistent: each value of the question stands for one value of the document.
+Besides, windows of the lower-cased words themselves are joined, so short questions, and those
+of names and numbers mostly, are found verbatim, whatever their capitals.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ BROADCAST_ROWS = 50_000
 # Units of measure.
 UNITS = "m km cm mm mi mile miles ft foot feet inch inches yard yards kg g mg lb lbs ton tons tonne tonnes l ml litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years c f k percent usd eur gbp dollar dollars euro euros pound pounds cent cents mph kmh kb mb gb tb w kw v a hz khz mhz ghz".split()
 NUM, NAME, UNIT = (U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
+#: Sets verbatim windows apart from templates.
+AS_IS = U(0x4444444444444444)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 
@@ -101,6 +105,17 @@ def _windows(p: Piece, sizes: list[int], passes) -> Iterator[tuple[int, int, int
             yield int(doc[i]) + p.rows.start, i - int(first[doc[i]]), int(grams[i : i + 1].view(np.int64)[0]), slots
 
 
+def _verbatim(p: Piece, sizes: list[int], passes) -> Iterator[tuple[int, int, int, list[str]]]:
+    """The same of lower-cased words as they stand, without slots."""
+    hashes, doc = Piece(p.rows, LOWER[p.data], p.offsets, p.starts, p.ends, p.first).hashes(), p.doc
+    for size in sizes:
+        grams, whole = p.windows(hashes, size)
+        grams = mix(grams ^ U(size) ^ AS_IS)
+        at, = np.nonzero(whole)
+        for i in at[passes(grams[at])].tolist():
+            yield int(doc[i]) + p.rows.start, i - int(p.first[doc[i]]), int(grams[i : i + 1].view(np.int64)[0]), []
+
+
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % U(FILTER_BITS)).astype(np.int64), (mix(hashes) % U(FILTER_BITS)).astype(np.int64)
 
@@ -109,7 +124,7 @@ _SHAPE = "{key} long, row_hash long, hash long, place int, n int, slots array<st
 
 
 def _emit(key: str, window: int, shared):
-    """Windows of each row; n is how many its row has (items) or 0.  shared: the filter and the sizes, or none for the items themselves."""
+    """Windows of each row; n is how many its row has (items) or 0.  Items' row_hash is the window's size, negative if verbatim.  shared: the filter and the sizes, or none for the items themselves."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +133,9 @@ def _emit(key: str, window: int, shared):
                 for p in pieces(batch.column(2), ALNUM):
                     for j in range(len(p.rows)):
                         one = Piece(range(p.rows[j], p.rows[j] + 1), p.data, p.offsets[j : j + 2], p.starts[p.first[j] : p.first[j + 1]], p.ends[p.first[j] : p.first[j + 1]], np.array([0, p.first[j + 1] - p.first[j]]))
+                        if size := min(window, len(one.starts)):
+                            found = list(_verbatim(one, [size], lambda g: np.ones(len(g), bool)))
+                            out += [(ids[r], -size, h, i, len(found), s) for r, i, h, s in found]
                         n = len(_templates(one)[0])
                         # an item's first word is a capital that says nothing; within a document's sentence it would be a name
                         skip = int(n > PLAIN)
@@ -133,7 +151,8 @@ def _emit(key: str, window: int, shared):
                     return bits[a] & bits[b]
 
                 for p in pieces(batch.column(2), ALNUM):
-                    out += [(ids[r], row_hash[r], h, i, 0, s) for r, i, h, s in _windows(p, sizes, passes)]
+                    for windows, own in ((_windows, [x for x in sizes if x > 0]), (_verbatim, [-x for x in sizes if x < 0])):
+                        out += [(ids[r], row_hash[r], h, i, 0, s) for r, i, h, s in windows(p, own, passes)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 6, kinds, strict=True)], names=[key, "row_hash", "hash", "place", "n", "slots"])
 
@@ -144,8 +163,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, wind
     """Per document and item that it contains: doc_id, row_hash (of the text), item_id, coverage
     (share of the item's windows), n_slots, and verbatim (no slot differs).
 
-    An item counts if at least ``least`` of its windows match with consistent slots.  Items of under PLAIN
-    template words are not looked for.  Null and empty texts match nothing; repeated rows give one
+    An item counts if at least ``least`` of its windows match with consistent slots, or as many of its
+    verbatim windows (of its lower-cased words; an item of up to ``window`` words is one); coverage is the larger share.
+    Template windows with under PLAIN plain words say too little, so items without others are found verbatim only.  Null and empty texts match nothing; repeated rows give one
     result; a null doc_id is carried as null."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lit(0).cast("long").alias("row_hash"), F.col(item_text_col).alias("text"))
@@ -158,13 +178,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, wind
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     hits = slim.mapInArrow(_emit("doc_id", window, spark.sparkContext.broadcast((bits, sizes))), _SHAPE.format(key="doc_id")).drop("n")
     few = wanted.count() <= BROADCAST_ROWS
-    w = wanted.select(h.alias("hash"), "item_id", F.col("place").alias("i_place"), "n", F.col("slots").alias("i_slots"))
+    w = wanted.select(h.alias("hash"), "item_id", (F.col("size") < 0).alias("as_is"), F.col("place").alias("i_place"), "n", F.col("slots").alias("i_slots"))
     found = hits.join(F.broadcast(w) if few else w, "hash").withColumn("shift", F.col("place") - F.col("i_place"))
     by = ["doc_id", "row_hash", "item_id"]
-    runs = found.groupBy(*by, "n", "shift").agg(F.collect_set("i_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("i_slots", "slots")))).alias("pairs"))
+    runs = found.groupBy(*by, "as_is", "n", "shift").agg(F.collect_set("i_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("i_slots", "slots")))).alias("pairs"))
     runs = runs.withColumn("consistent", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i_slots"]))))
-    whole = runs.filter("consistent").groupBy(*by, "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.max(F.size("pairs")).alias("n_slots"), F.bool_and(F.forall("pairs", lambda x: x["i_slots"] == x["slots"])).alias("verbatim"))
+    whole = runs.filter("consistent").groupBy(*by, "as_is", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.max(F.size("pairs")).alias("n_slots"), F.bool_and(F.forall("pairs", lambda x: x["i_slots"] == x["slots"])).alias("verbatim"))
     out = whole.withColumn("coverage", F.col("covered") / F.col("n")).filter(F.col("coverage") >= least)
+    # slots are told by the templates, if these match
+    slots, same = (F.max(F.when(~F.col("as_is"), F.col(c))) for c in ("n_slots", "verbatim"))
+    out = out.groupBy(*by).agg(F.max("coverage").alias("coverage"), F.coalesce(slots, F.lit(0)).alias("n_slots"), F.coalesce(same, F.lit(True)).alias("verbatim"))
     return out.select(*by, F.round("coverage", 6).alias("coverage"), F.col("n_slots").cast("int").alias("n_slots"), "verbatim")
 
 
