@@ -329,6 +329,21 @@ def test_languages(spark, empty):
     assert p[2].host is None
 
 
+def test_more_than_64_languages(spark):
+    """Every label is a class of its own, also those beyond the 64 most frequent."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = {f"l{i:02d}": ["".join(rng.choices(letters, k=5)) for _ in range(6)] for i in range(68)}
+    rows = [(10 * i + j, " ".join(rng.choices(lexicon[x], k=40)), x, f"h{i}", 1) for i, x in enumerate(lexicon) for j in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    names, model = languages.train(docs, "text", "lang")
+    assert names == list(lexicon)
+    got = {r.doc_id: (r.language, r.accepted) for r in languages.identify(languages.document_evidence(docs), names, model).collect()}
+    assert got == {i: (x, True) for i, _, x, _, _ in rows}
+    mixed = mixing.mix_documents(docs.withColumn("source", F.lit("s")), targets=mixing.Targets(power=0.0)).groupBy("lang").agg(F.sum(F.col("tokens") * F.col("weight")).alias("m")).collect()
+    assert len(mixed) == 68 and max(r.m for r in mixed) == pytest.approx(min(r.m for r in mixed), rel=1e-3)
+
+
 def test_evidence_decides_between_equal_texts(spark):
     """A text that says little goes with what is declared, and without that with its host."""
     rng = random.Random(0)

@@ -18,8 +18,6 @@ from waymark.llm.store import keep
 from waymark.llm.words import LOWER, pieces
 
 BUCKETS = 1 << 15
-#: Classes at most; the most frequent labels of the training rows.
-MAX_LANGUAGES = 64
 #: A text's trigrams depend on one another: n of them weigh as n / (1 + n / WEIGHT).
 WEIGHT = 64.0
 #: Share of the uniform model in each language's model; it is all of the undetermined one's.
@@ -67,10 +65,9 @@ def _count(languages: list[str]):
 
 
 def train(rows: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by trigram bucket, from all labelled rows.  The
-    result has at most MAX_LANGUAGES x BUCKETS numbers, whatever the rows."""
-    counts = rows.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MAX_LANGUAGES)
-    languages = sorted(r[0] for r in counts.collect())
+    """Languages and their log probabilities by trigram bucket, from all labelled rows.  Every
+    label is a class; the result has BUCKETS numbers for each, whatever the rows."""
+    languages = sorted(r[0] for r in rows.filter(F.col(label_col).isNotNull()).select(label_col).distinct().collect())
     model = np.zeros((len(languages) + 1, BUCKETS + 1), np.float32)
     model[-1, :BUCKETS] = -np.log(BUCKETS)
     if not languages:

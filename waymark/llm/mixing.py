@@ -27,8 +27,6 @@ TOPICS = {
 }
 OTHER = "other"
 MISSING = "missing"
-#: Languages at most whose marginal is fitted one by one; the rarer are one class.
-MAX_LANGUAGES = 64
 ROUNDS = 50
 CLOSE = 1e-6
 
@@ -69,7 +67,7 @@ def rake(cells: DataFrame, targets: Targets) -> tuple[DataFrame, dict[str, float
     shares of one (as near as the cells allow).
 
     A round is one job: each source's factor comes from its own row, and only the sums by
-    language and topic reach the driver, at most MAX_LANGUAGES times the topics."""
+    language and topic reach the driver, at most the languages times the topics."""
     pairs = sorted((r["lang"], r["topic"]) for r in cells.select("lang", "topic").distinct().collect())
     langs, topics = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
     cell = F.struct("lang", "topic", "tokens")
@@ -119,9 +117,7 @@ def mix_documents(docs: DataFrame, share: float = 0.8, targets: Targets | None =
     text = F.coalesce(F.col(text_col), F.lit(""))
     source, lang = (F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in (source_col, lang_col))
     slim = keep(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), source.alias("source"), lang.alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens")), "tokens")
-    common = [r[0] for r in slim.groupBy("lang").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    class_ = F.when(F.col("lang").isin(common), F.col("lang")).otherwise(OTHER)
-    cells = keep(slim.groupBy("source", class_.alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "cells")
+    cells = keep(slim.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "cells")
     cells = cells.filter("tokens > 0")
     factors, b, c, _ = rake(cells, targets)
     lookup = lambda x, k: F.element_at(F.create_map(*[F.lit(y) for kv in x.items() for y in kv]), k) if x else F.lit(1.0)
@@ -132,8 +128,7 @@ def mix_documents(docs: DataFrame, share: float = 0.8, targets: Targets | None =
     few = weighed.count() <= 100_000
     w = weighed.select(F.col("source").alias("w_s"), F.col("lang").alias("w_l"), F.col("topic").alias("w_t"), F.round(F.col("weight") * F.lit(total), 9).alias("w_weight"), F.round(chance, 9).alias("w_chance"))
     own = docs.select("*", topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
-    lang_class = F.when(lang.isin(common), lang).otherwise(OTHER)
-    own = own.join(F.broadcast(w) if few else w, (source == F.col("w_s")) & (lang_class == F.col("w_l")) & (F.col("topic") == F.col("w_t")), "left")
+    own = own.join(F.broadcast(w) if few else w, (source == F.col("w_s")) & (lang == F.col("w_l")) & (F.col("topic") == F.col("w_t")), "left")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
     p = F.coalesce("w_chance", F.lit(1.0))
     out = own.select(*docs.columns, "topic", F.col("tokens").cast("long"), F.coalesce("w_weight", F.lit(1.0)), p, u < p)
