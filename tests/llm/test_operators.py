@@ -194,9 +194,11 @@ def test_mixing_meets_the_targets(spark, docs, empty):
     rng = np.random.default_rng(0)
     cells = [(s, l, t, float(rng.integers(1, 1000))) for s in "abc" for l in ("en", "de") for t in ("x", "y")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
-    factors, b, c, _ = mixing.rake(df, mixing.Targets())
-    f = {r.source: r.factor for r in factors.collect()}
-    w = {(s, l, t): n * f[s] * b[l] * c[t] for s, l, t, n in cells}
+    total = sum(n for *_, n in cells)
+    found = mixing.rake(df, mixing.Targets(), 0.2)
+    assert found.share == 0.2 and found.off < mixing.CLOSE
+    f = {r.source: r.factor for r in found.factors.collect()}
+    w = {(s, l, t): n * f[s] * found.languages[l] * found.topics[t] / (0.2 * total) for s, l, t, n in cells}
     # by brute force
     x = {(s, l, t): n for s, l, t, n in cells}
     goals = []
@@ -216,10 +218,40 @@ def test_mixing_meets_the_targets(spark, docs, empty):
     out = mixing.mix_documents(clash(docs))
     assert out.count() == docs.count() and out.columns[-5:] == ["topic_", "tokens", "weight_", "probability", "sampled"]
     assert mixing.mix_documents(empty).count() == 0
-    total, expected = out.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).head()
-    assert expected == pytest.approx(0.8 * total, rel=1e-3)
-    small, large = ({(r.doc_id, r.text) for r in mixing.mix_documents(docs, share=s).filter("sampled").collect()} for s in (0.3, 0.7))
-    assert small <= large
+
+
+def test_mixing_with_chances_at_their_limit(spark):
+    """Where chances of 1 stand in the way, the others make up for it: the expected shares are the targets."""
+    rng = np.random.default_rng(1)
+    rows, i = [], 0
+    for s, weight in (("a", 60), ("b", 25), ("c", 6)):
+        for l, share in (("en", 0.7), ("de", 0.3)):
+            for text, much in (("plain words " * 20, 1.0), ("is it so? " * 20, 0.1)):
+                for _ in range(int(weight * share * much * 4) + 1):
+                    rows.append((i, text + "x" * int(rng.integers(0, 40)), l, s, 1))
+                    i += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix_documents(df, share=0.9).toPandas()
+    assert (out["probability"] == 1).any() and (out["probability"] < 1).any()
+    out["expected"] = out["tokens"] * out["probability"]
+    for c in ("source", "lang", "topic"):
+        have, got = out.groupby(c)["tokens"].sum() ** 0.7, out.groupby(c)["expected"].sum()
+        assert (got / got.sum() - have / have.sum()).abs().max() < 1e-3, c
+    # by brute force: a cell's chance is the product of its factors, cut at 1
+    cells = out.groupby(["source", "lang", "topic"]).agg(n=("tokens", "sum"), p=("probability", "first"), lo=("probability", "min"), hi=("probability", "max"))
+    assert (cells["lo"] == cells["hi"]).all()
+    share = out["expected"].sum() / out["tokens"].sum()
+    axes = {c: np.array(cells.index.get_level_values(c)) for c in ("source", "lang", "topic")}
+    goal = {c: {k: v / sum(g.values()) * share * cells["n"].sum() for k, v in g.items()} for c in axes if (g := (out.groupby(c)["tokens"].sum() ** 0.7).to_dict())}
+    f, n = np.ones(len(cells)), cells["n"].to_numpy(float)
+    for _ in range(3000):
+        for c, names in axes.items():
+            for k, want in goal[c].items():
+                mine = names == k
+                f[mine] *= want / np.minimum(n[mine], n[mine] * f[mine]).sum()
+    assert np.abs(np.minimum(1, f) - cells["p"].to_numpy()).max() < 1e-3
+    small, large = (set(mixing.mix_documents(df, share=s).filter("sampled").toPandas()["doc_id"]) for s in (0.2, 0.5))
+    assert len(small) < len(large)
 
 
 def test_licenses_against_brute_force(spark, docs, empty):
@@ -369,7 +401,7 @@ def test_toxicity(spark, empty):
         rows.append((i, " ".join(w), int(toxic)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     fold = F.pmod(F.col("doc_id"), F.lit(3))
-    model = toxicity.train(df, df.filter(fold != 0).select("text", "toxic", (F.col("doc_id") % 2).alias("fold")))
+    model = toxicity.train(df, df.filter(fold != 0).select("text", "toxic"))
     test = df.filter(fold == 0).select("text", "doc_id", "toxic")
     test = clash(test, "score")
     got = toxicity.score(test, model).toPandas()
@@ -379,7 +411,7 @@ def test_toxicity(spark, empty):
     s = [r.score for r in toxicity.score(odd.withColumn("i", F.monotonically_increasing_id()), model).orderBy("i").collect()]
     assert all(0 <= x <= 1 for x in s) and s[0] == s[1] < 0.5 < s[2]
     assert toxicity.score(empty.select("text", "doc_id"), model).count() == 0
-    one = toxicity.train(df, df.filter("toxic = 0").select("text", "toxic", F.lit(1).alias("fold")))
+    one = toxicity.train(df, df.filter("toxic = 0").select("text", "toxic"))
     assert toxicity.score(df.limit(3), one).count() == 3
 
 

@@ -11,23 +11,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymark.llm.store import free_name, hidden, keep, partitions
 
 #: Bits of each dimension's quantised value.
 BITS = 4
-#: Accuracy of the quantiles: 1 / so much of the rows.
-ACCURACY = 2000
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column as a number of the same order: strings by their first six bytes."""
-    kind = df.schema[name].dataType
+def _cuts(df: DataFrame, name: str, bits: int) -> list:
+    """The values at which the second and later of 2**bits parts of about equal numbers of rows begin: exact, from the counts of distinct
+    values, whatever their type.  Nulls count before all values.  At most 2**bits - 1 values come to the driver."""
     c = F.col(f"`{name}`")
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
+    total, nulls = df.agg(F.count("*"), F.count_if(c.isNull())).head()
+    counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
+    ranged = keep(counts.repartitionByRange(partitions(df.sparkSession), "v").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "values")
+    # one row for each partition
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("own"))
+    before = sums.select("part", (F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + nulls).alias("before"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.select("v", "part", within.alias("within")).join(F.broadcast(before), "part")
+    parts = placed.select("v", F.expr(f"((before + within) * {1 << bits}) div {max(1, total)}L").alias("q")).groupBy("q").agg(F.min("v").alias("v"))
+    return sorted(r["v"] for r in parts.filter("q > 0").collect())
 
 
 def _curve(values: list[Column], bits: int) -> list[tuple[str, Column]]:
@@ -72,20 +76,15 @@ def _curve(values: list[Column], bits: int) -> list[tuple[str, Column]]:
 
 
 def curve_index(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str = "curve") -> DataFrame:
-    """df with the Hilbert index of its dims, each quantised into 2**bits parts of about equal
-    numbers of rows.  Nulls are in the least part.  Names that df has already get an underscore."""
+    """df with the Hilbert index of its dims (of any type that has an order), each quantised into 2**bits parts of about equal
+    numbers of rows: a value's part is that of the first row that holds it, when all are in order.  Nulls are in the least part."""
     if not dims:
         raise ValueError("a curve needs a dimension")
-    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = df.select(*[_number(df, d).alias(f"d{i}") for i, d in enumerate(dims)])
-    # 2**bits - 1 numbers for each dimension come to the driver
-    found = numbers.agg(*[F.percentile_approx(f"d{i}", F.array(*[F.lit(x) for x in cuts]), F.lit(ACCURACY)).alias(f"d{i}") for i in range(len(dims))]).head()
     parts = []
-    for i, d in enumerate(dims):
-        value = _number(df, d)
-        part = F.lit(0)
-        for cut in sorted(set(found[i] or ())):
-            part = part + F.coalesce(value > F.lit(cut), F.lit(False)).cast("int")
+    for d in dims:
+        value, part = F.col(f"`{d}`"), F.lit(0)
+        for cut in _cuts(df, d, bits):
+            part = part + F.coalesce(value >= F.lit(cut), F.lit(False)).cast("int")
         parts.append(part)
     out = df.select("*", *[p.alias(f"_x{i}_0") for i, p in enumerate(parts)])
     for step, value in _curve([F.col(f"_x{i}_0") for i in range(len(dims))], bits)[len(dims) :]:

@@ -7,6 +7,7 @@ factors stay in a table; languages and topics are few, and theirs are literals.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -27,8 +28,9 @@ TOPICS = {
 }
 OTHER = "other"
 MISSING = "missing"
-ROUNDS = 50
-CLOSE = 1e-6
+#: Rounds before a share counts as out of reach, and how near a marginal must come to its target.
+ROUNDS = 40
+CLOSE = 1e-5
 
 
 @dataclass
@@ -61,91 +63,109 @@ def tempered(totals: dict[str, float], power: float, given: dict[str, float] | N
     return {k: v / s if s else 0.0 for k, v in raw.items()}
 
 
-def rake(cells: DataFrame, targets: Targets) -> tuple[DataFrame, dict[str, float], dict[str, float], int]:
-    """cells: source, lang, topic, tokens.  Returns a table (source, factor), factors of languages and
-    topics, and the rounds it took.  Tokens times the three factors have the target marginals as
-    shares of one (as near as the cells allow).
-
-    A round is one job: each source's factor comes from its own row, and only the sums by
-    language and topic reach the driver, at most the languages times the topics."""
-    pairs = sorted((r["lang"], r["topic"]) for r in cells.select("lang", "topic").distinct().collect())
-    langs, topics = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
-    cell = F.struct("lang", "topic", "tokens")
-    rows = keep(cells.groupBy("source").agg(F.collect_list(cell).alias("cells"), F.sum("tokens").alias("tokens")), "sources")
-    total = rows.agg(F.sum(F.pow("tokens", F.lit(targets.source_power)))).head()[0] or 0.0
-    sums = {(r["lang"], r["topic"]): r["tokens"] for r in cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).collect()}
-    goal_l = tempered({x: sum(sums.get((x, t), 0.0) for t in topics) for x in langs}, targets.power, targets.language)
-    goal_t = tempered({x: sum(sums.get((l, x), 0.0) for l in langs) for x in topics}, targets.power, targets.topic)
-    b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
-
-    def factor(b: dict, c: dict) -> Column:
-        if not pairs or not total:
-            return F.lit(1.0)
+@dataclass
+class Rake:
+    """What raking found: a document of a cell is drawn with the chance min(1, factor x languages x topics), factors being a
+    table (source, factor).  share: of all tokens, how many are then expected; off: the furthest that a marginal is from
+    its target, as a share; rounds: jobs."""
+
+    factors: DataFrame
+    languages: dict[str, float]
+    topics: dict[str, float]
+    share: float
+    off: float
+    rounds: int
+
+
+def _step(goal: float, capped: float, free: float) -> float:
+    """The factor for what isn't capped, so that both are the goal; where caps alone exceed it, all falls in proportion."""
+    if free <= 0 and capped <= goal * (1 + 1e-12):
+        return 1.0
+    return min(1e6, max(1e-6, (goal - capped) / free if goal > capped and free > 0 else goal / (capped + free)))
+
+
+def rake(cells: DataFrame, targets: Targets, share: float = 0.8) -> Rake:
+    """cells: source, lang, topic, tokens.  Iterative proportional fitting of chances that are at most 1: the expected tokens of
+    each source, language and topic are its target share of all expected tokens.
+
+    The targets come first: no more than ``share`` of the tokens are expected, and fewer where a target asks
+    for more than there is.  A round is one job: each source's factor is solved for in its own row, its capped cells fixed, and only
+    sums by language and topic reach the driver, at most the languages times the topics."""
+    own = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).collect()  # languages times topics
+    sums = {(r["lang"], r["topic"]): r["tokens"] for r in own}
+    langs, topics = sorted({a for a, _ in sums}), sorted({b for _, b in sums})
+    rows = keep(cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells"), F.sum("tokens").alias("tokens")), "sources")
+    raw = F.pow("tokens", F.lit(targets.source_power))
+    all_raw, least, total = rows.agg(F.sum(raw), F.min(F.col("tokens") / raw), F.sum("tokens")).head()
+    if not total:
+        return Rake(rows.select("source", F.lit(1.0).alias("factor")), {}, {}, 0.0, 0.0, 0)
+    have_l, have_t = {x: sum(sums.get((x, t), 0.0) for t in topics) for x in langs}, {x: sum(sums.get((l, x), 0.0) for l in langs) for x in topics}
+    goal_l, goal_t = tempered(have_l, targets.power, targets.language), tempered(have_t, targets.power, targets.topic)
+    asked = [have[x] / total / goal[x] for have, goal in ((have_l, goal_l), (have_t, goal_t)) for x in have if goal[x] > 0]
+    share = min(share, least * all_raw / total, *asked)
+
+    def factor(b: dict, c: dict, wanted: float) -> Column:
         lang, topic = (F.create_map(*[F.lit(y) for k, v in x.items() for y in (k, v)]) for x in (b, c))
-        now = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["tokens"] * F.element_at(lang, x["lang"]) * F.element_at(topic, x["topic"]))
-        return F.when(now > 0, F.pow("tokens", F.lit(targets.source_power)) / F.lit(total) / now).otherwise(0.0)
+        # the largest factors first: while one would be over 1, its cell is capped and the rest is solved for
+        each = F.array_sort(F.transform("cells", lambda x: F.named_struct(F.lit("r"), -F.element_at(lang, x["lang"]) * F.element_at(topic, x["topic"]), F.lit("n"), x["tokens"])))
+        start = F.named_struct(F.lit("g"), raw / F.lit(all_raw) * F.lit(wanted), F.lit("s"), F.aggregate(each, F.lit(0.0), lambda a, x: a - x["r"] * x["n"]), F.lit("done"), F.lit(False), F.lit("left"), F.size("cells"))
+
+        def cap(a: Column, x: Column) -> Column:
+            over = ~a["done"] & (-x["r"] * a["g"] > a["s"])
+            return F.named_struct(F.lit("g"), F.when(over, a["g"] - x["n"]).otherwise(a["g"]), F.lit("s"), F.when(over, a["s"] + x["r"] * x["n"]).otherwise(a["s"]), F.lit("done"), ~over, F.lit("left"), a["left"] - over.cast("int"))
+
+        return F.aggregate(each, start, cap, lambda a: F.when(a["left"] > 0, a["g"] / a["s"]).otherwise(1e12))
 
     n = 0
-    for n in range(1, ROUNDS + 1 if total else 0):
-        own = rows.select(factor(b, c).alias("f"), F.explode("cells").alias("c")).groupBy("c.lang", "c.topic").agg(F.sum(F.col("f") * F.col("c.tokens")).alias("m"))
-        m = {(r["lang"], r["topic"]): r["m"] for r in own.collect()}
-        off = max([abs(sum(v * b[l] * c[t] for (l, t), v in m.items() if l == x) - goal_l[x]) for x in langs] + [abs(sum(v * b[l] * c[t] for (l, t), v in m.items() if t == x) - goal_t[x]) for x in topics])
-        if off < CLOSE:
+    while True:
+        b, c, wanted, off = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0), share * total, 1.0
+        for _ in range(ROUNDS):
+            n += 1
+            chance = F.col("f") * F.element_at(F.create_map(*[F.lit(y) for kv in b.items() for y in kv]), F.col("c.lang")) * F.element_at(F.create_map(*[F.lit(y) for kv in c.items() for y in kv]), F.col("c.topic"))
+            full = chance >= 1
+            now = rows.select(factor(b, c, wanted).alias("f"), F.explode("cells").alias("c")).groupBy("c.lang", "c.topic").agg(F.sum(F.when(full, F.col("c.tokens")).otherwise(0.0)).alias("capped"), F.sum(F.when(full, 0.0).otherwise(chance * F.col("c.tokens"))).alias("free")).collect()
+            capped, free = ({(r["lang"], r["topic"]): r[k] for r in now} for k in ("capped", "free"))
+            is_ = lambda of, x, i: sum(v for k, v in of.items() if k[i] == x)
+            off = max(abs(is_(capped, x, i) + is_(free, x, i) - wanted * goal[x]) / wanted for i, goal in ((0, goal_l), (1, goal_t)) for x in goal)
+            if off < CLOSE:
+                break
+            for i, goal, by in ((0, goal_l, b), (1, goal_t, c)):
+                for x in goal:
+                    r = _step(wanted * goal[x], is_(capped, x, i), is_(free, x, i))
+                    by[x] *= r
+                    free = {k: v * r if k[i] == x else v for k, v in free.items()}
+        if off < CLOSE or share < 1e-3:
             break
-        for x in langs:
-            s = sum(v * c[t] for (l, t), v in m.items() if l == x)
-            b[x] = goal_l[x] / s if s > 0 else 0.0
-        for x in topics:
-            s = sum(v * b[l] for (l, t), v in m.items() if t == x)
-            c[x] = goal_t[x] / s if s > 0 else 0.0
-    return rows.select("source", factor(b, c).alias("factor")), b, c, n
+        share *= 0.9
+    if off >= CLOSE:
+        warnings.warn(f"marginals are up to {off:.2g} from their targets", stacklevel=2)
+    return Rake(rows.select("source", factor(b, c, wanted).alias("factor")), b, c, share, off, n)
 
 
 def mix_documents(docs: DataFrame, share: float = 0.8, targets: Targets | None = None, seed: int = 0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """docs with topic, tokens, weight (target tokens over tokens of its cell), probability and sampled.
-
-    A document's probability is min(1, scale x weight), with the scale at which the expected tokens
-    are ``share`` of all (or as near as the weights allow); it is sampled if a hash of its
-    id and seed, as a number in [0, 1), is less.  So samples are the same on every run, and
-    nested in those of a larger share.  Null sources, languages and texts: class "missing", and
-    no tokens (the probability is 1 then: nothing to weigh).  Repeated rows share their fate.  Columns that docs has
-    already get an underscore."""
+    """docs with topic, tokens, weight (of its cell, raked), probability and sampled.
+
+    A document's probability is min(1, weight), and the expected tokens by source, language and topic have the
+    target shares; they are ``share`` of all tokens, or as many as the targets allow (see rake).  A document is sampled if a hash of its
+    id, text and seed, as a number in [0, 1), is less than its probability.  So samples are the same on every run.  Null sources, languages and texts: class "missing", and
+    no tokens (the probability is 1 then: nothing to weigh).  Repeated rows, and ties of all that the hash reads, share their fate.  Columns that docs has
+    already get an underscore; an empty table gives an empty one; long texts are read whole."""
     targets = targets or Targets()
     given, new = docs.columns, [free_name(docs, x) for x in ("topic", "tokens", "weight", "probability", "sampled")]
     docs, called = hidden(docs)
     text_col, id_col, source_col, lang_col = (called[c] for c in (text_col, id_col, source_col, lang_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     source, lang = (F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in (source_col, lang_col))
-    slim = keep(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), source.alias("source"), lang.alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens")), "tokens")
-    cells = keep(slim.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "cells")
-    cells = cells.filter("tokens > 0")
-    factors, b, c, _ = rake(cells, targets)
+    slim = docs.select(source.alias("source"), lang.alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
+    cells = keep(slim.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "cells")
+    found = rake(cells, targets, share)
     lookup = lambda x, k: F.element_at(F.create_map(*[F.lit(y) for kv in x.items() for y in kv]), k) if x else F.lit(1.0)
-    weighed = keep(cells.join(factors, "source").withColumn("weight", F.col("factor") * lookup(b, F.col("lang")) * lookup(c, F.col("topic"))), "weights")
-    total = weighed.agg(F.sum("tokens")).head()[0] or 0.0
-    scale = _scale(weighed, share * total)
-    chance = F.least(F.lit(1.0), F.col("weight") * F.lit(scale))
+    weighed = keep(cells.join(found.factors, "source").withColumn("weight", F.col("factor") * lookup(found.languages, F.col("lang")) * lookup(found.topics, F.col("topic"))), "weights")
     few = weighed.count() <= 100_000
-    w = weighed.select(F.col("source").alias("w_s"), F.col("lang").alias("w_l"), F.col("topic").alias("w_t"), F.round(F.col("weight") * F.lit(total), 9).alias("w_weight"), F.round(chance, 9).alias("w_chance"))
+    w = weighed.select(F.col("source").alias("w_s"), F.col("lang").alias("w_l"), F.col("topic").alias("w_t"), F.round("weight", 9).alias("w_weight"))
     own = docs.select("*", topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
     own = own.join(F.broadcast(w) if few else w, (source == F.col("w_s")) & (lang == F.col("w_l")) & (F.col("topic") == F.col("w_t")), "left")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    p = F.coalesce("w_chance", F.lit(1.0))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.coalesce("w_weight", F.lit(1.0)))).otherwise(1.0)
     out = own.select(*docs.columns, "topic", F.col("tokens").cast("long"), F.coalesce("w_weight", F.lit(1.0)), p, u < p)
     return out.toDF(*given, *new)
-
-
-def _scale(weighed: DataFrame, wanted: float) -> float:
-    """The scale at which the expected tokens, each cell's probability at most 1, are what is wanted: exact at the
-    end, as with the capped cells fixed the rest is in proportion; each round caps more cells or ends."""
-    if not wanted:
-        return 1.0
-    scale = 0.0
-    for _ in range(200):
-        capped = F.col("weight") * F.lit(scale) >= 1
-        at, free = weighed.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("tokens") * F.col("weight")))).head()
-        new = (wanted - at) / free if free > 0 else scale
-        if new <= scale * (1 + 1e-12):
-            break
-        scale = new
-    return scale

@@ -1,6 +1,7 @@
-"""SpotSigs: a text as the set of short chains of content words that follow common words.
+"""SpotSigs: a text as the set of short chains of content words that follow anchors.
 
-Built from DataFrame functions only.
+Anchors are common words, the text's start, and one in ANCHOR_SHARE of all words, told by a hash, so that texts of any length
+and language have some.  Built from DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,41 +14,28 @@ from pyspark.sql import functions as F
 from waymark.llm.hilbert import places
 from waymark.llm.store import keep
 
-# Anchors, and further common words that chains leave out.
-ANCHORS = "the is that of and to in der die und ist zu le est la de et les el que los y".split()
-COMMON = "a an are as at be by for from has he it its on or was were with this you not das den dem des ein eine von mit auf für im nicht sich auch un une du en qui dans par pour sur au lo las una del al por con su para se es".split()
-CHAIN = 2
+# Common words.
+COMMON = "the is that of and to in a an are as at be by for from has he it its on or was were with this you not der die und ist zu das den dem des ein eine von mit auf für im nicht sich auch le est la de et les un une du en qui dans par pour sur au el que los y lo las una del al por con su para se es".split()
+#: Content words of a chain, and how many words after the anchor they are looked for among.
+CHAIN, SPAN = 2, 8
+ANCHOR_SHARE = 8
 _LEAST = -(1 << 63)
-SHORT = 100
-
-
-def _any(words: list[str]) -> str:
-    """A pattern of any of the words that shares their beginnings, so that most words of a text fail it at once."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        if w:
-            heads.setdefault(w[0], []).append(w[1:])
-    ways = "|".join(h + _any(rest) for h, rest in sorted(heads.items()))
-    return f"(?:{ways}){'?' * ('' in words)}" if ways else ""
 
 
 def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with a text column's signatures: sorted 32-bit hashes.
-
-    After each anchor come the next CHAIN words that are not common.  In a text of up to SHORT words, where anchors are
-    few, every word starts a chain of CHAIN + 1 words too.  A text without any signature has one of all its words.
-    What later steps read more than once is a step's column, so it is made once a row."""
-    anchor, kept = _any(ANCHORS), [F.col(f"`{c}`") for c in df.columns]
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    out = df.select(*kept, words.alias("_words"))
-    rare = F.regexp_replace("_words", f"(?<= )(?:{_any(COMMON)} )++", "")
-    chains = F.regexp_extract_all(rare, F.lit(f"(?<= )(?=({anchor}(?:(?: {anchor}(?= ))*+ [^ ]++){{{CHAIN}}}) )"), F.lit(1))
-    short = F.length("_words") - F.length(F.translate("_words", " ", "")) <= SHORT + 1
-    every = F.when(short, F.regexp_extract_all("_words", F.lit(f"(?<= )(?=([^ ]++(?: [^ ]++){{{CHAIN}}}) )"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    bare = F.transform(chains, lambda x: F.when(x.rlike(f" {anchor} "), F.regexp_replace(x, f"(?<= )(?:{anchor} )++", "")).otherwise(x))
-    out = out.select(*kept, "_words", F.concat(bare, every).alias("_chains"))
-    own = F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(F.array(F.concat(F.lit("="), "_words")))
-    return out.select(*kept, F.array_sort(F.array_distinct(F.transform(own, lambda x: F.hash(x)))).alias(name))
+    """df with a text column's signatures: sorted 32-bit hashes of an anchor and the first CHAIN words of the SPAN after
+    it that are not common (fewer at the end).  A text without a content word after an anchor has one signature, of all its words, so
+    texts of nothing but common words, and empty ones, are like their equals only."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    out = df.select(*kept, F.concat(F.array(F.lit("")), words).alias("_words"))
+    w = F.col("_words")
+    anchor = lambda x: x.isin("", *COMMON) | (F.pmod(F.hash(x), F.lit(ANCHOR_SHARE)) == 0)
+    chain = lambda i: F.slice(F.filter(F.slice(w, i + 2, F.lit(SPAN)), lambda x: ~x.isin(*COMMON)), F.lit(1), F.lit(CHAIN))
+    spots = F.filter(F.transform(w, lambda x, i: F.when(anchor(x), F.struct(x.alias("a"), chain(i).alias("c")))), lambda s: F.size(s["c"]) > 0)
+    out = out.select(*kept, "_words", spots.alias("_spots"))
+    hashes = F.when(F.size("_spots") > 0, F.transform("_spots", lambda s: F.hash(s))).otherwise(F.array(F.hash(F.lit("="), w)))
+    return out.select(*kept, F.array_sort(F.array_distinct(hashes)).alias(name))
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -74,13 +62,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = placed.count()
     before = placed.select(F.col("k").alias("p_k"), F.col("h").alias("p_h"), F.col("head").alias("p_head"), F.pmod(F.col("_place") + 1, F.lit(max(1, n))).alias("_place"))
     pairs = placed.join(before, "_place").select("k", "h", "p_k", "p_h", "p_head")
-    # signatures are made after the exchange of texts, which both joins then read
+    # signatures are made once, after the exchange of texts, which both joins read; each goes to its own row and to the one before
     own = rows.select("k", "text", h.alias("h"))
     once = with_spots(own.join(pairs, ["k", "h"]), "text", "spots")
-    heads = once.select("p_k", "p_h", F.expr("substring(text, 1, p_head)").alias("next_head"), F.col("spots").alias("next_spots")).dropDuplicates(["p_k", "p_h"])
-    heads = heads.withColumnRenamed("p_k", "k").withColumnRenamed("p_h", "h")
-    found = own.join(heads, ["k", "h"]).select(F.nullif("k", F.lit(_LEAST)).alias("doc_id"), "text", "next_head", "next_spots")
-    return with_spots(found, "text", "spots")
+    null = lambda kind: F.lit(None).cast(kind)
+    mine = F.struct("k", "h", F.col("spots").alias("spots"), null("string").alias("next_head"), null("array<int>").alias("next_spots"))
+    theirs = F.struct(F.col("p_k").alias("k"), F.col("p_h").alias("h"), null("array<int>").alias("spots"), F.expr("substring(text, 1, p_head)").alias("next_head"), F.col("spots").alias("next_spots"))
+    sent = once.select(F.explode(F.array(mine, theirs)).alias("x")).select("x.*")
+    got = sent.groupBy("k", "h").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("spots", "next_head", "next_spots")])
+    return own.join(got, ["k", "h"]).select(F.nullif("k", F.lit(_LEAST)).alias("doc_id"), "text", "spots", "next_head", "next_spots")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

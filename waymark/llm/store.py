@@ -6,6 +6,7 @@ costs a re-read and not a recomputation, and so that every reader sees the same
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is named and all of
+    Spark is one process, as executors elsewhere wouldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-waymark-", dir="/tmp"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

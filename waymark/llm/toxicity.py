@@ -1,12 +1,14 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
-Each class has interpolated Kneser-Ney bigram counts.  Both back off to one distribution
-of continuation counts that the whole corpus shares, so an expression that neither class
-has seen speaks for neither.  A text's score rests on the length-normalised difference of its two log
-likelihoods, over the whole text and over its worst stretch, calibrated on labelled rows
-that the counts have not seen.
-
-The trained tables have a fixed size (WORD_BITS, PAIR_BITS), whatever the corpus.
+Both levels of a class's model rest on continuation counts: a pair counts by how many different words precede it, a word
+by how many different words precede it, so copies of a text add nothing.  Each count is discounted, and what
+the discounts leave goes to the next level: from pairs to the class's words, and from these to continuation counts that
+the whole corpus shares.  Each level sums to one.  With a discount of several contexts, expressions that are rare in a class are left
+to the shared counts, which speak for neither class.
+
+A text's passages are its runs of PASSAGE words, and the whole text if it is shorter.  A passage's evidence is the
+difference of its two log likelihoods over its length; a text's is that of its worst passage, so that a few words are not
+lost in a long text.  One logistic curve, fitted on labelled rows that the counts have not seen, makes it a score.
 """
 
 from __future__ import annotations
@@ -19,198 +21,267 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.store import free_name, keep
-from waymark.llm.words import ALNUM, U, mix, pieces
-
-WORD_BITS = 19
-PAIR_BITS = 21
-#: Labelled rows to learn from at most, drawn by a hash of their id.
-MAX_TRAIN = 20_000
-MAX_CALIBRATE = 6_000
-DISCOUNT = 0.75
-#: Words of the stretch that is looked at by itself.
-STRETCH = 12
-#: What fewer of the texts to learn from hold says nothing of its class: it is left to the shared counts.
-RARE = 5
-_START = np.uint32((1 << WORD_BITS) - 1)
-
-
-def _ids(words: np.ndarray) -> np.ndarray:
-    return (words >> U(64 - WORD_BITS)).astype(np.uint32)
-
-
-def _before(p, ids: np.ndarray) -> np.ndarray:
+from waymark.llm.store import free_name, keep, partitions
+from waymark.llm.words import ALNUM, U, Piece, after, mix, pieces
+
+#: Words and rows of labelled texts to learn from at most, drawn by a hash of the text; so the model's size is bounded too.
+MAX_WORDS = 4_000_000
+MAX_ROWS = 200_000
+#: The same of rows to calibrate on.
+MAX_CALIBRATE = 1_500_000
+#: Words of a passage.
+PASSAGE = 3
+#: Contexts that are taken off each continuation count.
+DISCOUNT = 5
+#: Pairs of a task to take together before its distinct ones go on, and bytes of text for each part that counts them.
+TOGETHER = 1 << 21
+PART = 8 << 20
+#: Words that are at least this share of the labelled words are dealt to all parts, by what precedes them.
+COMMON = 1e-3
+#: Stands before a text's first word.
+_START = np.frombuffer(b"<start> ", U)[0]
+
+
+def _before(p: Piece, words: np.ndarray) -> np.ndarray:
     """The word before each word; at a text's start a mark."""
-    before = np.r_[_START, ids[:-1]] if len(ids) else ids
+    before = np.r_[_START, words[:-1]] if len(words) else words.copy()
     before[p.first[:-1][np.diff(p.first) > 0]] = _START
     return before
 
 
-def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (u.astype(np.int64) << WORD_BITS) | w.astype(np.int64)
-
-
-def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word id the number of texts of the batch that hold it."""
-    for batch in batches:
-        total = np.zeros(1 << WORD_BITS, np.int64)
-        for p in pieces(batch.column(0), ALNUM, lower=True):
-            ids = _ids(p.hashes())
-            if len(ids):
-                one = np.unique((p.doc.astype(np.int64) << WORD_BITS) | ids)
-                total += np.bincount(one & ((1 << WORD_BITS) - 1), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["w", "n"])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, pair, n, texts) of labelled texts: how often, and in how many."""
+def _contexts(parts: int, common: np.ndarray):
+    """Distinct pairs of words, by part: of each word how many words precede it, and 40 bits of each of them."""
+
+    def send(u: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = u >> U(24)
+        part = w % U(parts)
+        at = np.minimum(np.searchsorted(common, w), max(0, len(common) - 1))
+        if len(common):
+            hot = common[at] == w
+            part[hot] = (mix(w[hot]) ^ cut[hot]) % U(parts)
+        order = np.lexsort((cut, w, part))
+        cut, w, part = cut[order], w[order], part[order]
+        new = np.r_[True, (w[1:] != w[:-1]) | (cut[1:] != cut[:-1])]
+        cut, w, part = cut[new], w[new], part[new]
+        heads = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (part[1:] != part[:-1])])
+        n = np.diff(np.r_[heads, len(w)]).astype(np.uint32)
+        five = cut.view(np.uint8).reshape(-1, 8)[:, :5]
+        ends = np.r_[heads, len(w)]
+        bounds = np.searchsorted(part[heads], np.arange(parts + 1, dtype=U))
+        out = [(k, int(b - a), w[heads[a:b]].tobytes() + n[a:b].tobytes() + five[ends[a] : ends[b]].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "blob"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, ws, size = [], [], 0
+        for batch in batches:
+            for p in pieces(batch.column(0), ALNUM, lower=True):
+                words = p.hashes()
+                us.append(_before(p, words))
+                ws.append(words)
+                size += len(words)
+                if size >= TOGETHER:
+                    yield from send(np.concatenate(us), np.concatenate(ws))
+                    us, ws, size = [], [], 0
+        if size:
+            yield from send(np.concatenate(us), np.concatenate(ws))
+
+    return contexts
+
+
+def _count_contexts(sent: pa.Table) -> pa.Table:
+    """(w, n): distinct words before each word of one part."""
+    ws, cuts = [], []
+    for n, blob in zip(sent.column("n").to_pylist(), sent.column("blob").to_pylist(), strict=True):
+        each = np.frombuffer(blob, np.uint32, n, 8 * n)
+        five = np.zeros((int(each.sum()), 8), np.uint8)
+        five[:, :5] = np.frombuffer(blob, np.uint8, -1, 12 * n).reshape(-1, 5)
+        ws.append(np.repeat(np.frombuffer(blob, U, n), each))
+        cuts.append(five.reshape(-1).view(U))
+    w, cut = np.concatenate(ws), np.concatenate(cuts)
+    order = np.lexsort((cut, w))
+    w, cut = w[order], cut[order]
+    w = w[np.r_[True, (w[1:] != w[:-1]) | (cut[1:] != cut[:-1])]]
+    heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+    return pa.table([pa.array(w[heads].view(np.int64)), pa.array(np.diff(np.r_[heads, len(w)]))], names=["w", "n"])
+
+
+def continuation_counts(corpus: DataFrame, common: np.ndarray | None = None) -> DataFrame:
+    """(w, n): for each word (as its hash) of the texts the number of different words that precede it, a text's start being one.
+    common: sorted hashes of words so common that one part shouldn't hold them."""
+    text = corpus.select("text")
+    size = text.agg(F.sum(F.octet_length("text"))).head()[0] or 0  # one number
+    parts = max(partitions(corpus.sparkSession), -(-size // PART))
+    sent = text.mapInArrow(_contexts(parts, np.zeros(0, U) if common is None else common), "part int, n int, blob binary")
+    return sent.groupBy("part").applyInArrow(_count_contexts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (toxic, triple, pair, u, w) of labelled texts: each word with the one and the two before it, as hashes."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for p in pieces(batch.column(0), ALNUM, lower=True):
-            ids = _ids(p.hashes())
-            if not len(ids):
+            words = p.hashes()
+            if not len(words):
                 continue
-            key = (toxic[p.rows.start : p.rows.stop][p.doc] << (2 * WORD_BITS)) | _pair(_before(p, ids), ids)
-            order = np.lexsort((p.doc, key))
-            key, doc = key[order], p.doc[order]
-            new = np.r_[True, key[1:] != key[:-1]]
-            at = np.flatnonzero(new)
-            texts = np.add.reduceat((new | np.r_[True, doc[1:] != doc[:-1]]).astype(np.int64), at)
-            key, n = key[at], np.diff(np.r_[at, len(key)])
-            yield pa.RecordBatch.from_arrays([pa.array(key >> (2 * WORD_BITS), pa.int32()), pa.array(key & ((1 << 2 * WORD_BITS) - 1)), pa.array(n, pa.int64()), pa.array(texts)], names=["toxic", "pair", "n", "texts"])
+            u, label = _before(p, words), toxic[p.rows.start : p.rows.stop][p.doc]
+            pair, triple = after(u, words), after(_before(p, u), after(u, words))
+            order = np.lexsort((triple, label))
+            own = order[np.r_[True, (triple[order][1:] != triple[order][:-1]) | (label[order][1:] != label[order][:-1])]]
+            yield pa.RecordBatch.from_arrays([pa.array(label[own], pa.int32()), *[pa.array(x[own].view(np.int64)) for x in (triple, pair, u, words)]], names=["toxic", "triple", "pair", "u", "w"])
+
+
+def class_pairs(sample: DataFrame) -> DataFrame:
+    """(toxic, pair, u, w, n) of texts and their labels: n different words precede the pair u, w."""
+    triples = sample.select("text", "toxic").mapInArrow(_triples, "toxic int, triple long, pair long, u long, w long").distinct()
+    return triples.groupBy("toxic", "pair", "u", "w").agg(F.count("*").alias("n"))
 
 
 @dataclass
 class Model:
-    """log p(w|u, toxic) - log p(w|u, ordinary) is before[u] + word[w], and more[slot] on top for pairs that a class has seen."""
+    """log p(w|u, toxic) - log p(w|u, ordinary) is ratio[pair] where the pair has one, else before[u] + alone[w]; words
+    without an entry have 0 and rest.  A score is the logistic of bias + slope times a text's evidence."""
 
+    pairs: np.ndarray
+    ratio: np.ndarray
+    words: np.ndarray
     before: np.ndarray
-    word: np.ndarray
-    more: np.ndarray
-    weights: np.ndarray
-    scale: np.ndarray
+    alone: np.ndarray
+    rest: float
+    slope: float = 0.0
+    bias: float = 0.0
+
 
+def _look_up(keys: np.ndarray, values: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of sought keys, and which are known."""
+    if not len(keys):
+        return np.zeros(len(sought)), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return values[at].astype(np.float64), keys[at] == sought
 
-def _features(text: pa.Array, m: Model) -> np.ndarray:
-    """Per text: mean difference, mean over its worst stretch, worst word, log length."""
-    out = np.zeros((len(text), 4))
+
+def evidence(text: pa.Array, m: Model) -> np.ndarray:
+    """Of each text the length-normalised difference of its worst passage; 0 without words."""
+    out = np.zeros(len(text))
     for p in pieces(text, ALNUM, lower=True):
-        ids = _ids(p.hashes())
-        if not len(ids):
+        words = p.hashes()
+        if not len(words):
             continue
-        u = _before(p, ids)
-        s = m.before[u] + m.word[ids] + m.more[(mix(_pair(u, ids).astype(U)) >> U(64 - PAIR_BITS)).astype(np.int64)]
+        u = _before(p, words)
+        s, seen = _look_up(m.pairs, m.ratio, after(u, words))
+        alone, known = _look_up(m.words, m.alone, words[~seen])
+        before, met = _look_up(m.words, m.before, u[~seen])
+        s[~seen] = np.where(known, alone, m.rest) + np.where(met, before, 0.0)
         n = np.diff(p.first)
         full = np.flatnonzero(n)
-        at = p.first[:-1][full]
-        sums = np.r_[0.0, np.cumsum(s, dtype=np.float64)]
-        end = np.minimum(np.arange(len(s)) + STRETCH, p.first[1:][p.doc])
-        worst = np.maximum.reduceat((sums[end] - sums[:-1]) / STRETCH, at)
-        out[p.rows.start + full] = np.stack([(sums[at + n[full]] - sums[at]) / n[full], worst, np.maximum.reduceat(s, at), np.log1p(n[full])], axis=1)
+        sums = np.r_[0.0, np.cumsum(s)]
+        # passages begin at each word that leaves room, at the first at least
+        last = np.maximum(p.first[1:] - PASSAGE, p.first[:-1])[p.doc]
+        start = np.minimum(np.arange(len(s)), last)
+        end = np.minimum(start + PASSAGE, p.first[1:][p.doc])
+        out[p.rows.start + full] = np.maximum.reduceat((sums[end] - sums[start]) / (end - start), p.first[:-1][full])
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton's method: weights (bias last), and (mean, deviation)."""
-    scale = np.stack([x.mean(axis=0), x.std(axis=0) + 1e-9])
-    z = np.c_[(x - scale[0]) / scale[1], np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    ridge = np.r_[np.full(x.shape[1], 0.05), 1e-6]
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of a logistic curve, by Newton's method with a slight ridge."""
+    z, w = np.c_[x, np.ones(len(x))], np.zeros(2)
+    ridge = np.array([1e-2, 1e-6])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (q - y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-9:
             break
-    return w, scale
-
-
-def _score(x: np.ndarray, m: Model) -> np.ndarray:
-    z = np.c_[(x - m.scale[0]) / m.scale[1], np.ones(len(x))] @ m.weights
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-
-
-def _table(df: DataFrame, size: int, at: str, value: str) -> np.ndarray:
-    """A column of at most size numbers, gathered by place."""
-    got, out = df.select(at, value).toArrow().to_pandas(), np.zeros(size)
-    np.add.at(out, got[at].to_numpy(), got[value].to_numpy(dtype=float))
-    return out
+    return float(w[0]), float(w[1])
+
+
+def _of(df: DataFrame, *aggs) -> dict:
+    return {k: v or 0 for k, v in df.agg(*aggs).head().asDict().items()}
+
+
+def class_tables(pairs: DataFrame, shared: DataFrame, d: int = DISCOUNT) -> tuple[DataFrame, DataFrame, float]:
+    """Of pairs (toxic, pair, u, w, n) and shared continuation counts (w, n): tables (pair, ratio) and (word, alone, before), and the rest's
+    ratio; see Model.  What no class has in more than d contexts has no row, as it follows from the level below.  A class without pairs is the shared distribution."""
+    total = _of(shared, F.sum("n").alias("t"))["t"] + 1.0  # one for unknown words
+    over = lambda c: F.greatest(F.col(c) - F.lit(float(d)), F.lit(0.0))
+    most = lambda c: F.least(F.col(c), F.lit(float(d)))
+    words = pairs.groupBy("w").agg(*[F.count_if(F.col("toxic") == c).alias(f"k{c}") for c in (0, 1)])
+    facts = _of(words, *[x for c in (0, 1) for x in (F.sum(f"k{c}").alias(f"t{c}"), F.sum(most(f"k{c}")).alias(f"l{c}"))])
+    left = {c: facts[f"l{c}"] / facts[f"t{c}"] if facts[f"t{c}"] else 1.0 for c in (0, 1)}
+    rest = float(np.log(left[1] / left[0]))
+    both = pairs.groupBy("pair", "u", "w").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+    heads = both.groupBy("u").agg(*[x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"t{c}"), F.sum(most(f"n{c}")).alias(f"l{c}"))])
+    heads = heads.select("u", "t0", "t1", *[F.when(F.col(f"t{c}") > 0, F.col(f"l{c}") / F.col(f"t{c}")).otherwise(1.0).alias(f"a{c}") for c in (0, 1)])
+    share = (F.col("n") / F.lit(total)).alias("p")
+    own = both.filter(f"n0 > {d} or n1 > {d}").join(heads, "u")
+    words = keep(words.join(shared, "w").select("w", "k0", "k1", share), "words")
+    known = words.select("w", "k0", "k1", *[(over(f"k{c}") / F.lit(float(facts[f"t{c}"] or 1)) + F.lit(left[c]) * F.col("p")).alias(f"q{c}") for c in (0, 1)])
+    chance = {c: over(f"n{c}") / F.greatest(F.col(f"t{c}"), F.lit(1)) + F.col(f"a{c}") * F.col(f"q{c}") for c in (0, 1)}
+    ratios = own.join(known, "w").select("pair", F.log(chance[1] / chance[0]).cast("float").alias("ratio"))
+    alone = known.filter(f"k0 > {d} or k1 > {d}").select(F.col("w").alias("word"), F.log(F.col("q1") / F.col("q0")).alias("alone"))
+    before = heads.filter("a0 < 1 or a1 < 1").select(F.col("u").alias("word"), F.log(F.col("a1") / F.col("a0")).alias("before"))
+    table = alone.join(before, "word", "full").select("word", F.coalesce("alone", F.lit(rest)).cast("float").alias("alone"), F.coalesce("before", F.lit(0.0)).cast("float").alias("before"))
+    return ratios, table, rest
+
+
+def _sorted(table: pa.Table, key: str, *values: str) -> list[np.ndarray]:
+    keys = table.column(key).to_numpy().view(U)
+    order = np.argsort(keys)
+    return [keys[order], *[table.column(v).to_numpy()[order] for v in values]]
 
 
 def train(corpus: DataFrame, labelled: DataFrame) -> Model:
-    """corpus: text (all of it, unlabelled); labelled: text, toxic (0 or 1), fold (calibrates where 0).
-
-    Labelled rows over MAX_TRAIN and MAX_CALIBRATE are thinned by a hash.  With one class only, or none, scores are the base rate."""
-    size = 1 << WORD_BITS
-    shared = _table(corpus.select("text").mapInArrow(_corpus, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")), size, "w", "n")
-    shared = (shared + 0.5) / (shared + 0.5).sum()
-    labelled = keep(labelled.dropDuplicates(["text", "toxic"]).select("text", F.col("toxic").cast("int").alias("toxic"), "fold", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("draw")), "labelled")
-    n_train, n_cal = labelled.agg(F.count_if(F.col("fold") != 0), F.count_if(F.col("fold") == 0)).head()
-    thin = lambda n, most: F.col("draw") < int((1 << 20) * min(1.0, most / max(n, 1)))
-    fit, check = labelled.filter((F.col("fold") != 0) & thin(n_train, MAX_TRAIN)), labelled.filter((F.col("fold") == 0) & thin(n_cal, MAX_CALIBRATE))
-    pairs = keep(fit.select("text", "toxic").mapInArrow(_pairs, "toxic int, pair long, n long, texts long").groupBy("toxic", "pair").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "pairs")
-    low = F.col("pair").bitwiseAND(size - 1)
-    pairs = pairs.withColumn("u", F.shiftright("pair", WORD_BITS).cast("int")).withColumn("w", low.cast("int"))
-    before, word, follow, weight = [], [], [], []
-    often = _table(pairs.groupBy("w").agg(F.sum("texts").alias("n")), size, "w", "n") >= RARE
-    for c in (1, 0):
-        own = pairs.filter(F.col("toxic") == c)
-        total = _table(own.groupBy("u").agg(F.sum("n").alias("n")), size, "u", "n")
-        kinds = _table(own.groupBy("u").agg(F.count("*").alias("n")), size, "u", "n")
-        heads = _table(own.groupBy("w").agg(F.count("*").alias("n")), size, "w", "n") * often
-        gamma = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        mass = DISCOUNT * (heads > 0).sum() + 1.0
-        cont = (np.maximum(heads - DISCOUNT, 0) + mass * shared) / (np.maximum(heads - DISCOUNT, 0).sum() + mass)
-        gamma = np.where(often, gamma, 1.0)
-        before.append(np.log(gamma))
-        word.append(np.log(cont))
-        follow.append(total)
-        weight.append(gamma)
-    small = np.float32
-    model = Model((before[0] - before[1]).astype(small), (word[0] - word[1]).astype(small), np.zeros(1 << PAIR_BITS, small), np.zeros(5), np.array([[0.0] * 4, [1.0] * 4]))
-    tables = pairs.sparkSession.sparkContext.broadcast([small(x) for x in (*follow, *weight, np.exp(word[0]), np.exp(word[1]))])
-
-    def excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a seen pair adds to its back-off's difference, by slot."""
-        n1, n0, g1, g0, c1, c0 = tables.value
-        for batch in batches:
-            u, w, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            p = [np.maximum(n - DISCOUNT, 0) / np.maximum(t[u], 1) + g[u] * k[w] for n, t, g, k in ((a, n1, g1, c1), (b, n0, g0, c0))]
-            gain = np.log(p[0]) - np.log(g1[u] * c1[w]) - np.log(p[1]) + np.log(g0[u] * c0[w])
-            slot = (mix(_pair(u, w).astype(U)) >> U(64 - PAIR_BITS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(gain, pa.float64())], names=["slot", "gain"])
-
-    both = pairs.groupBy("pair", "u", "w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"), F.sum("texts").alias("texts")).filter(F.col("texts") >= RARE)
-    model.more += _table(both.select("u", "w", "a", "b").mapInArrow(excess, "slot int, gain double").groupBy("slot").agg(F.avg("gain").alias("gain")), 1 << PAIR_BITS, "slot", "gain").astype(small)
-    handed = pairs.sparkSession.sparkContext.broadcast(model)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """corpus: text (all of it, unlabelled); labelled: text, toxic (0 or 1; null: left out), of which texts whose hash is 0 modulo 4 calibrate.
+
+    Equal texts count once for each label.  Labelled texts over MAX_WORDS, MAX_ROWS and MAX_CALIBRATE are thinned by a hash of the text, so
+    neither the order of rows nor their number of copies matters.  With one class only, or none, scores are the base rate."""
+    spark = corpus.sparkSession
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = labelled.filter("toxic is not null").select(text.alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(text).alias("h"), (F.octet_length(text) / 6 + 1).alias("words"))
+    rows = rows.withColumns({"fold": F.pmod("h", F.lit(4)) == 0, "draw": F.pmod(F.floor(F.col("h") / 4), F.lit(1 << 20))})
+    each = keep(rows.groupBy("h", "toxic").agg(F.first("fold").alias("fold"), F.first("draw").alias("draw"), F.first("words").alias("words")), "labelled")
+    n = _of(each, *[x for k, c in (("fit", ~F.col("fold")), ("check", F.col("fold"))) for x in (F.sum(F.when(c, F.col("words"))).alias(k), F.count_if(c).alias(f"{k}_n"))])
+    share = {k: min(1.0, most / max(n[k], 1), MAX_ROWS / max(n[f"{k}_n"], 1)) for k, most in (("fit", MAX_WORDS), ("check", MAX_CALIBRATE))}
+    drawn = F.col("draw") < F.when(F.col("fold"), int((1 << 20) * share["check"])).otherwise(int((1 << 20) * share["fit"]))
+    # a bounded number of texts: one for each hash and label
+    sample = keep(rows.filter(drawn).groupBy("h", "toxic").agg(F.first("text").alias("text"), F.first("fold").alias("fold")), "sample")
+    pairs = keep(class_pairs(sample.filter("not fold")), "pairs")
+    tokens = _of(pairs, F.sum("n").alias("n"))["n"]
+    # at most 1 / COMMON words come to the driver
+    common = np.sort(np.array([r[0] for r in pairs.groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON * max(tokens, 1)).select("w").collect()], np.int64).view(U))
+    shared = keep(continuation_counts(corpus, common), "shared")
+    ratios, table, rest = class_tables(pairs, shared)
+    # bounded by MAX_WORDS: a row for each pair and word of the labelled sample
+    keys, ratio = _sorted(ratios.toArrow(), "pair", "ratio")
+    words, alone, before = _sorted(table.toArrow(), "word", "alone", "before")
+    model = Model(keys, ratio, words, before, alone, rest)
+    handed = spark.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _features(batch.column(0), handed.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(4)]], names=["toxic", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(evidence(batch.column(0), handed.value))], names=["toxic", "x"])
 
-    got = check.select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double, d double").toArrow().to_pandas()
-    y = got["toxic"].to_numpy(dtype=float)
+    got = sample.filter("fold").select("text", "toxic").mapInArrow(weigh, "toxic int, x double").toArrow()
+    x, y = got.column("x").to_numpy(), got.column("toxic").to_numpy().astype(float)
     if len(set(y.tolist())) == 2:
-        model.weights, model.scale = _logistic(got[["a", "b", "c", "d"]].to_numpy(), y)
+        order = np.lexsort((y, x))
+        model.slope, model.bias = _logistic(x[order], y[order])
     else:
         rate = (y.sum() + 0.5) / (len(y) + 2)
-        model.weights = np.array([0, 0, 0, 0, np.log(rate / (1 - rate))])
+        model.bias = float(np.log(rate / (1 - rate)))
     return model
 
 
 def score(rows: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """rows without the text, with its toxicity (0 to 1).  Null and empty texts score as a text that
-    has no words; every row gets a score, repeated rows the same."""
+    """rows without the text, with its toxicity (0 to 1).  Null and empty texts have no evidence and score
+    what the curve says of none; every row gets a score, repeated rows the same.  Long texts are scored whole.  If rows has a column of the name, an underscore is added."""
     name = free_name(rows, name)
     handed = rows.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = handed.value
-            x = _features(batch.column(0), m)
-            s = np.where(x[:, 3] > 0, _score(x, m), min(0.01, _score(np.zeros((1, 4)), m)[0]))
+            s = 1 / (1 + np.exp(-np.clip(m.bias + m.slope * evidence(batch.column(0), m), -35, 35)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, batch.num_columns)], pa.array(s)], names=[*batch.schema.names[1:], name])
 
     rest = [c for c in rows.columns if c != text_col]

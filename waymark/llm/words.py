@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
+#: A word's hash is its bytes' polynomial modulo two primes, each with a base of its own.
+PRIMES = ((2147483647, 911382323), (2147483629, 972663749))
+#: From so many bytes on, terms are reduced before they are added up, so that sums stay within 64 bits.
+_LONG = 1 << 24
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE_SPLIT = np.ones(256, bool)
@@ -26,17 +28,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i up to n."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(1 << 16, n + n // 4 + 1)
-        inverse, both = pow(base, -1, 1 << 64), []
-        for b in (base, inverse):
-            steps = np.full(size, b, U)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=U))
-        _powers[base] = tuple(both)
-    return _powers[base]
+def _power(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse modulo a prime, for i up to n."""
+    if prime not in _powers or len(_powers[prime][0]) <= n:
+        both = []
+        for b in (base, pow(base, -1, prime)):
+            steps = np.ones(1, U)
+            while len(steps) <= max(1 << 16, n):
+                steps = np.r_[steps, steps * U(pow(b, len(steps), prime)) % U(prime)]
+            both.append(steps)
+        _powers[prime] = tuple(both)
+    return _powers[prime]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,21 +71,36 @@ class Piece:
         n = len(self.data)
         if not len(self.starts):
             return np.zeros(0, U)
-        power, inverse = _power(_BASE, n)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * power[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        bytes_, out = self.data.astype(U) + U(1), np.zeros(len(self.starts), U)
+        for prime, base in PRIMES:
+            power, inverse = _power(prime, base, n)
+            terms = bytes_ * power[:n]
+            sums = np.zeros(n + 1, U)
+            np.cumsum(terms if n < _LONG else terms % U(prime), out=sums[1:])
+            out = (out << U(32)) | ((sums[self.ends] - sums[self.starts]) % U(prime) * inverse[self.starts] % U(prime))
+        return mix(out)
+
+    def within(self, k: int) -> np.ndarray:
+        """By first word: whether k words in a row lie within one row."""
+        doc = self.doc
+        return doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :]
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k words in a row, by first word; and which of them lie within one row."""
         n = len(hashes) - k + 1
         if n <= 0:
             return np.zeros(0, U), np.zeros(0, bool)
-        power, inverse = _power(_WORD_BASE, len(hashes))
-        sums = np.zeros(len(hashes) + 1, U)
-        np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-        doc = self.doc
-        return mix((sums[k:] - sums[:-k]) * inverse[:n]), doc[:n] == doc[k - 1 :]
+        size, own = 1, hashes
+        while 2 * size <= k:
+            own, size = after(own[:-size], own[size:]), 2 * size
+        if size < k:
+            own = after(own[:n], own[k - size :])
+        return own, self.within(k)
+
+
+def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what a and then b stand for."""
+    return mix(a * U(0x9E3779B97F4A7C15) + b)
 
 
 def pieces(column: pa.Array, word: np.ndarray, size: int = 1 << 19, lower: bool = False) -> Iterator[Piece]:
