@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from waymark.llm.store import keep, partitions
 from waymark.llm.words import SPACE_SPLIT, Piece, U, mix, pieces
 
-#: Bytes of text in a bucket, on average; one long text is whole in its own.
-BUCKET = 8 << 20
+#: Bytes of text in a bucket, on average: the least, and the most.  It grows with the square root of the input from FROM bytes on, as
+#: what buckets and parts send one another is their number squared.  One long text is whole in its own bucket.
+BUCKET, MOST, FROM = 8 << 20, 64 << 20, 50 << 30
+#: Buckets of a small input, if there are as many partitions.
+FEW = 16
 _LEAST = np.iinfo(np.int64).min
 #: A full window's second hash is independent of its first.
 _SECOND = U(0xA24BAED4963EE407)
@@ -238,7 +241,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """doc_id, row_hash, text and bucket; and how many buckets there are."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).head()[0] or 0  # one number
-    n = max(2 * partitions(docs.sparkSession), -(-total // BUCKET))
+    size = min(MOST, int(BUCKET * max(1.0, total / FROM) ** 0.5))
+    n = max(min(FEW, partitions(docs.sparkSession)), -(-total // size))
     return slim.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_LEAST)), "row_hash"), F.lit(n)).cast("int")), n
 
 
