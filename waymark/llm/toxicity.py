@@ -34,7 +34,7 @@ PASSAGE = 3
 #: Contexts that are taken off each continuation count.
 DISCOUNT = 5
 #: Pairs of a task to take together before its distinct ones go on, and bytes of text for each part that counts them.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 PART = 8 << 20
 #: Words that are at least this share of the labelled words are dealt to all parts, by what precedes them.
 COMMON = 1e-3
