@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.store import keep
@@ -22,8 +22,8 @@ from waymark.llm.words import ALNUM, LOWER, Piece, U, mix, pieces
 WINDOW = 8
 #: Words of a window that must not be placeholders.
 PLAIN = 4
-#: Bits of the filter that documents' windows pass before they are joined; fixed, whatever the benchmark.
-FILTER_BITS = 1 << 22
+#: Bits for each window of the benchmark in the filter that documents' windows pass before they are joined, a power of two in all.
+FILTER_BITS = 32
 BROADCAST_ROWS = 50_000
 # Units of measure.
 UNITS = "m km cm mm mi mile miles ft foot feet inch inches yard yards kg g mg lb lbs ton tons tonne tonnes l ml litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years c f k percent usd eur gbp dollar dollars euro euros pound pounds cent cents mph kmh kb mb gb tb w kw v a hz khz mhz ghz".split()
@@ -116,8 +116,8 @@ def _verbatim(p: Piece, sizes: list[int], passes) -> Iterator[tuple[int, int, in
             yield int(doc[i]) + p.rows.start, i - int(p.first[doc[i]]), int(grams[i : i + 1].view(np.int64)[0]), []
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes % U(FILTER_BITS)).astype(np.int64), (mix(hashes) % U(FILTER_BITS)).astype(np.int64)
+def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return (hashes % U(size)).astype(np.int64), (mix(hashes) % U(size)).astype(np.int64)
 
 
 _SHAPE = "{key} long, row_hash long, hash long, place int, n int, slots array<string>"
@@ -147,8 +147,8 @@ def _emit(key: str, window: int, shared):
                 bits, sizes = shared.value
 
                 def passes(g: np.ndarray) -> np.ndarray:
-                    a, b = _bits(g)
-                    return bits[a] & bits[b]
+                    a, b = _bits(g, 8 * len(bits))
+                    return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
                 for p in pieces(batch.column(2), ALNUM):
                     for windows, own in ((_windows, [x for x in sizes if x > 0]), (_verbatim, [-x for x in sizes if x < 0])):
@@ -159,39 +159,48 @@ def _emit(key: str, window: int, shared):
     return emit
 
 
+def _consistent(pairs: Column) -> Column:
+    """Each value of the question stands for one value, and different names for different names."""
+    names = F.filter(pairs, lambda x: x["i_slots"].startswith("2:"))
+    one = lambda a, side: F.size(F.array_distinct(F.transform(a, lambda x: x[side]))) == F.size(a)
+    return one(pairs, "i_slots") & one(names, "slots")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document and item that it contains: doc_id, row_hash (of the text), item_id, coverage
     (share of the item's windows), n_slots, and verbatim (no slot differs).
 
     An item counts if at least ``least`` of its windows match with consistent slots, or as many of its
     verbatim windows (of its lower-cased words; an item of up to ``window`` words is one); coverage is the larger share.
-    Template windows with under PLAIN plain words say too little, so items without others are found verbatim only.  Null and empty texts match nothing; repeated rows give one
-    result; a null doc_id is carried as null."""
+    Template windows with under PLAIN plain words say too little, so items without others are found verbatim only.  Null and empty texts match nothing; long texts are searched whole; repeated rows give one
+    result; a null doc_id is carried as null; ties of shifts go to the first; other columns are not looked at, whatever their names; an empty table or benchmark gives no rows."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lit(0).cast("long").alias("row_hash"), F.col(item_text_col).alias("text"))
     wanted = keep(items.mapInArrow(_emit("item_id", window, None), _SHAPE.format(key="item_id")).withColumnRenamed("row_hash", "size"), "items")
-    # at most FILTER_BITS numbers come to the driver, whatever the benchmark
     h = F.col("hash")
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[wanted.select("hash").distinct().mapInArrow(_filter_bits, "bit int").distinct().toArrow().column("bit").to_numpy()] = True
+    own = wanted.select("hash").distinct().toArrow().column("hash").to_numpy().view(U)  # a number for each window of the benchmark
+    size = 1 << max(16, int(FILTER_BITS * len(own)).bit_length())
+    full = np.zeros(size, bool)
+    for at in _bits(own, size):
+        full[at] = True
+    bits = np.packbits(full, bitorder="little")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     hits = slim.mapInArrow(_emit("doc_id", window, spark.sparkContext.broadcast((bits, sizes))), _SHAPE.format(key="doc_id")).drop("n")
     few = wanted.count() <= BROADCAST_ROWS
     w = wanted.select(h.alias("hash"), "item_id", (F.col("size") < 0).alias("as_is"), F.col("place").alias("i_place"), "n", F.col("slots").alias("i_slots"))
     found = hits.join(F.broadcast(w) if few else w, "hash").withColumn("shift", F.col("place") - F.col("i_place"))
     by = ["doc_id", "row_hash", "item_id"]
-    runs = found.groupBy(*by, "as_is", "n", "shift").agg(F.collect_set("i_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("i_slots", "slots")))).alias("pairs"))
-    runs = runs.withColumn("consistent", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i_slots"]))))
-    whole = runs.filter("consistent").groupBy(*by, "as_is", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.max(F.size("pairs")).alias("n_slots"), F.bool_and(F.forall("pairs", lambda x: x["i_slots"] == x["slots"])).alias("verbatim"))
+    pairs = lambda c: F.array_distinct(F.flatten(c))
+    runs = found.groupBy(*by, "as_is", "n", "shift").agg(F.collect_set("i_place").alias("places"), pairs(F.collect_set(F.arrays_zip("i_slots", "slots"))).alias("pairs"))
+    runs = runs.filter(_consistent(F.col("pairs")))
+    whole = runs.groupBy(*by, "as_is", "n").agg(pairs(F.collect_list("pairs")).alias("pairs"), F.size(pairs(F.collect_list("places"))).alias("covered"), F.max_by(F.struct(F.size("places").alias("covered"), "pairs"), F.struct(F.size("places"), -F.col("shift"))).alias("best"))
+    # shifts whose slots contradict one another do not add up: the best one counts
+    add = _consistent(F.col("pairs"))
+    whole = whole.select(*by, "as_is", "n", F.when(add, F.col("covered")).otherwise(F.col("best.covered")).alias("covered"), F.when(add, F.col("pairs")).otherwise(F.col("best.pairs")).alias("pairs"))
+    whole = whole.select(*by, "as_is", "n", "covered", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda x: x["i_slots"] == x["slots"]).alias("verbatim"))
     out = whole.withColumn("coverage", F.col("covered") / F.col("n")).filter(F.col("coverage") >= least)
     # slots are told by the templates, if these match
     slots, same = (F.max(F.when(~F.col("as_is"), F.col(c))) for c in ("n_slots", "verbatim"))
     out = out.groupBy(*by).agg(F.max("coverage").alias("coverage"), F.coalesce(slots, F.lit(0)).alias("n_slots"), F.coalesce(same, F.lit(True)).alias("verbatim"))
     return out.select(*by, F.round("coverage", 6).alias("coverage"), F.col("n_slots").cast("int").alias("n_slots"), "verbatim")
-
-
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = np.unique(np.concatenate(_bits(batch.column(0).to_numpy().view(U))))
-        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int32())], names=["bit"])

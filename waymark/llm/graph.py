@@ -7,24 +7,18 @@ from pyspark.sql import functions as F
 
 from waymark.llm.store import keep
 
-#: Up to so many links one task does it, without a shuffle.
-FEW = 1_000_000
-
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the least id reachable over links (a, b).  Each round every node takes the
     least label around it and then that label's own label, so stars settle in two rounds and
     chains in a number of rounds that follows the logarithm of their length."""
     both = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    few = both.count() <= FEW
-    alone = lambda df: df.coalesce(1) if few else df
-    both = alone(both)
-    labels = alone(keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels"))
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("id").alias("j_id"), F.col("label").alias("j_label"))
-        new = alone(keep(step.join(jump, step.label == jump.j_id).select("id", "was", F.least("label", "j_label").alias("label")), "labels"))
+        new = keep(step.join(jump, step.label == jump.j_id).select("id", "was", F.least("label", "j_label").alias("label")), "labels")
         if new.filter("was <> label").isEmpty():
             return new.select("id", "label")
         labels = new.select("id", "label")

@@ -24,13 +24,8 @@ def _cuts(df: DataFrame, name: str, bits: int) -> list:
     c = F.col(f"`{name}`")
     total, nulls = df.agg(F.count("*"), F.count_if(c.isNull())).head()
     counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-    ranged = keep(counts.repartitionByRange(partitions(df.sparkSession), "v").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "values")
-    # one row for each partition
-    sums = ranged.groupBy("part").agg(F.sum("n").alias("own"))
-    before = sums.select("part", (F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + nulls).alias("before"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.select("v", "part", within.alias("within")).join(F.broadcast(before), "part")
-    parts = placed.select("v", F.expr(f"((before + within) * {1 << bits}) div {max(1, total)}L").alias("q")).groupBy("q").agg(F.min("v").alias("v"))
+    placed = running(counts, ["v"], F.col("n"), "values")
+    parts = placed.select("v", F.expr(f"((_before + {nulls}) * {1 << bits}) div {max(1, total)}L").alias("q")).groupBy("q").agg(F.min("v").alias("v"))
     return sorted(r["v"] for r in parts.filter("q > 0").collect())
 
 
@@ -92,19 +87,34 @@ def curve_index(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_curve").alias(name))
 
 
-def places(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
-    """df in the given order, with each row's place from 0.  Written once, as a place must not
-    change when a partition is made again."""
-    spark = df.sparkSession
+def _ranged(df: DataFrame, order: Sequence[str | Column], name: str) -> tuple[DataFrame, Column, Column]:
+    """df in order, written once, as a place must not change when a partition is made again; each row's partition, and its place in that."""
     mark = free_name(df, "_mark")
-    ranged = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
     ranged = keep(ranged.withColumn(mark, F.monotonically_increasing_id()), name)
-    part, own = F.shiftright(F.col(mark), 33), F.col(mark).bitwiseAND((1 << 33) - 1)
-    # one row for each partition
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = ranged.join(F.broadcast(before), part == F.col("_part"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + own).alias("_place"))
+    return ranged, F.shiftright(F.col(mark), 33), F.col(mark).bitwiseAND((1 << 33) - 1)
+
+
+def _base(ranged: DataFrame, part: Column, weight: Column) -> DataFrame:
+    """(_part, _base): the sum of what the partitions before each hold; a row for each partition."""
+    sums = ranged.groupBy(part.alias("_part")).agg(F.sum(weight).alias("_n"))
+    return sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+
+
+def places(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with each row's _place from 0 in the given order."""
+    ranged, part, own = _ranged(df, order, name)
+    out = ranged.join(F.broadcast(_base(ranged, part, F.lit(1))), part == F.col("_part"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + own).alias("_place"))
+
+
+def running(df: DataFrame, order: Sequence[str | Column], weight: Column, name: str) -> DataFrame:
+    """df with _before, the sum of a whole-numbered weight over the rows before each in the given order.  A window adds up within each partition of
+    a range exchange, never over all rows."""
+    ranged, part, own = _ranged(df, order, name)
+    within = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumns({"_part": part, "_own": own}).withColumn("_within", within).join(F.broadcast(_base(ranged, part, weight)), "_part")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_within")).alias("_before"))
 
 
 def hilbert_shards(df: DataFrame, dims: Sequence[str], shards: int, tie: Sequence[str], bits: int = BITS) -> DataFrame:

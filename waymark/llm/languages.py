@@ -27,6 +27,7 @@ PRIOR = 20.0
 #: Hosts and domains to broadcast at most.
 BROADCAST_ROWS = 100_000
 UNDETERMINED = "und"
+EVIDENCE = ("declared", "host", "domain", "suffix")
 _LETTER = LOWER.copy()
 _LETTER[:0x80] = np.where(((_LETTER[:0x80] >= 0x61) & (_LETTER[:0x80] <= 0x7A)), _LETTER[:0x80], 0x20)
 _ANY = np.ones(256, bool)
@@ -119,8 +120,11 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, least: fl
     Adds language, confidence (its posterior), text_language (what the text alone says) and
     accepted: not undetermined, and confidence at least ``least``.  Missing evidence (null) says
     nothing.  A null or empty text, or one without letters, is undetermined with confidence 1
-    and not accepted.  Repeated rows each get their result."""
+    and not accepted.  Long texts are read whole.  Repeated rows each get their result; ties go to the first language in alphabetical order.  Other columns may have any name but
+    those that are added."""
     spark = rows.sparkSession
+    called = {c: f"_own{i}" for i, c in enumerate(rows.columns) if c not in ("text", *EVIDENCE)}
+    rows = rows.select("text", *[F.col(f"`{c}`").alias(called.get(c, c)) for c in rows.columns if c != "text"])
     names = [*languages, UNDETERMINED]
     array = F.array(*[F.lit(x) for x in names])
     others = [c for c in rows.columns if c != "text"]
@@ -164,7 +168,8 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, least: fl
     found = found.withColumn("posterior", _softmax(logs)).withColumn("confidence", F.when(blank, 1.0).otherwise(F.array_max("posterior")))
     best = F.element_at(array, F.array_position("posterior", F.array_max("posterior")).cast("int"))
     found = found.withColumn("language", F.when(blank, UNDETERMINED).otherwise(best))
-    return found.select(*others, "language", F.round("confidence", 6).alias("confidence"), F.when(blank, UNDETERMINED).otherwise(F.element_at(array, F.col("guess"))).alias("text_language"), ((F.col("language") != UNDETERMINED) & (F.col("confidence") >= least)).alias("accepted"))
+    back = {v: k for k, v in called.items()}
+    return found.select(*[F.col(c).alias(back.get(c, c)) for c in others], "language", F.round("confidence", 6).alias("confidence"), F.when(blank, UNDETERMINED).otherwise(F.element_at(array, F.col("guess"))).alias("text_language"), ((F.col("language") != UNDETERMINED) & (F.col("confidence") >= least)).alias("accepted"))
 
 
 #: Parts of a page that are not its own words.

@@ -22,19 +22,29 @@ from waymark.llm.words import ALNUM, U, Piece, pieces
 
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Notices as their licenses word them.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-terms": "you may not use this file except in compliance with the License",
-    "mit": "Released under the MIT License",
-    "mit-terms": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "all-rights-reserved": "Copyright All rights reserved",
-    "public-domain": "This work is dedicated to the public domain",
-}
+# Notices as their licenses word them: label, text, words that a block must hold, and words that it must not.
+TEMPLATES = [
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache", ""),
+    ("apache-2.0-terms", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "compliance", ""),
+    ("mit", "Released under the MIT License", "mit", ""),
+    ("mit-terms", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted", ""),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "fee permission", ""),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu 3", "lesser affero"),
+    ("gpl-terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu redistribute", "lesser affero library"),
+    ("lgpl-terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gnu lesser redistribute", ""),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla", ""),
+    ("bsd", "Released under the BSD License", "bsd", ""),
+    ("bsd-terms", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution", ""),
+    ("cc-by-4.0", "Licensed under CC BY 4.0", "cc by", "nc sa nd"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc nc", "sa nd"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc sa", "nc nd"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "commons attribution", "noncommercial sharealike noderivatives"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "commons noncommercial", "sharealike noderivatives"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "commons sharealike", "noncommercial noderivatives"),
+    ("all-rights-reserved", "Copyright All rights reserved", "copyright reserved", ""),
+    ("public-domain", "This work is dedicated to the public domain", "dedicated domain", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered", ""),
+]
 
 
 #: Words of a block for each word of the template.
@@ -45,6 +55,10 @@ def _words(text: str) -> np.ndarray:
     return next(pieces(pa.array([text]), ALNUM, lower=True)).hashes()
 
 
+def vocabulary_of(templates: list[tuple[str, str, str, str]]) -> np.ndarray:
+    return np.unique(np.concatenate([_words(t) for x in templates for t in x[1:]]))
+
+
 def _blocks(p: Piece) -> np.ndarray:
     """For each word the number of its line, counted over the piece; texts end lines."""
     ends = np.cumsum(np.r_[0, p.data == 0x0A])
@@ -71,12 +85,14 @@ def _frequencies(vocabulary: np.ndarray):
     return frequencies
 
 
-def _scan(phrases: dict[str, str], templates: dict[str, str], vocabulary: np.ndarray, rank: np.ndarray, least: float):
+def _scan(phrases: dict[str, str], templates: list[tuple[str, str, str, str]], vocabulary: np.ndarray, rank: np.ndarray, least: float):
     sought = [(_words(k), v) for k, v in phrases.items()]
     # each template's tokens as their numbers, rarest first
-    sets = [(name, sorted(set(np.searchsorted(vocabulary, _words(text)).tolist()), key=lambda t: rank[t])) for name, text in templates.items()]
+    tokens = lambda text: np.searchsorted(vocabulary, _words(text)).tolist()
+    sets = [(name, sorted(set(tokens(text)), key=lambda t: rank[t])) for name, text, _, _ in templates]
     needed = [max(1, ceil(least * len(s) - 1e-9)) for _, s in sets]
-    spans = [SPAN * len(_words(text)) for text in templates.values()]
+    spans = [SPAN * len(_words(text)) for _, text, _, _ in templates]
+    must, never = ([set(tokens(x[k])) for x in templates] for k in (2, 3))
     # by token: whether it is the template's, and whether one of its rarest
     member, rare = np.zeros((len(sets), len(vocabulary)), bool), np.zeros((len(sets), len(vocabulary)), bool)
     for i, (_, s) in enumerate(sets):
@@ -117,8 +133,13 @@ def _scan(phrases: dict[str, str], templates: dict[str, str], vocabulary: np.nda
                     at, end = np.arange(len(place)), np.searchsorted(place, np.minimum(place + spans[i], p.first[1:][doc[place]]))
                     hot = np.r_[0, np.cumsum(rare[i][token])]
                     for j in np.flatnonzero((end - at >= needed[i]) & (hot[end] > hot[at])).tolist():
-                        common = len(set(token[j : end[j]].tolist()))
-                        if common >= needed[i]:
+                        held = set(token[j : end[j]].tolist())
+                        common = len(held)
+                        if common < needed[i] or not must[i] <= held:
+                            continue
+                        # from the first of the template's words to the last, none that tells another license
+                        between = which[np.searchsorted(own, place[j]) : np.searchsorted(own, place[end[j] - 1], "right")]
+                        if not never[i] & set(between.tolist()):
                             r = int(doc[place[j]]) + p.rows.start
                             also[r].add(name)
                             score[r] = max(score[r], common / len(s))
@@ -129,13 +150,14 @@ def _scan(phrases: dict[str, str], templates: dict[str, str], vocabulary: np.nda
     return scan
 
 
-def license_scan(docs: DataFrame, least: float = 0.8, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, least: float = 0.8, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: n_words, n_base (places of phrases), first_word and last_word (their least and
     greatest first words, from 0; null without any), base_labels, labels (templates' too) and
     score (1 at a base place, else the largest share of a template that one block holds, if at least ``least``).
 
-    Null and empty texts have no words and score 0; repeated rows each give a row; an empty table gives none."""
-    vocabulary = np.unique(np.concatenate([_words(t) for t in templates.values()]))
+    A block counts for a template if it also holds the words that tell its license, and none that tells another.  Null and empty texts have no words and score 0; long texts are read whole; repeated rows each give a row, a null id too; an empty table gives none; other
+    columns of docs are not looked at, whatever their names."""
+    vocabulary = vocabulary_of(templates)
     text = docs.select(F.col(text_col).alias("text"))
     counts = text.mapInArrow(_frequencies(vocabulary), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row for each word of the templates
     n = np.zeros(len(vocabulary), np.int64)

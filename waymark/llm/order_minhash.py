@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.graph import components
+from waymark.llm.hilbert import running
 from waymark.llm.store import keep
 from waymark.llm.words import ALNUM, U, mix, pieces
 
@@ -82,6 +83,11 @@ def _each(column: pa.Array, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
             yield hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest(), _labelled(own)
 
 
+def _id(digest: bytes) -> int:
+    """A text's number, whatever the ids of its rows: half of its digest."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _sketch(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +95,7 @@ def _sketch(k: int):
             for digest, grams in _each(batch.column(1), k):
                 same.append(digest)
                 keys.append(_draws(grams).astype(np.int64).tolist() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array([_id(x) for x in same], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "id", "keys"])
 
     return sketch
 
@@ -97,8 +103,11 @@ def _sketch(k: int):
 def _shingles(k: int):
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [(g >> U(32)).astype(np.uint32).tobytes() for _, g in _each(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "grams"])
+            ids, blobs = [], []
+            for digest, g in _each(batch.column(1), k):
+                ids.append(_id(digest))
+                blobs.append((g >> U(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "grams"])
 
     return shingles
 
@@ -225,8 +234,7 @@ def _within(grams: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     into blocks of a bounded size, and each two blocks near enough are a task's row group of their own."""
     size = F.octet_length("grams") / 4
     own = groups.join(grams, "id").select("label", "id", size.cast("long").alias("size"), "grams")
-    order = Window.partitionBy("label").orderBy("size", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keep(own.drop("grams").withColumn("block", F.floor(F.sum(F.col("size") + TEXT).over(order) / BLOCK)), "placed")
+    placed = running(own.drop("grams"), ["label", "size", "id"], F.col("size") + TEXT, "placed").withColumn("block", F.floor(F.col("_before") / BLOCK))
     ends = placed.groupBy("label", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     x, y = ends.select("label", F.col("block").alias("x"), "hi"), ends.select("label", F.col("block").alias("y"), "lo")
     meet = keep(x.join(y, "label").filter(f"x <= y and (x = y or hi >= {least}D * lo - 1e-9D)").select("label", "x", "y"), "meet")
@@ -239,31 +247,31 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
     """Per row of docs: doc_id, class_id (the least id of its class), n_links (other texts that
     its text is linked with), and same, a digest of its words.
 
-    Texts with the same words are one text.  Two texts are linked if their alignment over
+    Texts with the same words are one text, whatever their ids.  Two texts are linked if their alignment over
     k-word shingles is at least ``least``; classes are the components.  Null and empty texts are the same
     text; a text without words is like its exact copies only; ties take the least id; rows
-    that share an id are one document, whose texts' classes are one.  Rows without an id get
-    no class.
+    that share an id are one document, whose texts' classes are one (that adds no link).  Rows without an id get
+    no class.  Columns of docs beside id and text are not looked at, whatever their names; long texts are compared whole.
 
     Each draw's equal keys make a bucket.  A bucket of up to SMALL texts compares every pair.  Texts
     that meet over larger buckets are a group, and every pair of a group is compared whose lengths allow
     a link (see _within), so links are counted in full there, also between texts that share no bucket.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = keep(slim.mapInArrow(_sketch(k), "doc_id long, same binary, keys array<long>"), "sketches")
-    texts = keep(sketches.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
-    keyed = texts.filter("keys is not null").select("id", F.explode("keys").alias("bucket"))
+    sketches = keep(slim.mapInArrow(_sketch(k), "doc_id long, same binary, id long, keys array<long>"), "sketches")
+    named = sketches.filter("doc_id is not null")
+    texts = keep(named.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "texts")
+    keyed = texts.filter("keys is not null").select("id", "doc_id", F.explode("keys").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = keep(keyed.join(sizes, "bucket"), "members")
-    ids = members.select("id").distinct()
+    # texts of one id are one document's
+    several = named.groupBy(F.col("doc_id").alias("own")).agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("own", "a")
+    links = keep(named.join(several, named.doc_id == several.own).select("a", F.col("id").alias("b"), F.lit(0).cast("long").alias("n")).filter("a <> b").distinct(), "one-id")
+    ids = members.select("doc_id").distinct()
     n = ids.count()
     if n:
         ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-        wanted = slim.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        grams = keep(wanted.mapInArrow(_shingles(k), "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "grams")
-    links = labels = None
-    if n:
+        grams = keep(slim.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingles(k), "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "grams")
         groups = keep(_groups(members), "groups")
         groups = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
         pairs = _all_pairs(members).distinct()
@@ -273,17 +281,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
         pairs = keep(pairs.filter("g_a is null or g_b is null or g_a <> g_b").select("a", "b"), "pairs")
         x, y = (grams.withColumnRenamed("id", side).withColumnRenamed("grams", name) for side, name in (("a", "x"), ("b", "y")))
         single = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, likeness double").select("a", "b", F.lit(1).cast("long").alias("n"))
-        links = keep(single.unionByName(_within(grams, groups, least)), "links")
-        labels = keep(components(links.filter("a <> b")), "labels")
-        labels = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
-    found = texts.select("same", "id")
-    if labels is not None:
-        ends = links.select(F.col("a").alias("id"), "n").union(links.filter("a <> b").select("b", "n"))
-        degree = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
-        found = found.join(labels, "id", "left").join(degree, "id", "left")
-    else:
-        found = found.withColumn("label", F.lit(None).cast("long")).withColumn("n_links", F.lit(None).cast("long"))
-    found = found.select("same", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = sketches.select("doc_id", "same").join(found, "same", "left")
+        links = keep(links.unionByName(single).unionByName(_within(grams, groups, least)), "links")
+    labels = keep(components(links.filter("a <> b")), "labels")
+    classes = labels.join(texts.select("id", "doc_id"), "id")
+    least_id = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    ends = links.select(F.col("a").alias("id"), "n").union(links.filter("a <> b").select("b", "n"))
+    degree = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
+    found = keep(labels.join(least_id, "label").join(degree, "id").select("id", "class_id", "n_links"), "found")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    # a text without links is alone in its class
+    alone = texts.select("id", F.col("doc_id").alias("first")).join(found, "id", "left").select("id", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = sketches.select("doc_id", "same", "id").join(alone, "id", "left")
     own = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(own, F.col("class_id")).alias("class_id"), F.when(own, F.col("n_links")).alias("n_links"), "same")
