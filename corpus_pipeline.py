@@ -38,13 +38,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the least id.  Rows without an id stay."""
+    """One document of each class of near copies stays: the one with the least id.  Rows without an id stay, and rows of one id
+    whose texts differ; of those that agree in id and text one stays."""
     found = keep(near_copies(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "copies")
     kept = docs.join(_few(found), "doc_id", "left_anti")
-    # rows that share the id and the text are copies too; they are told apart by neither
+    # rows that share the id and the text are copies too
     many = _few(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     once = kept.join(many, "doc_id", "left_anti")
-    again = kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = kept.join(many, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
     return once.select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
@@ -56,13 +57,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that the tokens meet the target shares of sources, languages and topics."""
+    """Documents are drawn so that the tokens meet the target shares of sources, languages and topics.  Nulls are a class of
+    their own, empty texts stay, repeated rows share their fate."""
     mixed = mix_documents(docs)
     return mixed.filter(mixed.columns[-1]).select(*COLUMNS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards along a Hilbert curve: the columns of documents, curve, shard and slot."""
+    """Eight shards along a Hilbert curve: the columns of documents, curve, shard and slot.  Nulls come first, ties go by id and
+    size, and every row has a place, repeated ones too."""
     return hilbert_shards(docs.select(*COLUMNS), ["source", "lang", "n_chars", "doc_id"], 8, ["doc_id", "n_chars"])
 
 
