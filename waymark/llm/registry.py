@@ -12,6 +12,7 @@ from waymark.llm.licenses import license_scan
 from waymark.llm.mixing import mix_documents
 from waymark.llm.order_minhash import near_copies
 from waymark.llm.spotsigs import edited_likeness
+from waymark.llm.store import keep
 from waymark.llm.substrings import cut_repeats
 from waymark.llm.url_lists import listed
 
@@ -41,7 +42,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     slim = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    out = hilbert_shards(slim, ["source", "lang", "size", "doc_id"], 8, ["doc_id", "text_crc32", "size"])
+    # texts are read once; what the curve needs is small
+    out = hilbert_shards(keep(slim, "slim"), ["source", "lang", "size", "doc_id"], 8, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
