@@ -32,13 +32,53 @@ def test_questions(spark, tmp_path):
     assert readers.jsonl(spark, str(tmp_path / "none.jsonl"), "a int", missing_ok=True).count() == 0
 
 
-def test_flat_index(spark, tmp_path):
+def test_flat_index(spark, tmp_path, monkeypatch):
+    import struct
+
     import numpy as np
 
     x = np.arange(12, dtype="<f4").reshape(4, 3)
-    (tmp_path / "i.bin").write_bytes(b"h" * 45 + x.tobytes())
-    got = readers.flat_index(spark, str(tmp_path / "i.bin"), 3).orderBy("row").collect()
-    assert [r.embedding for r in got] == x.tolist()
+    head = lambda magic=b"IxFI", d=3, n=4, trained=True, metric=0, codes=12: struct.pack("<4siqqq?iq", magic, d, n, 1 << 20, 1 << 20, trained, metric, codes)
+    path, ids = str(tmp_path / "i.bin"), str(tmp_path / "docid")
+    (tmp_path / "i.bin").write_bytes(head() + x.tobytes())
+    (tmp_path / "docid").write_text("a\nb\nc\nd\n")
+    got = readers.flat_index(spark, path, 3, ids).orderBy("row").collect()
+    assert [r.embedding for r in got] == x.tolist() and [r.id for r in got] == list("abcd")
+    for bad in (head(magic=b"IxF2"), head(d=4), head(metric=1), head(codes=11), head(n=5)):
+        (tmp_path / "i.bin").write_bytes(bad + x.tobytes())
+        with pytest.raises(Exception, match="header|magic"):
+            readers.flat_index(spark, path, 3).collect()
+    (tmp_path / "i.bin").write_bytes(head() + x.tobytes()[:-2])
+    with pytest.raises(Exception, match="no whole vectors"):
+        readers.flat_index(spark, path, 3).collect()
+    (tmp_path / "i.bin").write_bytes(head() + x.tobytes())
+    (tmp_path / "docid").write_text("a\nb\n")
+    with pytest.raises(ValueError, match="as many ids"):
+        readers.flat_index(spark, path, 3, ids)
+
+
+def test_npy(spark, tmp_path):
+    import numpy as np
+
+    x = np.arange(24, dtype="<f4").reshape(4, 3, 2)
+    np.save(tmp_path / "x.npy", x)
+    got = readers.npy(spark, str(tmp_path / "x.npy")).orderBy("row").collect()
+    assert [r.embedding for r in got] == x.reshape(4, 6).tolist()
+    np.save(tmp_path / "y.npy", x.astype("<f8"))
+    with pytest.raises(ValueError, match="float32"):
+        readers.npy(spark, str(tmp_path / "y.npy"))
+
+
+def test_load_config(tmp_path):
+    import json
+
+    from waymark import config
+
+    (tmp_path / "c.json").write_text(json.dumps({s: {} for s in config.SECTIONS}))
+    assert set(config.load_config(str(tmp_path / "c.json"))) == set(config.SECTIONS)
+    (tmp_path / "c.json").write_text(json.dumps({s: {} for s in config.SECTIONS[1:]}))
+    with pytest.raises(ValueError, match="missing"):
+        config.load_config(str(tmp_path / "c.json"))
 
 
 def test_audit_sheet(spark, tmp_path):
@@ -46,6 +86,9 @@ def test_audit_sheet(spark, tmp_path):
     writers.audit_sheet(df, str(tmp_path / "s"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         writers.audit_sheet(df, str(tmp_path / "s"))
+    (part,) = (tmp_path / "s").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfpair_id")
+    assert readers.audit_sheet(spark, str(tmp_path / "s")).columns == ["pair_id", "dataset", "same_meaning", "answer_still_correct", "notes"]
     (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbfpair_id,notes\np1,\n")
     assert readers.audit_sheet(spark, str(tmp_path / "b.csv")).columns == ["pair_id", "notes"]
 
@@ -98,3 +141,21 @@ def test_outcomes(spark):
     lat = spark.createDataFrame([(1, "A2", 1.0, 0.5, 0.25)], "qid int, action string, retrieval_latency double, rerank_latency double, followup_latency double")
     r = P.outcomes(gen, ans, lat).head()
     assert (r.em, r.f1, r.latency_total, r.llm_calls) == (1.0, 1.0, 3.75, 2)
+
+
+def test_phases_of_the_second_generation(spark):
+    """Candidates, follow-ups and answers through a model that is a function."""
+    from pyspark.sql import functions as F
+
+    echo = lambda prompts: [{"raw": f"Query: {p.splitlines()[-2]}" if p.endswith("query:") else f"Rewrite: {p.splitlines()[0]} other words\nmore"} for p in prompts]
+    q = spark.createDataFrame([("c1", "Who wrote it?", ["X"]), ("c2", "When was it?", ["Y"])], "cluster_id string, question string, answers array<string>")
+    c = P.candidates(q, echo, n=3)
+    assert sorted((r.cluster_id, r.pos, r.seed, r.text) for r in c.collect()) == [(k, i, 42 + i, f"{42 + i} other words") for k in ("c1", "c2") for i in range(3)]
+    out = P.screen_all(c, lambda a, b: F.lit(True), lambda a, b: F.when(b.startswith("43"), 0.1).otherwise(0.9))
+    assert {(r.pos, r.reason) for r in out.collect()} == {(0, None), (1, "cosine"), (2, None)}
+    first = spark.createDataFrame([(1, "Who?", [("t", "body")])], "qid int, question string, passages array<struct<title:string,text:string>>")
+    assert [r.followup for r in P.followups(first, echo).collect()] == ["Question: Who?"]
+    assert [tuple(r) for r in P.rewrites(first, lambda p: [{"raw": "who ?"} for _ in p]).collect()] == [(1, "who ?", True)]
+    assert [r.usable for r in P.rewrites(first, lambda p: [{"raw": "WHO?"} for _ in p]).collect()] == [False]
+    said = lambda p: [{"raw": "Reasoning: so.\nAnswer: it"} for _ in p]
+    assert [tuple(r) for r in P.generations(first.withColumn("action", F.lit("A2")), said, reason=True).collect()] == [(1, "A2", "it")]

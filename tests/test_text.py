@@ -55,3 +55,18 @@ def test_yes_no_and_prompt(spark):
     assert yes("Yes", "yes") and not yes("yes", "no") and not yes("maybe")
     p = F.array(F.struct(F.lit("T").alias("title"), F.lit("x").alias("text")))
     assert value(spark, T.message("Do.", F.lit("q?"), p, "\nAnswer:")) == "Do.\n\nPassage 1 (T): x\n\nQuestion: q?\nAnswer:"
+
+
+def test_composed_and_decomposed_letters_are_the_same(spark):
+    composed, apart = "caf\u00e9 M\u00fcller", "cafe\u0301 Mu\u0308ller"
+    rows = [(a, t, hit) for a, t, hit in [(["M\u00fcller"], apart, True), (["Mu\u0308ller"], composed, True), (["caf\u00e9 mu\u0308ller"], composed, True), (["muller"], composed, False), ([], composed, False), (["", None], composed, False)]]
+    df = spark.createDataFrame(rows, "a array<string>, t string, hit boolean")
+    assert all(r.got == r.hit for r in df.select("hit", T.has_answer(F.col("a"), F.col("t")).alias("got")).collect())
+    leak = spark.createDataFrame([(["M\u00fcller"], apart, "who?"), (["M\u00fcller"], apart, composed)], "a array<string>, p string, q string")
+    assert [r[0] for r in leak.select(T.leaks_answer(F.col("p"), F.col("q"), F.col("a"))).collect()] == [True, False]
+
+
+def test_all_pairs_of_quotes_go(spark):
+    rows = [("\"'\"'\"'x'\"'\"'\"", "x"), ("\" 'a' \"", "a"), ("'it's'", "it's"), ("\"a' b\"", "a' b"), ("''", ""), ("'", "'"), ("plain", "plain")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r.got for r in df.select(T.first_line(F.col("t")).alias("got")).collect()] == [w for _, w in rows]

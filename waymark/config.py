@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -37,3 +39,19 @@ N_BOOT, CONFIDENCE, SEED = 1000, 0.95, 42
 OUTPUT_POINTS = 1001
 SLOW_RATE, SLOW_RUN = 120.0, 5
 MAX_IDENTICAL, MAX_CLIPPED, REVISIT_CLIPPED, MAX_CORRELATION = 0.80, 0.80, 0.20, 0.90
+SECTIONS = ("data", "generator", "paraphrase", "retrieval", "signals", "fuzzy", "routing", "actions", "baselines", "calibration", "splits", "evaluation", "fitted", "v4")
+
+
+def load_config(path: str) -> dict:
+    """An experiment's parameters from a JSON file on the driver, or a YAML one where the yaml package is there; a missing section is an error."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith(".json"):
+        found = json.loads(text)
+    else:
+        import yaml
+
+        found = yaml.safe_load(text)
+    missing = [s for s in SECTIONS if s not in (found or {})]
+    if missing:
+        raise ValueError(f"{path}: missing sections {missing}")
+    return found

@@ -45,11 +45,33 @@ def _padded(token_array: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(token_array, " "), F.lit(" "))
 
 
-def has_answer(answers: Column, text: Column, decompose: bool = False) -> Column:
-    """Whether some non-empty answer's tokens stand in a row in the text's."""
-    within = _padded(tokens(text, decompose))
+#: Parts texts and answers while they are one text, as decomposition takes whole columns and stands in no lambda.
+_PART = "\x1f"
+
+
+def _sought(answers: Column) -> Column:
+    """Answers as their tokens between spaces; without those that have none."""
     joined = F.transform(answers, lambda a: F.array_join(tokens(a), " "))
-    return F.exists(joined, lambda a: (a != "") & F.contains(within, F.concat(F.lit(" "), a, F.lit(" "))))
+    return F.transform(F.filter(joined, lambda a: a != ""), lambda a: F.concat(F.lit(" "), a, F.lit(" ")))
+
+
+def _decomposed(texts: Sequence[Column], answers: Column, rule) -> Column:
+    """rule(texts, answers) of decomposed texts and answers."""
+    one = nfd(F.concat_ws(_PART, F.array(*[F.translate(t, _PART, " ") for t in texts]), answers))
+    n = len(texts)
+    known = texts[0].isNotNull()
+    for t in texts[1:]:
+        known = known & t.isNotNull()
+    return F.when(known, F.get(F.transform(F.array(one), lambda s: rule([F.get(F.split(s, _PART), i) for i in range(n)], F.slice(F.split(s, _PART), n + 1, 1_000_000))), 0))
+
+
+def has_answer(answers: Column, text: Column, decompose: bool = True) -> Column:
+    """Whether some non-empty answer's tokens stand in a row in the text's.  Both are decomposed, so composed and decomposed
+    letters are the same; without it texts that are of one form already stay with the JVM."""
+    if decompose:
+        return _decomposed([text], answers, lambda t, a: has_answer(a, t[0], False))
+    within = _padded(tokens(text))
+    return F.exists(_sought(answers), lambda a: F.contains(within, a))
 
 
 def is_yes_no(answers: Column) -> Column:
@@ -90,9 +112,9 @@ def _tidy(line: Column, labels: Sequence[str]) -> Column:
     """Without one leading label and any pairs of the same quotes around it."""
     found = "|".join(x.removesuffix(":") for x in labels)
     line = strip(F.regexp_replace(line, rf"(?is)^(?:{found}):", ""))
-    for _ in range(4):
-        line = strip(F.regexp_replace(line, r"""(?s)^(["'])(.*)\1$""", "$2"))
-    return line
+    # a pair at a time: no more than there are quotes and spaces in front
+    n = F.length(F.regexp_extract(line, r"""(?U)^[\s"']*""", 0))
+    return F.aggregate(F.sequence(F.lit(0), n), line, lambda own, _: strip(F.regexp_replace(own, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
 def first_line(c: Column, labels: Sequence[str] = ANSWER_LABELS) -> Column:
@@ -113,9 +135,12 @@ def normalized(c: Column, decompose: bool = False) -> Column:
     return F.array_join(F.filter(tokens(c, decompose), lambda t: t.rlike(r"^[\p{L}\p{N}]+$")), " ")
 
 
-def leaks_answer(paraphrase: Column, original: Column, answers: Column) -> Column:
+def leaks_answer(paraphrase: Column, original: Column, answers: Column, decompose: bool = True) -> Column:
     """Whether an answer is in the paraphrase that isn't in the original."""
-    return F.exists(answers, lambda a: has_answer(F.array(a), paraphrase) & ~has_answer(F.array(a), original))
+    if decompose:
+        return _decomposed([paraphrase, original], answers, lambda t, a: leaks_answer(t[0], t[1], a, False))
+    said, asked = (_padded(tokens(c)) for c in (paraphrase, original))
+    return F.exists(_sought(answers), lambda a: F.contains(said, a) & ~F.contains(asked, a))
 
 
 def rewrite_usable(original: Column, rewrite: Column) -> Column:
@@ -151,3 +176,31 @@ def message(prompt: str, question: Column, passages: Column | None = None, end:
     """A user message: the prompt, the passages if any, the question, and what the reply goes on from."""
     parts = [F.lit(prompt)] + ([passage_body(passages)] if passages is not None else [])
     return F.concat(F.concat_ws("\n\n", *parts), F.lit("\n\nQuestion: "), question, F.lit(end))
+
+
+# What models are asked.
+ANSWER_PROMPT = "Answer the question using the passages below. Reply with the answer only: a short phrase of a few words, with no explanation. If it is a yes/no question, reply yes or no."
+REWRITE_PROMPT = "Rewrite this question as a search query that will find Wikipedia passages answering it. Keep every name and detail in the question. Reply with the query only."
+FOLLOWUP_PROMPT = "Below are a question and passages retrieved for it. Write one search query that would find the information still missing to answer the question, such as a person, place or work that the passages mention and the question depends on. Reply with the query only."
+REASON_PROMPT = "Answer the question using the passages below. Reply in exactly this format:\nReasoning: <at most two short sentences>\nAnswer: <a short phrase of a few words, with no explanation>\nIf it is a yes/no question, the answer is yes or no."
+PARAPHRASE_PROMPT = "Paraphrase this question: reword it using different words or sentence structure so that it still asks exactly the same thing. Do not add or remove information and do not include the answer."
+
+
+def answer_message(question: Column, passages: Column) -> Column:
+    return message(ANSWER_PROMPT, question, passages, "\nAnswer:")
+
+
+def rewrite_message(question: Column) -> Column:
+    return message(REWRITE_PROMPT, question)
+
+
+def followup_message(question: Column, passages: Column) -> Column:
+    return message(FOLLOWUP_PROMPT, question, passages, "\nSearch query:")
+
+
+def reason_message(question: Column, passages: Column) -> Column:
+    return message(REASON_PROMPT, question, passages)
+
+
+def paraphrase_message(question: Column) -> Column:
+    return message(PARAPHRASE_PROMPT, question, end="\n\nReply with the rewritten question only.")

@@ -6,12 +6,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.config import CENTRES
 from waymark.functions.fuzzy import escalation
 from waymark.operators import routing as R
+from waymark.sources.tables import written
 
 
 def _sum(cols: Sequence[Column]) -> Column:
@@ -51,8 +53,10 @@ def fit_ordinal(table: DataFrame, signals: Sequence[str], budget: DataFrame, act
 
 
 def fit_fuzzy(table: DataFrame, signals: Sequence[str], grid: DataFrame, budget: DataFrame, actions: Sequence[str], widths: Sequence[float] | float = 0.2, **operators) -> DataFrame:
-    """The fixed width makes B3, calibrated ones B4; other operators the ablations."""
-    values = R.grid_values(escalation(table, signals, widths, **operators), grid, "score", actions)
+    """The fixed width makes B3, calibrated ones B4; other operators the ablations.  Scores meet thresholds after rounding, so that the order of
+    sums does not decide."""
+    scored = escalation(table, signals, widths, **operators).withColumn("score", F.round("score", DIGITS) + 0.0)
+    values = R.grid_values(scored, grid, "score", actions)
     return R.fit(values, budget, grid.columns)
 
 
@@ -62,24 +66,46 @@ def route(table: DataFrame, score: Column, cuts: Sequence[float], actions: Seque
     return table.withColumn("action_index", R.action_index(score, cuts))
 
 
+#: Decimals of a score before it meets a threshold.
+DIGITS = 9
+#: Distinct rows that the driver takes gradient steps on itself; beyond it tasks add up each step's.
+DRIVER_ROWS = 200_000
+
+
+def _gradient(rows, w, mean, sd, names, n_classes):
+    """Sum over counted rows of the softmax loss's gradient."""
+    x, y, n = rows[list(names)].to_numpy(dtype=float), rows["label"].to_numpy(dtype=int), rows["count"].to_numpy(dtype=float)
+    z = np.c_[(x - mean) / sd, np.ones(len(x))]
+    e = np.exp(z @ w - (z @ w).max(axis=1, keepdims=True))
+    return z.T @ ((e / e.sum(axis=1, keepdims=True) - np.eye(n_classes)[y]) * n[:, None])
+
+
 def fit_learned(features: DataFrame, names: Sequence[str], label: str, n_classes: int, penalty: float = 0.01, steps: int = 2000, rate: float = 0.5) -> dict:
     """Multinomial logistic regression of the oracle action on question features, by full gradient steps from zero.
 
-    Rows with the same features and label are one row with a count, and the gradient of a step is a sum over those, so
-    what the driver holds is bounded by the features' distinct values, not by the rows."""
-    rows = features.groupBy(*names, label).count().toPandas()
-    x, y, n = rows[list(names)].to_numpy(dtype=float), rows[label].to_numpy(dtype=int), rows["count"].to_numpy(dtype=float)
-    total = n.sum()
-    mean = (x * n[:, None]).sum(axis=0) / total
-    sd = np.sqrt(((x - mean) ** 2 * n[:, None]).sum(axis=0) / total)
+    Rows with the same features and label are one row with a count.  Up to DRIVER_ROWS of those the driver takes the steps; beyond it
+    each step is a job whose tasks add up their rows' gradients."""
+    rows = written(features.groupBy(*names, F.col(label).cast("int").alias("label")).agg(F.count("*").alias("count")), "features")
+    weigh = lambda c: F.sum(F.col(c).cast("double") * F.col("count"))
+    total, *sums = rows.agg(F.sum("count"), *[weigh(c) for c in names]).head()
+    mean = np.array([s / total for s in sums])
+    squares = rows.agg(*[F.sum((F.col(c) - float(m)) ** 2 * F.col("count")) for c, m in zip(names, mean, strict=True)]).head()
+    sd = np.sqrt(np.array(squares, dtype=float) / total)
     sd[sd == 0] = 1.0
-    z = np.c_[(x - mean) / sd, np.ones(len(x))]
-    goal = np.eye(n_classes)[y]
-    w = np.zeros((z.shape[1], n_classes))
+    w = np.zeros((len(names) + 1, n_classes))
     shrink = np.r_[np.full(len(names), penalty), 0.0][:, None]
+    few = rows.toPandas() if rows.count() <= DRIVER_ROWS else None
+
+    def spread(w: np.ndarray) -> np.ndarray:
+        def part(frames):
+            sums = sum((_gradient(f, w, mean, sd, names, n_classes) for f in frames if len(f)), np.zeros(w.shape))
+            yield pd.DataFrame({"g": [sums.ravel().tolist()]})
+
+        # a few hundred numbers for each task
+        return np.sum([r[0] for r in rows.mapInPandas(part, "g array<double>").collect()], axis=0).reshape(w.shape)
+
     for _ in range(steps):
-        e = np.exp(z @ w - (z @ w).max(axis=1, keepdims=True))
-        w -= rate * (z.T @ ((e / e.sum(axis=1, keepdims=True) - goal) * n[:, None]) / total + shrink * w)
+        w -= rate * ((_gradient(few, w, mean, sd, names, n_classes) if few is not None else spread(w)) / total + shrink * w)
     return {"names": list(names), "mean": mean.tolist(), "sd": sd.tolist(), "weights": w.tolist()}
 
 

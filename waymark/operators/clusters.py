@@ -30,13 +30,14 @@ def screen(candidates: DataFrame, key: str = "cluster_id", pos: str = "pos", tex
 
     Gates: empty; duplicate of the question or of any earlier candidate, accepted or not; no entailment both ways;
     a low cosine; an answer that the question doesn't hold."""
-    words = normalized(F.col(text))
-    w = Window.partitionBy(key, words).orderBy(pos)
-    filled = F.col(text) != ""
-    again = (F.row_number().over(w) > 1) | (words == normalized(F.col(question)))
+    made = ["_words", "_asked", "_leak"]
     leak = leaks_answer(F.col(text), F.col(question), F.col(answers)) if answers else F.lit(False)
-    reason = F.when(~F.coalesce(filled, F.lit(False)), "empty").when(again, "duplicate").when(~F.col(entails), "nli").when(F.col(cosine) < cosine_min, "cosine").when(leak, "answer")
-    out = candidates.withColumn("reason", reason)
+    own = candidates.withColumns(dict(zip(made, (normalized(F.col(text), True), normalized(F.col(question), True), leak), strict=True)))
+    w = Window.partitionBy(key, "_words").orderBy(pos)
+    filled = F.col(text) != ""
+    again = (F.row_number().over(w) > 1) | (F.col("_words") == F.col("_asked"))
+    reason = F.when(~F.coalesce(filled, F.lit(False)), "empty").when(again, "duplicate").when(~F.col(entails), "nli").when(F.col(cosine) < cosine_min, "cosine").when(F.col("_leak"), "answer")
+    out = own.withColumn("reason", reason).drop(*made)
     return out.withColumn("passed", F.col("reason").isNull())
 
 

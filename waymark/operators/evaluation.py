@@ -13,6 +13,7 @@ from waymark import config as C
 from waymark.operators.clusters import hash_share
 from waymark.operators.routing import chosen
 from waymark.operators.signals import complete_clusters, pairs
+from waymark.sources.tables import running
 
 
 def oracle_index(actions: Sequence[str], delta: float = C.DELTA) -> Column:
@@ -56,8 +57,8 @@ def within_cluster(table: DataFrame, actions: Sequence[str], score: str = "score
     return per.groupBy(*by).agg(F.avg("s").alias("score_sd"), F.avg("q").alias("f1_sd"), F.avg("d").alias("worst_drop"), F.max("d").alias("worst_drop_max"), F.count("*").alias("n_clusters"))
 
 
-def cluster_sums(df: DataFrame, value: Column, cluster: str = "cluster_id", name: str = "s") -> DataFrame:
-    return df.groupBy(cluster).agg(F.sum(value).alias(name), F.count(value).alias("n"))
+def cluster_sums(df: DataFrame, value: Column, cluster: str = "cluster_id", name: str = "s", by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by, cluster).agg(F.sum(value).alias(name), F.count(value).alias("n"))
 
 
 def seeded_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int = C.SEED, cluster: str = "cluster_id") -> DataFrame:
@@ -72,38 +73,71 @@ def seeded_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int
     return clusters.sparkSession.createDataFrame(rows, f"rep int, {cluster} {kind}, m int")
 
 
-def hashed_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int = C.SEED, cluster: str = "cluster_id") -> DataFrame:
-    """The same at any size: each cluster's number of draws in each resample (zeros too) is Poisson with mean 1, from a hash."""
+def _poisson(u: Column) -> Column:
+    """A Poisson number of mean 1 from a uniform one."""
     edges, p, c = [], float(np.exp(-1)), 0.0
     for k in range(12):
         c += p
         edges.append(c)
         p /= k + 1
+    return reduce(lambda a, b: a + b, [(u >= e).cast("int") for e in edges])
+
+
+def hashed_multiplicities(clusters: DataFrame, n_boot: int = C.N_BOOT, seed: int = C.SEED, cluster: str = "cluster_id") -> DataFrame:
+    """The same at any size: each cluster's number of draws in each resample (zeros too) is Poisson with mean 1, from a hash."""
     reps = clusters.select(cluster).distinct().select(cluster, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     u = hash_share(F.concat_ws(":", F.col("rep").cast("string"), F.col(cluster).cast("string")), seed)
-    m = reduce(lambda a, b: a + b, [(F.col("u") >= e).cast("int") for e in edges])
-    return reps.select("rep", cluster, u.alias("u")).select("rep", cluster, m.alias("m"))
+    return reps.select("rep", cluster, u.alias("u")).select("rep", cluster, _poisson(F.col("u")).alias("m"))
 
 
-def bootstrap(sums: DataFrame, multiplicities: DataFrame, values: Sequence[str] = ("s",), confidence: float = C.CONFIDENCE, cluster: str = "cluster_id") -> DataFrame:
+def bootstrap(sums: DataFrame, multiplicities: DataFrame, values: Sequence[str] = ("s",), confidence: float = C.CONFIDENCE, cluster: str = "cluster_id", by: Sequence[str] = ()) -> DataFrame:
     """Percentile interval of a ratio of sums over resampled clusters: mean, lo, hi.  With two values, of their
     difference, and whether the interval leaves zero out."""
-    v = F.col(values[0]) if len(values) == 1 else F.col(values[0]) - F.col(values[1])
-    name = "mean" if len(values) == 1 else "diff"
-    reps = sums.select(cluster, v.alias("v"), "n").join(multiplicities, cluster).groupBy("rep").agg(F.try_divide(F.sum(F.col("m") * F.col("v")), F.sum(F.col("m") * F.col("n"))).alias("r"))
-    half = (1 - confidence) / 2
-    ci = reps.agg(F.percentile("r", F.array(F.lit(half), F.lit(1 - half))).alias("p"))
-    out = sums.agg((F.sum(v) / F.sum("n")).alias(name)).crossJoin(ci).select(name, F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
+    v = _ratio_value(values)
+    reps = sums.select(*by, cluster, v.alias("v"), "n").join(multiplicities, cluster).groupBy(*by, "rep").agg(_resampled(F.col("m"), F.col("v")).alias("r"))
+    return _interval(sums, reps, values, confidence, by)
+
+
+def bootstrap_hashed(sums: DataFrame, n_boot: int = C.N_BOOT, values: Sequence[str] = ("s",), seed: int = C.SEED, confidence: float = C.CONFIDENCE, cluster: str = "cluster_id", by: Sequence[str] = ()) -> DataFrame:
+    """The same with hashed_multiplicities, which each cluster's row makes for itself: what is shuffled is n_boot sums a task (for each of by), whatever
+    the number of clusters."""
+    rows = sums.select(*by, cluster, _ratio_value(values).alias("v"), "n")
+    drawn = rows.select(*by, cluster, "v", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    u = drawn.select(*by, "v", "n", "rep", hash_share(F.concat_ws(":", F.col("rep").cast("string"), F.col(cluster).cast("string")), seed).alias("u"))
+    reps = u.groupBy(*by, "rep").agg(_resampled(_poisson(F.col("u")), F.col("v")).alias("r"))
+    return _interval(sums, reps, values, confidence, by)
+
+
+def _ratio_value(values: Sequence[str]) -> Column:
+    return F.col(values[0]) if len(values) == 1 else F.col(values[0]) - F.col(values[1])
+
+
+def _resampled(m: Column, v: Column) -> Column:
+    return F.try_divide(F.sum(m * v), F.sum(m * F.col("n")))
+
+
+def _interval(sums: DataFrame, reps: DataFrame, values: Sequence[str], confidence: float, by: Sequence[str]) -> DataFrame:
+    name, half = "mean" if len(values) == 1 else "diff", (1 - confidence) / 2
+    ci = reps.groupBy(*by).agg(F.percentile("r", F.array(F.lit(half), F.lit(1 - half))).alias("p"))
+    mean = sums.groupBy(*by).agg((F.sum(_ratio_value(values)) / F.sum("n")).alias(name))
+    both = mean.join(ci, list(by)) if by else mean.crossJoin(ci)  # a row each
+    out = both.select(*by, name, F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
     return out if len(values) == 1 else out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
+def _below(counts: DataFrame, by: Sequence[str], value: str, n: str, name: str) -> DataFrame:
+    """counts with how many stand below each distinct value."""
+    if not by:
+        return running(counts, value, n, name)
+    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(name, F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
 def average_ranks(df: DataFrame, value: str, name: str = "avg_rank", by: Sequence[str] = ()) -> DataFrame:
     """df with the mean rank of its value's ties.  Ranks come from the counts of distinct values, so rows are not
-    sorted together: only distinct values are."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(*by, value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranked, [*by, value])
+    sorted together: only distinct values are, and without by these in ranges."""
+    counts = _below(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, "_n", "_b")
+    return df.join(counts.select(*by, value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
 
 
 def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
@@ -111,8 +145,12 @@ def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> Dat
 
     Summed over distinct scores: negatives below, and half of those beside."""
     counts = df.groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(score) if by else Window.orderBy(score)
-    below = counts.withColumn("b", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return auc_of_counts(counts, score, by)
+
+
+def auc_of_counts(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """The same of counts of positives p and negatives n by distinct score."""
+    below = _below(counts, by, score, "n", "b")
     t = below.groupBy(*by).agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     both = F.col("n_pos") * F.col("n_neg")
     return t.select(*by, F.when(both > 0, F.col("u") / both).alias("auc"), "n_pos", "n_neg")

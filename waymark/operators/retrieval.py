@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import config as C
 from waymark.functions.text import has_answer
-from waymark.functions.vectors import dot
 from waymark.operators.guards import finite, require, require_all
+from waymark.sources.tables import written
 
-#: Rows of queries or items to broadcast at most.
+#: Rows of queries' terms to broadcast at most, and numbers of a block of query vectors.
 BROADCAST_ROWS = 200_000
+BLOCK_NUMBERS = 4_000_000
 
 
+#: Terms to filter by a literal set; beyond it postings meet the questions' terms in a join alone.
+LITERAL_TERMS = 20_000
 _TERM = r"[\p{L}\p{N}]+"
 
 
@@ -24,12 +29,18 @@ def _terms(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0))
 
 
-def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, dl, tf): the inverted index, one row for each term of a passage.  With a vocabulary (term),
-    other terms are dropped before anything is grouped."""
-    t = passages.select(id_col, _terms(text_col).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    t = t if vocabulary is None else t.join(vocabulary, "term", "left_semi")
-    return t.groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
+def _words(passages: DataFrame, id_col: str, text_col: str, vocabulary: list[str] | None) -> DataFrame:
+    """(doc_id, dl, t): a passage's length and its terms, those of the vocabulary only where there is one."""
+    text = passages.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    t = text.select(id_col, _terms(text_col).alias("t")).select(id_col, F.size("t").alias("dl"), "t")
+    return t if vocabulary is None else t.withColumn("t", F.filter("t", lambda x: x.isin(*vocabulary) if vocabulary else F.lit(False)))
+
+
+def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: list[str] | None = None) -> DataFrame:
+    """(doc_id, term, dl, tf): the inverted index, one row for each term of a passage.  Rows of a passage are in one
+    partition, so what is added up by passage later needs no further exchange."""
+    t = _words(passages, id_col, text_col, vocabulary).repartition(id_col)
+    return t.select(id_col, "dl", F.explode("t").alias("term")).groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int = C.POOL, k1: float = C.BM25_K1, b: float = C.BM25_B, query_id: str = "qid", query_text: str = "question", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,16 +49,19 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = C.POOL, k1: float = C
 
     Only postings of terms that some query has are scored.  Passages without any term of the
     query have no score, and passages without words count for nothing but their number."""
-    n, total = passages.agg(F.count("*"), F.sum(F.size(_terms(text_col)))).head()
     q = queries.select(query_id, F.explode(_terms(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    few = q.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda x: x)
+    own = [r[0] for r in q.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    vocabulary = sorted(own) if len(own) <= LITERAL_TERMS else None
+    # one pass for all counts: each passage's length stands under a term of its own
+    each = _words(passages, id_col, text_col, vocabulary).select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    facts = written(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words")), "terms")
+    n, total = facts.filter("term = ''").agg(F.sum("df"), F.sum("words")).head()
     average = total / n if total else 1.0
-    wanted = postings(passages, id_col, text_col, hint(q.select("term").distinct()))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(average)))
-    scored = wanted.join(hint(q.join(hint(df), "term")), "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
+    idf = F.log(1.0 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = written(q.join(facts, "term").select(query_id, "term", (F.col("qtf") * idf).alias("w")), "query-terms")
+    weighed = F.broadcast(weighed) if weighed.count() <= BROADCAST_ROWS else weighed
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(average)))
+    scored = postings(passages, id_col, text_col, vocabulary).join(weighed, "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
     return top(scored, [query_id], [F.desc(F.round("score", 9)), F.col(id_col)], k)
 
 
@@ -61,19 +75,44 @@ def dense(queries: DataFrame, index: DataFrame, k: int = C.POOL, query_id: str =
     """(qid, doc_id, score, rank): each query's k passages of the largest inner product, found exactly; ties go
     to the lower row (row_no, or the id).
 
-    Queries are broadcast in blocks of bounded size, the index is read once for each block, and each task keeps k
-    rows a query: nothing but those is shuffled."""
-    q = queries.select(F.col(query_id), F.col(query_vec).alias("_q"))
+    Queries come to the driver in blocks of bounded size and are handed to all tasks, which multiply them with a batch of the index and
+    keep k rows a query (and ties): nothing but those is shuffled.  The index is read once for each block."""
+    q = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v"))
+    dim = q.select(F.max(F.size("v"))).head()[0] or 1
     n = q.count()
-    cols = [id_col, vec_col] + ([row_no] if row_no else [])
-    blocks = max(1, -(-n // 10_000))
+    blocks = max(1, -(-n * dim // BLOCK_NUMBERS))
+    cols = [row_no or id_col, id_col, vec_col]
+    at = index.select(F.col(cols[0]).cast("long").alias("at"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kinds = queries.schema[query_id].dataType.simpleString(), index.schema[id_col].dataType.simpleString()
     out = None
     for i in range(blocks):
-        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
-        pairs = index.select(*cols).crossJoin(F.broadcast(own)).select(query_id, id_col, *([row_no] if row_no else []), dot(F.col("_q"), F.col(vec_col)).alias("score"))
-        best = top(pairs, [query_id], [F.desc(F.round("score", 9)), F.col(row_no or id_col)], k)
+        own = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)).toArrow()
+        best = at.mapInArrow(_block_product(own, k), f"q {kinds[0]}, id {kinds[1]}, at long, score double")
         out = best if out is None else out.unionByName(best)
-    return out.select(query_id, id_col, "score", "rank")
+    best = top(out, ["q"], [F.desc(F.round("score", 9)), F.col("at" if row_no else "id")], k)
+    return best.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
+
+
+def _block_product(queries: pa.Table, k: int):
+    """For each batch of vectors (at, id, v): each query's k best, and what ties with the last of them after rounding."""
+    names = queries.column("q").combine_chunks()
+    wanted = np.array(queries.column("v").to_pylist(), np.float64).reshape(len(names), -1)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            vectors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for lo in range(0, len(names), 256):
+                score = np.round(wanted[lo : lo + 256] @ vectors.T, 12)
+                if score.shape[1] > k:
+                    last = np.partition(score, -k, axis=1)[:, -k]
+                    which, row = np.nonzero(score >= last[:, None] - 2e-9)
+                else:
+                    which, row = np.nonzero(np.ones(score.shape, bool))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which + lo)), batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), pa.array(score[which, row])], names=["q", "id", "at", "score"])
+
+    return product
 
 
 def vectors(index: DataFrame, wanted: DataFrame, id_col: str = "doc_id", order: str = "position") -> DataFrame:
@@ -147,5 +186,6 @@ def overlap(a: DataFrame, b: DataFrame, k: int = C.K, query_id: str = "qid", id_
 def hybrid(queries: DataFrame, passages: DataFrame, index: DataFrame, pool: int = C.POOL, query_id: str = "qid") -> dict[str, DataFrame]:
     """Lexical, dense and fused lists of the same queries (question and vector columns)."""
     # pool rows a query, read by the fusion and by the signals
-    lex, den = bm25(queries, passages, pool, query_id=query_id).cache(), dense(queries, index, pool, query_id=query_id).cache()
-    return {"lexical": lex, "dense": den, "fused": fuse(lex, den, pool, query_id=query_id)}
+    lex = written(bm25(queries, passages, pool, query_id=query_id), "lexical")
+    den = written(dense(queries, index, pool, query_id=query_id), "dense")
+    return {"lexical": lex, "dense": den, "fused": written(fuse(lex, den, pool, query_id=query_id), "fused")}

@@ -79,6 +79,20 @@ def outcome_table(rows: DataFrame, actions: Sequence[str], quality: str = "f1",
     return rows.groupBy(*keys, *keep).agg(*[at(F.col(quality), a).alias(f"q_{a}") for a in actions], *[at(total, a).alias(f"c_{a}") for a in actions])
 
 
+def table_for(rows: DataFrame, keys: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:
+    """The outcome rows of the given instances."""
+    return rows.join(keys.select(*on).distinct(), list(on), "left_semi")
+
+
+def action_indices(df: DataFrame, actions: Sequence[str], column: str = "action", name: str = "action_index") -> DataFrame:
+    """df with the place of its actions, given by name or by place; any other is an error."""
+    c = F.col(column).cast("string")
+    at = F.coalesce(*[F.when((c == a) | (c == str(i)), i) for i, a in enumerate(actions)])
+    out = df.withColumn(name, at.cast("int"))
+    require(out, F.col(name).isNotNull(), f"{column} is none of {list(actions)}")
+    return out
+
+
 def missing_outcomes(rows: DataFrame, actions: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Instances and actions that have no row."""
     wanted = rows.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(a) for a in actions])).alias("action"))

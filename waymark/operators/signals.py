@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import config as C
+from waymark.operators.guards import finite, require, require_all, require_unique
 
 
 def margin(ranked: DataFrame, by: Sequence[str] = ("qid",), k: int = C.K) -> DataFrame:
@@ -89,7 +90,7 @@ def _wide(scalers: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFr
 
 def apply_scaler(signals: DataFrame, scalers: DataFrame, names: Sequence[str], by: Sequence[str] = ("dataset",), raw: bool = False) -> DataFrame:
     """Signals as their place between the percentiles, clipped to [0, 1]; raw: unclipped columns s_raw besides."""
-    joined = signals.join(F.broadcast(_wide(scalers, names, by)), list(by))
+    joined = signals.join(_wide(scalers, names, by), list(by))
     value = {s: (F.col(s) - F.col(f"_{s}_p5")) / (F.col(f"_{s}_p95") - F.col(f"_{s}_p5") + C.EPS) for s in names}
     keep = [F.col(c) for c in signals.columns if c not in names]
     return joined.select(*keep, *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias(s) for s, v in value.items()], *([v.alias(f"{s}_raw") for s, v in value.items()] if raw else []))
@@ -113,6 +114,29 @@ def pairs(df: DataFrame, cols: Sequence[str], cluster: str = "cluster_id", varia
     return side("a").join(side("b"), [*by, cluster]).filter("a_v < b_v")
 
 
+def signal_matrix(table: DataFrame, signals: DataFrame, names: Sequence[str], keys: Sequence[str] = ("cluster_id", "variant_id")) -> DataFrame:
+    """table with its instances' signals; one that is missing, no number or outside [0, 1] is an error."""
+    require_unique(signals, list(keys), "signals")
+    require_all(table, signals, list(keys), "signals")
+    own = signals.select(*keys, *names)
+    for s in names:
+        require(own, finite(s) & F.col(s).between(0, 1), f"{s} is outside [0, 1]")
+    return table.join(own, list(keys))
+
+
+def pair_differences(df: DataFrame, names: Sequence[str], cluster: str = "cluster_id", variant: str = "variant_id", size: int = 3) -> tuple[DataFrame, int]:
+    """(cluster, a_v, b_v, signals' absolute differences) over the pairs of complete clusters, and how many smaller clusters are left out; a
+    larger cluster, and a signal outside [0, 1], are errors."""
+    n = df.groupBy(cluster).agg(F.count("*").alias("n"))
+    large, few = n.agg(F.count_if(F.col("n") > size), F.count_if(F.col("n") < size)).head()
+    if large:
+        raise ValueError(f"{large} clusters have more than {size} phrasings")
+    for s in names:
+        require(df, F.col(s).between(0, 1), f"{s} is outside [0, 1]")
+    own = pairs(complete_clusters(df, cluster, size=size), names, cluster, variant)
+    return own.select(cluster, "a_v", "b_v", *[F.abs(F.col(f"a_{s}") - F.col(f"b_{s}")).alias(s) for s in names]), few
+
+
 def jitter_widths(train: DataFrame, names: Sequence[str], by: Sequence[str] = ("dataset",), floor: float = C.WIDTH_FLOOR, cap: float = C.WIDTH_CAP) -> DataFrame:
     """(dataset, signal, jitter, jitter_median, width, width_median, at_floor, capped, all_at_floor): the 75th percentile of a signal's
     absolute differences over the pairs of complete clusters, held within [floor, cap]."""

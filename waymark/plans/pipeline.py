@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.config import TOP_N
-from waymark.functions.text import exact_match, f1_score, rewrite_usable
-from waymark.operators.retrieval import rerank, second_hop
+from waymark.config import POOL, TOP_N
+from waymark.functions.text import PARAPHRASE_LABELS, answer_message, exact_match, f1_score, final_answer, first_line, followup_message, paraphrase_message, reason_message, rewrite_message, rewrite_usable
+from waymark.operators.clusters import screen
+from waymark.operators.retrieval import hybrid, rerank, second_hop
 from waymark.sources.writers import todo
 
 
@@ -73,3 +74,45 @@ def outcomes(generations: DataFrame, answers: DataFrame, latencies: DataFrame, k
     parts = ["retrieval_latency", "rerank_latency", "followup_latency", "generation_latency"]
     total = sum((F.coalesce(F.col(p), F.lit(0.0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0.0)))
     return t.select(*keys, "action", exact_match(F.col("answer"), F.col("answers")).alias("em"), f1_score(F.col("answer"), F.col("answers")).alias("f1"), *parts, total.alias("latency_total"), (1 + F.col("followup_latency").isNotNull().cast("int")).alias("llm_calls"))
+
+
+def candidates(questions: DataFrame, model: Callable[[list[str]], Iterable[dict]], n: int = 5, seed: int = 42, key: str = "cluster_id") -> DataFrame:
+    """(key, question, answers, pos, seed, raw, text): n paraphrases of each question, with seeds from seed on.  model gets prompts that begin with their seed
+    on a line of its own, and gives {"raw": reply} for each."""
+    rows = questions.select(key, "question", "answers", F.posexplode(F.sequence(F.lit(seed), F.lit(seed + n - 1))).alias("pos", "seed"))
+    asked = rows.withColumn("prompt", F.concat(F.col("seed").cast("string"), F.lit("\n"), paraphrase_message(F.col("question"))))
+    got = call_model(asked, key, "prompt", model, "raw string")
+    return got.select(key, "question", "answers", "pos", "seed", "raw", first_line(F.col("raw"), PARAPHRASE_LABELS).alias("text"))
+
+
+def screen_all(rows: DataFrame, entails: Callable[[Column, Column], Column], cosine: Callable[[Column, Column], Column], key: str = "cluster_id") -> DataFrame:
+    """clusters.screen of all candidates, with gates as column functions of two texts; entailment is asked for both ways."""
+    q, t = F.col("question"), F.col("text")
+    return screen(rows.withColumns({"entails": entails(q, t) & entails(t, q), "cosine": cosine(q, t)}), key=key)
+
+
+def followups(first: DataFrame, model: Callable[[list[str]], Iterable[dict]], key: str = "qid") -> DataFrame:
+    """(key, followup): a search query asked of each question and its first action's passages (title, text)."""
+    asked = first.withColumn("prompt", followup_message(F.col("question"), F.col("passages")))
+    return call_model(asked, key, "prompt", model, "raw string").select(key, first_line(F.col("raw")).alias("followup"))
+
+
+def rewrites(questions: DataFrame, model: Callable[[list[str]], Iterable[dict]], key: str = "qid") -> DataFrame:
+    """(key, rewrite, usable): each question as a search query; one that isn't usable leaves the question as it is."""
+    asked = questions.withColumn("prompt", rewrite_message(F.col("question")))
+    got = call_model(asked, key, "prompt", model, "raw string").withColumn("own", first_line(F.col("raw")))
+    usable = rewrite_usable(F.col("question"), F.col("own"))
+    return got.select(key, F.when(usable, F.col("own")).otherwise(F.col("question")).alias("rewrite"), usable.alias("usable"))
+
+
+def retrieve(queries: DataFrame, passages: DataFrame, index: DataFrame, text: str, vector: str = "vector", query_id: str = "qid", pool: int = POOL) -> DataFrame:
+    """The fused pool of queries that stand in a column of another name: a second hop's, or a rewrite's."""
+    return hybrid(queries.select(query_id, F.col(text).alias("question"), F.col(vector).alias("vector")), passages, index, pool, query_id)["fused"]
+
+
+def generations(contexts: DataFrame, model: Callable[[list[str]], Iterable[dict]], keys: Sequence[str] = ("qid", "action"), reason: bool = False) -> DataFrame:
+    """(keys, answer): each context's (question, passages) answer, by its last line if the model is asked to reason."""
+    prompt = reason_message if reason else answer_message
+    asked = contexts.withColumn("prompt", prompt(F.col("question"), F.col("passages")))
+    got = call_model(asked, keys[0], "prompt", model, "raw string")
+    return got.select(*keys, (final_answer if reason else first_line)(F.col("raw")).alias("answer"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from waymark import config as C
 from waymark.functions import fuzzy, text, vectors
-from waymark.operators import baselines, clusters, diagnostics, evaluation, retrieval, routing, signals
+from waymark.operators import audits, baselines, clusters, diagnostics, evaluation, retrieval, routing, signals
+from waymark.plans import evaluate
 from waymark.plans import standins as st
 from waymark.plans.standins import SIGNALS, with_sql
-from waymark.sources import readers, writers
+from waymark.sources import readers, tables, writers
 from waymark.streaming import guard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,13 +339,13 @@ def _rules_sql(names: Sequence[str], tnorm: str) -> str:
         st AS (SELECT dataset, split, cluster_id, variant_id, CASE WHEN {total} < {n} THEN 0 WHEN {total} = {n} THEN 1 ELSE 2 END AS o, {total} AS t, {strength} AS s FROM mu, {axes})"""
 
 
-def _centroid_sql(names: Sequence[str], tnorm: str) -> str:
+def _centroid_sql(names: Sequence[str], tnorm: str, digits: int = 6) -> str:
     return _rules_sql(names, tnorm) + """,
         cl AS (SELECT dataset, split, cluster_id, variant_id, max(s) FILTER (o = 0) AS lo, max(s) FILTER (o = 1) AS md, max(s) FILTER (o = 2) AS hi FROM st GROUP BY 1, 2, 3, 4),
         ax AS (SELECT i / 1000.0::DOUBLE AS y FROM range(1001) r(i)),
         se AS (SELECT y, greatest(0, least(1, (0.4::DOUBLE - y) / 0.4::DOUBLE)) AS a, greatest(0, least((y - 0.25::DOUBLE) / 0.25::DOUBLE, (0.75::DOUBLE - y) / 0.25::DOUBLE)) AS b, greatest(0, least(1, (y - 0.6::DOUBLE) / 0.4::DOUBLE)) AS c FROM ax),
         sc AS (SELECT lo, md, hi, sum(greatest(least(a, lo), least(b, md), least(c, hi)) * y) / sum(greatest(least(a, lo), least(b, md), least(c, hi))) AS score FROM (SELECT DISTINCT lo, md, hi FROM cl), se GROUP BY 1, 2, 3)
-        SELECT dataset, split, cluster_id, variant_id, round(score, 6) AS score FROM cl JOIN sc USING (lo, md, hi)"""
+        SELECT dataset, split, cluster_id, variant_id, round(score, {digits}) AS score FROM cl JOIN sc USING (lo, md, hi)""".replace("{digits}", str(digits))
 
 
 @query(_centroid_sql(C.V3.signals, "min"), ["scaled"])
@@ -491,7 +492,10 @@ def fit_ordinal(spark, sf):
     return rounded(baselines.fit_ordinal(v, SIGNALS, routing.budget_of(v, ACTIONS, "middle"), ACTIONS).select("t1", "t2", "quality", "cost", "n_feasible"), "quality", "cost")
 
 
-@query()
+_FUZZY3 = _centroid_sql(C.V3.signals, "min", 9).removeprefix("+ ")
+
+
+@query(f"+ fz AS (WITH {_FUZZY3}), v AS (SELECT w.*, score FROM wide w JOIN fz USING (dataset, split, cluster_id, variant_id) WHERE split = 'val'), {_GRID3}, {_GV3} {_PICK3}", ["wide", "scaled"])
 def fit_fuzzy(spark, sf):
     """Thresholds of the fuzzy controller on the validation split."""
     v = _validation(spark, sf).drop("score")
@@ -501,10 +505,12 @@ def fit_fuzzy(spark, sf):
 
 @query()
 def learned_router(spark, sf):
-    """A query-only router: softmax regression of the cheaper turn's oracle on question features, scored on every question."""
+    """A query-only router: softmax regression of each question's oracle action on its features, scored on every question.  Qualities of the actions
+    are stand-ins, arithmetic on the item's id."""
     b = st.table(spark, sf, "benchmark")
     f = text.query_features(F.col("text"))
-    feats = b.select("item_id", *[v.alias(k) for k, v in f.items()], F.pmod(F.col("item_id") * 7919, F.lit(3)).cast("int").alias("label"))
+    quality = [((F.col("item_id") * 7919 + i * 104729) % 101 / F.lit(100.0)).alias(f"q_{a}") for i, a in enumerate(ACTIONS)]
+    feats = b.select("item_id", *[v.alias(k) for k, v in f.items()], *quality).withColumn("label", evaluation.oracle_index(ACTIONS))
     model = baselines.fit_learned(feats, list(f), "label", 3)
     return feats.select("item_id", F.round(baselines.learned_score(model), 6).alias("score"))
 
@@ -559,7 +565,7 @@ def bootstrap_quality(spark, sf):
     """Mean quality and its interval over resampled clusters; draws come from hashes, 100 resamples."""
     t = _routed(spark, sf)
     sums = evaluation.cluster_sums(t, routing.chosen("q", F.col("action_index"), ACTIONS))
-    return rounded(evaluation.bootstrap(sums, evaluation.hashed_multiplicities(sums, 100)), "mean", "lo", "hi")
+    return rounded(evaluation.bootstrap_hashed(sums, 100), "mean", "lo", "hi")
 
 
 @query(f"""+ {_BOOT}, r AS (SELECT rep, sum(m * (s - o)) / sum(m * n) AS r FROM m JOIN h USING (cluster_id) WHERE m > 0 GROUP BY 1), c AS (SELECT quantile_cont(r, 0.025::DOUBLE) AS lo, quantile_cont(r, 0.975::DOUBLE) AS hi FROM r)
@@ -568,7 +574,7 @@ def bootstrap_paired(spark, sf):
     """The same resamples for a policy and always-A1: their difference."""
     t = _routed(spark, sf)
     sums = evaluation.cluster_sums(t, routing.chosen("q", F.col("action_index"), ACTIONS)).join(t.groupBy("cluster_id").agg(F.sum("q_A1").alias("o")), "cluster_id")
-    return rounded(evaluation.bootstrap(sums, evaluation.hashed_multiplicities(sums, 100), ["s", "o"]), "diff", "lo", "hi")
+    return rounded(evaluation.bootstrap_hashed(sums, 100, ["s", "o"]), "diff", "lo", "hi")
 
 
 @query("""+ p AS (SELECT dataset, signal, value, q2 > q1 + 0.02::DOUBLE AS pos FROM long JOIN wide USING (dataset, split, cluster_id, variant_id)), k AS (SELECT dataset, signal, pos, rank() OVER w + (count(*) OVER (PARTITION BY dataset, signal, value) - 1) / 2.0::DOUBLE AS r FROM p WINDOW w AS (PARTITION BY dataset, signal ORDER BY value))
@@ -727,3 +733,170 @@ def pooled_evaluation(spark, sf):
     own = baselines.route(t.filter("dataset = 'nq'"), F.col("score"), [0.5, 0.7], ACTIONS)
     both = t.filter("dataset = 'hp'").unionByName(own)
     return rounded(routing.policy_value(both, F.col("action_index"), ACTIONS), "quality", "cost")
+
+
+# One-call evaluation and audits
+
+_LEVELS = " + ".join(f"CAST({s} >= 0.35::DOUBLE AS INTEGER) + CAST({s} >= 0.65::DOUBLE AS INTEGER)" for s in C.V4.signals)
+_ROUTERS = f"""+ fz AS (WITH {_centroid_sql(C.V4.signals, 'min', 9).removeprefix('+ ')}),
+        w AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS weight_id, a / 4.0::DOUBLE AS w1, b / 4.0::DOUBLE AS w2, c / 4.0::DOUBLE AS w3 FROM range(5) p(a), range(5) q(b), range(5) r(c) WHERE a + b + c = 4),
+        sc AS (SELECT 'B1' AS router, weight_id, dataset, split, cluster_id, variant_id, round(S2 * w1 + S3 * w2 + S4 * w3, 9) AS score FROM scaled, w
+          UNION ALL SELECT 'B2', 0, dataset, split, cluster_id, variant_id, ({_LEVELS})::DOUBLE FROM scaled UNION ALL SELECT 'B3', 0, dataset, split, cluster_id, variant_id, score FROM fz),
+        bd AS (SELECT (avg(c1) + avg(c2)) / 2 AS budget FROM wide WHERE split = 'val'),
+        g AS (SELECT r.router, x / CASE r.router WHEN 'B2' THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS t1 FROM (VALUES ('B1', 101), ('B2', 8), ('B3', 101)) r(router, n), range(101) t(x) WHERE x < n),
+        gv AS (SELECT router, weight_id, t1, avg(CASE WHEN score >= t1 THEN q2 ELSE q1 END) AS quality, avg(CASE WHEN score >= t1 THEN c2 ELSE c1 END) AS cost FROM sc JOIN wide USING (dataset, split, cluster_id, variant_id) JOIN g USING (router) WHERE split = 'val' GROUP BY 1, 2, 3),
+        fit AS (SELECT router, weight_id, t1 FROM (SELECT *, row_number() OVER (PARTITION BY router ORDER BY round(quality, 12) DESC, round(cost, 12), t1, weight_id) AS k FROM gv, bd WHERE cost <= budget + 1e-12) WHERE k = 1),
+        rt AS (SELECT router, cluster_id, variant_id, q1, q2, c1, c2, score, CAST(score >= t1 AS INTEGER) AS i FROM sc JOIN fit USING (router, weight_id) JOIN wide USING (dataset, split, cluster_id, variant_id) WHERE split = 'test'
+          UNION ALL SELECT 'always-A' || (a + 1), cluster_id, variant_id, q1, q2, c1, c2, NULL, a FROM wide, range(2) r(a) WHERE split = 'test'
+          UNION ALL SELECT 'oracle', cluster_id, variant_id, q1, q2, c1, c2, NULL, CASE WHEN q1 >= greatest(q1, q2) - 0.02::DOUBLE - 1e-12::DOUBLE THEN 0 ELSE 1 END FROM wide WHERE split = 'test'),
+        p AS (SELECT a.router, a.cluster_id, a.i AS x, b.i AS y, [a.q1, a.q2] AS qa, [b.q1, b.q2] AS qb FROM rt a JOIN rt b ON a.router = b.router AND a.cluster_id = b.cluster_id AND a.variant_id < b.variant_id JOIN complete k ON k.cluster_id = a.cluster_id),
+        f AS (SELECT *, x <> y AS flipped, x <> y AND (qa[y + 1] > qa[x + 1] + 0.02::DOUBLE + 1e-12::DOUBLE OR qb[x + 1] > qb[y + 1] + 0.02::DOUBLE + 1e-12::DOUBLE OR CASE WHEN x > y THEN qa[x + 1] - qa[y + 1] ELSE qb[y + 1] - qb[x + 1] END < 0.02::DOUBLE - 1e-12::DOUBLE) AS harmful FROM p),
+        res AS (SELECT router, avg(CASE i WHEN 0 THEN q1 ELSE q2 END) AS quality, avg(CASE i WHEN 0 THEN c1 ELSE c2 END) AS cost, count(*) FILTER (i = 0) AS n_A1, count(*) FILTER (i = 1) AS n_A2 FROM rt GROUP BY 1),
+        fl AS (SELECT router, avg(CAST(flipped AS DOUBLE)) AS rfr, avg(CAST(harmful AS DOUBLE)) AS hrfr FROM f GROUP BY 1)"""
+
+
+def _router_set(spark, sf):
+    """Validation and test tables of the two actions, with signals, and B1 to B3 fitted."""
+    t = _table(spark, sf).join(_scaled(spark, sf), KEYS)
+    split = lambda s: tables.written(t.filter(F.col("split") == s), s)
+    val, test = split("val"), split("test")
+    own = {k: v for k, v in evaluate.scores(C.V4, ablations={}).items() if k in evaluate.BASELINES}
+    return evaluate.fit_routers(val, C.V4, own), val, test
+
+
+@query(_ROUTERS + " SELECT router, round(quality, 6) AS quality, round(cost, 6) AS cost, n_A1, n_A2, round(rfr, 6) AS rfr, round(hrfr, 6) AS hrfr FROM res JOIN fl USING (router)", ["wide", "scaled", "complete"])
+def router_evaluation(spark, sf):
+    """Routers fitted on validation and reference policies, measured on test, in one plan."""
+    fitted, _, test = _router_set(spark, sf)
+    table = evaluate.routed(test, fitted, C.V4.actions)
+    m = evaluation.measure(table, C.V4.actions, by=["router"])
+    return rounded(m.select("router", "quality", "cost", "n_A1", "n_A2", "rfr", "hrfr"), "quality", "cost", "rfr", "hrfr")
+
+
+_PAIRS = """, h AS (SELECT router, cluster_id, sum(CASE i WHEN 0 THEN q1 ELSE q2 END) AS s, count(*) AS n FROM rt GROUP BY 1, 2), j AS (SELECT h.*, b.s AS r FROM h JOIN h b ON b.router = 'B3' AND b.cluster_id = h.cluster_id WHERE h.router <> 'B3'),
+        u AS (SELECT *, CAST('0x' || substr(md5('42:' || rep || ':' || cluster_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM j, range(50) x(rep)),
+        m AS (SELECT *, (SELECT count(*) FROM (VALUES (0.36787944117144233::DOUBLE), (0.7357588823428847), (0.9196986029286058), (0.9810118431238462), (0.9963401531726563), (0.9994058151824183), (0.999916758850712), (0.9999898050804653), (0.9999989366085494), (0.9999998885523387), (0.9999999898056253), (0.9999999991737786)) e(e) WHERE u >= e) AS m FROM u),
+        q AS (SELECT router, rep, sum(m * (r - s)) / sum(m * n) AS d FROM m GROUP BY 1, 2), ci AS (SELECT router, quantile_cont(d, 0.025::DOUBLE) AS lo, quantile_cont(d, 0.975::DOUBLE) AS hi FROM q GROUP BY 1)
+        SELECT router, round(sum(r - s) / sum(n), 6) AS diff, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, any_value(lo) > 0 OR any_value(hi) < 0 AS significant FROM j JOIN ci USING (router) GROUP BY 1"""
+
+
+@query(_ROUTERS + _PAIRS, ["wide", "scaled", "complete"])
+def router_comparisons(spark, sf):
+    """B3's quality less every other router's, with intervals over 50 resamples."""
+    fitted, _, test = _router_set(spark, sf)
+    table = evaluate.routed(test, fitted, C.V4.actions)
+    out = evaluate.paired(table, C.V4.actions, "B3", 50).filter("what = 'quality'").drop("what")
+    return rounded(out, "diff", "lo", "hi")
+
+
+@query(_ROUTERS + """, b AS (SELECT router, quality, cost FROM res WHERE router IN ('B1', 'B2', 'B3') ORDER BY quality DESC, router LIMIT 1), me AS (SELECT quality, cost, CAST(n_A1 > 0 AS INTEGER) + CAST(n_A2 > 0 AS INTEGER) AS used FROM res WHERE router = 'B3'),
+        pt AS (SELECT quality AS q, cost AS c FROM res WHERE router LIKE 'always%'), mx AS (SELECT max(m) AS m FROM (SELECT q AS m FROM pt, me WHERE c <= me.cost + 1e-12 UNION ALL SELECT x.q + (me.cost - x.c) / (y.c - x.c) * (y.q - x.q) FROM me, pt x JOIN pt y ON x.c < y.c WHERE x.c <= me.cost AND me.cost < y.c))
+        SELECT b.router AS strongest_baseline, abs(me.quality - b.quality) <= 0.01 AS within_1_point, me.cost <= b.cost AS cost_not_higher, used AS actions_used, round(m, 6) AS mixture, m IS NULL OR me.quality >= m AS beats_mixtures FROM b, me, mx""", ["wide", "scaled", "complete"])
+def router_criteria(spark, sf):
+    """Whether B3 meets the criteria that a router is judged by."""
+    fitted, _, test = _router_set(spark, sf)
+    table = evaluate.routed(test, fitted, C.V4.actions)
+    m = evaluation.measure(table, C.V4.actions, by=["router"])
+    none = spark.createDataFrame([], "router string, what string, diff double, significant boolean")
+    return rounded(evaluate.criteria(m, none, test, C.V4.actions, "B3").drop("lower_hrfr"), "mixture")
+
+
+@query(_ROUTERS + """, bud AS (SELECT DISTINCT router, weight_id, round(cost, 12) AS budget FROM gv WHERE router <> 'B1'),
+        fr AS (SELECT b.router, b.budget, x.t1, x.quality FROM bud b, LATERAL (SELECT * FROM gv WHERE gv.router = b.router AND round(cost, 12) <= b.budget ORDER BY round(quality, 12) DESC, round(cost, 12), t1 LIMIT 1) x),
+        tv AS (SELECT g.router, g.t1, avg(CASE WHEN score >= t1 THEN q2 ELSE q1 END) AS test_quality, avg(CASE WHEN score >= t1 THEN c2 ELSE c1 END) AS test_cost FROM sc JOIN wide USING (dataset, split, cluster_id, variant_id) JOIN g ON g.router = sc.router WHERE split = 'test' AND g.router <> 'B1' GROUP BY 1, 2)
+        SELECT router, round(budget, 6) AS budget, t1, round(quality, 6) AS val_quality, round(test_quality, 6) AS test_quality, round(test_cost, 6) AS test_cost FROM fr JOIN tv USING (router, t1)""", ["wide", "scaled", "complete"])
+def router_pareto(spark, sf):
+    """Frontiers of B2 and B3 on validation, each point measured on test."""
+    fitted, val, test = _router_set(spark, sf)
+    own = evaluate.Fitted({k: v for k, v in fitted.routers.items() if k != "B1"})
+    return rounded(evaluate.pareto(val, test, own, C.V4), "budget", "val_quality", "test_quality", "test_cost")
+
+
+@query("""+ p AS (SELECT score, cluster_id, q2 > q1 + 0.02::DOUBLE AS pos FROM (SELECT *, round(score, 9) AS s9 FROM routed)), s AS (SELECT cluster_id, round(score, 9) AS v, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM p GROUP BY 1, 2),
+        u AS (SELECT *, CAST('0x' || substr(md5('42:' || rep || ':' || cluster_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s, range(20) x(rep)),
+        m AS (SELECT *, (SELECT count(*) FROM (VALUES (0.36787944117144233::DOUBLE), (0.7357588823428847), (0.9196986029286058), (0.9810118431238462), (0.9963401531726563), (0.9994058151824183), (0.999916758850712), (0.9999898050804653), (0.9999989366085494), (0.9999998885523387), (0.9999999898056253), (0.9999999991737786)) e(e) WHERE u >= e) AS m FROM u),
+        c AS (SELECT -1 AS rep, v, sum(p) AS p, sum(n) AS n FROM s GROUP BY 2 UNION ALL SELECT rep, v, sum(m * p), sum(m * n) FROM m GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+        a AS (SELECT rep, sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS auc FROM b GROUP BY 1)
+        SELECT round(max(auc) FILTER (rep = -1), 6) AS auc, round(quantile_cont(auc, 0.025::DOUBLE) FILTER (rep >= 0), 6) AS lo, round(quantile_cont(auc, 0.975::DOUBLE) FILTER (rep >= 0), 6) AS hi FROM a""", ["routed"])
+def auc_interval(spark, sf):
+    """How well the mean signal tells where the dearest action gains, with an interval over 20 resamples of clusters."""
+    t = _routed(spark, sf).select("cluster_id", F.round("score", 9).alias("score"), (F.col("q_A2") > F.col("q_A1") + 0.02).alias("pos"))
+    return rounded(audits.bootstrap_auc(t, "score", "pos", 20), "auc", "lo", "hi")
+
+
+@query("""+ t AS (SELECT *, CASE WHEN cluster_id % 3 = 0 THEN 'bridge' ELSE 'comparison' END AS type FROM wide) SELECT type, count(*) AS n, round(avg(q1), 6) AS low, round(avg(q2), 6) AS high, round(avg(q2 - q1), 6) AS gain, round(avg(CAST(q2 - q1 > 0.02::DOUBLE AS DOUBLE)), 6) AS wins FROM t GROUP BY 1
+        UNION ALL SELECT 'router', count(*), round(avg(CASE type WHEN 'bridge' THEN q2 ELSE q1 END), 6), round(avg(CASE type WHEN 'bridge' THEN c2 ELSE c1 END), 6), NULL, NULL FROM t""", ["wide"])
+def question_types(spark, sf):
+    """Gains by type of question, and a router that goes by type alone (its quality under low, its cost under high); types are a stand-in."""
+    t = _table(spark, sf).withColumn("type", F.when(F.col("cluster_id") % 3 == 0, "bridge").otherwise("comparison"))
+    none = F.lit(None).cast("double")
+    own = audits.type_router(t, "type", "bridge", C.V4.actions).select(F.lit("router").alias("type"), (F.col("n_A1") + F.col("n_A2")).alias("n"), F.col("quality").alias("low"), F.col("cost").alias("high"), none.alias("gain"), none.alias("wins"))
+    return rounded(audits.by_type(t, "type", "A1", "A2").unionByName(own), "low", "high", "gain", "wins")
+
+
+@query("""+ a AS (SELECT qid, list(doc_id ORDER BY rank) AS before FROM bm WHERE rank <= 5 GROUP BY 1), b AS (SELECT qid, list(doc_id ORDER BY rank) AS other FROM dn WHERE rank <= 5 GROUP BY 1),
+        t AS (SELECT before, CASE qid % 3 WHEN 0 THEN list_reverse(before) WHEN 1 THEN before ELSE other END AS after, abs((qid * 7919 % 101) / 100.0::DOUBLE - (qid * 104729 % 101) / 100.0::DOUBLE) AS gap FROM a JOIN b USING (qid))
+        SELECT count_if(list_sort(before) = list_sort(after) AND before <> after)::BIGINT AS reordered, round(avg(CAST(gap > 0.02::DOUBLE AS DOUBLE)) FILTER (list_sort(before) = list_sort(after) AND before <> after), 6) AS reordered_differ,
+          count_if(before = after)::BIGINT AS identical, round(avg(CAST(gap > 1e-12 AS DOUBLE)) FILTER (before = after), 6) AS identical_differ FROM t""", ["bm", "dn"])
+def order_noise(spark, sf):
+    """What the order of the same passages changes; a third of the questions have theirs turned round, a third the same."""
+    lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))
+    side = lambda df, name: df.filter("rank <= 5").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
+    t = side(lists["lexical"], "before").join(side(lists["dense"], "other"), "qid")
+    part = F.col("qid") % 3
+    t = t.withColumns({"after": F.when(part == 0, F.reverse("before")).when(part == 1, F.col("before")).otherwise(F.col("other")), "q_A1": F.col("qid") * 7919 % 101 / F.lit(100.0), "q_A2": F.col("qid") * 104729 % 101 / F.lit(100.0)})
+    return rounded(audits.order_noise(t, "A1", "A2"), "reordered_differ", "identical_differ")
+
+
+@query(r"""WITH t AS (SELECT regexp_matches(lower(text), 'not specified|not mentioned|no answer|no information|not provided|unknown|not stated|cannot|the') AS no, (conv_id * 7919 + turn) % 101 / 100.0::DOUBLE AS q0, (conv_id * 104729 + turn) % 101 / 100.0::DOUBLE AS q1 FROM conversations)
+        SELECT round(avg(CAST(no AS DOUBLE)), 6) AS abstained, round(avg(q1 - q0) FILTER (no), 6) AS gain_A1 FROM t""")
+def abstentions(spark, sf):
+    """Turns that abstain, and what another action gains on those; as few do, each that holds "the" is made to."""
+    c = st.table(spark, sf, "conversations")
+    answer = F.when(F.lower("text").contains("the"), F.concat("text", F.lit(" unknown"))).otherwise(F.col("text"))
+    t = c.select(answer.alias("answer"), ((F.col("conv_id") * 7919 + F.col("turn")) % 101 / F.lit(100.0)).alias("q_A0"), ((F.col("conv_id") * 104729 + F.col("turn")) % 101 / F.lit(100.0)).alias("q_A1"))
+    return rounded(audits.abstention(t, "answer", ["A0", "A1"]), "abstained", "gain_A1")
+
+
+@query("""+ t AS (SELECT q1, q2, q0 AS old, c1, c2 FROM wide WHERE split IN ('train', 'val')) SELECT count(*) AS n, round(avg(q1), 6) AS low, round(avg(q2), 6) AS high, round(avg(old), 6) AS old_high, round(avg(greatest(q1, q2)), 6) AS oracle, round(avg(greatest(q1, old)), 6) AS old_oracle,
+        count_if(q2 > q1 + 0.02::DOUBLE)::BIGINT AS beats, count_if(q2 < q1 - 0.02::DOUBLE)::BIGINT AS loses, count_if(old > q1 + 0.02::DOUBLE)::BIGINT AS old_beats, round(avg(c1), 6) AS low_cost, round(avg(c2), 6) AS high_cost FROM t""", ["wide"])
+def trainval_check(spark, sf):
+    """The dearer action against its older run (here A0's outcomes) on train and validation."""
+    t = _table(spark, sf).filter("split in ('train', 'val')")
+    out = audits.trainval_check(t, t.select("cluster_id", "variant_id", F.col("q_A0").alias("quality")), "A1", "A2")
+    return rounded(out, "low", "high", "old_high", "oracle", "old_oracle", "low_cost", "high_cost")
+
+
+_PILOT = """+ r AS (SELECT dataset, cluster_id, variant_id, CASE a WHEN 1 THEN 'A1' WHEN 2 THEN 'A2-V1' ELSE 'A2-V2' END AS action, CASE a WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q0 END AS f1, CASE a WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c0 END AS latency,
+        CASE WHEN dataset = 'hp' THEN (cluster_id + variant_id + a) % 3 END AS gold, CASE WHEN cluster_id % 2 = 0 THEN variant_id / 2.0::DOUBLE END AS recall, a > 1 AND cluster_id % 7 = 0 AS fallback FROM wide, range(1, 4) x(a))"""
+
+
+def _pilot(spark, sf):
+    one = lambda name, of, i: F.struct(F.lit(name).alias("action"), F.col(f"q_{of}").alias("f1"), F.col(f"c_{of}").alias("latency"), F.lit(i).alias("a"))
+    a = F.explode(F.array(one("A1", "A1", 1), one("A2-V1", "A2", 2), one("A2-V2", "A0", 3))).alias("x")
+    t = _table(spark, sf).select("dataset", "cluster_id", "variant_id", a).select("dataset", "cluster_id", "variant_id", "x.*")
+    return t.withColumns({"em": (F.col("f1") == 1).cast("double"), "gold": F.when(F.col("dataset") == "hp", (F.col("cluster_id") + F.col("variant_id") + F.col("a")) % 3), "recall": F.when(F.col("cluster_id") % 2 == 0, F.col("variant_id") / 2), "fallback": (F.col("a") > 1) & (F.col("cluster_id") % 7 == 0)})
+
+
+@query(_PILOT + """ SELECT dataset, action, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(CAST(f1 = 1 AS DOUBLE)), 6) AS em, round(avg(recall), 6) AS recall, round(avg(latency), 6) AS latency, count_if(fallback)::BIGINT AS fallbacks,
+        count_if(f1 > b + 0.02::DOUBLE)::BIGINT AS beats, count_if(f1 < b - 0.02::DOUBLE)::BIGINT AS loses, count_if(gold = 2)::BIGINT AS gold_2, count_if(gold = 1)::BIGINT AS gold_1, count_if(gold = 0)::BIGINT AS gold_0
+        FROM r JOIN (SELECT dataset, cluster_id, variant_id, f1 AS b FROM r WHERE action = 'A1') USING (dataset, cluster_id, variant_id) GROUP BY 1, 2""", ["wide"])
+def pilot_report(spark, sf):
+    """A pilot's actions side by side; its second variant is A0's outcomes."""
+    return rounded(audits.pilot_report(_pilot(spark, sf)), "f1", "em", "recall", "latency")
+
+
+@query(_PILOT + """, g AS (SELECT avg(f1) FILTER (action = 'A2-V1') - avg(f1) FILTER (action = 'A1') AS a, avg(f1) FILTER (action = 'A2-V2') - avg(f1) FILTER (action = 'A1') AS b FROM r)
+        SELECT round(a, 6) AS gain_first, round(b, 6) AS gain_second, CASE WHEN b - a >= 0.01 THEN 'A2-V2' ELSE 'A2-V1' END AS chosen, CASE WHEN b - a >= 0.01 THEN b ELSE a END >= 0.04 AS passes FROM g""", ["wide"])
+def pilot_decision(spark, sf):
+    return rounded(audits.pilot_decision(_pilot(spark, sf)), "gain_first", "gain_second")
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_extract(text, '\p{L}*[éèüöä]\p{L}*', 0) AS a FROM documents),
+        t AS (SELECT doc_id, a, ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)), ' ') || ' ' AS body FROM w)
+        SELECT doc_id, a <> '' AND contains(body, ' ' || lower(a) || ' ') AS apart, a <> '' AND contains(body, ' ' || lower(a) || ' ') AS composed FROM t""")
+def unicode_answers(spark, sf):
+    """Each text's first word with an accent, searched for where one of the two is decomposed: the answer, or the text."""
+    d = st.table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract("text", r"\p{L}*[éèüöä]\p{L}*", 0).alias("a"))
+    apart = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "é", "e\u0301"), "è", "e\u0300"), "ü", "u\u0308"), "ö", "o\u0308"), "ä", "a\u0308")
+    return d.select("doc_id", text.has_answer(F.array(apart(F.col("a"))), F.col("text")).alias("apart"), text.has_answer(F.array("a"), apart(F.col("text"))).alias("composed"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from waymark.operators.guards import require_all
+from waymark.sources.tables import running
 
 PASSAGES = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("title", T.StringType())])
 
@@ -72,28 +76,111 @@ def embeddings(spark: SparkSession, path: str, dim: int, id_col: str = "id", vec
     return df
 
 
-def flat_index(spark: SparkSession, path: str, dim: int, header: int = 45) -> DataFrame:
-    """(row, embedding) of raw little-endian float32 vectors after a binary header, split over tasks by ranges of rows.
+#: Bytes of a flat index's header, and of vectors that a task reads at a time.
+HEADER, RANGE = 45, 64 << 20
+
+
+class _Vectors(DataSource):
+    """Raw little-endian float32 vectors of files, in ranges of bytes: a file of any size is many tasks' work.
+
+    Options: path, dim, header (bytes), checked (whether the header is a flat inner-product index's)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "flat_vectors"
+
+    def schema(self) -> str:
+        return "row long, embedding array<float>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _VectorsReader(self.options)
+
+
+class _Range(InputPartition):
+    def __init__(self, first: int, n: int):
+        super().__init__((first, n))
+
+
+class _VectorsReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.dim = options["path"], int(options["dim"])
+        self.header, self.checked = int(options.get("header", 0)), options.get("checked", "false") == "true"
+
+    def _open(self):
+        from pyarrow import fs
 
-    Paths are read by Spark (a file is one task's work beyond its rows being dealt out)."""
+        store, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        return store.open_input_file(path)
+
+    def partitions(self):
+        with self._open() as f:
+            size = f.size()
+            n, left = divmod(size - self.header, 4 * self.dim)
+            if size < self.header or left:
+                raise ValueError(f"{self.path}: {size} bytes hold no whole vectors of {self.dim} after {self.header}")
+            if self.checked:
+                check_header(f.read_at(HEADER, 0), self.dim, n)
+        step = max(1, RANGE // (4 * self.dim))
+        return [_Range(at, min(step, n - at)) for at in range(0, n, step)]
+
+    def read(self, partition):
+        import numpy as np
+        import pyarrow as pa
+
+        first, n = partition.value
+        with self._open() as f:
+            data = np.frombuffer(f.read_at(4 * self.dim * n, self.header + 4 * self.dim * first), "<f4")
+        step = 8192
+        for at in range(0, n, step):
+            own = data[at * self.dim : (at + step) * self.dim]
+            k = len(own) // self.dim
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + at, first + at + k)), pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * self.dim, pa.int32()), pa.array(own))], names=["row", "embedding"])
+
+
+def check_header(head: bytes, dim: int, n: int) -> None:
+    """A flat index of inner products over dim float32 numbers and n vectors; anything else is an error."""
+    if len(head) < HEADER:
+        raise ValueError("the index has no header")
+    magic, d, total, _, _, trained, metric, codes = struct.unpack("<4siqqq?iq", head)
+    if magic != b"IxFI":
+        raise ValueError(f"no flat inner-product index (magic {magic!r})")
+    if d != dim or metric != 0 or not trained or codes != total * d or total != n:
+        raise ValueError(f"unexpected header: {d} numbers, metric {metric}, trained {trained}, {total} vectors, {codes} codes; {n} vectors in the file")
+
+
+def flat_index(spark: SparkSession, path: str, dim: int, ids: str | None = None, header: int = HEADER, checked: bool = True) -> DataFrame:
+    """(row, embedding) of a flat index file, read in ranges of bytes; checked: its header is that of a flat inner-product index.  ids: a text file of
+    one id a line, in the order of the rows, which become a column id; another number of them is an error.
+
+    path is local, or in a store that pyarrow reads (s3://, gs://, hdfs://)."""
+    spark.dataSource.register(_Vectors)
+    df = spark.read.format("flat_vectors").options(path=path, dim=str(dim), header=str(header), checked=str(checked).lower()).load()
+    if ids is None:
+        return df
+    lines = running(spark.read.text(ids).select(F.col("value").alias("id"), F.monotonically_increasing_id().alias("at"), F.lit(1).alias("one")), "at", "one", "row").select("row", "id")
+    if lines.count() != df.count():
+        raise ValueError(f"{ids}: not as many ids as vectors")
+    return df.join(lines, "row")
+
+
+def npy(spark: SparkSession, path: str) -> DataFrame:
+    """(row, embedding) of a .npy file of float32 numbers in two dimensions or more, in ranges of bytes; embedding holds a row's numbers, flat."""
     import numpy as np
-    import pyarrow as pa
-
-    def rows(batches):
-        for batch in batches:
-            for length, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_buffer()
-                if (length - header) % (4 * dim):
-                    raise ValueError(f"{length} bytes hold no whole vectors of {dim} after {header}")
-                data = np.frombuffer(raw, "<f4", offset=header)
-                step = 65_536
-                for at in range(0, len(data) // dim, step):
-                    own = data[at * dim : (at + step) * dim]
-                    n = len(own) // dim
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), lists], names=["row", "embedding"])
-
-    return spark.read.format("binaryFile").load(path).select("length", "content").mapInArrow(rows, "row long, embedding array<float>")
+
+    if "://" in path:
+        from pyarrow import fs
+
+        store, own = fs.FileSystem.from_uri(path)
+        stream = store.open_input_file(own)
+    else:
+        stream = open(path, "rb")
+    with stream as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        start = f.tell()
+    if fortran or kind != np.dtype("<f4") or len(shape) < 2:
+        raise ValueError(f"{path}: rows of float32 numbers are needed, got {kind} {shape}")
+    return flat_index(spark, path, int(np.prod(shape[1:])), header=start, checked=False)
 
 
 def audit_sheet(spark: SparkSession, path: str) -> DataFrame:

@@ -30,9 +30,12 @@ def export_corpus(df: DataFrame, path: str) -> None:
 
 
 def audit_sheet(df: DataFrame, path: str) -> None:
-    """A sheet to fill in; one that is there already is left alone (an error)."""
+    """A sheet to fill in, with a byte-order mark before the first name so that spreadsheets read it as UTF-8; one that is there
+    already is left alone (an error)."""
     blank = ["same_meaning", "answer_still_correct", "notes"]
-    df.select("*", *[F.lit("").alias(c) for c in blank if c not in df.columns]).coalesce(1).write.mode("errorifexists").csv(path, header=True, escape='"')
+    sheet = df.select("*", *[F.lit("").alias(c) for c in blank if c not in df.columns])
+    marked = sheet.toDF("\ufeff" + sheet.columns[0], *sheet.columns[1:])
+    marked.coalesce(1).write.mode("errorifexists").csv(path, header=True, escape='"')
 
 
 def report(df: DataFrame, path: str) -> None:
