@@ -879,7 +879,7 @@ def _pilot(spark, sf):
 
 
 @query(_PILOT + """ SELECT dataset, action, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(CAST(f1 = 1 AS DOUBLE)), 6) AS em, round(avg(recall), 6) AS recall, round(avg(latency), 6) AS latency, count_if(fallback)::BIGINT AS fallbacks,
-        count_if(f1 > b + 0.02::DOUBLE)::BIGINT AS beats, count_if(f1 < b - 0.02::DOUBLE)::BIGINT AS loses, count_if(gold = 2)::BIGINT AS gold_2, count_if(gold = 1)::BIGINT AS gold_1, count_if(gold = 0)::BIGINT AS gold_0
+        count_if(f1 > b + 0.02::DOUBLE)::BIGINT AS beats, count_if(f1 < b - 0.02::DOUBLE)::BIGINT AS loses, count(*) FILTER (gold = 2) AS gold_2, count(*) FILTER (gold = 1) AS gold_1, count(*) FILTER (gold = 0) AS gold_0
         FROM r JOIN (SELECT dataset, cluster_id, variant_id, f1 AS b FROM r WHERE action = 'A1') USING (dataset, cluster_id, variant_id) GROUP BY 1, 2""", ["wide"])
 def pilot_report(spark, sf):
     """A pilot's actions side by side; its second variant is A0's outcomes."""
