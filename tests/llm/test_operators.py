@@ -194,7 +194,7 @@ def test_mixing_meets_the_targets(spark, docs, empty):
     cells = [(s, l, t, float(rng.integers(1, 1000))) for s in "abc" for l in ("en", "de") for t in ("x", "y")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
     total = sum(n for *_, n in cells)
-    found = mixing.rake(df, mixing.Targets(), 0.2)
+    found = mixing.rake(df, mixing.Targets(power=0.7), 0.2)
     assert found.share == 0.2 and found.off < mixing.CLOSE
     f = {r.source: r.factor for r in found.factors.collect()}
     w = {(s, l, t): n * f[s] * found.languages[l] * found.topics[t] / (0.2 * total) for s, l, t, n in cells}
@@ -230,7 +230,7 @@ def test_mixing_with_chances_at_their_limit(spark):
                     rows.append((i, text + "x" * int(rng.integers(0, 40)), l, s, 1))
                     i += 1
     df = spark.createDataFrame(rows, SCHEMA)
-    out = mixing.mix_documents(df, share=0.9).toPandas()
+    out = mixing.mix_documents(df, share=0.9, targets=mixing.Targets(power=0.7)).toPandas()
     assert (out["probability"] == 1).any() and (out["probability"] < 1).any()
     out["expected"] = out["tokens"] * out["probability"]
     for c in ("source", "lang", "topic"):

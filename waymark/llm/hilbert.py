@@ -18,15 +18,15 @@ from waymark.llm.store import free_name, hidden, keep, partitions
 BITS = 4
 
 
-def _cuts(df: DataFrame, name: str, bits: int) -> list:
-    """The values at which the second and later of 2**bits parts of about equal numbers of rows begin: exact, from the counts of distinct
+def _cuts(df: DataFrame, name: str, bits: int) -> list[tuple]:
+    """(value, part): where each but the first of 2**bits parts of about equal numbers of rows begins, if one does: exact, from the counts of distinct
     values, whatever their type.  Nulls count before all values.  At most 2**bits - 1 values come to the driver."""
     c = F.col(f"`{name}`")
     total, nulls = df.agg(F.count("*"), F.count_if(c.isNull())).head()
     counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
     placed = running(counts, ["v"], F.col("n"), "values")
     parts = placed.select("v", F.expr(f"((_before + {nulls}) * {1 << bits}) div {max(1, total)}L").alias("q")).groupBy("q").agg(F.min("v").alias("v"))
-    return sorted(r["v"] for r in parts.filter("q > 0").collect())
+    return sorted((r["v"], r["q"]) for r in parts.filter("q > 0").collect())
 
 
 def _curve(values: list[Column], bits: int) -> list[tuple[str, Column]]:
@@ -77,9 +77,9 @@ def curve_index(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str
         raise ValueError("a curve needs a dimension")
     parts = []
     for d in dims:
-        value, part = F.col(f"`{d}`"), F.lit(0)
-        for cut in _cuts(df, d, bits):
-            part = part + F.coalesce(value >= F.lit(cut), F.lit(False)).cast("int")
+        value, part, at = F.col(f"`{d}`"), F.lit(0), 0
+        for cut, q in _cuts(df, d, bits):
+            part, at = part + F.when(value >= F.lit(cut), q - at).otherwise(0), q
         parts.append(part)
     out = df.select("*", *[p.alias(f"_x{i}_0") for i, p in enumerate(parts)])
     for step, value in _curve([F.col(f"_x{i}_0") for i in range(len(dims))], bits)[len(dims) :]:

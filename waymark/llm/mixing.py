@@ -31,16 +31,19 @@ MISSING = "missing"
 #: Rounds before a share counts as out of reach, and how near a marginal must come to its target.
 ROUNDS = 40
 CLOSE = 1e-5
+#: Shares to try, each 0.8 of the one before; targets that contradict one another in cells without rows are out of reach at any, and warned of.
+ATTEMPTS = 5
 
 
 @dataclass
 class Targets:
-    """Target shares.  A power tempers the corpus's own shares (1: as they are, 0: all equal)."""
+    """Target shares.  A power tempers the corpus's own shares (1: as they are, 0: all equal): the lower, the fewer tokens can be drawn
+    before the rarest source, language or topic is used up."""
 
     source_power: float = 0.7
     language: dict[str, float] | None = None
     topic: dict[str, float] | None = None
-    power: float = 0.7
+    power: float = 0.9
 
 
 def topic_of(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> Column:
@@ -117,8 +120,8 @@ def rake(cells: DataFrame, targets: Targets, share: float = 0.8) -> Rake:
         return F.aggregate(each, start, cap, lambda a: F.when(a["left"] > 0, a["g"] / a["s"]).otherwise(1e12))
 
     n = 0
-    while True:
-        b, c, wanted, off = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0), share * total, 1.0
+    for attempt in range(ATTEMPTS):
+        b, c, wanted, trail = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0), share * total, []
         for _ in range(ROUNDS):
             n += 1
             chance = F.col("f") * F.element_at(F.create_map(*[F.lit(y) for kv in b.items() for y in kv]), F.col("c.lang")) * F.element_at(F.create_map(*[F.lit(y) for kv in c.items() for y in kv]), F.col("c.topic"))
@@ -127,16 +130,18 @@ def rake(cells: DataFrame, targets: Targets, share: float = 0.8) -> Rake:
             capped, free = ({(r["lang"], r["topic"]): r[k] for r in now} for k in ("capped", "free"))
             is_ = lambda of, x, i: sum(v for k, v in of.items() if k[i] == x)
             off = max(abs(is_(capped, x, i) + is_(free, x, i) - wanted * goal[x]) / wanted for i, goal in ((0, goal_l), (1, goal_t)) for x in goal)
-            if off < CLOSE:
+            trail.append(off)
+            # no nearer than a few rounds ago: fewer tokens might help
+            if off < CLOSE or len(trail) > 6 and off > 0.9 * trail[-6]:
                 break
             for i, goal, by in ((0, goal_l, b), (1, goal_t, c)):
                 for x in goal:
                     r = _step(wanted * goal[x], is_(capped, x, i), is_(free, x, i))
                     by[x] *= r
                     free = {k: v * r if k[i] == x else v for k, v in free.items()}
-        if off < CLOSE or share < 1e-3:
+        if off < CLOSE or attempt == ATTEMPTS - 1:
             break
-        share *= 0.9
+        share *= 0.8
     if off >= CLOSE:
         warnings.warn(f"marginals are up to {off:.2g} from their targets", stacklevel=2)
     return Rake(rows.select("source", factor(b, c, wanted).alias("factor")), b, c, share, off, n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import languages, toxicity
+from waymark.llm import languages, sql, toxicity
 from waymark.llm.decontaminate import contaminated
 from waymark.llm.hilbert import hilbert_shards
 from waymark.llm.licenses import license_scan
@@ -126,6 +126,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_sharding": sql.sharding(),
+    "op4_license_scan": sql.license_scan(),
     "op5_url_lists": r"""
         WITH p AS (
           SELECT DISTINCT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host,
