@@ -31,7 +31,7 @@ MISSING = "missing"
 #: Rounds before a share counts as out of reach, and how near a marginal must come to its target.
 ROUNDS = 40
 CLOSE = 1e-5
-#: Shares to try, each 0.8 of the one before; targets that contradict one another in cells without rows are out of reach at any, and warned of.
+#: Shares to try, each 0.8 of the one before; targets that contradict one another (a source of one language alone, say) are out of reach at any, and warned of.
 ATTEMPTS = 5
 
 
@@ -119,8 +119,8 @@ def rake(cells: DataFrame, targets: Targets, share: float = 0.8) -> Rake:
 
         return F.aggregate(each, start, cap, lambda a: F.when(a["left"] > 0, a["g"] / a["s"]).otherwise(1e12))
 
-    n = 0
-    for attempt in range(ATTEMPTS):
+    n, tried = 0, []
+    for _ in range(ATTEMPTS):
         b, c, wanted, trail = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0), share * total, []
         for _ in range(ROUNDS):
             n += 1
@@ -139,9 +139,12 @@ def rake(cells: DataFrame, targets: Targets, share: float = 0.8) -> Rake:
                     r = _step(wanted * goal[x], is_(capped, x, i), is_(free, x, i))
                     by[x] *= r
                     free = {k: v * r if k[i] == x else v for k, v in free.items()}
-        if off < CLOSE or attempt == ATTEMPTS - 1:
+        tried.append((off, share, b, c, wanted))
+        # where fewer tokens do not help, targets contradict one another: then the first try holds
+        if off < CLOSE or len(tried) > 1 and off > 0.9 * tried[-2][0]:
             break
         share *= 0.8
+    off, share, b, c, wanted = tried[-1] if tried[-1][0] < CLOSE else tried[0]
     if off >= CLOSE:
         warnings.warn(f"marginals are up to {off:.2g} from their targets", stacklevel=2)
     return Rake(rows.select("source", factor(b, c, wanted).alias("factor")), b, c, share, off, n)
