@@ -394,22 +394,3 @@ def test_query_against_its_sql(spark, name):
     assert names == sorted(want.columns)
     plain = lambda rows, at: sorted(tuple(str(r[at(c)]) for c in names) for r in rows)
     assert plain(df.collect(), lambda c: c) == plain(want.fetchall(), want.columns.index)
-
-
-def test_pipeline_of_awkward_tables(spark, tmp_path):
-    """No rows; and columns that stages use within, long texts, nulls and repeated rows."""
-    corpus = pytest.importorskip("corpus_pipeline")
-    spark.createDataFrame([(1, "no such words are in any of these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    empty = spark.createDataFrame([], SCHEMA)
-    for _, stage in corpus.STAGES:
-        assert stage(spark, empty, str(tmp_path)).count() == 0
-    rng = random.Random(8)
-    text = lambda n: " ".join(f"word{rng.randrange(3000)}" for _ in range(n))
-    rows = [(i, text(40), "en", f"s{i % 2}", 1) for i in range(20)] + [(30, text(20_000), "en", "s0", 1), (None, text(30), None, None, None)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    df = df.withColumns({c: F.lit("x") for c in ("guess", "likelihoods", "row_hash", "curve", "shard", "topic", "class_id", "h", "b_id")})
-    for name, stage in corpus.STAGES[:3]:
-        out = stage(spark, df, str(tmp_path))
-        assert out.columns == corpus.COLUMNS and {r.doc_id for r in out.collect()} == {r[0] for r in rows}, name
-    assert corpus.STAGES[3][1](spark, df, str(tmp_path)).columns == corpus.COLUMNS
-    assert corpus.STAGES[4][1](spark, df, str(tmp_path)).count() == len(rows)
