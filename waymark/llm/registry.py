@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import languages, sql, toxicity
+from waymark.llm.audit import audit_report
+from waymark.llm.centroids import cluster_report, kmeans
 from waymark.llm.decontaminate import contaminated
+from waymark.llm.forest import link_vectors
 from waymark.llm.hilbert import hilbert_shards
 from waymark.llm.licenses import license_scan
 from waymark.llm.mixing import mix_documents
@@ -112,6 +115,22 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_persistent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by a rule of its rows' ids."""
+    return audit_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty integer centroids after five rounds, and every vector's nearest."""
+    found, centers = kmeans(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    return cluster_report(found, centers)
+
+
+def op13_forest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more between all vectors of a label, and their components."""
+    return link_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -123,6 +142,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_spotsigs": op10_spotsigs,
+    "op11_persistent_audit": op11_persistent_audit,
+    "op12_pca_centroids": op12_pca_centroids,
+    "op13_forest_links": op13_forest_links,
 }
 
 ORACLE = {
@@ -172,4 +194,7 @@ ORACLE = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN k ON w.doc_id = k.doc_id
     """,
+    "op11_persistent_audit": sql.persistent_audit(),
+    "op12_pca_centroids": sql.centroids(),
+    "op13_forest_links": sql.vector_links(),
 }

@@ -7,10 +7,12 @@ from math import ceil
 from waymark.llm.licenses import PHRASES, SPAN, TEMPLATES
 
 #: CRC-32 of a text's bytes, over a table made by the polynomial's rule.
-_CRC = """tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+_CRC_TABLE = "tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i)))"
+_CRC_OF = "xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295)"
+_CRC = f"""{_CRC_TABLE},
         hx AS (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents),
         d AS (SELECT doc_id, source, lang, len(h) // 2 + 1 AS size,
-          xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS text_crc32 FROM hx, tb)"""
+          {_CRC_OF} AS text_crc32 FROM hx, tb)"""
 
 
 def sharding(dims: tuple[str, ...] = ("source", "lang", "size", "doc_id"), bits: int = 4, shards: int = 8) -> str:
@@ -60,3 +62,65 @@ def license_scan(least: float = 0.8) -> str:
         l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM bs UNION ALL SELECT rid, label FROM f) GROUP BY 1), s AS (SELECT rid, max(share) AS share FROM f GROUP BY 1)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
         FROM t LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)"""
+
+
+def centroids(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256) -> str:
+    """Integer k-means, a WITH item for each assignment and each move."""
+    distance = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::BIGINT"
+    assign = lambda n: f"a{n} AS MATERIALIZED (SELECT rid, min({distance} * 64 + k) AS m FROM v, c{n} GROUP BY rid)"
+    steps = []
+    for n in range(rounds):
+        sums = f"SELECT m % 64 AS k, unnest(q) AS x, unnest(range({dim})) AS i FROM a{n} JOIN v USING (rid)"
+        means = f"SELECT k, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM ({sums}) GROUP BY k, i"
+        steps += [assign(n), f"c{n + 1} AS MATERIALIZED (SELECT o.k, coalesce(z.c, o.c) AS c FROM c{n} o LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM ({means}) GROUP BY k) z ON o.k = z.k)"]
+    return f"""WITH s AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = {dim}),
+        v AS MATERIALIZED (SELECT rid, vec_id, list_transform(e, lambda x: CAST(floor(x * {scale}) AS BIGINT)) AS q FROM s WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q AS c FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {k})),
+        {', '.join(steps)}, {assign(rounds)},
+        f AS (SELECT vec_id, m % 64 AS k, m // 64 AS d FROM a{rounds} JOIN v USING (rid))
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM f JOIN c{rounds} USING (k)"""
+
+
+def vector_links(least: float = 0.93) -> str:
+    """All pairs of a label by their cosine, and the least id that each reaches."""
+    return f"""WITH RECURSIVE s AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        v AS MATERIALIZED (SELECT * FROM s WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {least}),
+        r AS (SELECT rid AS root, rid FROM s UNION SELECT r.root, l.b FROM r JOIN l ON r.rid = l.a),
+        c AS (SELECT root, min(vec_id) AS component_id FROM r JOIN s USING (rid) GROUP BY root), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN c ON root = rid LEFT JOIN n ON a = rid"""
+
+
+def persistent_audit() -> str:
+    """Damage, faults, and the audit by a fold over each conversation's rows: for each of four states the least string of a six-digit cost and the edits."""
+    add = lambda x, n, e: f"CASE WHEN {x} = '~' THEN '~' ELSE printf('%06d', CAST({x}[1:6] AS INTEGER) + {n}) || {x}[7:] || '{e}' END"
+    z, s, u, a, code = "x[1]", "x[2]", "x[3]", "x[4]", "c"
+    extra, may = f"CAST({code} <> lower({code}) AS INTEGER)", f"{code} <> 'D'"
+    when = lambda test, value: f"CASE WHEN {test} THEN {value} ELSE '~' END"
+    is_system = f"{code} IN ('s', 'S')"
+    to_user = [when(may, add(y, f"2 + {extra}", "R")) for y in (z, s, a)] + [when(f"{code} IN ('u', 'U')", add(y, extra, "K")) for y in (z, s, a)]
+    to_other = [when(may, add(u, f"2 + {extra}", "R")), when(f"{code} IN ('a', 'A')", add(u, extra, "K"))]
+    row = f"[{add(z, 3, 'D')}, least({add(s, 3, 'D')}, {when(is_system, add(z, extra, 'K'))}), least({add(u, 3, 'D')}, {', '.join(to_user)}), least({add(a, 3, 'D')}, {', '.join(to_other)})]"
+    users = f"least({u}, {add(z, 2, 'I')}, {add(s, 2, 'I')}, {add(a, 2, 'I')})"
+    inserted = lambda inner: f"list_transform(list_transform([{inner}], lambda x: [{z}, {s}, {users}, {a}]), lambda x: [{z}, {s}, {u}, least({a}, {add(u, 2, 'I')})])[1]"
+    white = r"[^\x20\x09-\x0D]"
+    return rf"""WITH {_CRC_TABLE},
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+        d AS (SELECT conv_id, turn, role, text, {_CRC_OF} % 20 AS kind FROM k, tb),
+        e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, regexp_extract_all(text, '{white}') AS seen FROM e),
+        f AS (SELECT *, CASE WHEN len(seen) = 0 THEN 'blank' WHEN again THEN 'duplicate' WHEN seen[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'o' END AS initial, role[1:1] AS own, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM p),
+        g AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'D' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END AS code FROM f),
+        q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(before IS NOT NULL AND before || own NOT IN ('su', 'ua', 'au')) AS illegal,
+          list(code ORDER BY place) AS codes FROM g GROUP BY conv_id),
+        b AS (SELECT *, list_reduce([{inserted("['000000', '~', '~', '~']")}] || list_transform(codes, lambda c: [c]), lambda x, y: list_transform([y[1]], lambda c: {inserted(row)})[1]) AS ends FROM q),
+        w AS (SELECT *, least(ends[1], ends[4]) AS won FROM b),
+        o AS (SELECT conv_id, unnest(string_split(won[7:], '')) AS edit, unnest(range(1, len(won) - 5)) AS nr FROM w WHERE len(won) > 6),
+        r AS (SELECT *, sum(CAST(edit <> 'I' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY nr) AS place FROM o),
+        t AS (SELECT r.conv_id, nr, edit, role, text FROM r LEFT JOIN p ON r.edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.place = p.place WHERE edit <> 'D'),
+        y AS (SELECT *, coalesce(edit = 'K' AND role[1:1] = 's', false) AS sys, sum(CAST(NOT coalesce(edit = 'K' AND role[1:1] = 's', false) AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY nr) AS nth FROM t),
+        z AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY nr) AS kept FROM y GROUP BY conv_id)
+        SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+          CAST(coalesce(won[1:6], '0') AS BIGINT) AS cost, coalesce(won[7:], '') AS audit, sha256(coalesce(kept, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN w ON i.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN z ON i.conv_id IS NOT DISTINCT FROM z.conv_id"""
