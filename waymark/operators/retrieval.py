@@ -12,57 +12,22 @@ from pyspark.sql import functions as F
 from waymark import config as C
 from waymark.functions.text import has_answer
 from waymark.operators.guards import finite, require, require_all
+from waymark.operators.lexical import LexicalIndex, kept_index, search
 from waymark.sources.tables import written
 
-#: Rows of queries' terms to broadcast at most, and numbers of a block of query vectors.
-BROADCAST_ROWS = 200_000
+#: Numbers of a block of query vectors.
 BLOCK_NUMBERS = 4_000_000
 
 
-#: Terms to filter by a literal set; beyond it postings meet the questions' terms in a join alone.
-LITERAL_TERMS = 20_000
-_TERM = r"[\p{L}\p{N}]+"
-
-
-def _terms(text: str) -> Column:
-    """Words of lower-cased letters and digits; no stop words, no stems."""
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0))
-
-
-def _words(passages: DataFrame, id_col: str, text_col: str, vocabulary: list[str] | None) -> DataFrame:
-    """(doc_id, dl, t): a passage's length and its terms, those of the vocabulary only where there is one."""
-    text = passages.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    t = text.select(id_col, _terms(text_col).alias("t")).select(id_col, F.size("t").alias("dl"), "t")
-    return t if vocabulary is None else t.withColumn("t", F.filter("t", lambda x: x.isin(*vocabulary) if vocabulary else F.lit(False)))
-
-
-def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: list[str] | None = None) -> DataFrame:
-    """(doc_id, term, dl, tf): the inverted index, one row for each term of a passage.  Rows of a passage are in one
-    partition, so what is added up by passage later needs no further exchange."""
-    t = _words(passages, id_col, text_col, vocabulary).repartition(id_col)
-    return t.select(id_col, "dl", F.explode("t").alias("term")).groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(queries: DataFrame, passages: DataFrame, k: int = C.POOL, k1: float = C.BM25_K1, b: float = C.BM25_B, query_id: str = "qid", query_text: str = "question", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bm25(queries: DataFrame, passages: DataFrame | LexicalIndex, k: int = C.POOL, k1: float = C.BM25_K1, b: float = C.BM25_B, query_id: str = "qid", query_text: str = "question", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(qid, doc_id, score, rank): each query's k best passages; ties go to the passage that comes
     first in the order of ids.
 
-    Only postings of terms that some query has are scored.  Passages without any term of the
-    query have no score, and passages without words count for nothing but their number."""
-    q = queries.select(query_id, F.explode(_terms(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    own = [r[0] for r in q.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
-    vocabulary = sorted(own) if len(own) <= LITERAL_TERMS else None
-    # one pass for all counts: each passage's length stands under a term of its own
-    each = _words(passages, id_col, text_col, vocabulary).select("dl", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
-    facts = written(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words")), "terms")
-    n, total = facts.filter("term = ''").agg(F.sum("df"), F.sum("words")).head()
-    average = total / n if total else 1.0
-    idf = F.log(1.0 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = written(q.join(facts, "term").select(query_id, "term", (F.col("qtf") * idf).alias("w")), "query-terms")
-    weighed = F.broadcast(weighed) if weighed.count() <= BROADCAST_ROWS else weighed
-    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(average)))
-    scored = postings(passages, id_col, text_col, vocabulary).join(weighed, "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
-    return top(scored, [query_id], [F.desc(F.round("score", 9)), F.col(id_col)], k)
+    passages is an index, or a table, whose index is built once for its files as they stand and then loaded
+    (lexical.kept_index).  Passages without any term of the query have no score, and passages without words count for nothing
+    but their number."""
+    index = passages if isinstance(passages, LexicalIndex) else kept_index(passages, f"{id_col}-{text_col}", id_col=id_col, text_col=text_col)
+    return search(queries, index, k, k1, b, query_id, query_text, id_col)
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -78,11 +43,10 @@ def dense(queries: DataFrame, index: DataFrame, k: int = C.POOL, query_id: str =
     Queries come to the driver in blocks of bounded size and are handed to all tasks, which multiply them with a batch of the index and
     keep k rows a query (and ties): nothing but those is shuffled.  The index is read once for each block."""
     q = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v"))
-    dim = q.select(F.max(F.size("v"))).head()[0] or 1
-    n = q.count()
+    n, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).head()
     blocks = max(1, -(-n * dim // BLOCK_NUMBERS))
-    cols = [row_no or id_col, id_col, vec_col]
-    at = index.select(F.col(cols[0]).cast("long").alias("at"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    row = F.col(row_no).cast("long") if row_no else F.lit(0).cast("long")
+    at = index.select(row.alias("at"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kinds = queries.schema[query_id].dataType.simpleString(), index.schema[id_col].dataType.simpleString()
     out = None
     for i in range(blocks):
@@ -183,9 +147,10 @@ def overlap(a: DataFrame, b: DataFrame, k: int = C.K, query_id: str = "qid", id_
     return per.agg(F.avg("n").alias("mean_overlap"), F.avg((F.col("n") == 0).cast("double")).alias("none_share"))
 
 
-def hybrid(queries: DataFrame, passages: DataFrame, index: DataFrame, pool: int = C.POOL, query_id: str = "qid") -> dict[str, DataFrame]:
+def hybrid(queries: DataFrame, passages: DataFrame | LexicalIndex, index: DataFrame, pool: int = C.POOL, query_id: str = "qid") -> dict[str, DataFrame]:
     """Lexical, dense and fused lists of the same queries (question and vector columns)."""
-    # pool rows a query, read by the fusion and by the signals
-    lex = written(bm25(queries, passages, pool, query_id=query_id), "lexical")
-    den = written(dense(queries, index, pool, query_id=query_id), "dense")
-    return {"lexical": lex, "dense": den, "fused": written(fuse(lex, den, pool, query_id=query_id), "fused")}
+    # pool rows a query, which fusion and signals read again and again: one table, written once
+    both = bm25(queries, passages, pool, query_id=query_id).withColumn("kind", F.lit("lexical"))
+    both = written(both.unionByName(dense(queries, index, pool, query_id=query_id).withColumn("kind", F.lit("dense"))), "lists")
+    lex, den = (both.filter(F.col("kind") == kind).drop("kind") for kind in ("lexical", "dense"))
+    return {"lexical": lex, "dense": den, "fused": fuse(lex, den, pool, query_id=query_id)}
