@@ -25,9 +25,11 @@ FORMAT = 1
 #: Documents of a part (the most that a block holds, but for chance), and buckets of terms.
 PART_DOCS = 4096
 BUCKETS = 16
+#: Parts whose postings of a bucket are one task's work and one file, so a term of all passages is many tasks'.
+RUN_PARTS = 64
 #: Rows of queries' terms, and of chosen parts, to broadcast at most; parts below which bounds have nothing to save.
 BROADCAST_ROWS = 200_000
-FEW_PARTS = 8
+FEW_PARTS = 64
 MANIFEST = "format int, analyzer string, folder string, id_type string, n long, words long, parts int, buckets int"
 _TERM = r"[\p{L}\p{N}]+"
 
@@ -73,13 +75,17 @@ def build_index(passages: DataFrame, path: str, id_col: str = "doc_id", text_col
     spark, folder = passages.sparkSession, uuid.uuid4().hex
     n = passages.count()
     parts = max(1, -(-n // part_docs))
-    words = passages.select(F.col(id_col).alias("id"), terms_of(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    rows = passages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.repartition(wide) if rows.rdd.getNumPartitions() < wide else rows
+    words = rows.select("id", terms_of("text").alias("t"))
     each = words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
     keyed = each.withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "bucket": _bucket("term", buckets)})
-    blocks = keyed.groupBy("bucket", "term", "part").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
+    keyed = keyed.withColumn("run", (F.col("part") / RUN_PARTS).cast("int")).repartition(max(wide, buckets * -(-parts // RUN_PARTS)), "bucket", "run")
+    blocks = keyed.groupBy("bucket", "run", "term", "part").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
     flat = blocks.select("bucket", "term", "part", "n", "max_tf", "min_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-    ranged = flat.repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part")
-    ranged.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{folder}/postings")
+    flat = flat.sortWithinPartitions("bucket", "term", "part")
+    flat.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{folder}/postings")
     kind = passages.schema[id_col].dataType.simpleString()
     postings = _postings(spark, f"{path}/{folder}", kind)
     total = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -159,8 +165,10 @@ def search(queries: DataFrame, index: LexicalIndex, k: int = C.POOL, k1: float =
     def scored(wanted: DataFrame | None) -> DataFrame:
         t = blocks.select("bucket", "term", "part", "ids", "tfs", "dls").join(weighed, ["bucket", "term"])
         t = t if wanted is None else t.join(_few(wanted), ["q", "part"])
-        t = t.select("q", "w", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-        return t.groupBy("q", F.col("p.ids").alias("id")).agg(F.sum(F.col("w") * gain(F.col("p.tfs"), F.col("p.dls"))).alias("score"))
+        # blocks meet by query and part while they are packed; what is added up by passage then needs no further exchange
+        t = t.select("q", "part", "w", "ids", "tfs", "dls").repartition("q", "part")
+        t = t.select("q", "part", "w", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return t.groupBy("q", "part", F.col("p.ids").alias("id")).agg(F.sum(F.col("w") * gain(F.col("p.tfs"), F.col("p.dls"))).alias("score")).drop("part")
 
     if not (index.parts > FEW_PARTS if prune is None else prune):
         best = _best(scored(None), k)
