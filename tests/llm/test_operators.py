@@ -220,7 +220,8 @@ def test_mixing_meets_the_targets(spark, docs, empty):
 
 
 def test_mixing_with_chances_at_their_limit(spark):
-    """Where chances of 1 stand in the way, the others make up for it: the expected shares are the targets."""
+    """Where chances of 1 stand in the way, the others make up for it: the expected shares are the targets, and a class that has less
+    than its target is drawn whole."""
     rng = np.random.default_rng(1)
     rows, i = [], 0
     for s, weight in (("a", 60), ("b", 25), ("c", 6)):
@@ -233,21 +234,21 @@ def test_mixing_with_chances_at_their_limit(spark):
     out = mixing.mix_documents(df, share=0.9, targets=mixing.Targets(power=0.7)).toPandas()
     assert (out["probability"] == 1).any() and (out["probability"] < 1).any()
     out["expected"] = out["tokens"] * out["probability"]
+    goal = {}
     for c in ("source", "lang", "topic"):
-        have, got = out.groupby(c)["tokens"].sum() ** 0.7, out.groupby(c)["expected"].sum()
-        assert (got / got.sum() - have / have.sum()).abs().max() < 1e-3, c
+        have, got = out.groupby(c)["tokens"].sum().to_dict(), out.groupby(c)["expected"].sum()
+        goal[c], _ = mixing.filled(have, mixing.tempered(have, 0.7), 0.9 * sum(have.values()))
+        assert max(abs(got[k] - v) for k, v in goal[c].items()) < 1e-3 * got.sum(), c
     # by brute force: a cell's chance is the product of its factors, cut at 1
     cells = out.groupby(["source", "lang", "topic"]).agg(n=("tokens", "sum"), p=("probability", "first"), lo=("probability", "min"), hi=("probability", "max"))
     assert (cells["lo"] == cells["hi"]).all()
-    share = out["expected"].sum() / out["tokens"].sum()
     axes = {c: np.array(cells.index.get_level_values(c)) for c in ("source", "lang", "topic")}
-    goal = {c: {k: v / sum(g.values()) * share * cells["n"].sum() for k, v in g.items()} for c in axes if (g := (out.groupby(c)["tokens"].sum() ** 0.7).to_dict())}
     f, n = np.ones(len(cells)), cells["n"].to_numpy(float)
     for _ in range(3000):
         for c, names in axes.items():
             for k, want in goal[c].items():
                 mine = names == k
-                f[mine] *= want / np.minimum(n[mine], n[mine] * f[mine]).sum()
+                f[mine] = np.minimum(1e9, f[mine] * want / np.minimum(n[mine], n[mine] * f[mine]).sum())
     assert np.abs(np.minimum(1, f) - cells["p"].to_numpy()).max() < 1e-3
     small, large = (set(mixing.mix_documents(df, share=s).filter("sampled").toPandas()["doc_id"]) for s in (0.2, 0.5))
     assert len(small) < len(large)

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, hilbert, languages, order_minhash, registry, spotsigs, substrings, toxicity
+from waymark.llm import decontaminate, hilbert, languages, mixing, order_minhash, registry, spotsigs, substrings, toxicity
 from waymark.llm.words import ALNUM, SPACE_SPLIT, pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -394,3 +395,86 @@ def test_query_against_its_sql(spark, name):
     assert names == sorted(want.columns)
     plain = lambda rows, at: sorted(tuple(str(r[at(c)]) for c in names) for r in rows)
     assert plain(df.collect(), lambda c: c) == plain(want.fetchall(), want.columns.index)
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """No rows; and columns that stages use within, long texts, nulls and repeated rows."""
+    corpus = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "no such words are in any of these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"word{rng.randrange(3000)}" for _ in range(n))
+    rows = [(i, text(40), "en", f"s{i % 2}", 1) for i in range(20)] + [(30, text(20_000), "en", "s0", 1), (None, text(30), None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df = df.withColumns({c: F.lit("x") for c in ("guess", "likelihoods", "row_hash", "curve", "shard", "topic", "class_id", "h", "b_id")})
+    for name, stage in corpus.STAGES[:3]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == corpus.COLUMNS and {r.doc_id for r in out.collect()} == {r[0] for r in rows}, name
+    assert corpus.STAGES[3][1](spark, df, str(tmp_path)).columns == corpus.COLUMNS
+    assert corpus.STAGES[4][1](spark, df, str(tmp_path)).count() == len(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a", "en", "s", 1)], [(7, "a", "en", "s", 1)] * 9, [(None, None, None, None, None)] * 3, [(i, "a", "en", "s", 1) for i in range(40)]])
+def test_sharding_where_dimensions_have_one_value(spark, tmp_path, rows):
+    """Empty, one row, all alike, all null, and one dimension of several values: each ends, and quickly."""
+    began = time.monotonic()
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op3_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    counts = Counter(r.shard for r in got)
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert not rows or max(counts.values()) - min(counts.get(s, 0) for s in range(8)) <= 1
+    corpus = pytest.importorskip("corpus_pipeline")
+    assert corpus.STAGES[-1][1](spark, df, str(tmp_path)).count() == len(rows)
+    assert time.monotonic() - began < 60
+
+
+def test_mixing_query_against_brute_force(spark, tables, tmp_path):
+    """Every probability of op2_mixing, by raking cells in plain Python to targets of which small classes give what they have; and one rare
+    document more changes the sample by no more than itself."""
+    _, rows = tables
+    path = str(tmp_path / "a")
+    rng = random.Random(4)
+    own = [[i, " ".join(rng.choices(["word", "other", "thing?", "{code", "http"], [9, 9, 1, 1, 1], k=rng.randrange(5, 200))), rng.choices(["en", "de", "fr"], [8, 3, 1])[0], f"s{rng.choices(range(5), [50, 20, 9, 3, 1])[0]}", 0] for i in range(600)]
+    spark.createDataFrame(own, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    got = registry.op2_mixing(spark, path).toPandas()
+    got["expected"] = got["tokens"] * got["probability"]
+    share, power = 0.8, mixing.Targets().power
+    axes = ("source", "lang", "topic")
+    cells = got.groupby(list(axes)).agg(n=("tokens", "sum"), p=("probability", "first"), lo=("probability", "min"), hi=("probability", "max"))
+    assert (cells["lo"] == cells["hi"]).all()
+    n, goal, total = cells["n"].to_numpy(float), {}, float(got["tokens"].sum())
+    for c in axes:
+        have = got.groupby(c)["tokens"].sum().to_dict()
+        goal[c], left, free = {}, share * total, dict(have)
+        while True:
+            raw = {k: v ** (mixing.Targets().source_power if c == "source" else power) for k, v in free.items()}
+            part = {k: left * v / sum(raw.values()) for k, v in raw.items()}
+            small = [k for k in free if part[k] >= have[k] * (1 - 1e-12)]
+            if not small:
+                break
+            for k in small:
+                goal[c][k] = have[k]
+                left -= free.pop(k)
+        goal[c] |= part
+    names = {c: np.array(cells.index.get_level_values(c)) for c in axes}
+    f = np.ones(len(cells))
+    for _ in range(4000):
+        for c in axes:
+            for k, want in goal[c].items():
+                mine = names[c] == k
+                f[mine] = np.minimum(f[mine] * want / np.minimum(n[mine], n[mine] * f[mine]).sum(), 1e9)
+    assert np.abs(np.minimum(1, f) - cells["p"].to_numpy()).max() < 2e-3
+    assert got["expected"].sum() / total == pytest.approx(share, rel=1e-3)
+    for c in axes:
+        sums = got.groupby(c)["expected"].sum()
+        assert all(sums[k] == pytest.approx(want, rel=1e-2, abs=1) for k, want in goal[c].items())
+    more = str(tmp_path / "b")
+    spark.createDataFrame([*own, [9999, "a", "xx", "alone", 1]], SCHEMA).write.parquet(f"{more}/documents.parquet")
+    again = registry.op2_mixing(spark, more).toPandas()
+    assert abs(again["tokens"].mul(again["probability"]).sum() - got["expected"].sum()) < 3
+    assert again.loc[again["doc_id"] == 9999, "probability"].item() == 1.0
+    assert len(set(again["doc_id"][again["sampled"]]) ^ set(got["doc_id"][got["sampled"]])) <= 4

@@ -72,16 +72,21 @@ def _curve(values: list[Column], bits: int) -> list[tuple[str, Column]]:
 
 def curve_index(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str = "curve") -> DataFrame:
     """df with the Hilbert index of its dims (of any type that has an order), each quantised into 2**bits parts of about equal
-    numbers of rows: a value's part is that of the first row that holds it, when all are in order.  Nulls are in the least part."""
+    numbers of rows: a value's part is that of the first row that holds it, when all are in order.  Nulls are in the least part.  A dimension of one
+    value (or of nulls only) has one part; where all are such, or df is empty, so is the curve's."""
     if not dims:
         raise ValueError("a curve needs a dimension")
-    parts = []
+    parts, constant = [], False
     for d in dims:
         value, part, at = F.col(f"`{d}`"), F.lit(0), 0
         for cut, q in _cuts(df, d, bits):
             part, at = part + F.when(value >= F.lit(cut), q - at).otherwise(0), q
+        constant |= not at
         parts.append(part)
     out = df.select("*", *[p.alias(f"_x{i}_0") for i, p in enumerate(parts)])
+    if constant:
+        # the optimizer would put a dimension's only value into all later steps, which double at each: what is read from a table it can't
+        out = keep(out, "coordinates")
     for step, value in _curve([F.col(f"_x{i}_0") for i in range(len(dims))], bits)[len(dims) :]:
         out = out.withColumn(step, value)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_curve").alias(name))
