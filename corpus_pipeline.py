@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; docs are its
 predecessor's rows, written as Parquet and read again.  All but the last return the columns
-of documents, rows without a verdict against them unchanged.
+of documents, rows without a verdict against them unchanged.  In every stage other columns are left out, whatever their names, an
+empty table gives an empty one, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def _few(ids: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined go, as empty ones do."""
+    docs = docs.select(*COLUMNS)
     names, model = languages.train(docs, "text", "lang")
     rows = languages.document_evidence(docs).withColumn("row_hash", F.xxhash64("text"))
     found = languages.identify(rows, names, model)
@@ -40,6 +42,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the least id.  Rows without an id stay, and rows of one id
     whose texts differ; of those that agree in id and text one stays."""
+    docs = docs.select(*COLUMNS)
     found = keep(near_copies(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "copies")
     kept = docs.join(_few(found), "doc_id", "left_anti")
     # rows that share the id and the text are copies too
@@ -51,6 +54,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    docs = docs.select(*COLUMNS)
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = _few(found.select(F.col("doc_id").alias("b_id"), F.col("row_hash").alias("b_hash")).distinct())
     return docs.join(bad, docs.doc_id.eqNullSafe(F.col("b_id")) & (F.xxhash64(docs.text) == F.col("b_hash")), "left_anti").select(*COLUMNS)
@@ -59,7 +63,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn so that the tokens meet the target shares of sources, languages and topics.  Nulls are a class of
     their own, empty texts stay, repeated rows share their fate."""
-    mixed = mix_documents(docs)
+    mixed = mix_documents(docs.select(*COLUMNS))
     return mixed.filter(mixed.columns[-1]).select(*COLUMNS)
 
 
