@@ -154,3 +154,18 @@ def hybrid(queries: DataFrame, passages: DataFrame | LexicalIndex, index: DataFr
     both = written(both.unionByName(dense(queries, index, pool, query_id=query_id).withColumn("kind", F.lit("dense"))), "lists")
     lex, den = (both.filter(F.col("kind") == kind).drop("kind") for kind in ("lexical", "dense"))
     return {"lexical": lex, "dense": den, "fused": fuse(lex, den, pool, query_id=query_id)}
+
+
+def smoke(lists: dict[str, DataFrame], expected: DataFrame, query_id: str = "qid", id_col: str = "doc_id") -> DataFrame:
+    """(list, qid, k, expected, found, first_rank, passed): each expectation (qid, doc_ids, k: at least one of doc_ids among the first k) held
+    against each ranked list.  A question without a list has found nothing, and an expectation that comes twice is one."""
+    wanted = expected.select(query_id, F.array_sort(F.array_distinct("doc_ids")).alias("doc_ids"), "k").distinct()
+    every = None
+    for name, ranked in lists.items():
+        own = ranked.select(F.lit(name).alias("list"), query_id, F.col(id_col).alias("_doc"), F.col("rank").cast("long").alias("_rank"))
+        every = own if every is None else every.unionByName(own)
+    asked = wanted.crossJoin(F.broadcast(expected.sparkSession.createDataFrame([(n,) for n in lists], "list string")))  # a row for each list
+    asked = asked.select("list", query_id, "doc_ids", "k", F.explode_outer("doc_ids").alias("_doc"))
+    hit = asked.join(every, ["list", query_id, "_doc"], "left").withColumn("_in", F.col("_rank") <= F.col("k"))
+    out = hit.groupBy("list", query_id, "k", "doc_ids").agg(F.count("_doc").alias("expected"), F.count_if("_in").alias("found"), F.min("_rank").alias("first_rank"))
+    return out.select("list", query_id, "k", "expected", "found", "first_rank", (F.col("found") > 0).alias("passed"))

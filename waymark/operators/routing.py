@@ -9,7 +9,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.guards import finite, require, require_all, require_unique
+from waymark.operators.guards import demanded, finite, matched, require, require_all, require_unique
 
 STEPS = 100
 KEYS = ("cluster_id", "variant_id")
@@ -63,8 +63,11 @@ def assign_action(score: Column, cuts: Sequence[Column | float], actions: Sequen
     return F.get(F.array(*[F.lit(a) for a in actions]), action_index(score, cuts))
 
 
-def outcome_table(rows: DataFrame, actions: Sequence[str], quality: str = "f1", cost: str | Sequence[str] = "cost", keys: Sequence[str] = KEYS, keep: Sequence[str] = (), validate: bool = False) -> DataFrame:
-    """One row for each instance: q_<action> and c_<action>.  cost may be several fields to add up."""
+def outcome_table(rows: DataFrame, actions: Sequence[str], quality: str = "f1", cost: str | Sequence[str] = "cost", keys: Sequence[str] = KEYS, keep: Sequence[str] = (), validate: bool = False, strict: bool = True) -> DataFrame:
+    """One row for each instance: q_<action> and c_<action>.  cost may be several fields to add up.
+
+    An instance without exactly one row for each action, or with a value that is no number, fails the job that reads it (strict; else it
+    has nulls).  validate looks at once, in jobs of its own, and at all rows."""
     costs = [cost] if isinstance(cost, str) else list(cost)
     total = reduce(lambda a, b: a + b, [F.col(c) for c in costs])
     if validate:
@@ -76,7 +79,12 @@ def outcome_table(rows: DataFrame, actions: Sequence[str], quality: str = "f1",
         if missing:
             raise ValueError(f"an action is missing for {missing[0].asDict()}")
     at = lambda v, a: F.max(F.when(F.col("action") == a, v))
-    return rows.groupBy(*keys, *keep).agg(*[at(F.col(quality), a).alias(f"q_{a}") for a in actions], *[at(total, a).alias(f"c_{a}") for a in actions])
+    own = {f"q_{a}": at(F.col(quality), a) for a in actions} | {f"c_{a}": at(total, a) for a in actions}
+    wide = rows.groupBy(*keys, *keep).agg(*[v.alias(c) for c, v in own.items()], *[F.count_if(F.col("action") == a).alias(f"_n_{a}") for a in actions], F.count("*").alias("_n"))
+    # the same grouping counts what each instance has: one row for each action and no other
+    whole = reduce(lambda a, b: a & b, [F.col(f"_n_{a}") == 1 for a in actions]) & (F.col("_n") == len(actions))
+    checked = lambda c: demanded(demanded(F.col(c), finite(c), f"{c} is no number", keys), whole, "not one row for each action", keys)
+    return wide.select(*keys, *keep, *[(checked(c) if strict else F.col(c)).alias(c) for c in own])
 
 
 def table_for(rows: DataFrame, keys: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:
@@ -100,11 +108,12 @@ def missing_outcomes(rows: DataFrame, actions: Sequence[str], keys: Sequence[str
 
 
 def align(table: DataFrame, values: DataFrame, keys: Sequence[str] = KEYS, validate: bool = False) -> DataFrame:
-    """table with its instances' values; by key, never by place.  An instance without one is an error."""
+    """table with its instances' values; by key, never by place.  An instance without values, or with two rows of them, is an error: of the job
+    that reads them or, with validate, at once."""
     if validate:
         require_unique(values, list(keys), "values")
         require_all(table, values, list(keys), "values")
-    return table.join(values, list(keys))
+    return matched(table, values, keys, "values")
 
 
 def chosen(prefix: str, index: Column, actions: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import config as C
-from waymark.operators.guards import finite, require, require_all, require_unique
+from waymark.operators.guards import demanded, finite, matched, require
 
 
 def margin(ranked: DataFrame, by: Sequence[str] = ("qid",), k: int = C.K) -> DataFrame:
@@ -115,13 +115,9 @@ def pairs(df: DataFrame, cols: Sequence[str], cluster: str = "cluster_id", varia
 
 
 def signal_matrix(table: DataFrame, signals: DataFrame, names: Sequence[str], keys: Sequence[str] = ("cluster_id", "variant_id")) -> DataFrame:
-    """table with its instances' signals; one that is missing, no number or outside [0, 1] is an error."""
-    require_unique(signals, list(keys), "signals")
-    require_all(table, signals, list(keys), "signals")
-    own = signals.select(*keys, *names)
-    for s in names:
-        require(own, finite(s) & F.col(s).between(0, 1), f"{s} is outside [0, 1]")
-    return table.join(own, list(keys))
+    """table with its instances' signals; one that is missing or comes twice, is no number or is outside [0, 1] fails the job that reads it."""
+    t = matched(table, signals.select(*keys, *names), keys, "signals")
+    return t.withColumns({s: demanded(F.col(s), finite(s) & F.col(s).between(0, 1), f"{s} is outside [0, 1]", keys) for s in names})
 
 
 def pair_differences(df: DataFrame, names: Sequence[str], cluster: str = "cluster_id", variant: str = "variant_id", size: int = 3) -> tuple[DataFrame, int]:

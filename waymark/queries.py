@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from waymark import config as C
 from waymark.functions import fuzzy, text, vectors
-from waymark.operators import audits, baselines, clusters, diagnostics, evaluation, retrieval, routing, signals
-from waymark.plans import evaluate
+from waymark.operators import audits, baselines, clusters, diagnostics, evaluation, integrity, retrieval, routing, signals
+from waymark.plans import client, evaluate, outcomes
 from waymark.plans import standins as st
 from waymark.plans.standins import SIGNALS, with_sql
-from waymark.sources import readers, tables, writers
+from waymark.sources import readers, shards, tables, writers
 from waymark.streaming import guard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -900,3 +901,129 @@ def unicode_answers(spark, sf):
     d = st.table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract("text", r"\p{L}*[éèüöä]\p{L}*", 0).alias("a"))
     apart = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "é", "e\u0301"), "è", "e\u0300"), "ü", "u\u0308"), "ö", "o\u0308"), "ä", "a\u0308")
     return d.select("doc_id", text.has_answer(F.array(apart(F.col("a"))), F.col("text")).alias("apart"), text.has_answer(F.array("a"), apart(F.col("text"))).alias("composed"))
+
+
+# Phases, a model's client, shards and audits
+
+_ASKED = """WITH asked AS (SELECT DISTINCT text AS question, 0 AS kind, text AS t FROM benchmark UNION ALL SELECT DISTINCT text, 1, replace(text, chr(10), ' ') || ' zqzq' FROM benchmark WHERE length(text) % 3 <> 0),
+        words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc_id) AS dl FROM words GROUP BY 1, 2),
+        q AS (SELECT question, kind, term, count(*) AS qtf FROM (SELECT question, kind, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS term FROM asked) GROUP BY 1, 2, 3),
+        st AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(tf) FROM post)::DOUBLE / (SELECT count(*) FROM documents) AS av), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+        bms AS (SELECT question, kind, doc_id, sum(qtf * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 0.9::DOUBLE * (1.0::DOUBLE - 0.4::DOUBLE + 0.4::DOUBLE * dl / av))) AS score FROM post JOIN q USING (term) JOIN dfs USING (term), st GROUP BY 1, 2, 3),
+        dns AS (SELECT question, kind, vec_id AS doc_id, list_sum(list_transform(range(0, 64), lambda i: ((length(t) * 31 + i * 17) % 101 / 100.0::DOUBLE - 0.5::DOUBLE) * embedding[i + 1]::DOUBLE)) AS score FROM asked, embeddings),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question, kind, src ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT *, 1 AS src FROM bms UNION ALL SELECT *, 2 FROM dns)) WHERE rank <= 50),
+        mm AS (SELECT question, kind, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM best WINDOW w AS (PARTITION BY question, kind, src)),
+        fus AS (SELECT question, kind, doc_id, sum(s) / 2.0::DOUBLE AS score FROM mm GROUP BY 1, 2, 3),
+        fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question, kind ORDER BY round(score, 12) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM fus) WHERE rank <= 50),"""
+
+
+def _stand_ins():
+    """Models by rule: rewrites add a word but for questions of certain lengths, vectors and scores are arithmetic on lengths."""
+
+    def chat(prompt):
+        question = prompt.rsplit("Question: ", 1)[1].removesuffix("\nAnswer:")
+        line = question.replace("\n", " ")
+        raw = (f"{line} zqzq" if len(question) % 3 else line) if prompt.startswith("Rewrite") else "a reply"
+        return {"raw": raw, "input_tokens": len(prompt), "output_tokens": len(raw), "prompt_tps": 200.0}
+
+    encode = lambda q: F.array(*[((F.length(q) * 31 + i * 17) % 101 / F.lit(100.0) - 0.5) for i in range(64)])
+    cross = lambda q, t: (F.length(t) * 7 + F.length(q) * 31) % 17 / F.lit(17.0)
+    return outcomes.Models(chat, encode, cross, rerank_seconds=0.01, retrieval_seconds=0.25)
+
+
+@query(_ASKED + """ ce AS (SELECT question, doc_id, (length(d.text) * 7 + length(question) * 31) % 17 / 17.0::DOUBLE AS ce FROM (SELECT DISTINCT question, doc_id FROM fu) JOIN documents d USING (doc_id)),
+        mx AS (SELECT question, doc_id, max(score) AS score FROM fu WHERE question IN (SELECT question FROM asked WHERE kind = 1) GROUP BY 1, 2),
+        ms AS (SELECT question, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM mx WINDOW w AS (PARTITION BY question)),
+        pools AS (SELECT question, 'A1' AS action, doc_id, rank FROM fu WHERE kind = 0 AND rank <= 20 UNION ALL SELECT * FROM (SELECT question, 'A2', doc_id, row_number() OVER (PARTITION BY question ORDER BY round(score, 12) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM ms) WHERE rank <= 30),
+        ranked AS (SELECT *, count(*) OVER (PARTITION BY question, action) AS passes, row_number() OVER (PARTITION BY question, action ORDER BY ce DESC, rank) AS nr FROM pools JOIN ce USING (question, doc_id)),
+        chosen AS (SELECT question, action, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY nr) AS docs, max(passes) AS ce_passes, false AS fallback FROM ranked WHERE nr <= 5 GROUP BY 1, 2),
+        every AS (SELECT question, 'A0' AS action, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS docs, 0 AS ce_passes, false AS fallback FROM fu WHERE kind = 0 AND rank <= 5 GROUP BY 1 UNION ALL SELECT * FROM chosen
+          UNION ALL SELECT question, 'A2', docs, 0, true FROM chosen WHERE action = 'A1' AND question NOT IN (SELECT question FROM asked WHERE kind = 1))
+        SELECT item_id, action, docs, fallback, CAST(ce_passes AS BIGINT) AS ce_passes, CASE WHEN action = 'A2' AND NOT fallback THEN 2 ELSE 1 END AS retrievals, CASE WHEN action = 'A2' THEN 2 ELSE 1 END AS llm_calls FROM every JOIN benchmark ON text = question""")
+def outcome_phases(spark, sf):
+    """Questions to outcomes in one call: passages of each action, fallbacks and counts of work."""
+    b = st.table(spark, sf, "benchmark")
+    instances = b.select(F.col("item_id").alias("cluster_id"), F.lit(0).alias("variant_id"), F.col("text").alias("question"), F.array(F.lit("a reply")).alias("answers"))
+    root = f"{tables.shared_dir(spark).rstrip('/')}/waymark-phases-{uuid.uuid4().hex}"
+    made, _ = outcomes.outcome_table(instances, st.passages(spark, sf), st.index(spark, sf), _stand_ins(), root)
+    chosen = made["selection"].join(b.select("item_id", F.col("text").alias("question")), "question").select("item_id", "action", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("docs"))
+    rows = made["outcomes"].withColumnRenamed("cluster_id", "item_id")
+    return rows.join(chosen, ["item_id", "action"]).select("item_id", "action", "docs", "fallback", "ce_passes", "retrievals", "llm_calls")
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 7 = 3 THEN NULL ELSE 'reply of ' || item_id END AS reply, CASE WHEN item_id % 7 = 3 THEN 'ConnectionError' WHEN item_id % 11 = 5 THEN 'Refused' END AS error,
+        CAST(CASE WHEN item_id % 7 = 3 THEN 4 WHEN item_id % 11 = 5 THEN 1 ELSE item_id % 3 + 1 END AS INTEGER) AS attempts FROM benchmark WHERE item_id % 7 = 3 OR item_id % 11 <> 5
+        UNION ALL SELECT item_id, NULL, 'Refused', 1 FROM benchmark WHERE item_id % 7 <> 3 AND item_id % 11 = 5""")
+def client_replies(spark, sf):
+    """Every item's reply from a model that fails at first, for good, or refuses, by rule."""
+    seen = {}
+
+    def model(prompt):
+        i = int(prompt.split()[-1])
+        seen[i] = seen.get(i, 0) + 1
+        if i % 7 != 3 and i % 11 == 5:
+            raise client.Refused("no")
+        if i % 7 == 3 or seen[i] <= i % 3:
+            raise ConnectionError("busy")
+        return {"reply": f"reply of {i}"}
+
+    rows = st.table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("item "), F.col("item_id")).alias("prompt"))
+    journal = f"{tables.shared_dir(spark).rstrip('/')}/waymark-journal-{uuid.uuid4().hex}"
+    got = client.ask(rows, "prompt", model, "reply string", journal, client.Policy(first_wait=0.001, flush=64))
+    # replies come from calls: they are kept, as another evaluation would not be the same
+    return tables.written(got.select("item_id", "reply", F.regexp_extract("error", r"^(\w+)", 1).alias("error"), "attempts"), "replies")
+
+
+@query("""WITH k AS (SELECT vec_id, vec_id // 128 AS s, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings WHERE vec_id NOT BETWEEN 40 AND 49 AND vec_id NOT BETWEEN 250 AND 260),
+        g AS (SELECT s, count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi, min(norm) AS a, max(norm) AS b FROM k GROUP BY 1), w AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY s) + 1, 0) AS due, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g)
+        SELECT printf('passages_%05d.parquet', s) AS shard, n, CAST(start AS BIGINT) AS start, CAST(lo AS VARCHAR) AS first_id, CAST(hi AS VARCHAR) AS last_id, round(a, 5) AS low_norm, round(b, 5) AS high_norm,
+          CASE WHEN lo <> due OR hi - lo + 1 <> n THEN 'ids ' || lo || ' to ' || hi || ' of ' || n || ' rows do not follow from ' || due END AS wrong FROM w""")
+def shard_checks(spark, sf):
+    """Vectors in shards of 128 ids, two runs of which are missing: what the inspection says of each shard."""
+    own = st.index(spark, sf).filter("doc_id not between 40 and 49 and doc_id not between 250 and 260").select(F.col("doc_id").alias("id"), "embedding")
+    folder = f"{tables.shared_dir(spark).rstrip('/')}/waymark-shards-{uuid.uuid4().hex}"
+    shards.write_shards(own, folder, 128)
+    return rounded(shards.inspect_shards(spark, folder, 64, "passages_*", first=0).drop("path"), "low_norm", "high_norm", digits=5)
+
+
+_CODE = "CAST('0x' || substr(md5(concat_ws(chr(31), CAST(cluster_id AS VARCHAR), CAST(variant_id AS VARCHAR), action, split, CAST(CAST(round(f1 * 100) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT)"
+
+
+@query(f"""+ r AS (SELECT *, {_CODE} AS code, cluster_id || ':' || variant_id || ':' || action AS key FROM rows), t AS (SELECT dataset, count(*) AS n, CAST(sum(code::HUGEINT) AS VARCHAR) AS digest_sum, bit_xor(code) AS digest_xor FROM r GROUP BY 1),
+        b AS (SELECT dataset, key, unnest([{{'i': 'f1 is a share', 'bad': NOT f1 BETWEEN 0 AND 1}}, {{'i': 'cheap actions generate fast', 'bad': action = 'A0' AND generation > 1.4::DOUBLE}}, {{'i': 'retrieval counts hops', 'bad': retrieval <> CAST(action[2:2] AS DOUBLE)}}, {{'i': 'train is answered', 'bad': split = 'train' AND f1 = 0}}]) AS x FROM r)
+        SELECT dataset, x.i AS invariant, n, CAST(count_if(x.bad) AS BIGINT) AS violations, min(key) FILTER (x.bad) AS example, digest_sum, digest_xor FROM b JOIN t USING (dataset) GROUP BY dataset, x.i, n, digest_sum, digest_xor""", ["rows"])
+def integrity_audit(spark, sf):
+    """Invariants of the outcome rows, their violations and each dataset's digest, in one pass."""
+    rules = {
+        "f1 is a share": F.col("f1").between(0, 1),
+        "cheap actions generate fast": (F.col("action") != "A0") | (F.col("generation") <= 1.4),
+        "retrieval counts hops": F.col("retrieval") == F.substring("action", 2, 1).cast("double"),
+        "train is answered": (F.col("split") != "train") | (F.col("f1") != 0),
+    }
+    digest = ["cluster_id", "variant_id", "action", "split", F.round(F.col("f1") * 100).cast("long")]
+    return integrity.audit(st.outcome_rows(st.instances(spark, sf)), rules, F.concat_ws(":", "cluster_id", "variant_id", "action"), digest, ["dataset"])
+
+
+@query("""+ x AS (SELECT item_id AS qid, unnest([item_id * 3, item_id * 3 + 1]) AS doc_id FROM benchmark JOIN questions ON qid = item_id), l AS (SELECT 'lexical' AS list, qid, doc_id, rank FROM bm UNION ALL SELECT 'dense', qid, doc_id, rank FROM dn UNION ALL SELECT 'fused', qid, doc_id, rank FROM fu)
+        SELECT n.list, x.qid, CAST(20 AS INTEGER) AS k, count(*) AS expected, count(*) FILTER (rank <= 20) AS found, CAST(min(rank) AS BIGINT) AS first_rank, count(*) FILTER (rank <= 20) > 0 AS passed
+        FROM x CROSS JOIN (VALUES ('lexical'), ('dense'), ('fused')) n(list) LEFT JOIN l ON l.list = n.list AND l.qid = x.qid AND l.doc_id = x.doc_id GROUP BY 1, 2""", ["bm", "dn", "fu"])
+def smoke_retrieval(spark, sf):
+    """Whether each question's expected passages are among the first 20 of its three lists."""
+    q = st.questions(spark, sf)
+    lists = retrieval.hybrid(q, st.passages(spark, sf), st.index(spark, sf))
+    return retrieval.smoke(lists, q.select("qid", F.array(F.col("qid") * 3, F.col("qid") * 3 + 1).alias("doc_ids"), F.lit(20).alias("k")))
+
+
+@query(r"""WITH f AS (SELECT len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::DOUBLE AS n_words, CAST(regexp_matches(text, '\d') AS DOUBLE) AS has_digit, (length(text) % 7)::DOUBLE AS odd, (item_id * 7919) % 101 AS a, (item_id * 7919 + 104729) % 101 AS b, (item_id * 7919 + 209458) % 101 AS c FROM benchmark),
+        y AS (SELECT *, CASE WHEN a >= greatest(a, b, c) - 2 THEN 0 WHEN b >= greatest(a, b, c) - 2 THEN 1 ELSE 2 END AS label FROM f),
+        z AS (SELECT label, unnest([{'f': 'n_words', 'v': (n_words - avg(n_words) OVER ()) / CASE WHEN stddev_pop(n_words) OVER () < 1e-12 THEN 1 ELSE stddev_pop(n_words) OVER () END}, {'f': 'has_digit', 'v': (has_digit - avg(has_digit) OVER ()) / CASE WHEN stddev_pop(has_digit) OVER () < 1e-12 THEN 1 ELSE stddev_pop(has_digit) OVER () END},
+          {'f': 'odd', 'v': (odd - avg(odd) OVER ()) / CASE WHEN stddev_pop(odd) OVER () < 1e-12 THEN 1 ELSE stddev_pop(odd) OVER () END}, {'f': 'bias', 'v': 1.0::DOUBLE}]) AS x FROM y)
+        SELECT x.f AS feature, j AS class, round(avg(x.v * CAST(label = j AS DOUBLE)), 6) + 0.0 AS observed, round(avg(x.v * CAST(label = j AS DOUBLE)), 6) + 0.0 AS fitted FROM z, (VALUES (0), (1), (2)) c(j) GROUP BY 1, 2""")
+def learned_optimum(spark, sf):
+    """The learned router at its optimum: what the data hold of each feature and class, and what the model and its penalty make of it, agree."""
+    f = text.query_features(F.col("text"))
+    label = F.array(*[(F.col("item_id") * 7919 + i * 104729) % 101 for i in range(3)])
+    feats = st.table(spark, sf, "benchmark").select(f["n_words"].cast("double").alias("n_words"), f["has_digit"].cast("double").alias("has_digit"), (F.length("text") % 7).cast("double").alias("odd"), label.alias("q"))
+    feats = feats.withColumn("label", F.array_position(F.transform("q", lambda x: x >= F.array_max("q") - 2), F.lit(True)).cast("int") - 1)
+    model = baselines.fit_optimum(feats, ["n_words", "has_digit", "odd"], "label", 3)
+    return rounded(baselines.fitted_moments(feats, model, "label"), "observed", "fitted")

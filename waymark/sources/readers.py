@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,35 @@ def passages(spark: SparkSession, path: str, ids: DataFrame | None = None) -> Da
     return df if ids is None else df.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+#: Ids that are handed to the scan as ranges, and how many ranges those make.
+SCAN_IDS, SCAN_RANGES = 50_000, 64
+
+
+def id_ranges(ids: list, most: int = SCAN_RANGES) -> list[tuple]:
+    """Sorted distinct ids as at most so many ranges that hold them all: for numbers the widest gaps part them, else equal counts."""
+    own = sorted(set(ids))
+    if len(own) <= most:
+        return [(x, x) for x in own]
+    if isinstance(own[0], str):
+        step = -(-len(own) // most)
+        return [(part[0], part[-1]) for part in (own[i : i + step] for i in range(0, len(own), step))]
+    cuts = sorted(sorted(range(1, len(own)), key=lambda i: own[i - 1] - own[i])[: most - 1])
+    return [(own[a], own[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True)]
+
+
 def load_passages(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The passages of ids; a missing one is an error."""
-    require_all(ids, df, ["id"], "passages")
-    return df.join(ids.select("id").distinct(), "id", "left_semi")
+    """The passages of ids; a missing one is an error.
+
+    Up to SCAN_IDS ids go to the scan as ranges, so that it, and the look for missing ones, read only the row groups that may hold
+    them: writers.passages_cache puts passages in the order of their ids.  More ids meet the passages in a join alone."""
+    wanted = ids.select("id").distinct()
+    own = [r[0] for r in wanted.filter("id is not null").limit(SCAN_IDS + 1).collect()]
+    found = df
+    if len(own) <= SCAN_IDS:
+        kind = df.schema["id"].dataType
+        found, wanted = df.filter(reduce(or_, [F.col("id").between(F.lit(a).cast(kind), F.lit(b).cast(kind)) for a, b in id_ranges(own)], F.lit(False))), F.broadcast(wanted)
+    require_all(ids, found, ["id"], "passages")
+    return found.join(wanted, "id", "left_semi")
 
 
 def questions(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:

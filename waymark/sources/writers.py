@@ -14,9 +14,9 @@ def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def passages_cache(df: DataFrame, path: str) -> None:
-    """Passages in the order of their ids, in files that ranges of ids prune."""
-    df.select("id", "title", "text").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+def passages_cache(df: DataFrame, path: str, group_bytes: int = 16 << 20) -> None:
+    """Passages in the order of their ids, in files and row groups that ranges of ids prune."""
+    df.select("id", "title", "text").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("parquet.block.size", str(group_bytes)).parquet(path)
 
 
 def vectors(df: DataFrame, path: str) -> None:
