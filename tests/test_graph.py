@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.plans import graph
 from waymark.plans.client import Policy, Refused
 from waymark.plans.graph import Phase
-from waymark.plans.outcomes import Models, fallback_report, outcome_table
+from waymark.plans.outcomes import Models, escalation_phases, fallback_report, outcome_table
 
 
 def two_phases(seen, version="1", fail=()):
@@ -138,7 +138,7 @@ def test_outcomes_in_one_call_and_after_each_break(spark, corpus, tmp_path):
     want, got = stable(whole), {(r.cluster_id, r.variant_id, r.action): r for r in whole.collect()}
     assert len(got) == 15
     assert got[1, 0, "A2"].fallback is False and got[1, 0, "A2"].retrievals == 2 and got[1, 0, "A2"].llm_calls == 2
-    assert got[1, 1, "A2"].fallback and got[2, 0, "A2"].fallback and got[2, 0, "A2"].rewrite_latency >= 0
+    assert got[1, 1, "A2"].fallback and got[2, 0, "A2"].fallback and got[2, 0, "A2"].asked_latency >= 0
     assert got[1, 0, "A1"].em == 1.0 and got[2, 1, "A1"].em == 0.0
     assert got[1, 0, "A1"].latency_total == pytest.approx(0.5 + 0.01 * got[1, 0, "A1"].ce_passes + got[1, 0, "A1"].generation_latency)
     assert {r.action: (r.n, r.fallbacks) for r in fallback_report(whole).collect()} == {"A0": (5, 0), "A1": (5, 0), "A2": (5, 2)}
@@ -153,3 +153,32 @@ def test_outcomes_in_one_call_and_after_each_break(spark, corpus, tmp_path):
     more = corpus[0].unionByName(spark.createDataFrame([(4, 0, "what is blue house", ["x"])], corpus[0].schema))
     tables, again = outcome_table(more, *corpus[1:], models(log), root, policy=quick)
     assert [d.worked for d in again] == [1, 1, 1, 1, 3, 3] and tables["outcomes"].count() == 18
+
+
+def test_escalation_in_one_call(spark, corpus, tmp_path):
+    """A follow-up after reading brings new passages in; one that fails or repeats the question falls back."""
+
+    def model(prompt):
+        question = re.findall(r"Question: (.*)", prompt)[-1]
+        if prompt.startswith("Below are a question"):
+            if "three" in question:
+                raise Refused("no")
+            return {"raw": question.upper() if "two" in question else f"{question} blue river", "input_tokens": 1, "output_tokens": 1, "prompt_tps": 200.0}
+        return {"raw": "Reasoning: it says so.\nAnswer: red stone", "input_tokens": 10, "output_tokens": 2, "prompt_tps": 200.0}
+
+    own = models(str(tmp_path / "log"))
+    own = Models(model, own.encode, own.cross, own.rerank_seconds, own.retrieval_seconds)
+    made = lambda *a, **k: escalation_phases(*a, **k, reason=True)
+    tables, report = outcome_table(*corpus, own, str(tmp_path / "r"), policy=Policy(first_wait=0.01), made=made)
+    assert [d.phase for d in report] == ["retrieval", "first", "followups", "second_retrieval", "selection", "answers", "outcomes"]
+    got = {(r.cluster_id, r.variant_id, r.action): r for r in tables["outcomes"].collect()}
+    assert len(got) == 10 and {k[2] for k in got} == {"A1", "A2"}
+    assert got[1, 1, "A2"].fallback and got[2, 0, "A2"].fallback and not got[1, 0, "A2"].fallback
+    assert got[1, 0, "A2"].ce_passes > got[1, 0, "A1"].ce_passes and got[1, 0, "A2"].retrievals == 2
+    assert got[1, 0, "A1"].answer == "red stone" and got[1, 0, "A1"].em == 1.0
+    chosen = {(r.question, r.action): r for r in tables["selection"].collect()}
+    a1, a2 = chosen["what is one red", "A1"], chosen["what is one red", "A2"]
+    assert a2.doc_ids[:3] == a1.doc_ids[:3] and a2.n_new == len(set(a2.doc_ids) - set(a1.doc_ids)) and len(a2.doc_ids) == 5
+    assert chosen["what is two red", "A2"].doc_ids == chosen["what is two red", "A1"].doc_ids
+    _, again = outcome_table(*corpus, own, str(tmp_path / "r"), policy=Policy(first_wait=0.01), made=made)
+    assert [d.worked for d in again] == [0] * 7

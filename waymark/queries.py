@@ -921,9 +921,9 @@ def _stand_ins():
     """Models by rule: rewrites add a word but for questions of certain lengths, vectors and scores are arithmetic on lengths."""
 
     def chat(prompt):
-        question = prompt.rsplit("Question: ", 1)[1].removesuffix("\nAnswer:")
+        question = prompt.rsplit("Question: ", 1)[1].removesuffix("\nAnswer:").removesuffix("\nSearch query:")
         line = question.replace("\n", " ")
-        raw = (f"{line} zqzq" if len(question) % 3 else line) if prompt.startswith("Rewrite") else "a reply"
+        raw = (f"{line} zqzq" if len(question) % 3 else line) if prompt.startswith(("Rewrite", "Below")) else "a reply"
         return {"raw": raw, "input_tokens": len(prompt), "output_tokens": len(raw), "prompt_tps": 200.0}
 
     encode = lambda q: F.array(*[((F.length(q) * 31 + i * 17) % 101 / F.lit(100.0) - 0.5) for i in range(64)])
@@ -951,6 +951,22 @@ def outcome_phases(spark, sf):
     return rows.join(chosen, ["item_id", "action"]).select("item_id", "action", "docs", "fallback", "ce_passes", "retrievals", "llm_calls")
 
 
+@query(_ASKED + """ ce AS (SELECT question, kind, doc_id, rank, row_number() OVER (PARTITION BY question, kind ORDER BY (length(d.text) * 7 + length(question) * 31) % 17 DESC, rank) AS nr, count(*) OVER (PARTITION BY question, kind) AS passes FROM fu JOIN documents d USING (doc_id) WHERE rank <= 20),
+        one AS (SELECT question, list(doc_id ORDER BY nr) AS a, max(passes) AS passes FROM ce WHERE kind = 0 AND nr <= 5 GROUP BY 1), two AS (SELECT question, list(doc_id ORDER BY nr) AS b, max(passes) AS passes FROM ce WHERE kind = 1 GROUP BY 1),
+        hop AS (SELECT question, a, one.passes AS own, b IS NULL AS fallback, coalesce(two.passes, 0) AS more, CASE WHEN b IS NULL THEN [] ELSE list_filter(b, lambda x: NOT list_contains(a, x))[1:2] END AS f FROM one LEFT JOIN two USING (question)),
+        every AS (SELECT question, 'A1' AS action, a AS docs, false AS fallback, own AS ce_passes, 0 AS n_new FROM hop UNION ALL SELECT question, 'A2', (list_concat(list_concat(a[1:3], f), a[4:5]))[1:5], fallback, own + more, len(f) FROM hop)
+        SELECT item_id, action, array_to_string(docs, ',') AS docs, fallback, CAST(ce_passes AS BIGINT) AS ce_passes, CAST(n_new AS INTEGER) AS n_new, CASE WHEN action = 'A2' AND NOT fallback THEN 2 ELSE 1 END AS retrievals FROM every JOIN benchmark ON text = question""")
+def escalation_outcomes(spark, sf):
+    """Questions to outcomes of the two actions in one call: passages, new ones of the second hop, fallbacks and counts of work."""
+    b = st.table(spark, sf, "benchmark")
+    instances = b.select(F.col("item_id").alias("cluster_id"), F.lit(0).alias("variant_id"), F.col("text").alias("question"), F.array(F.lit("a reply")).alias("answers"))
+    root = f"{tables.shared_dir(spark).rstrip('/')}/waymark-phases-{uuid.uuid4().hex}"
+    made, _ = outcomes.outcome_table(instances, st.passages(spark, sf), st.index(spark, sf), _stand_ins(), root, made=outcomes.escalation_phases)
+    chosen = made["selection"].join(b.select("item_id", F.col("text").alias("question")), "question").select("item_id", "action", "n_new", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("docs"))
+    rows = made["outcomes"].withColumnRenamed("cluster_id", "item_id")
+    return rows.join(chosen, ["item_id", "action"]).select("item_id", "action", "docs", "fallback", "ce_passes", "n_new", "retrievals")
+
+
 @query("""SELECT item_id, CASE WHEN item_id % 7 = 3 THEN NULL ELSE 'reply of ' || item_id END AS reply, CASE WHEN item_id % 7 = 3 THEN 'ConnectionError' WHEN item_id % 11 = 5 THEN 'Refused' END AS error,
         CAST(CASE WHEN item_id % 7 = 3 THEN 4 WHEN item_id % 11 = 5 THEN 1 ELSE item_id % 3 + 1 END AS INTEGER) AS attempts FROM benchmark WHERE item_id % 7 = 3 OR item_id % 11 <> 5
         UNION ALL SELECT item_id, NULL, 'Refused', 1 FROM benchmark WHERE item_id % 7 <> 3 AND item_id % 11 = 5""")
