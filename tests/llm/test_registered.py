@@ -1,6 +1,7 @@
 """The registered queries against brute force on a small fixture, and what once went wrong."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -15,7 +16,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, hilbert, languages, mixing, order_minhash, registry, spotsigs, substrings, toxicity
+from waymark.llm import decontaminate, hilbert, languages, licenses, mixing, order_minhash, registry, spotsigs, substrings, toxicity
 from waymark.llm.words import ALNUM, SPACE_SPLIT, pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -388,7 +389,7 @@ def test_query_against_its_sql(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no tables here")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df, want = registry.QUERIES[name](spark, sf), con.sql(registry.ORACLE[name])
     names = sorted(df.columns)
@@ -478,3 +479,43 @@ def test_mixing_query_against_brute_force(spark, tables, tmp_path):
     assert abs(again["tokens"].mul(again["probability"]).sum() - got["expected"].sum()) < 3
     assert again.loc[again["doc_id"] == 9999, "probability"].item() == 1.0
     assert len(set(again["doc_id"][again["sampled"]]) ^ set(got["doc_id"][got["sampled"]])) <= 4
+
+
+LICENSED = {
+    "Apache 2.0 version: the license is under discussion": "",
+    "This is not about the BSD but the license of the house under which it was released": "",
+    "MIT License": "mit",
+    "SPDX-License-Identifier: MIT": "mit",
+    "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "SPDX-License-Identifier: GPL-3.0-only": "gpl-3.0",
+    "It is licensed under the GNU GPL v3.": "gpl-3.0",
+    "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa-3.0",
+    "License MIT the under released": "",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd-terms",
+    "Permitted are forms binary and source in use and redistribution, modification without or with": "",
+    "the license of MIT, the institute": "",
+}
+
+
+def test_licenses_mind_the_order_of_words(spark, tmp_path):
+    """Notices by their words' order, also with words between them and over lines; and the same by the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [*LICENSED, *(f"Some words before.\n{t}\nand after it" for t in LICENSED), "Released then\nunder the very MIT\nLicense"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.op4_license_scan(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts[:-1]):
+        assert got[i].labels == LICENSED[texts[i % len(LICENSED)]], t
+    assert got[len(texts) - 1].labels == "mit"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE["op4_license_scan"])
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.values()))) == sorted(map(str, want.fetchall()))
+
+
+def test_license_chains():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = (rng.choices(range(4), k=rng.randrange(0, 8)) for _ in range(2))
+        best = max((sum(1 for _ in c) for n in range(len(a) + 1) for c in itertools.combinations(a, n) if (it := iter(b)) is not None and all(x in it for x in c)), default=0)
+        assert licenses.chain(a, b) == best

@@ -5,7 +5,8 @@ set-similarity join finds every block that contains at least a share of a templa
 block is a window of SPAN times the template's words, wherever lines break.
 Tokens are ordered by how many lines of the whole corpus hold them, rarest first; a block is a
 candidate if it holds one of a template's rarest tokens (prefix) and, from the token
-at which it starts, enough of the template's to reach the share (length and position).
+at which it starts, enough of the template's to reach the share (length and position).  A candidate is verified by the order
+of its words: as large a share of the template's words must stand in it in the template's order.
 """
 
 from __future__ import annotations
@@ -42,6 +43,18 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "commons noncommercial", "sharealike noderivatives"),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "commons sharealike", "noncommercial noderivatives"),
     ("all-rights-reserved", "Copyright All rights reserved", "copyright reserved", ""),
+    ("apache-2.0", "SPDX License Identifier Apache 2.0", "spdx apache", ""),
+    ("mit", "MIT License", "mit license", ""),
+    ("mit", "SPDX License Identifier MIT", "spdx mit", ""),
+    ("bsd", "SPDX License Identifier BSD 3 Clause", "spdx bsd", ""),
+    ("bsd", "SPDX License Identifier BSD 2 Clause", "spdx bsd", ""),
+    ("bsd-terms", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions retain", ""),
+    ("gpl-3.0", "SPDX License Identifier GPL 3.0", "spdx gpl 3", "lgpl agpl"),
+    ("gpl-3.0", "licensed under the GNU GPL v3", "gnu gpl v3", "lesser affero"),
+    ("mpl-2.0", "SPDX License Identifier MPL 2.0", "spdx mpl", ""),
+    ("mit-terms", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", "noninfringement warranty", ""),
+    ("cc-by-sa-3.0", "Creative Commons Attribution-ShareAlike 3.0", "commons sharealike 3", "noncommercial noderivatives"),
+    ("cc-by-3.0", "Creative Commons Attribution 3.0", "commons attribution 3", "noncommercial sharealike noderivatives"),
     ("public-domain", "This work is dedicated to the public domain", "dedicated domain", ""),
     ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered", ""),
 ]
@@ -72,6 +85,18 @@ def _known(p: Piece, words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndar
     return own, at[own]
 
 
+def chain(template: list[int], block: list[int]) -> int:
+    """How many of the template's words stand in the block in the template's order."""
+    best = [0] * (len(template) + 1)
+    for word in block:
+        before = 0
+        for i, t in enumerate(template, 1):
+            was = best[i]
+            best[i] = before + 1 if t == word else max(was, best[i - 1])
+            before = was
+    return best[-1]
+
+
 def _frequencies(vocabulary: np.ndarray):
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
@@ -92,6 +117,8 @@ def _scan(phrases: dict[str, str], templates: list[tuple[str, str, str, str]], v
     sets = [(name, sorted(set(tokens(text)), key=lambda t: rank[t])) for name, text, _, _ in templates]
     needed = [max(1, ceil(least * len(s) - 1e-9)) for _, s in sets]
     spans = [SPAN * len(_words(text)) for _, text, _, _ in templates]
+    orders = [tokens(text) for _, text, _, _ in templates]
+    chained = [max(1, ceil(least * len(x) - 1e-9)) for x in orders]
     must, never = ([set(tokens(x[k])) for x in templates] for k in (2, 3))
     # by token: whether it is the template's, and whether one of its rarest
     member, rare = np.zeros((len(sets), len(vocabulary)), bool), np.zeros((len(sets), len(vocabulary)), bool)
@@ -139,7 +166,7 @@ def _scan(phrases: dict[str, str], templates: list[tuple[str, str, str, str]], v
                             continue
                         # from the first of the template's words to the last, none that tells another license
                         between = which[np.searchsorted(own, place[j]) : np.searchsorted(own, place[end[j] - 1], "right")]
-                        if not never[i] & set(between.tolist()):
+                        if not never[i] & set(between.tolist()) and chain(orders[i], token[j : end[j]].tolist()) >= chained[i]:
                             r = int(doc[place[j]]) + p.rows.start
                             also[r].add(name)
                             score[r] = max(score[r], common / len(s))
@@ -155,7 +182,8 @@ def license_scan(docs: DataFrame, least: float = 0.8, phrases: dict[str, str] =
     greatest first words, from 0; null without any), base_labels, labels (templates' too) and
     score (1 at a base place, else the largest share of a template that one block holds, if at least ``least``).
 
-    A block counts for a template if it also holds the words that tell its license, and none that tells another.  Null and empty texts have no words and score 0; long texts are read whole; repeated rows each give a row, a null id too; an empty table gives none; other
+    A block counts for a template if it also holds the words that tell its license, and none that tells another, and if that share of the template's
+    words stands in it in their order.  Templates of one label are alike.  Null and empty texts have no words and score 0; long texts are read whole; repeated rows each give a row, a null id too; an empty table gives none; other
     columns of docs are not looked at, whatever their names."""
     vocabulary = vocabulary_of(templates)
     text = docs.select(F.col(text_col).alias("text"))

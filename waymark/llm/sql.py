@@ -47,16 +47,20 @@ def license_scan(least: float = 0.8) -> str:
     phrases = ", ".join(f"({lists(p.split())}, {len(p.split())}, '{label}')" for p, label in PHRASES.items())
     rows = []
     for i, (label, text, must, never) in enumerate(TEMPLATES):
-        own = sorted(set(words(text)))
-        rows.append(f"({i}, '{label}', {lists(own)}, {len(own)}, {max(1, ceil(least * len(own) - 1e-9))}, {SPAN * len(words(text))}, {lists(must.split())}, {lists(never.split())})")
+        own, seq = sorted(set(words(text))), words(text)
+        codes = "[" + ", ".join(str(own.index(w) + 1) for w in seq) + "]"
+        rows.append(f"({i}, '{label}', {lists(own)}, {len(own)}, {max(1, ceil(least * len(own) - 1e-9))}, {SPAN * len(seq)}, {lists(must.split())}, {lists(never.split())}, {codes}, {max(1, ceil(least * len(seq) - 1e-9))})")
+    # a row of the longest common subsequence from the row before it and the next word's code
+    step = "list_transform(range(1, len(seq) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN seq[i] = w[1] THEN CASE WHEN i = 1 THEN 0 ELSE x[i - 1] END + 1 ELSE x[i] END)))"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         x AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),
-        ph AS (SELECT * FROM (VALUES {phrases}) v(ws, k, label)), tp AS (SELECT * FROM (VALUES {', '.join(rows)}) v(tid, label, toks, n_toks, need, span, must, never)),
+        ph AS (SELECT * FROM (VALUES {phrases}) v(ws, k, label)), tp AS (SELECT * FROM (VALUES {', '.join(rows)}) v(tid, label, toks, n_toks, need, span, must, never, seq, chain)),
         bs AS (SELECT rid, pos - 1 AS place, label FROM x JOIN ph ON word = ws[1] JOIN t USING (rid) WHERE w[pos:pos + k - 1] = ws),
         m AS (SELECT rid, tid, pos, word FROM x JOIN (SELECT tid, unnest(toks) AS word FROM tp) USING (word)),
-        c AS (SELECT a.rid, a.tid, a.pos AS lo, max(b.pos) AS hi, list(DISTINCT b.word) AS held FROM m a JOIN tp ON tp.tid = a.tid JOIN m b ON b.rid = a.rid AND b.tid = a.tid AND b.pos BETWEEN a.pos AND a.pos + span - 1 GROUP BY 1, 2, 3),
-        g AS (SELECT rid, tid, lo, hi, len(held) / n_toks::DOUBLE AS share, label, never FROM c JOIN tp USING (tid) WHERE len(held) >= need AND list_has_all(held, must)),
+        c AS (SELECT a.rid, a.tid, a.pos AS lo, max(b.pos) AS hi, list(DISTINCT b.word) AS held, list(b.word ORDER BY b.pos) AS run FROM m a JOIN tp ON tp.tid = a.tid JOIN m b ON b.rid = a.rid AND b.tid = a.tid AND b.pos BETWEEN a.pos AND a.pos + span - 1 GROUP BY 1, 2, 3),
+        g0 AS (SELECT rid, tid, lo, hi, len(held) / n_toks::DOUBLE AS share, label, never, chain, list_transform(seq, lambda t: t::BIGINT) AS seq, list_transform(run, lambda t: [list_position(toks, t)::BIGINT]) AS run FROM c JOIN tp USING (tid) WHERE len(held) >= need AND list_has_all(held, must)),
+        g AS (SELECT * FROM (SELECT *, (list_reduce([list_transform(seq, lambda t: 0::BIGINT)] || run, lambda x, w: {step}))[-1] AS n_chain FROM g0) WHERE n_chain >= chain),
         f AS (SELECT rid, label, share FROM g WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.rid = g.rid AND x.pos BETWEEN g.lo AND g.hi AND list_contains(g.never, x.word))),
         b AS (SELECT rid, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM bs GROUP BY 1),
         l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM bs UNION ALL SELECT rid, label FROM f) GROUP BY 1), s AS (SELECT rid, max(share) AS share FROM f GROUP BY 1)
