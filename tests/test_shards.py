@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import baselines, guards, integrity, retrieval, routing, signals
+from waymark.plans import smoke
 from waymark.sources import readers, shards, writers
 
 
@@ -196,3 +197,28 @@ def test_the_optimum(spark):
     assert np.allclose(p.sum(1), 1)
     with pytest.raises(ValueError):
         baselines.fit_optimum(df.limit(0), names, "label", 3)
+
+
+def test_smoke_report_in_one_call(spark):
+    words = "red green blue stone river hill".split()
+    passages = spark.createDataFrame([(i, " ".join(words[(i * j) % 6] for j in range(1, 8)) + f" n{i}") for i in range(30)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [math.cos(i), math.sin(i), 0.5]) for i in range(30)], "doc_id long, embedding array<double>")
+    asked = [(1, "red n7", ["n7"], [1.0, 0.0, 0.5]), (2, "blue hill", ["nowhere"], [0.0, 1.0, 0.5]), (3, "is it red", ["yes"], [0.0, 1.0, 0.5]), (4, "stone n3", ["n3"], [0.5, 0.5, 0.5])]
+    out = smoke.smoke_report(spark.createDataFrame(asked, "qid long, question string, answers array<string>, vector array<double>"), passages, vectors, ks=(1, 50))
+    assert tuple(out["counts"].head()) == (4, 3, 1, pytest.approx(1 / 3))
+    recall = {(r.list, r.k): r.recall for r in out["recall"].collect()}
+    assert recall["lexical", 1] == pytest.approx(2 / 3) and recall["dense", 50] == pytest.approx(2 / 3) and len(recall) == 6
+    got = {r.signal: r for r in out["signals"].collect()}
+    assert set(got) == {"S1", "S2", "S3", "S4"} and got["S1"].n_pos == 1 and got["S1"].n_neg == 2 and got["S1"].non_finite == 0
+    assert {r.pair for r in out["correlations"].collect()} == {"S1-S2", "S1-S3", "S1-S4", "S2-S3", "S2-S4", "S3-S4"}
+
+
+def test_small_reports(spark):
+    grid = spark.createDataFrame([(0.1, 0.2), (0.2, 0.3)], "t1 double, t2 double")
+    assert sorted(r.value for r in routing.threshold_values(grid).collect()) == [0.1, 0.2, 0.3]
+    rows = spark.createDataFrame([("a", c) for c, n in ((1, 3), (2, 2), (3, 4), (4, 3)) for _ in range(n)], "d string, cluster_id int")
+    assert tuple(signals.cluster_coverage(rows, by=["d"]).head()) == ("a", 4, 2, 1, 1)
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 6)], "qid int, doc_id int, rank int")
+    passages = spark.createDataFrame([(10, "A"), (11, "B"), (12, "C")], "doc_id int, title string")
+    gold = spark.createDataFrame([(1, ["A", "A", "C"]), (2, ["A"])], "qid int, gold array<string>")
+    assert {r.qid: r.n_gold for r in retrieval.gold_found(ranked, passages, gold).collect()} == {1: 1, 2: 0}

@@ -169,3 +169,9 @@ def smoke(lists: dict[str, DataFrame], expected: DataFrame, query_id: str = "qid
     hit = asked.join(every, ["list", query_id, "_doc"], "left").withColumn("_in", F.col("_rank") <= F.col("k"))
     out = hit.groupBy("list", query_id, "k", "doc_ids").agg(F.count("_doc").alias("expected"), F.count_if("_in").alias("found"), F.min("_rank").alias("first_rank"))
     return out.select("list", query_id, "k", "expected", "found", "first_rank", (F.col("found") > 0).alias("passed"))
+
+
+def gold_found(ranked: DataFrame, passages: DataFrame, gold: DataFrame, k: int = C.TOP_N, query_id: str = "qid", id_col: str = "doc_id") -> DataFrame:
+    """(qid, n_gold): how many of a question's supporting titles (qid, gold) are among those of its first k passages; a question without a list has none."""
+    got = ranked.filter(F.col("rank") <= k).join(passages.select(id_col, "title"), id_col).groupBy(query_id).agg(F.collect_set("title").alias("_got"))
+    return gold.join(got, query_id, "left").select(query_id, F.size(F.array_intersect(F.coalesce("_got", F.array().cast("array<string>")), F.array_distinct("gold"))).alias("n_gold"))

@@ -139,6 +139,11 @@ def grid_values_naive(table: DataFrame, grid: DataFrame, score: str, actions: Se
     return policy_value(both, action_index(F.col(score), [F.col(c) for c in cuts]), actions, by=cuts)
 
 
+def threshold_values(grid: DataFrame) -> DataFrame:
+    """(value): the distinct values of a grid's cuts, whichever cut they are of."""
+    return grid.select(F.explode(F.array(*grid.columns)).alias("value")).distinct()
+
+
 def reached(score: Column, values: Sequence[float], first: int = 0) -> Column:
     """How many of the rising values a score reaches: a tree of comparisons with the values themselves."""
     if not values:
@@ -152,7 +157,7 @@ def grid_values(table: DataFrame, grid: DataFrame, score: str, actions: Sequence
     values its score reaches, so instances are summed up by that number first (a row for each value at
     most), and cuts meet those sums.  Scores are compared with the values themselves, never scaled to a place."""
     cuts = grid.columns
-    values = sorted({r[0] for c in cuts for r in grid.select(c).distinct().collect()})  # the axis: a few hundred numbers
+    values = sorted(r[0] for r in threshold_values(grid).collect())  # the axis: a few hundred numbers
     sums = table.groupBy(*by, reached(F.col(score), values).alias("reached")).agg(F.count("*").alias("n"), *[F.sum(f"{p}_{a}").alias(f"{p}_{a}") for p in "qc" for a in actions])
     place = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i + 1)])
     cut_rows = grid.select(*cuts, *[F.element_at(place, F.col(c)).alias(f"p_{c}") for c in cuts])

@@ -108,6 +108,13 @@ def complete_clusters(df: DataFrame, cluster: str = "cluster_id", by: Sequence[s
     return df.join(n.filter(F.col("_n") == size).drop("_n"), [*by, cluster], "left_semi")
 
 
+def cluster_coverage(df: DataFrame, cluster: str = "cluster_id", by: Sequence[str] = (), size: int = 3) -> DataFrame:
+    """(by, clusters, complete, skipped, larger): how many clusters a calibration uses, how many it leaves out as they have fewer than size
+    phrasings, and how many have more, which is an error there."""
+    n = df.groupBy(*by, cluster).agg(F.count("*").alias("_n"))
+    return n.groupBy(*by).agg(F.count("*").alias("clusters"), F.count_if(F.col("_n") == size).alias("complete"), F.count_if(F.col("_n") < size).alias("skipped"), F.count_if(F.col("_n") > size).alias("larger"))
+
+
 def pairs(df: DataFrame, cols: Sequence[str], cluster: str = "cluster_id", variant: str = "variant_id", by: Sequence[str] = ()) -> DataFrame:
     """Unordered pairs within a cluster, in the order of the variants as strings: columns a_x and b_x."""
     side = lambda p: df.select(*by, cluster, F.col(variant).cast("string").alias(f"{p}_v"), *[F.col(c).alias(f"{p}_{c}") for c in cols])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark import config as C
 from waymark.functions import fuzzy, text, vectors
 from waymark.operators import audits, baselines, clusters, diagnostics, evaluation, integrity, retrieval, routing, signals
-from waymark.plans import client, evaluate, outcomes
+from waymark.plans import client, evaluate, outcomes, smoke
 from waymark.plans import standins as st
 from waymark.plans.standins import SIGNALS, with_sql
 from waymark.sources import readers, shards, tables, writers
@@ -722,8 +722,8 @@ def gold_pages(spark, sf):
     """How many of a question's supporting titles are among its first five passages'."""
     d = st.passages(spark, sf)
     gold = st.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") * 3).alias("doc_id")).join(d.select("doc_id", "title"), "doc_id").select("qid", F.array("title").alias("gold"))
-    got = retrieval.bm25(st.questions(spark, sf), d).filter("rank <= 5").join(d.select("doc_id", "title"), "doc_id").groupBy("qid").agg(F.collect_set("title").alias("got"))
-    return got.join(gold, "qid").select("qid", F.size(F.array_intersect("got", "gold")).alias("n_gold"))
+    found = retrieval.bm25(st.questions(spark, sf), d)
+    return retrieval.gold_found(found, d, gold.join(found.select("qid").distinct(), "qid", "left_semi"))
 
 
 @query("""+ t AS (SELECT dataset, q0, q1, q2, c0, c1, c2, i FROM routed WHERE split = 'test' AND dataset = 'hp' UNION ALL SELECT dataset, q0, q1, q2, c0, c1, c2, CAST(score >= 0.5::DOUBLE AS INTEGER) + CAST(score >= 0.7::DOUBLE AS INTEGER) FROM routed WHERE split = 'test' AND dataset = 'nq')
@@ -1043,3 +1043,20 @@ def learned_optimum(spark, sf):
     feats = feats.withColumn("label", F.array_position(F.transform("q", lambda x: x >= F.array_max("q") - 2), F.lit(True)).cast("int") - 1)
     model = baselines.fit_optimum(feats, ["n_words", "has_digit", "odd"], "label", 3)
     return rounded(baselines.fitted_moments(feats, model, "label"), "observed", "fitted")
+
+
+@query("""+ n AS (SELECT dataset, split, cluster_id, count(*) AS n FROM inst GROUP BY 1, 2, 3)
+        SELECT dataset, split, count(*) AS clusters, count(*) FILTER (n = 3) AS complete, count(*) FILTER (n < 3) AS skipped, count(*) FILTER (n > 3) AS larger FROM n GROUP BY 1, 2""", ["inst"])
+def calibration_coverage(spark, sf):
+    """How many clusters of each split a calibration uses and how many it leaves out."""
+    return signals.cluster_coverage(st.instances(spark, sf), by=["dataset", "split"])
+
+
+@query("""+ l AS (SELECT 'lexical' AS list, qid, doc_id, rank FROM bm UNION ALL SELECT 'dense', qid, doc_id, rank FROM dn UNION ALL SELECT 'fused', qid, doc_id, rank FROM fu),
+        h AS (SELECT list, qid, rank, ' ' || array_to_string(list_transform(regexp_extract_all(d.text, '[\\p{L}\\p{N}\\p{M}]+|[^\\p{Z}\\p{C}]'), lambda t: lower(t)), ' ') || ' ' AS body,
+          array_to_string(list_transform(regexp_extract_all(answers[1], '[\\p{L}\\p{N}\\p{M}]+|[^\\p{Z}\\p{C}]'), lambda t: lower(t)), ' ') AS a FROM l JOIN documents d USING (doc_id) JOIN questions USING (qid)),
+        f AS (SELECT list, qid, min(rank) FILTER (a <> '' AND contains(body, ' ' || a || ' ')) AS first FROM h GROUP BY 1, 2)
+        SELECT list, CAST(k AS INTEGER) AS k, round(avg(CAST(coalesce(first <= k, false) AS DOUBLE)), 6) AS recall FROM f, (VALUES (1), (5), (10), (20), (50)) v(k) GROUP BY 1, 2""", ["bm", "dn", "fu"])
+def smoke_recall(spark, sf):
+    """The smoke report's recall of the lexical, dense and fused lists."""
+    return rounded(smoke.smoke_report(st.questions(spark, sf), st.passages(spark, sf), st.index(spark, sf))["recall"], "recall")
