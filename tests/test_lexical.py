@@ -41,7 +41,7 @@ QUESTIONS = ["w0 w1 w2", "w7 w8", "w299 w250 w0", "w5 w5 w120 w33", "nowhere", "
 def index(spark, corpus, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("lexical"))
     passages = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
-    return lexical.build_index(passages, path, part_docs=16, buckets=5), path
+    return lexical.build_index(passages, path, part_docs=12, buckets=5), path
 
 
 @pytest.mark.parametrize("k", [1, 7, 50, 2000])
