@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,45 @@ def test_links_of_a_large_bucket_against_brute_force(spark, monkeypatch, block):
     assert got == want and max(want.values()) > 30
 
 
+def test_near_copies_in_few_tasks(spark):
+    """Classes of a large bucket take few exchanges, so many shuffle partitions don't fill an executor's memory with their buffers."""
+    rng, conf = random.Random(3), {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    base = words_of(rng, 80)
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(80), 2):
+            w[at] = f"new{i}q{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "few-tasks")
+        assert order_minhash.near_copies(df).count() == 40
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    told = spark.sparkContext.statusTracker()
+    stages = {k for j in told.getJobIdsForGroup("few-tasks") for k in told.getJobInfo(j).stageIds}
+    assert 0 < sum(x.numCompletedTasks for k in stages if (x := told.getStageInfo(k))) < 700
+
+
+def test_sketches_hold_some_texts_at_a_time():
+    rng = random.Random(4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([" ".join(words_of(rng, 60)) for _ in range(10_000)])], names=["id", "text"])
+    sketch = order_minhash._sketch(5)
+    list(sketch(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in sketch(iter([batch]))) == 10_000
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_alignment_minds_the_order():
     a = np.arange(100, dtype=np.uint32)
     assert order_minhash.alignment(a, a, 0.8) == 1.0
@@ -167,6 +207,15 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, **{i: 20 for i in range(20, 61)}}
 
 
+def test_components_with_labels_sent_to_every_task(spark):
+    rng = random.Random(6)
+    links = [(i, i) for i in (1, 90)] + [(i + 1, i) for i in range(20, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)] + [(7, j) for j in range(200, 230)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {r.id: r.label for r in components(df).collect()}
+    assert {r.id: r.label for r in components(df, 1000).collect()} == want == {r.id: r.label for r in components(df, 10).collect()}
+    assert want[60] == 20 and want[229] == 7 and want[90] == 90
+
+
 def test_shards(docs, empty):
     out = hilbert.hilbert_shards(clash(docs), ["source", "lang", "n_chars", "doc_id"], 8, ["doc_id", "n_chars"])
     assert out.columns[-3:] == ["curve_", "shard_", "slot_"]

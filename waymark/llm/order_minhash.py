@@ -33,6 +33,8 @@ BLOCK = 1 << 18
 TEXT = 128
 #: Texts of up to so many shingles have keys of fewer shingles too.
 SHORT = 30
+#: Texts of a batch that are sketched together.
+SLICE = 512
 #: Ids to broadcast at most: 8 MB.
 BROADCAST_IDS = 1_000_000
 _SEEDS = mix(np.arange(1, DRAWS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -88,9 +90,16 @@ def _id(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some texts at a time, so that what is held of their results does not follow Arrow's batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _sketch(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             same, keys = [], []
             for digest, grams in _each(batch.column(1), k):
                 same.append(digest)
@@ -102,7 +111,7 @@ def _sketch(k: int):
 
 def _shingles(k: int):
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, blobs = [], []
             for digest, g in _each(batch.column(1), k):
                 ids.append(_id(digest))
@@ -152,14 +161,9 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """(id, label) of the texts of large buckets: those that meet over large buckets are one group."""
-    large = members.filter(F.col("size") > SMALL).select("bucket", "id")
-    met = keep(large.join(large.groupBy("bucket").agg(F.min("id").alias("b")), "bucket").select("bucket", "id", "b"), "met")
-    # each text hangs on one other, the least that it meets, and only these are tied by buckets, so edges are few
-    own = keep(met.groupBy("id").agg(F.min("b").alias("a")), "own")
-    ties = met.join(own, "id").select("a", "b").distinct()
-    edges = ties.union(own.select("a", F.col("id").alias("b"))).filter("a <> b")
-    return components(edges.union(own.filter("a = id").select("a", F.col("id").alias("b"))))
+    """(id, label) of the texts of large buckets: those that meet over large buckets are one group.
+    Each text of such a bucket hangs on the bucket's least, which has a loop."""
+    return components(members.filter(F.col("size") > SMALL).select(F.col("least").alias("a"), F.col("id").alias("b")), BROADCAST_IDS)
 
 
 def _likenesses(x: np.ndarray, sizes: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[np.ndarray], least: float) -> np.ndarray:
@@ -233,13 +237,14 @@ def _within(grams: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     class.  Every pair of a group is looked at whose lengths allow a link: texts in order of length fall
     into blocks of a bounded size, and each two blocks near enough are a task's row group of their own."""
     size = F.octet_length("grams") / 4
-    own = groups.join(grams, "id").select("label", "id", size.cast("long").alias("size"), "grams")
-    placed = running(own.drop("grams"), ["label", "size", "id"], F.col("size") + TEXT, "placed").withColumn("block", F.floor(F.col("_before") / BLOCK))
+    own = groups.join(grams, "id").select("label", "id", size.cast("long").alias("size"))
+    placed = running(own, ["label", "size", "id"], F.col("size") + TEXT, "placed").withColumn("block", F.floor(F.col("_before") / BLOCK))
+    placed = keep(placed.select("label", "id", "size", "block"), "blocks")
     ends = placed.groupBy("label", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     x, y = ends.select("label", F.col("block").alias("x"), "hi"), ends.select("label", F.col("block").alias("y"), "lo")
     meet = keep(x.join(y, "label").filter(f"x <= y and (x = y or hi >= {least}D * lo - 1e-9D)").select("label", "x", "y"), "meet")
     sides = meet.select("label", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    rows = own.join(placed.select("id", "block"), "id").join(sides, ["label", "block"])
+    rows = placed.join(sides, ["label", "block"]).join(grams, "id")
     return rows.select("label", "x", "y", F.col("block").alias("side"), "id", "grams").groupBy("label", "x", "y").applyInArrow(_block_links(least), "a long, b long, n long")
 
 
@@ -262,7 +267,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
     named = sketches.filter("doc_id is not null")
     texts = keep(named.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "texts")
     keyed = texts.filter("keys is not null").select("id", "doc_id", F.explode("keys").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
     members = keep(keyed.join(sizes, "bucket"), "members")
     # texts of one id are one document's
     several = named.groupBy(F.col("doc_id").alias("own")).agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("own", "a")
@@ -282,7 +287,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "
         x, y = (grams.withColumnRenamed("id", side).withColumnRenamed("grams", name) for side, name in (("a", "x"), ("b", "y")))
         single = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, likeness double").select("a", "b", F.lit(1).cast("long").alias("n"))
         links = keep(links.unionByName(single).unionByName(_within(grams, groups, least)), "links")
-    labels = keep(components(links.filter("a <> b")), "labels")
+    labels = components(links.filter("a <> b"), BROADCAST_IDS)
     classes = labels.join(texts.select("id", "doc_id"), "id")
     least_id = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     ends = links.select(F.col("a").alias("id"), "n").union(links.filter("a <> b").select("b", "n"))
