@@ -152,7 +152,7 @@ def retrieval_signals(spark, sf):
     lists = retrieval.hybrid(st.questions(spark, sf), st.passages(spark, sf), index)
     fused = lists["fused"]
     vecs = fused.filter("rank <= 10").join(index, "doc_id")
-    return rounded(signals.compute(lists["lexical"], lists["dense"], fused, vecs), *SIGNALS)
+    return rounded(signals.compute(lists["lexical"], lists["dense"], fused, vecs, whole=False), *SIGNALS)
 
 
 @query("""+ h AS (SELECT qid, rank, ' ' || array_to_string(list_transform(regexp_extract_all(d.text, '[\\p{L}\\p{N}\\p{M}]+|[^\\p{Z}\\p{C}]'), lambda t: lower(t)), ' ') || ' ' AS body,
