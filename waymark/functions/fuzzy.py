@@ -151,3 +151,15 @@ def trace(df: DataFrame, signals: Sequence[str], widths: Sequence[float] | float
     join = (lambda cols: F.least(*cols)) if tnorm == "min" else (lambda cols: reduce(lambda a, b: a * b, cols))
     rules = [F.struct(F.lit(i).alias("rule_id"), F.array(*[F.lit(LABELS[k]) for k in labels]).alias("labels"), F.lit(LABELS[o]).alias("consequent"), join([mu[j][k] for j, k in enumerate(labels)]).alias("strength")) for i, labels, _, o in rule_base(len(signals))]
     return df.withColumn("fired", F.filter(F.array(*rules), lambda r: r["strength"] > 0))
+
+
+def activations(df: DataFrame, signals: Sequence[str], widths: Sequence[float] | float = 0.2) -> DataFrame:
+    """(rule_id, fired): in how many rows each rule that fires at all has a strength, under either t-norm.
+
+    That depends only on which labels have a degree, so rows are counted by these first, and rules meet the few kinds of rows."""
+    widths = [widths] * len(signals) if isinstance(widths, (int, float)) else list(widths)
+    own = {f"_m{i}": sum((d > 0).cast("int") * 2**k for k, d in enumerate(memberships(F.col(s), w))) for i, (s, w) in enumerate(zip(signals, widths, strict=True))}
+    kinds = df.select(*[c.alias(m) for m, c in own.items()]).groupBy(*own).agg(F.count("*").alias("n"))
+    fires = [F.when(reduce(lambda a, b: a & b, [F.col(m).bitwiseAND(2**k) > 0 for m, k in zip(own, labels, strict=True)]), F.lit(i)) for i, labels, _, _ in rule_base(len(signals))]
+    each = kinds.select("n", F.explode(F.array_compact(F.array(*fires))).alias("rule_id"))
+    return each.groupBy("rule_id").agg(F.sum("n").alias("fired"))

@@ -384,8 +384,7 @@ def fuzzy_probsum(spark, sf):
         nr AS (SELECT *, row_number() OVER () AS x FROM st) SELECT CAST(o AS INTEGER) AS consequent, t, count(*) FILTER (s > 0) AS fired FROM nr GROUP BY 1, 2""", ["scaled"])
 def rule_activations(spark, sf):
     """How many rules of each label sum fire."""
-    out = fuzzy.trace(_scaled(spark, sf), SIGNALS, 0.2).select(F.explode("fired").alias("f"))
-    per = out.groupBy("f.rule_id").agg(F.count("*").alias("n"))
+    per = fuzzy.activations(_scaled(spark, sf), SIGNALS, 0.2).withColumnRenamed("fired", "n")
     base = spark.createDataFrame([(i, t, o) for i, _, t, o in fuzzy.rule_base(4)], "rule_id int, t int, consequent int")
     return base.join(per, "rule_id", "left").groupBy("consequent", "t").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fired"))
 
